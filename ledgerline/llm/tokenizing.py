@@ -9,9 +9,10 @@ ids of a text are gathered with numpy.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import chain, count, islice
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,9 @@ _INNER_SPACE = re.compile(r"\s (?:\s|\Z)")
 #: An ASCII text without these has no such space, unless at its end.
 _HINTS = ("  ", "\n ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
 #: Most chunks and characters that a worker remembers.
-MAX_CHUNKS, MAX_CHARS = 1_500_000, 40_000_000
+MAX_CHUNKS, MAX_CHARS = 800_000, 20_000_000
+#: Strings that the library encodes at once; it keeps much for each.
+LIBRARY_BATCH = 4096
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -113,9 +116,9 @@ def library_pieces(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndar
     tokenizer.no_padding()
 
     def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [x.ids for x in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        ids = [array("I", x.ids) for k in range(0, len(pieces), LIBRARY_BATCH) for x in tokenizer.encode_batch_fast(pieces[k : k + LIBRARY_BATCH], add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
+        return np.frombuffer(b"".join(ids), np.uint32), lengths
 
     return encode
 
