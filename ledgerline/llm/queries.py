@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_decode, bpe_encode
 from .common import scratch_path, written
 from .packing import best_fit_pack, encode_pieces
+from .pii import find_pii, pii_digest
 from .secrets import BASE_RULES, find_secrets
 from .spans import spelled
 from .token_files import ids_crc32, read_token_documents, write_token_blocks
@@ -44,6 +45,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(written(digests, "pieces"), ["doc_id", "piece", "ids_crc32"])
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every text: counts, base spans and all spans."""
+    return pii_digest(find_pii(_table(spark, sf_dir, "documents")))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every text: counts, and the spans of the base rules and of all rules."""
     found = find_secrets(_table(spark, sf_dir, "documents")).withColumn("base", F.filter("secrets", lambda m: m["order"] < len(BASE_RULES)))
@@ -51,5 +57,5 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(number(r[0]) for r in BASE_RULES), F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(F.col("secrets")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_roundtrip, op3_token_files, op5_best_fit_packing, op7_secret_scan)}
+QUERIES = {f.__name__: f for f in (op2_bpe_roundtrip, op3_token_files, op5_best_fit_packing, op6_pii, op7_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
