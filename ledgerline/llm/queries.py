@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
 from .common import scratch_path, written
+from .ngram_join import ngram_join
 from .packing import best_fit_pack, encode_pieces
 from .pii import find_pii, pii_digest
 from .secrets import BASE_RULES, find_secrets
@@ -19,6 +20,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose word 4-gram sets are at least 85 % alike."""
+    return ngram_join(_table(spark, sf_dir, "documents"), 4, 85)
+
+
 def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the text decoded from them, as digests."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,5 +63,5 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(number(r[0]) for r in BASE_RULES), F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(F.col("secrets")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_roundtrip, op3_token_files, op5_best_fit_packing, op6_pii, op7_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_bpe_roundtrip, op3_token_files, op5_best_fit_packing, op6_pii, op7_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
