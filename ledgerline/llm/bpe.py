@@ -13,9 +13,6 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from array import array
-from collections import defaultdict
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import gathered, list_array, small_batches
-from .tokenizing import encoded_batches, encoder, ranges
+from .tokenizing import PieceEncoder, encoded_batches, ranges, worker_encoder
 
 #: How this family of byte-level tokenizers splits a text into pieces.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PIECES = r" ?\p{L}+| ?\p{N}+|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Letters and numbers up to U+00FF; the standard library's faster expressions do for texts without others.
+LETTERS, NUMBERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc\u00bd\u00be"
 DOC_ID, TEXT = "doc_id", "text"
 
 
@@ -67,6 +66,7 @@ class PairIndexBpe:
         self.token_bytes = np.frombuffer(b"".join(spelled), np.uint8)
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.pieces = regex.compile(PIECES)
+        self.narrow = re.compile(rf" ?(?:[{LETTERS}]+|[{NUMBERS}]+)|'(?:[stmd]|re|ve|ll)| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair, or -1."""
@@ -134,26 +134,27 @@ class PairIndexBpe:
         kept = np.concatenate([[0], np.cumsum(symbol >= 0)])
         return symbol[symbol >= 0], kept[ends] - kept[ends - sizes]
 
-    def encode_strings(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and their number for each text, special tokens in it included."""
-        number = defaultdict(count().__next__)
-        at, item, sizes = number.__getitem__, array("q"), np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            was = len(item)
-            if self.split_special is None or not self.split_special.search(text):
-                item.extend(map(at, self.pieces.findall(text)))
-            else:
-                for k, part in enumerate(self.split_special.split(text)):
-                    item.extend([-1 - self.special[part]] if k % 2 else map(at, self.pieces.findall(part)))
-            sizes[i] = len(item) - was
-        flat, lengths = self.merge([x.encode() for x in number])
-        starts = np.concatenate([np.cumsum(lengths) - lengths, len(flat) + np.arange(self.size)])
-        flat, lengths = np.concatenate([flat, np.arange(self.size)]), np.concatenate([lengths, np.ones(self.size, np.int64)])
-        item = np.frombuffer(item, np.int64) if item else np.zeros(0, np.int64)
-        item = np.where(item < 0, len(number) - 1 - item, item)
-        sums = np.concatenate([[0], np.cumsum(lengths[item])])
-        ends = np.cumsum(sizes)
-        return flat[ranges(starts[item], lengths[item])], sums[ends] - sums[ends - sizes]
+    def split(self, text: str) -> list[str]:
+        """Pieces of a text in order; a special token in it is a piece of its own."""
+        if any(x in text for x in self.special):
+            parts = self.split_special.split(text)
+            return [x for k, part in enumerate(parts) for x in ([part] if k % 2 else self._plain(part))]
+        return self._plain(text)
+
+    def _plain(self, text: str) -> list[str]:
+        try:
+            narrow = (text.isascii() or text.encode("latin-1")) and not any(x in text for x in "\x1c\x1d\x1e\x1f")
+        except UnicodeEncodeError:
+            narrow = False
+        return (self.narrow if narrow else self.pieces).findall(text)
+
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and their number for each piece."""
+        flat, lengths = self.merge([b"" if x in self.special else x.encode() for x in pieces])
+        for i, x in enumerate(pieces):
+            if x in self.special:
+                flat, lengths[i] = np.insert(flat, int(lengths[:i].sum()), self.special[x]), 1
+        return flat, lengths
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """Texts of the id lists between the offsets; bytes that aren't UTF-8 become U+FFFD."""
@@ -172,9 +173,8 @@ def model(path: str) -> PairIndexBpe:
     return _MODELS[path]
 
 
-def text_pieces(path: str):
-    """What ``ChunkEncoder`` needs to encode strings by this operator."""
-    return model(path).encode_strings
+def pair_index_encoder(path: str) -> PieceEncoder:
+    return PieceEncoder(model(path).split, model(path).encode_pieces)
 
 
 def bpe_encode(df: DataFrame, path: str) -> DataFrame:
@@ -186,7 +186,7 @@ def bpe_encode(df: DataFrame, path: str) -> DataFrame:
     small_batches(df.sparkSession)
 
     def run(batches):
-        enc = encoder("pair index", path, True, text_pieces)
+        enc = worker_encoder(pair_index_encoder, path)
         for table, ids, offsets in encoded_batches(batches, TEXT, enc):
             yield pa.RecordBatch.from_arrays([table.column(DOC_ID).combine_chunks(), list_array(ids.astype(np.int32), offsets, pa.int32())], [DOC_ID, "ids"])
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 #: Bytes of text that a Python worker handles at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

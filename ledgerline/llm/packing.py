@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import text_pieces
+from .bpe import pair_index_encoder
 from .common import list_array, small_batches
-from .tokenizing import encoded_batches, encoder, ranges
+from .tokenizing import encoded_batches, ranges, worker_encoder
 
 CAPACITY = 2048
 #: The items of each length are numbered in shares, so that a frequent length isn't one task's work: so many at least, and more for more items than SHARE_ROWS in each.
@@ -115,7 +115,7 @@ def encode_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int = CA
     small_batches(df.sparkSession)
 
     def run(batches):
-        enc = encoder("pair index", tokenizer, True, text_pieces)
+        enc = worker_encoder(pair_index_encoder, tokenizer)
         for table, ids, offsets in encoded_batches(batches, "text", enc):
             sizes = np.diff(offsets) + 1
             ends = np.cumsum(sizes)

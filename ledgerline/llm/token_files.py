@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.taskcontext import TaskContext
 
 from .common import small_batches
-from .tokenizing import encoded_batches, encoder, library_pieces, ranges
+from .tokenizing import encoded_batches, library_encoder, ranges, worker_encoder
 
 BLOCK_IDS = 1 << 16
 BLOCKS = T.StructType(
@@ -71,7 +71,7 @@ def write_token_blocks(df: DataFrame, tokenizer: str, vocabulary: int, end_id: i
 
     def run(batches):
         shard, block = TaskContext.get().partitionId(), 0
-        enc = encoder("library", tokenizer, False, library_pieces)
+        enc = worker_encoder(library_encoder, tokenizer)
         for table, ids, offsets in encoded_batches(batches, "text", enc):
             lengths = np.diff(offsets) + 1
             ends = np.cumsum(lengths)

@@ -1,14 +1,13 @@
-"""Encoding whole texts with a tokenizer file, one distinct space-delimited chunk at a time.
+"""Encoding whole texts with a tokenizer file, each distinct piece of text once per worker.
 
-Texts repeat their words, and both public tokenizers used here never let a
-token cross a single space that stands between two other characters. So a text
-is cut at its spaces, each distinct chunk is encoded once per worker, and the
-ids of a text are gathered with numpy.
+Texts repeat their words. A text is cut into pieces that the tokenizer encodes
+alike wherever they stand; each distinct piece is encoded once, remembered
+within bounds, and the ids of a text are gathered with numpy.
 """
 
 from __future__ import annotations
 
-import re
+import os
 from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -16,18 +15,11 @@ from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from .common import gathered, list_array, small_batches
-
-#: A space inside a run of white space, or at the end of one that ends the text: such texts are encoded whole.
-_INNER_SPACE = re.compile(r"\s (?:\s|\Z)")
-#: An ASCII text without these has no such space, unless at its end.
-_HINTS = ("  ", "\n ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
-#: Most chunks and characters that a worker remembers.
-MAX_CHUNKS, MAX_CHARS = 800_000, 20_000_000
+
+from .common import gathered
+
+#: Most pieces and characters that a worker remembers.
+MAX_PIECES, MAX_CHARS = 500_000, 12_000_000
 #: Strings that the library encodes at once; it keeps much for each.
 LIBRARY_BATCH = 4096
 
@@ -40,74 +32,76 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1]) + np.repeat(starts - (ends - lengths), lengths)
 
 
-class ChunkEncoder:
-    """Encodes lists of texts through ``encode_pieces``, which maps strings to flat ids and lengths.
-
-    ``leading_space``: whether the space before a chunk belongs to the chunk's tokens.
-    """
+class PieceEncoder:
+    """``split`` cuts a text into pieces, ``encode_pieces`` maps pieces to flat ids and a number for each."""
 
-    def __init__(self, encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], leading_space: bool):
-        self.encode_pieces, self.leading_space = encode_pieces, leading_space
+    def __init__(self, split: Callable[[str], list[str]], encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.split, self.encode_pieces = split, encode_pieces
         self.forget()
 
     def forget(self) -> None:
         self.index: defaultdict[str, int] = defaultdict(count().__next__)
         self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.chars = 0
-
-    def chunks(self, text: str) -> list[str]:
-        """Keys of a text's chunks; one that starts with a space has no space before it in the text."""
-        if not text:
-            return []
-        if not self.leading_space:
-            return self._words(text)
-        if (text[-1] == " " or not text.isascii() or any(x in text for x in _HINTS)) and _INNER_SPACE.search(text):
-            return [" " + text]
-        parts = text.split(" ")
-        parts[0] = " " + parts[0]
-        return parts if len(parts[0]) > 1 else parts[1:]
-
-    @staticmethod
-    def _words(text: str) -> list[str]:
-        """For tokenizers that fold case and drop white space: up to U+00FF both can be done here without another result."""
-        try:
-            plain = text.isascii() or text.encode("latin-1")
-        except UnicodeEncodeError:
-            plain = False
-        if not plain or "<|" in text or any(x in text for x in "\x1c\x1d\x1e\x1f"):
-            return [x for x in text.split(" ") if x]
-        return text.lower().split()
+        self.hits, self.chars = np.zeros(0, np.int64), 0
+
+    def trim(self) -> None:
+        """Forgets the pieces met least often, until half of what may be remembered is left at most."""
+        keys, least = list(self.index), 2
+        while (kept := np.flatnonzero(self.hits >= least)).size > MAX_PIECES // 2:
+            least *= 2
+        keys = [keys[i] for i in kept.tolist()]
+        starts, lengths = self.starts[kept], self.lengths[kept]
+        self.index = defaultdict(count(len(keys)).__next__, zip(keys, range(len(keys))))
+        self.flat, self.starts, self.lengths = self.flat[ranges(starts, lengths)], np.cumsum(lengths) - lengths, lengths
+        self.hits, self.chars = self.hits[kept] // least, sum(map(len, keys))
+        if self.chars > MAX_CHARS // 2:
+            self.forget()
 
     def learn(self) -> None:
-        known = len(self.starts)
-        fresh = list(islice(self.index, known, None))
+        fresh = list(islice(self.index, len(self.starts), None))
         if not fresh:
             return
         self.chars += sum(map(len, fresh))
-        if self.leading_space:
-            fresh = [x[1:] if x.startswith(" ") else " " + x for x in fresh]
         flat, lengths = self.encode_pieces(fresh)
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of all texts and the offset at which each text's ids begin (and the end)."""
-        if len(self.index) > MAX_CHUNKS or self.chars > MAX_CHARS:
-            self.forget()
+        """Flat ids of all texts and the offset at which each text's ids begin (and the end); a null text has none."""
+        if len(self.index) > MAX_PIECES or self.chars > MAX_CHARS:
+            self.trim()
         at = self.index.__getitem__
-        found = [np.fromiter(map(at, c), np.int64, len(c)) for c in (self.chunks(x or "") for x in texts)]
+        found, sizes = array("q"), np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            was = len(found)
+            if text:
+                found.extend(map(at, self.split(text)))
+            sizes[i] = len(found) - was
         self.learn()
-        offsets = np.zeros(len(texts) + 1, np.int64)
-        np.cumsum([self.lengths[x].sum() for x in found], out=offsets[1:])
-        x = np.concatenate([np.zeros(0, np.int64), *found])
-        return self.flat[ranges(self.starts[x], self.lengths[x])], offsets
+        x = np.frombuffer(found, np.int64) if found else np.zeros(0, np.int64)
+        self.hits = np.bincount(x, minlength=len(self.starts)) + np.pad(self.hits, (0, len(self.starts) - len(self.hits)))
+        sums = np.r_[0, np.cumsum(self.lengths[x])]
+        return self.flat[ranges(self.starts[x], self.lengths[x])], sums[np.r_[0, np.cumsum(sizes)]]
 
 
-def library_pieces(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
-    """``encode_pieces`` by the tokenizers library."""
-    import os
+def folded_words(text: str) -> list[str]:
+    """Chunks between spaces, for tokenizers that fold case and drop white space.
+
+    No token of theirs crosses a space. Up to U+00FF case and white space can
+    be dealt with here without another result.
+    """
+    try:
+        plain = text.isascii() or text.encode("latin-1")
+    except UnicodeEncodeError:
+        plain = False
+    if not plain or "<|" in text or any(x in text for x in "\x1c\x1d\x1e\x1f"):
+        return [x for x in text.split(" ") if x]
+    return text.lower().split()
 
+
+def library_encoder(path: str) -> PieceEncoder:
+    """An encoder by the tokenizers library, for a tokenizer file that folds case and drops white space."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -117,41 +111,23 @@ def library_pieces(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndar
 
     def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [array("I", x.ids) for k in range(0, len(pieces), LIBRARY_BATCH) for x in tokenizer.encode_batch_fast(pieces[k : k + LIBRARY_BATCH], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.frombuffer(b"".join(ids), np.uint32), lengths
+        return np.frombuffer(b"".join(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
 
-    return encode
+    return PieceEncoder(folded_words, encode)
 
 
-_ENCODERS: dict[tuple, ChunkEncoder] = {}
+_ENCODERS: dict[tuple, PieceEncoder] = {}
 
 
-def encoder(kind: str, path: str, leading_space: bool, make: Callable) -> ChunkEncoder:
+def worker_encoder(make: Callable[[str], PieceEncoder], path: str) -> PieceEncoder:
     """This worker's encoder; it outlives a task."""
-    key = (kind, path, leading_space)
+    key = (make.__module__, make.__name__, path)
     if key not in _ENCODERS:
-        _ENCODERS[key] = ChunkEncoder(make(path), leading_space)
+        _ENCODERS[key] = make(path)
     return _ENCODERS[key]
 
 
-def encoded_batches(batches: Iterator[pa.RecordBatch], text: str, enc: ChunkEncoder) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+def encoded_batches(batches: Iterator[pa.RecordBatch], text: str, enc: PieceEncoder) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
     for table in gathered(batches, text):
         ids, offsets = enc.encode(table.column(text).to_pylist())
         yield table, ids, offsets
-
-
-def encode_with_library(df: DataFrame, path: str, leading_space: bool, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``ids`` (array of int) of every text by the tokenizers library; a null text has no ids.
-
-    Other columns of ``df`` are left out; repeated keys stay as rows of their own.
-    """
-    small_batches(df.sparkSession)
-
-    def run(batches):
-        enc = encoder("library", path, leading_space, library_pieces)
-        for table, ids, offsets in encoded_batches(batches, "text", enc):
-            yield pa.RecordBatch.from_arrays([table.column("key").combine_chunks(), list_array(ids.astype(np.int32), offsets, pa.int32())], ["key", "ids"])
-
-    kind = df.schema[key].dataType
-    out = T.StructType([T.StructField("key", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, out).withColumnRenamed("key", key)
