@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
 from .common import scratch_path, written
+from .language import identify_language
+from .language import train as train_network
 from .ngram_join import ngram_join
 from .packing import best_fit_pack, encode_pieces
 from .pii import find_pii, pii_digest
+from .quality import quality_rules
 from .secrets import BASE_RULES, find_secrets
 from .spans import spelled
 from .token_files import ids_crc32, read_token_documents, write_token_blocks
@@ -63,5 +66,19 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(number(r[0]) for r in BASE_RULES), F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(F.col("secrets")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_bpe_roundtrip, op3_token_files, op5_best_fit_packing, op6_pii, op7_secret_scan)}
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages by a network that learns from three quarters of the documents."""
+    docs = _table(spark, sf_dir, "documents")
+    part = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
+    network = train_network(docs.where(part != 2).select("doc_id", "text", "lang"))
+    return identify_language(docs, network).withColumn("held_out", F.coalesce(part == 2, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict on every text."""
+    judged = quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_bpe_roundtrip, op3_token_files, op5_best_fit_packing, op6_pii, op7_secret_scan, op8_language, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
