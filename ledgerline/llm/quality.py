@@ -179,19 +179,20 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], np.nda
     """Line features and marks of TRAINING_DOCS labelled documents of each class, chosen by a hash of their id."""
     marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").alias("mark")).distinct()
     chosen = [marked.where(F.col("mark") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_DOCS) for c in (0, 1)]
-    picked = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # 2 * TRAINING_DOCS rows
+    ids = F.broadcast(chosen[0].union(chosen[1]))  # 2 * TRAINING_DOCS rows
+    picked = docs.select("doc_id", "text").where("text is not null").join(ids, "doc_id").select(F.xxhash64("doc_id").alias("h"), "text", "mark")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc_id, text, mark in zip(*(b.column(k).to_pylist() for k in range(3))):
+            for h, text, mark in zip(*(b.column(k).to_pylist() for k in range(3))):
                 lines = text.encode().split(b"\n")
                 features = line_features(lines, repeated_lines(lines))
-                first = int(hash(doc_id) * 2654435761 % max(1, len(lines) - TRAINING_LINES + 1))
+                first = h % max(1, len(lines) - TRAINING_LINES + 1)
                 part = features[first : first + TRAINING_LINES].astype(np.int16)
-                yield pa.RecordBatch.from_arrays([pa.array([hash(doc_id)], pa.int64()), pa.array([mark], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["doc_id", "mark", "lines"])
+                yield pa.RecordBatch.from_arrays([pa.array([h], pa.int64()), pa.array([mark], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["h", "mark", "lines"])
 
-    rows = picked.mapInArrow(run, "doc_id long, mark int, lines binary").collect()  # so many rows, of TRAINING_LINES lines each
-    rows.sort(key=lambda r: (r["doc_id"], r["mark"], bytes(r["lines"])))
+    rows = picked.mapInArrow(run, "h long, mark int, lines binary").collect()  # so many rows, of TRAINING_LINES lines each
+    rows.sort(key=lambda r: (r["h"], r["mark"], bytes(r["lines"])))
     width = line_features([b""], np.zeros(1, bool)).shape[1]
     return [np.frombuffer(r["lines"], np.int16).reshape(-1, width).astype(np.int64) for r in rows], np.array([r["mark"] for r in rows], np.int64)
 

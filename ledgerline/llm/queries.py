@@ -10,6 +10,7 @@ from .bpe import bpe_decode, bpe_encode
 from .common import scratch_path, written
 from .language import identify_language
 from .language import train as train_network
+from .neighbours import nearest_neighbours
 from .ngram_join import ngram_join
 from .packing import best_fit_pack, encode_pieces
 from .pii import find_pii, pii_digest
@@ -74,11 +75,16 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(docs, network).withColumn("held_out", F.coalesce(part == 2, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for each twentieth one."""
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), 20, 20)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict on every text."""
     judged = quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_bpe_roundtrip, op3_token_files, op5_best_fit_packing, op6_pii, op7_secret_scan, op8_language, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_bpe_roundtrip, op3_token_files, op5_best_fit_packing, op6_pii, op7_secret_scan, op8_language, op9_neighbours, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
