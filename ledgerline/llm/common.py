@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN: dict[str, str] = {}
 #: Bytes of text that a Python worker handles at once.
 BATCH_BYTES = 4 << 20
@@ -35,7 +36,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as a table in the shared folder and read again, which cuts its lineage."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # what this query shuffled isn't needed once the table is there
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -24,7 +24,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,8 +33,11 @@ from .components import components
 
 #: A shingle is frequent above so many documents; of frequent ones, so many at most are known to every task (16 bytes each).
 FREQUENT, MOST_FREQUENT = 16, 1 << 21
-#: Longest lengthening of a prefix, and the candidate cost that each further doubling starts from.
-MOST_MATCHES, COST_UNIT = 4, 64
+#: Expected candidates for which a prefix is lengthened by one (an unknown shingle counts as one), and the share of
+#: a prefix that the lengthening is at most.
+COST_UNIT, MOST_LENGTHENED = 8, 3
+#: In rounds with leaders, so many of the shorter prefix's shingles must name the leader; the last round has no such rule.
+LEADER_SHARE = 4
 #: Rounds with leaders before all pairs that are left.
 LEADER_ROUNDS = 2
 #: Bits of the map that tells which documents are to be compared.
@@ -86,10 +89,10 @@ def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
         if size >= n:
             out.append(np.unique(rolled[at : at + size - n + 1]))
         elif size:
-            x = np.uint64(size)
-            for v in h[at : at + size]:
-                x = np.multiply(x, _K) + v
-            out.append(_mixed(np.array([x], np.uint64)))
+            x = np.array([size], np.uint64)
+            for k in range(at, at + size):
+                x = x * _K + h[k : k + 1]
+            out.append(_mixed(x))
         else:
             out.append(np.zeros(0, np.uint64))
         at += size
@@ -147,12 +150,11 @@ def _prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 at = np.searchsorted(known, s)
                 at[at == len(known)] = 0
                 hot = known[at] == s if len(known) else np.zeros(len(s), bool)
-                cost = np.where(hot, times[at], 0) if len(known) else np.zeros(len(s), np.int64)
+                cost = np.where(hot, times[at], 1) if len(known) else np.ones(len(s), np.int64)
                 order = np.argsort(hot, kind="stable")  # by hash within each
                 short = prefix_length(len(s), percent)
                 spent = int(cost[order[:short]].sum())
-                most = min(MOST_MATCHES, -(-percent * len(s) // 100))
-                m = max(1, min(most, 1 + int(np.log2(1 + spent / COST_UNIT))))
+                m = min(1 + spent // COST_UNIT, 1 + short // MOST_LENGTHENED, -(-percent * len(s) // 100))
                 matches.append(m)
                 prefixes.append(s[order[: short + m - 1]])
             offsets = np.r_[0, np.cumsum([len(p) for p in prefixes])]
@@ -196,8 +198,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
                 sets = [s for s in shingle_sets(texts, n) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
 
-    picked = docs.where(F.col("doc_id").isNotNull()).select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS)).alias("h"), "text").mapInArrow(run, "node long, shingles binary")
-    return picked.dropDuplicates(["node"])
+    return docs.where(F.col("doc_id").isNotNull()).select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS)).alias("h"), "text").mapInArrow(run, "node long, shingles binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -224,6 +225,31 @@ def _alike(percent: int):
     return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
 
 
+def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    names = [c for c in rows.columns if c != "shingle"]
+    return tuple(rows.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in names)) for s in "ab")
+
+
+def _led(postings: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (``a``, ``b``) of each node with the leaders of its shingles, if several shingles name the same."""
+    leader = F.min_by(F.struct("node", "n", "label", "reach"), F.xxhash64("node", F.lit(turn))).alias("f")
+    led = postings.groupBy("shingle").agg(leader, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    left, _ = _sides(postings)
+    met = left.join(led.select("shingle", *(F.col(f"f.{c}").alias(f"{c}_b") for c in ("node", "n", "label", "reach"))), "shingle")
+    met = met.where((F.col("label_a") != F.col("label_b")) & _alike(percent))
+    least = (F.least("reach_a", "reach_b") / LEADER_SHARE).alias("least")
+    return met.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), least).agg(F.count("*").alias("shared")).where("shared >= least").select("a", "b").distinct()
+
+
+def _rest(postings: DataFrame, percent: int) -> DataFrame:
+    """All pairs not known to be connected that share as many prefix shingles as the shorter lengthening asks for."""
+    mixed = postings.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle")
+    left, right = _sides(written(postings.join(mixed, "shingle").drop("reach"), "open-postings"))
+    met = left.join(right, "shingle").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & _alike(percent))
+    needs = F.least("matches_a", "matches_b").alias("needs")
+    return met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), needs).agg(F.count("*").alias("shared")).where("shared >= needs").select("a", "b")
+
+
 def ngram_join(df: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` (the smallest doc_id that links reach) of every row.
 
@@ -239,33 +265,20 @@ def ngram_join(df: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     all_docs = written(_prefixes(docs, n, percent), "prefixes")
     members = all_docs.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
     nodes = written(members.groupBy("node").agg(F.min("doc_id").alias("first")), "nodes")
-    rows = members.select("node", F.col("n_shingles").alias("n"), "matches", F.explode("prefix").alias("shingle"))
-    lists = rows.groupBy("shingle", "node", "n", "matches").agg(F.lit(1).alias("one")).drop("one")
-    shared = lists.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1").select("shingle")
-    postings = written(lists.join(shared, "shingle"), "postings")
-    busy = nodes.join(postings.select("node").distinct(), "node").select(F.col("first").alias("doc_id"))
-    sets = written(_sets_of(docs, busy, n), "shingle-sets")
-    links = None
-    labels = None
-    tried = None
+    firsts = members.join(nodes.withColumnRenamed("first", "doc_id"), ["node", "doc_id"])  # of equal sets, one document
+    rows = firsts.select("node", F.col("n_shingles").alias("n"), "matches", F.size("prefix").alias("reach"), F.explode("prefix").alias("shingle"))
+    df_of = Window.partitionBy("shingle")
+    postings = written(rows.withColumn("df", F.count("*").over(df_of)).where("df > 1").drop("df"), "postings")
+    links = labels = sets = None
     for k in range(LEADER_ROUNDS + 1):
         labelled = postings.withColumn("label", F.col("node")) if labels is None else postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        side = lambda s: labelled.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "matches", "label")))  # noqa: B023, E731
-        if k < LEADER_ROUNDS:
-            first = labelled.groupBy("shingle").agg(F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", F.lit(k))).alias("f"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-            met = side("a").join(first.select("shingle", F.col("f.node").alias("node_b"), F.col("f.n").alias("n_b"), F.col("f.label").alias("label_b")), "shingle")
-            pairs = met.where((F.col("label_a") != F.col("label_b")) & _alike(percent)).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-        else:
-            mixed = labelled.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle")
-            open_rows = written(labelled.join(mixed, "shingle"), "open-postings")
-            side = lambda s: open_rows.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "matches", "label")))  # noqa: B023, E731
-            met = side("a").join(side("b"), "shingle").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & _alike(percent))
-            pairs = met.groupBy("node_a", "node_b", F.least("matches_a", "matches_b").alias("needs")).agg(F.count("*").alias("shared")).where("shared >= needs")
-            pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = _led(labelled, k, percent) if k < LEADER_ROUNDS else _rest(labelled, percent)
         pairs = written(pairs, "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        if sets is not None:
+            ends = ends.join(sets.select("node"), "node", "left_anti")
+        fresh = written(_sets_of(docs, nodes.join(ends, "node").select(F.col("first").alias("doc_id")), n), "shingle-sets")
+        sets = fresh if sets is None else sets.union(fresh)
         found = written(_verified(pairs, sets, percent), "similar")
         links = found if links is None else links.union(found)
         labels = components(links, None if k == LEADER_ROUNDS else 3)
