@@ -10,6 +10,7 @@ from .bpe import bpe_decode, bpe_encode
 from .common import scratch_path, written
 from .language import identify_language
 from .language import train as train_network
+from .line_templates import drop_templates
 from .neighbours import nearest_neighbours
 from .ngram_join import ngram_join
 from .packing import best_fit_pack, encode_pieces
@@ -48,6 +49,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids_crc32(read_token_documents(spark, path), ["doc_id", "start"])
 
 
+def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines without those of recurring templates, as counts and a digest."""
+    rows = drop_templates(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' token pieces, packed."""
     pieces = encode_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0)
@@ -86,5 +93,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_bpe_roundtrip, op3_token_files, op5_best_fit_packing, op6_pii, op7_secret_scan, op8_language, op9_neighbours, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_bpe_roundtrip, op3_token_files, op4_line_templates, op5_best_fit_packing, op6_pii, op7_secret_scan, op8_language, op9_neighbours, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
