@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "drift_end_to_end"
+from ledgerline.jobs import reconcile, timeline
+
+QUERIES = {**reconcile.QUERIES, **timeline.QUERIES}
+ORACLE_SQL = {**reconcile.ORACLE_SQL, **timeline.ORACLE_SQL}
+FLAGSHIP = "route_end_state"

@@ -1,0 +1,10 @@
+"""Table schemas of the reconciliation engine; nothing is inferred."""
+
+from __future__ import annotations
+
+from pyspark.sql import types as T
+
+CLAIMS = T.StructType.fromDDL("fact_key string, symbol_key string, aspect string, author string, path string, value string, confidence double")
+CODE_FACTS = T.StructType.fromDDL("seq long, path string, symbol_key string, aspect string, value string, line_start int, line_end int")
+DOC_CLAIMS = T.StructType.fromDDL("seq long, path string, symbol_key string, aspect string, value string, confidence double, rationale string")
+SOURCES = T.StructType.fromDDL("seq long, path string, content string")
