@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerline.jobs import reconcile, timeline
+from ledgerline.jobs import reconcile, scalar_jobs, timeline
 
-QUERIES = {**reconcile.QUERIES, **timeline.QUERIES}
-ORACLE_SQL = {**reconcile.ORACLE_SQL, **timeline.ORACLE_SQL}
+QUERIES = {**reconcile.QUERIES, **timeline.QUERIES, **scalar_jobs.QUERIES}
+ORACLE_SQL = {**reconcile.ORACLE_SQL, **timeline.ORACLE_SQL, **scalar_jobs.ORACLE_SQL}
 FLAGSHIP = "route_end_state"
