@@ -26,6 +26,8 @@ NEIGHBOURS, REVERSE, INTRODUCED = 32, 16, 8
 TREES, BUCKET, DESCENTS = 6, 200, 3
 #: Best nodes that a search keeps, nodes that it visits in a round, most rounds.
 BEAM, VISITS, SEARCHES = 256, 128, 4
+#: Longest vectors, from which every search starts besides: they are near to many.
+ENTRIES = 64
 #: Vectors of a block about.
 BLOCK = 2048
 
@@ -185,13 +187,15 @@ def _scored(asked: DataFrame, blocks: DataFrame, dims: int) -> DataFrame:
     return asked.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(run, "query long, ids array<long>, scores array<double>")
 
 
-def graph_search(queries: DataFrame, graph: DataFrame, blocks: DataFrame, dims: int) -> DataFrame:
+def graph_search(queries: DataFrame, graph: DataFrame, blocks: DataFrame, dims: int, entries: list[int]) -> DataFrame:
     """``query``, ``ids`` and ``scores`` of the BEAM best nodes that a greedy search meets.
 
     ``queries`` has ``query``, ``node`` (where it starts) and ``vector``; ``blocks``
-    has ``node``, ``block``, ``vector``. A query's own node is among the results.
+    has ``node``, ``block``, ``vector``. Every search also starts from the few
+    ``entries``. A query's own node is among the results.
     """
-    start = queries.join(graph, "node", "left").select("query", F.coalesce(F.array_append("ids", F.col("node")), F.array("node")).alias("new"))
+    everywhere = F.array(*map(F.lit, entries)).cast("array<long>")
+    start = queries.join(graph, "node", "left").select("query", F.array_union(F.coalesce(F.array_append("ids", F.col("node")), F.array("node")), everywhere).alias("new"))
     pools = queries.select("query", F.array().cast("array<long>").alias("ids"), F.array().cast("array<double>").alias("scores"), F.array().cast("array<long>").alias("visited"))
     homes = queries.select("query", "vector")
 
@@ -262,7 +266,8 @@ def nearest_neighbours(df: DataFrame, every: int = 20, k: int = 20) -> DataFrame
     ranked = rows.where(F.size("e") == dims).withColumn("place", F.row_number().over(Window.partitionBy("e").orderBy("vec_id")))
     classes = written(ranked.where(F.col("place") <= k + 1), "vector-classes")  # enough copies of each vector for any result
     first = classes.where("place = 1")
-    n, longest = first.agg(F.count("*"), F.max(F.aggregate("e", F.lit(0.0), lambda a, x: a + x.cast("double") * x))).first()
+    norm = F.aggregate("e", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    n, longest = first.agg(F.count("*"), F.max(norm)).first()
     parts = max(1, -(-n // BLOCK))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +285,8 @@ def nearest_neighbours(df: DataFrame, every: int = 20, k: int = 20) -> DataFrame
     graph = neighbour_graph(nodes, n, dims + 5)
     own = rows.where((F.size("e") == dims) & (F.col("vec_id") % every == 0)).join(first.select("e", F.col("vec_id").alias("node")), "e")
     queries = written(own.select(F.col("vec_id").alias("query"), "node").join(nodes.select("node", "vector"), "node").select("query", "node", "vector"), "queries")
-    found = graph_search(queries, graph, nodes.select("node", "block", "vector"), dims)
+    entries = [r[0] for r in first.orderBy(F.desc(norm), "vec_id").limit(ENTRIES).select("vec_id").collect()]
+    found = graph_search(queries, graph, nodes.select("node", "block", "vector"), dims, entries)
     near = found.select(F.col("query").alias("query_id"), F.posexplode(F.slice(F.arrays_zip("ids", "scores"), 1, k + 1)).alias("at", "hit")).select("query_id", F.col("hit.ids").alias("node"), F.col("hit.scores").alias("score"))
     members = classes.join(first.select("e", F.col("vec_id").alias("node")), "e").select("node", "vec_id")
     hits = near.join(members, "node").where(F.col("vec_id") != F.col("query_id"))
