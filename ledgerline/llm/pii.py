@@ -25,10 +25,10 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = "context"
-#: A token with a digit, and in it the part without punctuation around.
-TOKEN = rf"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+"
+#: A token with a digit or an at sign, and in it the part without punctuation around.
+TOKEN = rf"(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
 CORE = r"[A-Za-z0-9](?:.*[A-Za-z0-9])?"
-#: An identifier has so many characters and digits at least.
+#: An identifier that no base match covers has so many characters and digits at least.
 LEAST_CHARS, LEAST_DIGITS = 6, 4
 #: Longest context word kept; longer words are cut from the left.
 CONTEXT_CHARS = 40
@@ -85,10 +85,13 @@ def _instances(tokens: Column, base: Column) -> Column:
             (begin + F.length(core)).alias("end"),
             F.lower(F.right(space, F.lit(CONTEXT_CHARS))).alias("pattern"),
             F.lower(core).alias("instance"),
-            F.exists(base, lambda m: (m["start"] < s["end"]) & (s["start"] < m["end"])).alias("seed"),
+            seed(s).alias("seed"),
         )
 
-    kept = F.filter(tokens, lambda s: (F.length(F.regexp_extract(s["value"], CORE, 0)) >= LEAST_CHARS) & (F.length(digits(s["value"])) >= LEAST_DIGITS))
+    def seed(s: Column) -> Column:
+        return F.exists(base, lambda m: (m["start"] < s["end"]) & (s["start"] < m["end"]))
+
+    kept = F.filter(tokens, lambda s: seed(s) | ((F.length(F.regexp_extract(s["value"], CORE, 0)) >= LEAST_CHARS) & (F.length(digits(s["value"])) >= LEAST_DIGITS)))
     return F.transform(kept, one)
 
 
@@ -119,7 +122,7 @@ def find_pii(df: DataFrame) -> DataFrame:
     docs = df.select("doc_id", row_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     spans = base_spans(F.col("text"))
     based = docs.select("doc_id", "key", "text", F.concat(*(marks(spans[k], k, i) for i, k in enumerate(KINDS))).alias("base"))
-    tokens = located(F.col("text"), TOKEN, F.col("text").rlike("[0-9]"))
+    tokens = located(F.col("text"), TOKEN, F.col("text").rlike("[0-9@]"))
     found = written(based.select("doc_id", "key", "base", _instances(tokens, F.col("base")).alias("tokens")), "pii-base")
     seen = found.where(F.size("tokens") > 0).select("key", F.explode("tokens").alias("t")).select("key", "t.*").where("pattern <> ''")
     edges = written(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-graph")
