@@ -9,6 +9,7 @@ from ledgerline.jobs import corpora
 from ledgerline.jobs.corpora import COMMITS_SQL, HISTORY_SQL
 from ledgerline.operators import history as H
 from ledgerline.operators.ordering import dense_number
+from ledgerline.streaming.live import closed_windows, run_available
 
 AT = "2024-01-20 00:00:00"
 
@@ -66,6 +67,19 @@ def out_of_order_rows(spark, sf_dir):
     return H.out_of_order(orders).select("key", "tie")
 
 
+def l1_stream(spark, sf_dir):
+    """Windows that a stream of the events closes."""
+    table = corpora.table(spark, sf_dir, "events")
+    reader = spark.readStream.schema(table.schema)
+    if all(f.endswith("/events.parquet") for f in table.inputFiles()):  # a stream reads folders: pick the one file by name
+        events = reader.option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
+    else:
+        events = reader.parquet(f"{sf_dir}/events.parquet")
+    value = F.when(F.col("event_id") % 17 != 0, F.col("event_type"))
+    facts = events.select(F.col("user_id").alias("key"), value.alias("value"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("tie"))
+    return run_available(closed_windows(facts), "windows").select("key", "value", *_text("valid_from", "valid_to"))
+
+
 def clock_clamp(spark, sf_dir):
     return H.clamp_clock(corpora.commits(spark, sf_dir), "seq", "micros").select("seq", "micros", "clamped")
 
@@ -118,7 +132,7 @@ def lineage_added_removed(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (l1_supersede, l1_withdraw, l1_as_of, l1_as_of_many, l1_current, l1_changed_fields, out_of_order_rows, clock_clamp, since_snapshot, resume_after, changed_paths, commit_totals, removed_symbols, lineage_added_removed)
+    for f in (l1_supersede, l1_withdraw, l1_as_of, l1_as_of_many, l1_current, l1_changed_fields, l1_stream, out_of_order_rows, clock_clamp, since_snapshot, resume_after, changed_paths, commit_totals, removed_symbols, lineage_added_removed)
 }
 _T = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}"
 _CLAMP = COMMITS_SQL + """,
@@ -133,6 +147,7 @@ ORACLE_SQL = {
       SELECT ask_id, key, (SELECT arg_max(value, (f.moment, f.tie)) FROM facts f WHERE f.key = asked.key AND f.moment <= asked.moment AND f.value IS NOT NULL) AS value FROM asked""",
     "l1_current": "SELECT key, value FROM (SELECT user_id AS key, CASE WHEN event_id % 17 = 0 THEN NULL ELSE event_type END AS value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 AND value IS NOT NULL",
     "l1_changed_fields": f"WITH {HISTORY_SQL} SELECT coalesce(value, '(none)') AS value, CAST(count(*) FILTER (value IS DISTINCT FROM before) AS BIGINT) AS changed, CAST(count(*) FILTER (value IS NOT DISTINCT FROM before) AS BIGINT) AS repeated FROM stated GROUP BY ALL",
+    "l1_stream": f"WITH {HISTORY_SQL} SELECT key, value, {_T.format('valid_from')}, {_T.format('valid_to')} FROM history WHERE valid_to IS NOT NULL",
     "out_of_order_rows": "SELECT key, tie FROM (SELECT o_custkey AS key, o_orderkey AS tie, o_orderdate, max(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM orders) WHERE o_orderdate < newest",
     "clock_clamp": f"WITH {_CLAMP} SELECT seq, micros, clamped FROM clock",
     "since_snapshot": f"WITH {_CLAMP}, kept AS (SELECT seq FROM clock WHERE clamped >= (SELECT min(clamped) + (max(clamped) - min(clamped)) // 2 FROM clock)) SELECT seq, CASE WHEN seq = (SELECT min(seq) FROM kept) THEN 'snapshot' ELSE 'changes' END AS mode FROM kept",
