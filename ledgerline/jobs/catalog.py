@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerline.jobs import engine, reconcile, scalar_jobs, timeline
+from ledgerline.jobs import engine, evaluation, reconcile, scalar_jobs, timeline
 
-QUERIES = {**reconcile.QUERIES, **timeline.QUERIES, **scalar_jobs.QUERIES, **engine.QUERIES}
-ORACLE_SQL = {**reconcile.ORACLE_SQL, **timeline.ORACLE_SQL, **scalar_jobs.ORACLE_SQL, **engine.ORACLE_SQL}
+QUERIES = {**reconcile.QUERIES, **timeline.QUERIES, **scalar_jobs.QUERIES, **engine.QUERIES, **evaluation.QUERIES}
+ORACLE_SQL = {**reconcile.ORACLE_SQL, **timeline.ORACLE_SQL, **scalar_jobs.ORACLE_SQL, **engine.ORACLE_SQL, **evaluation.ORACLE_SQL}
 FLAGSHIP = "drift_end_to_end"

@@ -36,13 +36,25 @@ def extract_doc_claims(spark, sf_dir):
     return doc_claims(read_definitions(sources(spark, sf_dir).where("seq = 1"))).select("path", "symbol_key", "aspect", "value", "confidence")
 
 
-def drift_end_to_end(spark, sf_dir):
-    """Sources to slots: definitions, facts and claims, then the fold of each symbol's commits."""
-    found = read_definitions(sources(spark, sf_dir))
+def events(found: DataFrame) -> DataFrame:
+    """What each commit says of each symbol, from definitions: a row with its fields and claims."""
     facts = code_facts(found).where("aspect <> 'kind'").groupBy("seq", "symbol_key").agg(F.map_from_entries(F.collect_list(F.struct("aspect", "value"))).alias("fields"))
     claims = doc_claims(found).groupBy("seq", "symbol_key").agg(F.map_from_entries(F.collect_list(F.struct("aspect", "value"))).alias("claims"))
-    events = symbols(found).where("kind <> 'module'").select("seq", "symbol_key", F.lit(True).alias("analyzed")).distinct()
-    return fold_slots(events.join(facts, ["seq", "symbol_key"], "left").join(claims, ["seq", "symbol_key"], "left"))
+    seen = symbols(found).where("kind <> 'module'").select("seq", "symbol_key", F.lit(True).alias("analyzed")).distinct()
+    return seen.join(facts, ["seq", "symbol_key"], "left").join(claims, ["seq", "symbol_key"], "left")
+
+
+def drift_end_to_end(spark, sf_dir):
+    """Sources to slots: definitions, facts and claims, then the fold of each symbol's commits."""
+    return fold_slots(events(read_definitions(sources(spark, sf_dir))))
+
+
+def dispute_resolution(spark, sf_dir):
+    """As end to end, with the disputed defaults of every third part resolved for the code."""
+    rows = events(read_definitions(sources(spark, sf_dir)))
+    k = F.regexp_extract("symbol_key", "p([0-9]+)[.]f", 1).cast("long")
+    code = F.map_filter("fields", lambda a, _: a == "param.size.default")
+    return fold_slots(rows.withColumn("resolved", F.when((k % 3 == 0) & (F.col("seq") == F.when(k % 7 == 0, 2).otherwise(1)), code))).where("aspect = 'param.size.default'")
 
 
 def drift_totals(spark, sf_dir):
@@ -83,7 +95,7 @@ def canonical_literals(spark, sf_dir):
     return rows.join(texts, "written").select("k", "written", "canonical")
 
 
-QUERIES = {f.__name__: f for f in (extract_code_facts, extract_doc_claims, drift_end_to_end, drift_totals, type_provable, canonical_types, canonical_literals)}
+QUERIES = {f.__name__: f for f in (extract_code_facts, extract_doc_claims, drift_end_to_end, dispute_resolution, drift_totals, type_provable, canonical_types, canonical_literals)}
 _P = "p AS (SELECT p_partkey AS k, p_size AS size, concat('src/cat/p', p_partkey, '.py') AS path, concat('py:cat.p', p_partkey) AS module, concat('py:cat.p', p_partkey, '.f') AS symbol_key FROM part WHERE p_partkey % 17 <> 0)"
 _SLOTS = _P + """,
 slots AS (
@@ -103,6 +115,9 @@ ORACLE_SQL = {
     "extract_doc_claims": f"""WITH {_P} SELECT path, symbol_key, unnest(['param.size.exists', 'param.size.type', 'param.size.default']) AS aspect, unnest(['true', 'int', CAST(CASE WHEN k % 7 = 0 THEN size + 1 ELSE size END AS VARCHAR)]) AS value, unnest([0.95e0, 0.95e0, 0.7e0]) AS confidence FROM p
       UNION ALL SELECT path, symbol_key, 'param.ghost.exists', 'true', 0.95e0 FROM p WHERE k % 11 = 0""",
     "drift_end_to_end": f"WITH {_SLOTS} SELECT symbol_key, aspect, outcome, code_value, doc_value, CAST(opened_seq AS BIGINT) AS opened_seq, CAST(deferred AS BIGINT) AS deferred FROM slots",
+    "dispute_resolution": f"""WITH {_SLOTS} SELECT symbol_key, aspect, CASE WHEN closed THEN 'undocumented' ELSE outcome END AS outcome, code_value, CASE WHEN NOT closed THEN doc_value END AS doc_value,
+      CASE WHEN NOT closed THEN CAST(opened_seq AS BIGINT) END AS opened_seq, CAST(deferred AS BIGINT) AS deferred
+      FROM (SELECT *, outcome = 'contradict' AND CAST(regexp_extract(symbol_key, 'p([0-9]+)[.]f', 1) AS BIGINT) % 3 = 0 AS closed FROM slots WHERE aspect = 'param.size.default')""",
     "drift_totals": f"WITH {_SLOTS} SELECT aspect, outcome, count(*) AS n FROM slots GROUP BY ALL",
     "type_provable": "SELECT p_partkey AS k, code, doc, differs FROM part JOIN (VALUES "
     + ", ".join("({}, '{}', '{}', {})".format(i, c.replace("'", "''"), d.replace("'", "''"), x) for i, (c, d, x) in enumerate(TYPE_PAIRS))

@@ -10,8 +10,9 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ledgerline.functions.scalars import PROJECTOR
 from ledgerline.functions.types import differs_provably
@@ -100,6 +101,12 @@ class _Symbol:
         self.state(want, held, seq)
         self.state(docs, held, seq)
 
+    def resolve(self, aspect: str, winner: str) -> None:
+        """Closes an open dispute: of its members only those that state the winner stay."""
+        if self.open.pop(aspect, None) is not None:
+            del self.members[aspect]
+            self.claims = {c for c in self.claims if c[1] != aspect or c[2] == winner}
+
     def slots(self) -> Iterator[tuple]:
         for aspect in sorted({c[1] for c in self.claims}):
             code = sorted(c[2] for c in self.claims if c[1] == aspect and c[0] == PROJECTOR)
@@ -109,14 +116,25 @@ class _Symbol:
 
 
 def fold_slots(events: DataFrame) -> DataFrame:
-    """Each slot after the last commit, from ``symbol_key``, ``seq``, ``analyzed``, ``claims`` and ``fields`` (maps of aspect to value)."""
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        symbol = _Symbol()
-        for seq, analyzed, claims, fields in group.sort_values("seq")[["seq", "analyzed", "claims", "fields"]].itertuples(index=False):
-            symbol.commit(int(seq), bool(analyzed), set((claims or {}).items()), dict(fields) if fields else None)
-        rows = [(group["symbol_key"].iloc[0], *s) for s in symbol.slots()]
-        out = pd.DataFrame(rows, columns=["symbol_key", "aspect", "outcome", "code_value", "doc_value", "opened_seq", "deferred"])
-        return out.astype({"opened_seq": "Int64", "deferred": "int64"})
-
-    return events.groupBy("symbol_key").applyInPandas(fold, SLOTS)
+    """Each slot after the last commit, from ``symbol_key``, ``seq``, ``analyzed``, ``claims`` and ``fields`` (maps of aspect to value).
+
+    With a column ``resolved`` (a map of aspect to the value that wins), disputes
+    are closed after the commit of its row.
+    """
+    columns = ["seq", "analyzed", "claims", "fields", *(["resolved"] if "resolved" in events.columns else [])]
+    names = ["symbol_key", "aspect", "outcome", "code_value", "doc_value", "opened_seq", "deferred"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, commits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                symbol = _Symbol()
+                for c in sorted(commits, key=lambda c: c["seq"]):
+                    symbol.commit(c["seq"], c["analyzed"], set(c["claims"] or ()), dict(c["fields"]) if c["fields"] else None)
+                    for aspect, winner in sorted(c.get("resolved") or ()):
+                        symbol.resolve(aspect, winner)
+                rows += [dict(zip(names, (key, *s))) for s in symbol.slots()]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([(n, pa.int64() if n in names[5:] else pa.string()) for n in names]))
+
+    histories = events.groupBy("symbol_key").agg(F.collect_list(F.struct(*columns)).alias("commits"))  # a symbol's own commits
+    return histories.mapInArrow(fold, SLOTS)
