@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .spans import SPACE
 
 #: Leading tokens that are levels of the tree; the sign of a variable field.
 DEPTH, FIELD = 3, "<*>"
@@ -26,15 +25,18 @@ BROADCAST_ROWS = 1 << 20
 _LAST = (1 << 63) - 1
 
 
-def tokens_of(line: Column) -> Column:
-    """Tokens of a line, those with a digit as variable fields; none in a blank line."""
-    bare = F.regexp_replace(line, rf"^[{SPACE}]+|[{SPACE}]+$", "")
-    masked = F.transform(F.split(bare, rf"[{SPACE}]+"), lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
-    return F.when(bare != "", masked).otherwise(F.array().cast("array<string>"))
+def masked(line: Column) -> Column:
+    """A line whose tokens, as single spaces part them, are variable fields where they hold a digit."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(line)
 
 
-def leaf_of(tokens: Column) -> Column:
-    return F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH))
+def n_tokens(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
+def leaf_of(line: Column) -> Column:
+    """The leaf of a masked line: its number of tokens and the leading ones."""
+    return F.xxhash64(n_tokens(line), F.substring_index(line, " ", DEPTH))
 
 
 def lines_of(text: Column) -> Column:
@@ -53,11 +55,12 @@ def _small(df: DataFrame) -> DataFrame:
 def recurring_lines(df: DataFrame) -> DataFrame:
     """``line_hash`` of every different line whose template recurs, and ``keeper``, the smallest doc_id that has the template."""
     lines = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.explode(F.array_distinct(lines_of(F.col("text")))).alias("line"))
-    parsed = lines.where(F.length("line") > 0).withColumn("tokens", tokens_of(F.col("line"))).where(F.size("tokens") >= MIN_TOKENS).withColumn("leaf", leaf_of(F.col("tokens")))
+    enough = F.substring_index("line", " ", MIN_TOKENS - 1) != F.col("line")
+    parsed = lines.where(enough & (F.trim("line") != "")).withColumn("shape", masked(F.col("line"))).withColumn("leaf", leaf_of(F.col("shape")))
     leaves = written(parsed.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS).select("leaf"), "leaves")
-    reached = parsed.join(_small(leaves), "leaf").select("leaf", F.xxhash64("line").alias("line_hash"), "tokens", "doc")
-    different = written(reached.groupBy("leaf", "line_hash").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n"), F.min("doc").alias("doc")), "lines")
-    placed = different.select("leaf", "line_hash", "n", F.posexplode("tokens").alias("at", "token"))
+    reached = parsed.join(_small(leaves), "leaf").select("leaf", F.xxhash64("line").alias("line_hash"), "shape", "doc")
+    different = written(reached.groupBy("leaf", "line_hash").agg(F.first("shape").alias("shape"), F.count("*").alias("n"), F.min("doc").alias("doc")), "lines")
+    placed = different.select("leaf", "line_hash", "n", F.posexplode(F.split("shape", " ")).alias("at", "token"))
     frequent = placed.groupBy("leaf", "at", "token").agg(F.sum("n").alias("met")).where((F.col("met") >= MIN_DOCS) & (F.col("token") != FIELD)).select("leaf", "at", "token", F.lit(True).alias("fixed"))
     marked = placed.join(frequent, ["leaf", "at", "token"], "left")
     field = F.when(F.col("fixed"), F.col("token")).otherwise(FIELD)
