@@ -40,9 +40,15 @@ COST_UNIT, MOST_LENGTHENED = 8, 3
 LEADER_SHARE = 4
 #: Rounds with leaders before all pairs that are left.
 LEADER_ROUNDS = 2
+#: Longs of a parity map: a bit tells whether an odd number of a set's shingles fall on it, so two sets differ in as
+#: many shingles at least as their maps do in bits.
+PARITY = 4
 #: Bits of the map that tells which documents are to be compared.
 MAP_BITS = 27
+#: Ids of 8 bytes up to which they are broadcast.
+BROADCAST_ROWS = 1 << 20
 MAX_WORDS = 1_000_000
+_PARITIES = [f"parity{i}" for i in range(PARITY)]
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -139,8 +145,9 @@ def _prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
         known, times = frequent.value
         for table in gathered(batches, "text"):
             sets = shingle_sets(table.column("text").to_pylist(), n)
-            nodes, matches, prefixes = [], [], []
-            for s in sets:
+            nodes, matches, prefixes, parity = [], [], [], np.zeros((len(sets), 64 * PARITY), np.uint8)
+            for i, s in enumerate(sets):
+                parity[i] = np.bincount((s % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
                 if not len(s):
                     nodes.append(None)
                     matches.append(1)
@@ -160,11 +167,11 @@ def _prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
             offsets = np.r_[0, np.cumsum([len(p) for p in prefixes])]
             flat = np.concatenate([np.zeros(0, np.uint64), *prefixes]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [table.column("doc_id").combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(matches, pa.int32()), list_array(flat, offsets, pa.int64())],
-                ["doc_id", "n_shingles", "node", "matches", "prefix"],
+                [table.column("doc_id").combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(matches, pa.int32()), list_array(flat, offsets, pa.int64()), *(pa.array(c) for c in np.packbits(parity, axis=1).view(np.int64).T)],
+                ["doc_id", "n_shingles", "node", "matches", "prefix", *_PARITIES],
             )
 
-    out = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("n_shingles long, node long, matches int, prefix array<long>").fields])
+    out = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("n_shingles long, node long, matches int, prefix array<long>").fields, *(T.StructField(c, T.LongType()) for c in _PARITIES)])
     return docs.select("doc_id", "text").mapInArrow(run, out)
 
 
@@ -183,9 +190,13 @@ def _id_map(ids: DataFrame) -> np.ndarray:
 def _sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """``node`` and ``shingles`` (bytes of sorted 64-bit hashes) of the documents in ``ids`` (``doc_id``, one for each node).
 
-    A bit map of fixed size picks the documents before their texts are read in
-    Python; what it lets through by chance goes in the join with the nodes.
+    Few ids, as counted, are broadcast. Of more, a bit map of fixed size picks
+    the documents before their texts are split in Python; what it lets through
+    by chance goes in the join with the nodes.
     """
+    ids = written(ids, "compared")
+    if ids.count() <= BROADCAST_ROWS:
+        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
     bits = docs.sparkSession.sparkContext.broadcast(_id_map(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,8 +232,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _alike(percent: int):
-    """Whether the sizes of a pair allow it to be similar enough."""
-    return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    """Whether the sizes of a pair, less what each has for itself, allow it to be similar enough."""
+    most = F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b"))
+    return 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
 
 
 def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -232,20 +244,28 @@ def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _led(postings: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs (``a``, ``b``) of each node with the leaders of its shingles, if several shingles name the same."""
-    leader = F.min_by(F.struct("node", "n", "label", "reach"), F.xxhash64("node", F.lit(turn))).alias("f")
+    first = F.struct(F.col("own") / F.col("n"), "node") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)), "node")  # first those with least of their own
+    leader = F.min_by(F.struct("node", "n", "label", "reach", "own"), first).alias("f")
     led = postings.groupBy("shingle").agg(leader, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
     left, _ = _sides(postings)
-    met = left.join(led.select("shingle", *(F.col(f"f.{c}").alias(f"{c}_b") for c in ("node", "n", "label", "reach"))), "shingle")
+    met = left.join(led.select("shingle", *(F.col(f"f.{c}").alias(f"{c}_b") for c in ("node", "n", "label", "reach", "own"))), "shingle")
     met = met.where((F.col("label_a") != F.col("label_b")) & _alike(percent))
     least = (F.least("reach_a", "reach_b") / LEADER_SHARE).alias("least")
     return met.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), least).agg(F.count("*").alias("shared")).where("shared >= least").select("a", "b").distinct()
 
 
-def _rest(postings: DataFrame, percent: int) -> DataFrame:
-    """All pairs not known to be connected that share as many prefix shingles as the shorter lengthening asks for."""
+def _rest(postings: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """All pairs not known to be connected that share as many prefix shingles as the shorter lengthening asks for.
+
+    Pairs whose parity maps differ in more bits than similar sets can differ in
+    shingles are left out in the join itself.
+    """
     mixed = postings.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle")
-    left, right = _sides(written(postings.join(mixed, "shingle").drop("reach"), "open-postings"))
-    met = left.join(right, "shingle").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & _alike(percent))
+    rows = postings.join(mixed, "shingle").drop("reach").join(nodes.select("node", *_PARITIES), "node")
+    left, right = _sides(written(rows, "open-postings"))
+    apart = sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _PARITIES)
+    near = (100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+    met = left.join(right, "shingle").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & _alike(percent) & near)
     needs = F.least("matches_a", "matches_b").alias("needs")
     return met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), needs).agg(F.count("*").alias("shared")).where("shared >= needs").select("a", "b")
 
@@ -264,15 +284,17 @@ def ngram_join(df: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     docs = df.select("doc_id", "text")
     all_docs = written(_prefixes(docs, n, percent), "prefixes")
     members = all_docs.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
-    nodes = written(members.groupBy("node").agg(F.min("doc_id").alias("first")), "nodes")
-    firsts = members.join(nodes.withColumnRenamed("first", "doc_id"), ["node", "doc_id"])  # of equal sets, one document
+    nodes = written(members.groupBy("node").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in _PARITIES)), "nodes")
+    firsts = members.join(nodes.select("node", F.col("first").alias("doc_id")), ["node", "doc_id"])  # of equal sets, one document
     rows = firsts.select("node", F.col("n_shingles").alias("n"), "matches", F.size("prefix").alias("reach"), F.explode("prefix").alias("shingle"))
     df_of = Window.partitionBy("shingle")
-    postings = written(rows.withColumn("df", F.count("*").over(df_of)).where("df > 1").drop("df"), "postings")
+    shared = written(rows.withColumn("df", F.count("*").over(df_of)).where("df > 1").drop("df"), "shared-shingles")
+    own = shared.groupBy("node").agg((F.first("reach") - F.count("*")).alias("own"))  # shingles of the prefix that no other node has there
+    postings = written(shared.join(own, "node"), "postings")
     links = labels = sets = None
     for k in range(LEADER_ROUNDS + 1):
         labelled = postings.withColumn("label", F.col("node")) if labels is None else postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        pairs = _led(labelled, k, percent) if k < LEADER_ROUNDS else _rest(labelled, percent)
+        pairs = _led(labelled, k, percent) if k < LEADER_ROUNDS else _rest(labelled, nodes, percent)
         pairs = written(pairs, "pairs")
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         if sets is not None:
@@ -282,7 +304,7 @@ def ngram_join(df: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
         found = written(_verified(pairs, sets, percent), "similar")
         links = found if links is None else links.union(found)
         labels = components(links, None if k == LEADER_ROUNDS else 3)
-    named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     classes = named.join(smallest, "label").select("node", "component_id")
     joined = all_docs.select("doc_id", "n_shingles", "node").join(classes, "node", "left")
