@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import gathered, list_array, small_batches, written
+from .common import discard, gathered, list_array, small_batches, written
 from .components import components
 
 #: A shingle is frequent above so many documents; of frequent ones, so many at most are known to every task (16 bytes each).
@@ -254,15 +254,19 @@ def _led(postings: DataFrame, turn: int, percent: int) -> DataFrame:
     return met.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), least).agg(F.count("*").alias("shared")).where("shared >= least").select("a", "b").distinct()
 
 
-def _rest(postings: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _open_rows(postings: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Postings of the shingles whose nodes aren't all known to be connected, with the nodes' parity maps."""
+    mixed = postings.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle")
+    return postings.join(mixed, "shingle").drop("reach").join(nodes.select("node", *_PARITIES), "node")
+
+
+def _rest(rows: DataFrame, percent: int) -> DataFrame:
     """All pairs not known to be connected that share as many prefix shingles as the shorter lengthening asks for.
 
     Pairs whose parity maps differ in more bits than similar sets can differ in
     shingles are left out in the join itself.
     """
-    mixed = postings.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle")
-    rows = postings.join(mixed, "shingle").drop("reach").join(nodes.select("node", *_PARITIES), "node")
-    left, right = _sides(written(rows, "open-postings"))
+    left, right = _sides(rows)
     apart = sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _PARITIES)
     near = (100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
     met = left.join(right, "shingle").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & _alike(percent) & near)
@@ -291,11 +295,16 @@ def ngram_join(df: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     shared = written(rows.withColumn("df", F.count("*").over(df_of)).where("df > 1").drop("df"), "shared-shingles")
     own = shared.groupBy("node").agg((F.first("reach") - F.count("*")).alias("own"))  # shingles of the prefix that no other node has there
     postings = written(shared.join(own, "node"), "postings")
+    discard(shared)
     links = labels = sets = None
     for k in range(LEADER_ROUNDS + 1):
         labelled = postings.withColumn("label", F.col("node")) if labels is None else postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        pairs = _led(labelled, k, percent) if k < LEADER_ROUNDS else _rest(labelled, nodes, percent)
-        pairs = written(pairs, "pairs")
+        if k < LEADER_ROUNDS:
+            pairs = written(_led(labelled, k, percent), "pairs")
+        else:
+            still_open = written(_open_rows(labelled, nodes), "open-postings")
+            pairs = written(_rest(still_open, percent), "pairs")
+            discard(still_open, postings)
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         if sets is not None:
             ends = ends.join(sets.select("node"), "node", "left_anti")
@@ -303,7 +312,9 @@ def ngram_join(df: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
         sets = fresh if sets is None else sets.union(fresh)
         found = written(_verified(pairs, sets, percent), "similar")
         links = found if links is None else links.union(found)
+        discard(pairs)
         labels = components(links, None if k == LEADER_ROUNDS else 3)
+    discard(sets)
     named = nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     classes = named.join(smallest, "label").select("node", "component_id")
