@@ -23,7 +23,7 @@ from .spans import located, marks, spelled
 BASE_RULES = (
     ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", (1, 6)),
     ("access", r"AKIA[A-Z0-9]+", (0, 20)),
-    ("hex", r"[0-9a-f]++", (0, 24)),
+    ("hex", r"(?<![0-9a-f])[0-9a-f]{24,}+", (0, 24)),  # of runs, only those long enough: most texts hold very many short ones
 )
 #: Rules that the method adds.
 MORE_RULES = (
@@ -105,6 +105,6 @@ def find_secrets(df: DataFrame, rules: tuple = BASE_RULES + MORE_RULES) -> DataF
         docs = docs.withColumn("rules", F.array().cast("array<string>"))
     found = []
     for order, rule in enumerate(rules):
-        likely = F.coalesce(F.array_contains("rules", rule[0]), F.lit(False)) if rule[0] in queries else F.lit(True)
+        likely = F.coalesce(F.array_contains("rules", rule[0]), F.lit(False)) if rule[0] in queries else F.col("text").rlike(rule[1])
         found.append(marks(_spans(F.col("text"), rule, likely), rule[0], order))
     return docs.select("doc_id", "text", F.concat(*found).alias("secrets"))
