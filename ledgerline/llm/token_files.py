@@ -2,7 +2,7 @@
 
 Each id takes the fewest bits that hold every id of the vocabulary. A file is a
 Parquet part of blocks; a block has whole documents, about ``BLOCK_IDS`` ids,
-its shard and number in it, its documents' ids and lengths, and the packed ids,
+its shard, its number and first id in it, its documents' ids and lengths, and the packed ids,
 least significant bit first. As every id has the same width, the i-th id of a
 block lies at bit i * width: a reader can unpack any slice of it with numpy.
 Spark's committer writes the parts, so a lost task leaves nothing behind.
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.taskcontext import TaskContext
 
-from .common import small_batches
+from .common import small_batches, written
 from .tokenizing import encoded_batches, library_encoder, ranges, worker_encoder
 
 BLOCK_IDS = 1 << 16
@@ -26,6 +26,7 @@ BLOCKS = T.StructType(
         T.StructField("shard", T.IntegerType()),
         T.StructField("block", T.LongType()),
         T.StructField("width", T.IntegerType()),
+        T.StructField("first", T.LongType()),
         T.StructField("n_ids", T.LongType()),
         T.StructField("doc_ids", T.ArrayType(T.LongType())),
         T.StructField("lengths", T.ArrayType(T.LongType())),
@@ -70,7 +71,7 @@ def write_token_blocks(df: DataFrame, tokenizer: str, vocabulary: int, end_id: i
     width = width_of(vocabulary)
 
     def run(batches):
-        shard, block = TaskContext.get().partitionId(), 0
+        shard, block, first = TaskContext.get().partitionId(), 0, 0
         enc = worker_encoder(library_encoder, tokenizer)
         for table, ids, offsets in encoded_batches(batches, "text", enc):
             lengths = np.diff(offsets) + 1
@@ -84,28 +85,31 @@ def write_token_blocks(df: DataFrame, tokenizer: str, vocabulary: int, end_id: i
                 to = max(at + 1, int(np.searchsorted(ends, base + BLOCK_IDS, "right")))
                 packed = pack(flat[base : int(ends[to - 1])], width)
                 yield pa.RecordBatch.from_pylist(
-                    [{"shard": shard, "block": block, "width": width, "n_ids": int(ends[to - 1]) - base, "doc_ids": docs[at:to], "lengths": lengths[at:to].tolist(), "packed": packed}],
+                    [{"shard": shard, "block": block, "width": width, "first": first, "n_ids": int(ends[to - 1]) - base, "doc_ids": docs[at:to], "lengths": lengths[at:to].tolist(), "packed": packed}],
                     schema=_ARROW,
                 )
-                at, block = to, block + 1
+                at, block, first = to, block + 1, first + int(ends[to - 1]) - base
 
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).mapInArrow(run, BLOCKS).write.parquet(path)
 
 
 _ARROW = pa.schema(
-    [("shard", pa.int32()), ("block", pa.int64()), ("width", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("packed", pa.binary())]
+    [("shard", pa.int32()), ("block", pa.int64()), ("width", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("packed", pa.binary())]
 )
 
 
 def read_token_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """A row per block, with ``base``: how many ids all shards and blocks before it hold."""
+    """A row per block, with ``base``: how many ids all shards and blocks before it hold.
+
+    Only the table of shards is joined, a row for each, which Spark broadcasts
+    if it is small as written; the blocks themselves stay where they are.
+    """
     blocks = spark.read.schema(BLOCKS).parquet(path)
     sizes = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    before = sizes.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shard_base"))
-    inside = blocks.select("shard", "block", "n_ids").withColumn("inner", F.sum("n_ids").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_ids"))
-    bases = inside.join(before, "shard").select("shard", "block", (F.col("inner") + F.col("shard_base")).alias("base"))
-    return blocks.join(bases, ["shard", "block"])
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = written(sizes.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "shards")
+    return blocks.join(shards, "shard").withColumn("base", F.col("before") + F.col("first")).drop("before")
 
 
 def read_token_documents(spark: SparkSession, path: str) -> DataFrame:
