@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -164,13 +165,9 @@ class PairIndexBpe:
         return [data[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
 
 
-_MODELS: dict[str, PairIndexBpe] = {}
-
-
+@lru_cache(maxsize=1)
 def model(path: str) -> PairIndexBpe:
-    if path not in _MODELS:
-        _MODELS[path] = PairIndexBpe(path)
-    return _MODELS[path]
+    return PairIndexBpe(path)
 
 
 def pair_index_encoder(path: str) -> PieceEncoder:

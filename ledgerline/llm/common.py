@@ -4,15 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN: dict[str, str] = {}
 #: Bytes of text that a Python worker handles at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 3 << 20
+
+
+_HELD: dict[tuple, object] = {}
+
+
+def worker_memory(kind: tuple, make: Callable[[], T]) -> T:
+    """What this Python worker remembers of one kind, over its tasks; it forgets all of another kind."""
+    if kind not in _HELD:
+        _HELD.clear()
+        _HELD[kind] = make()
+    return _HELD[kind]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, gathered, list_array, small_batches, written
+from .common import discard, gathered, list_array, small_batches, worker_memory, written
 from .components import components
 
 #: A shingle is frequent above so many documents; of frequent ones, so many at most are known to every task (16 bytes each).
@@ -47,7 +47,7 @@ PARITY = 4
 MAP_BITS = 27
 #: Ids of 8 bytes up to which they are broadcast.
 BROADCAST_ROWS = 1 << 20
-MAX_WORDS = 1_000_000
+MAX_WORDS = 400_000
 _PARITIES = [f"parity{i}" for i in range(PARITY)]
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -69,9 +69,6 @@ class _Words:
         return self.hashes[at]
 
 
-_WORDS = _Words()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -85,7 +82,7 @@ def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
         own = text.encode().lower().split() if text else []
         words += own
         sizes.append(len(own))
-    h = _WORDS.hash(words)
+    h = worker_memory((__name__, "words"), _Words).hash(words)
     rolled = np.zeros(max(0, len(h) - n + 1), np.uint64)
     for k in range(n):
         rolled = rolled * _K + h[k : k + len(rolled)]

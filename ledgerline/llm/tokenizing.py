@@ -16,10 +16,10 @@ from itertools import count, islice
 import numpy as np
 import pyarrow as pa
 
-from .common import gathered
+from .common import gathered, worker_memory
 
 #: Most pieces and characters that a worker remembers.
-MAX_PIECES, MAX_CHARS = 500_000, 12_000_000
+MAX_PIECES, MAX_CHARS = 400_000, 10_000_000
 #: Strings that the library encodes at once; it keeps much for each.
 LIBRARY_BATCH = 4096
 
@@ -116,15 +116,9 @@ def library_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(folded_words, encode)
 
 
-_ENCODERS: dict[tuple, PieceEncoder] = {}
-
-
 def worker_encoder(make: Callable[[str], PieceEncoder], path: str) -> PieceEncoder:
     """This worker's encoder; it outlives a task."""
-    key = (make.__module__, make.__name__, path)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = make(path)
-    return _ENCODERS[key]
+    return worker_memory((make.__module__, make.__name__, path), lambda: make(path))
 
 
 def encoded_batches(batches: Iterator[pa.RecordBatch], text: str, enc: PieceEncoder) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
