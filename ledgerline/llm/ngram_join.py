@@ -39,10 +39,10 @@ COST_UNIT, MOST_LENGTHENED = 8, 3
 #: In rounds with leaders, so many of the shorter prefix's shingles must name the leader; the last round has no such rule.
 LEADER_SHARE = 4
 #: Rounds with leaders before all pairs that are left.
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 3
 #: Longs of a parity map: a bit tells whether an odd number of a set's shingles fall on it, so two sets differ in as
 #: many shingles at least as their maps do in bits.
-PARITY = 4
+PARITY = 8
 #: Bits of the map that tells which documents are to be compared.
 MAP_BITS = 27
 #: Ids of 8 bytes up to which they are broadcast.
