@@ -229,8 +229,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _alike(percent: int):
-    """Whether the sizes of a pair, less what each has for itself, allow it to be similar enough."""
-    most = F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b"))
+    """Whether a pair that meets in a shingle can be similar enough, by what stands before and after it in each set.
+
+    Both prefixes hold all that their sets have before the shingle, so of that
+    only shingles that other prefixes hold too (``met``) can be in both sets. What
+    comes after may be in both, whether or not it is in a prefix.
+    """
+    most = F.least("met_a", "met_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     return 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
 
 
@@ -242,10 +247,10 @@ def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _led(postings: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs (``a``, ``b``) of each node with the leaders of its shingles, if several shingles name the same."""
     first = F.struct(F.col("own") / F.col("n"), "node") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)), "node")  # first those with least of their own
-    leader = F.min_by(F.struct("node", "n", "label", "reach", "own"), first).alias("f")
+    leader = F.min_by(F.struct("node", "n", "label", "reach", "at", "met"), first).alias("f")
     led = postings.groupBy("shingle").agg(leader, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
     left, _ = _sides(postings)
-    met = left.join(led.select("shingle", *(F.col(f"f.{c}").alias(f"{c}_b") for c in ("node", "n", "label", "reach", "own"))), "shingle")
+    met = left.join(led.select("shingle", *(F.col(f"f.{c}").alias(f"{c}_b") for c in ("node", "n", "label", "reach", "at", "met"))), "shingle")
     met = met.where((F.col("label_a") != F.col("label_b")) & _alike(percent))
     least = (F.least("reach_a", "reach_b") / LEADER_SHARE).alias("least")
     return met.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), least).agg(F.count("*").alias("shared")).where("shared >= least").select("a", "b").distinct()
@@ -254,7 +259,7 @@ def _led(postings: DataFrame, turn: int, percent: int) -> DataFrame:
 def _open_rows(postings: DataFrame, nodes: DataFrame) -> DataFrame:
     """Postings of the shingles whose nodes aren't all known to be connected, with the nodes' parity maps."""
     mixed = postings.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle")
-    return postings.join(mixed, "shingle").drop("reach").join(nodes.select("node", *_PARITIES), "node")
+    return postings.join(mixed, "shingle").drop("reach", "own").join(nodes.select("node", *_PARITIES), "node")
 
 
 def _rest(rows: DataFrame, percent: int) -> DataFrame:
@@ -287,11 +292,12 @@ def ngram_join(df: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     members = all_docs.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
     nodes = written(members.groupBy("node").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in _PARITIES)), "nodes")
     firsts = members.join(nodes.select("node", F.col("first").alias("doc_id")), ["node", "doc_id"])  # of equal sets, one document
-    rows = firsts.select("node", F.col("n_shingles").alias("n"), "matches", F.size("prefix").alias("reach"), F.explode("prefix").alias("shingle"))
+    rows = firsts.select("node", F.col("n_shingles").alias("n"), "matches", F.size("prefix").alias("reach"), F.posexplode("prefix").alias("at", "shingle"))
     df_of = Window.partitionBy("shingle")
     shared = written(rows.withColumn("df", F.count("*").over(df_of)).where("df > 1").drop("df"), "shared-shingles")
-    own = shared.groupBy("node").agg((F.first("reach") - F.count("*")).alias("own"))  # shingles of the prefix that no other node has there
-    postings = written(shared.join(own, "node"), "postings")
+    of_node = Window.partitionBy("node")
+    own = F.col("reach") - F.count("*").over(of_node)  # shingles of the prefix that no other node has there
+    postings = written(shared.withColumn("own", own).withColumn("met", F.dense_rank().over(of_node.orderBy("at")) - 1), "postings")
     discard(shared)
     links = labels = sets = None
     for k in range(LEADER_ROUNDS + 1):

@@ -59,6 +59,19 @@ def test_join_equals_brute_force(spark, monkeypatch, frequent, rounds):
     assert out.where("doc_id is null").select("component_id").first()[0] is None and out.count() == len(rows) + 2
 
 
+@pytest.mark.parametrize(("size", "more", "percent"), [(40, 6, 85), (86, 14, 85), (40, 9, 80), (86, 21, 80)])
+def test_appended_words_just_above_the_threshold_still_link(spark, size, more, percent):
+    rng = random.Random(size + percent)
+    rows = []
+    for k in range(30):  # a pair holds size of size + more shingles in common and shares none with other pairs
+        own = [f"w{k}x{rng.randrange(10**9)}" for _ in range(size + more + 3)]
+        rows += [" ".join(own[: size + 3]), " ".join(own)]
+    want = brute_components(list(enumerate(rows)), 4, percent)
+    assert [want[i][1] for i in range(60)] == [i - i % 2 for i in range(60)]
+    out = nj.ngram_join(fixtures.documents(spark, rows), 4, percent).where("doc_id is not null").collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want
+
+
 def test_join_of_nothing(spark):
     assert nj.ngram_join(fixtures.empty(spark)).count() == 0
     assert {r.component_id for r in nj.ngram_join(fixtures.documents(spark, [None, "", " "])).where("doc_id is not null").collect()} == {0, 1, 2}
