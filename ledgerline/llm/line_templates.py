@@ -4,7 +4,9 @@ The tree has a fixed depth: lines go by their number of tokens and then by
 their leading tokens, numbers taken as variable. In a leaf that many documents
 reach, a token stays part of the template if it is frequent at its place, and
 is a variable field otherwise. Lines of a template that recurs across documents
-are dropped, but in the document with the smallest id that has one.
+are dropped, but in the document with the smallest id that has one. A line that
+stands in two documents byte for byte recurs, and so does a template that fixes
+many tokens; other templates need more documents.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from .common import written
 DEPTH, FIELD = 3, "<*>"
 #: Different lines of documents, counted for each document, that a template or a token at a place needs to be recurring.
 MIN_DOCS = 5
+#: Fixed tokens from which a template recurs in two documents.
+MANY_FIXED = 10
 #: Tokens of a line that may be dropped at least, and share of them that the template must fix.
 MIN_TOKENS, FIXED_SHARE = 3, 0.7
 #: Rows of 8-byte hashes up to which a table is broadcast; a larger one is shuffled.
@@ -55,19 +59,42 @@ def _small(df: DataFrame) -> DataFrame:
 def recurring_lines(df: DataFrame) -> DataFrame:
     """``line_hash`` of every different line whose template recurs, and ``keeper``, the smallest doc_id that has the template."""
     lines = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.explode(F.array_distinct(lines_of(F.col("text")))).alias("line"))
+    lines = lines.where(F.col("line").rlike(r"\S"))
+    two = F.min("doc") < F.max("doc")
+    same = lines.groupBy(F.xxhash64("line").alias("line_hash")).agg(F.min("doc").alias("keeper"), two.alias("two")).where("two").select("line_hash", "keeper")
     enough = F.substring_index("line", " ", MIN_TOKENS - 1) != F.col("line")
-    parsed = lines.where(enough & (F.trim("line") != "")).withColumn("shape", masked(F.col("line"))).withColumn("leaf", leaf_of(F.col("shape")))
-    leaves = written(parsed.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS).select("leaf"), "leaves")
-    reached = parsed.join(_small(leaves), "leaf").select("leaf", F.xxhash64("line").alias("line_hash"), "shape", "doc")
-    different = written(reached.groupBy("leaf", "line_hash").agg(F.first("shape").alias("shape"), F.count("*").alias("n"), F.min("doc").alias("doc")), "lines")
+    parsed = lines.where(enough).withColumn("shape", masked(F.col("line"))).withColumn("leaf", leaf_of(F.col("shape"))).withColumn("line_hash", F.xxhash64("line"))
+    many = n_tokens(F.col("shape")) >= MANY_FIXED
+    several = F.min("line_hash") < F.max("line_hash")  # a leaf of one line has no more to say than the line itself
+    leaves = parsed.groupBy("leaf").agg(F.count("*").alias("n"), F.max(many).alias("many"), several.alias("several"), two.alias("two"))
+    leaves = written(leaves.where(F.col("several") & ((F.col("n") >= MIN_DOCS) | (F.col("many") & F.col("two")))).select("leaf"), "leaves")
+    reached = parsed.join(_small(leaves), "leaf").select("leaf", "line_hash", "shape", "doc")
+    different = written(reached.groupBy("leaf", "line_hash").agg(F.first("shape").alias("shape"), F.count("*").alias("n"), F.min("doc").alias("doc"), F.max("doc").alias("last")), "lines")
     placed = different.select("leaf", "line_hash", "n", F.posexplode(F.split("shape", " ")).alias("at", "token"))
-    frequent = placed.groupBy("leaf", "at", "token").agg(F.sum("n").alias("met")).where((F.col("met") >= MIN_DOCS) & (F.col("token") != FIELD)).select("leaf", "at", "token", F.lit(True).alias("fixed"))
-    marked = placed.join(frequent, ["leaf", "at", "token"], "left")
-    field = F.when(F.col("fixed"), F.col("token")).otherwise(FIELD)
-    shapes = marked.groupBy("leaf", "line_hash").agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("at", field.alias("token"))))).alias("template"), F.avg(F.col("fixed").isNotNull().cast("int")).alias("share"))
-    typed = written(different.select("leaf", "line_hash", "n", "doc").join(shapes.where(F.col("share") >= FIXED_SHARE), ["leaf", "line_hash"]), "templates")
-    recurring = typed.groupBy("leaf", "template").agg(F.sum("n").alias("met"), F.min("doc").alias("keeper")).where(F.col("met") >= MIN_DOCS)
-    return written(typed.join(recurring, ["leaf", "template"]).select("line_hash", "keeper"), "recurring-lines")
+    frequent = placed.groupBy("leaf", "at", "token").agg(F.sum("n").alias("met"), F.count("*").alias("lines")).where(((F.col("met") >= MIN_DOCS) | (F.col("lines") >= 2)) & (F.col("token") != FIELD))
+    marked = placed.join(frequent, ["leaf", "at", "token"], "left").withColumn("met", F.coalesce("met", F.lit(0))).withColumn("lines", F.coalesce("lines", F.lit(0)))
+
+    def shape(fixed: Column) -> tuple[Column, Column, Column]:
+        """The template that fixes such tokens, the share of tokens that it fixes and their number."""
+        field = F.when(fixed, F.col("token")).otherwise(FIELD)
+        return F.xxhash64(F.array_sort(F.collect_list(F.struct("at", field.alias("token"))))).alias("template"), F.avg(fixed.cast("int")).alias("share"), F.sum(fixed.cast("int")).alias("n_fixed")
+
+    shapes = marked.groupBy("leaf", "line_hash").agg(F.struct(*shape(F.col("met") >= MIN_DOCS)).alias("usual"), F.struct(*shape(F.col("lines") >= 2)).alias("long"))
+    typed = written(different.select("leaf", "line_hash", "n", "doc", "last").join(shapes, ["leaf", "line_hash"]), "templates")
+
+    def recurring(rows: DataFrame, kind: str, enough: Column) -> DataFrame:
+        """Lines of the templates of a kind that recur, with their keeper."""
+        rows = rows.select("leaf", "line_hash", "n", "doc", "last", f"{kind}.*").where(F.col("share") >= FIXED_SHARE)
+        found = rows.groupBy("leaf", "template").agg(F.min("doc").alias("keeper"), enough.alias("enough")).where("enough").select("leaf", "template", "keeper")
+        return rows.join(found, ["leaf", "template"]).select("line_hash", "keeper")
+
+    # each line goes by one of the three, so that the keeper of a template keeps what it has of it
+    usual = written(recurring(typed, "usual", F.sum("n") >= MIN_DOCS), "usual-templates")
+    others = typed.join(usual.select("line_hash"), "line_hash", "left_anti")
+    long = recurring(others, "long", (F.min("n_fixed") >= MANY_FIXED) & (F.min("doc") < F.max("last")))
+    ranked = [rows.withColumn("rank", F.lit(i)) for i, rows in enumerate((usual, long, same))]
+    by = F.struct("rank", "keeper")
+    return written(ranked[0].unionByName(ranked[1]).unionByName(ranked[2]).groupBy("line_hash").agg(F.min(by)["keeper"].alias("keeper")), "recurring-lines")
 
 
 def drop_templates(df: DataFrame) -> DataFrame:

@@ -115,6 +115,16 @@ def test_recurring_templates_stay_in_the_first_document_only(spark):
     assert drop_templates(docs).count() == docs.count() and drop_templates(fixtures.empty(spark)).count() == 0
 
 
+def test_lines_and_long_templates_of_two_documents_recur(spark):
+    rng = random.Random(6)
+    passage = " ".join(fixtures.words(rng, 55))
+    other = passage.split(" ")
+    other[30] = "replaced"
+    rows = ["first own\n" + passage, "second own\n" + passage, "third own\n" + " ".join(other), "a short line here\nown four", "own five\na short line here", "a short line 7\nown six"]
+    out = {r.doc_id: r.text for r in drop_templates(fixtures.documents(spark, rows)).where("doc_id is not null").collect()}
+    assert out == {0: rows[0], 1: "second own", 2: "third own", 3: rows[3], 4: "own five", 5: rows[5]}
+
+
 def test_different_lines_stay(spark):
     rng = random.Random(4)
     rows = ["\n".join(" ".join(fixtures.words(rng, 9)) for _ in range(3)) for _ in range(40)]
