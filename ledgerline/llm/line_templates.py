@@ -22,8 +22,8 @@ DEPTH, FIELD = 3, "<*>"
 MIN_DOCS = 5
 #: Fixed tokens from which a template recurs in two documents.
 MANY_FIXED = 10
-#: Tokens of a line that may be dropped at least, and share of them that the template must fix.
-MIN_TOKENS, FIXED_SHARE = 3, 0.7
+#: Share of a template's tokens, but for those with digits, that it must fix.
+FIXED_SHARE = 0.7
 #: Rows of 8-byte hashes up to which a table is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 1 << 20
 _LAST = (1 << 63) - 1
@@ -62,8 +62,7 @@ def recurring_lines(df: DataFrame) -> DataFrame:
     lines = lines.where(F.col("line").rlike(r"\S"))
     two = F.min("doc") < F.max("doc")
     same = lines.groupBy(F.xxhash64("line").alias("line_hash")).agg(F.min("doc").alias("keeper"), two.alias("two")).where("two").select("line_hash", "keeper")
-    enough = F.substring_index("line", " ", MIN_TOKENS - 1) != F.col("line")
-    parsed = lines.where(enough).withColumn("shape", masked(F.col("line"))).withColumn("leaf", leaf_of(F.col("shape"))).withColumn("line_hash", F.xxhash64("line"))
+    parsed = lines.withColumn("shape", masked(F.col("line"))).withColumn("leaf", leaf_of(F.col("shape"))).withColumn("line_hash", F.xxhash64("line"))
     many = n_tokens(F.col("shape")) >= MANY_FIXED
     several = F.min("line_hash") < F.max("line_hash")  # a leaf of one line has no more to say than the line itself
     leaves = parsed.groupBy("leaf").agg(F.count("*").alias("n"), F.max(many).alias("many"), several.alias("several"), two.alias("two"))
@@ -75,17 +74,18 @@ def recurring_lines(df: DataFrame) -> DataFrame:
     marked = placed.join(frequent, ["leaf", "at", "token"], "left").withColumn("met", F.coalesce("met", F.lit(0))).withColumn("lines", F.coalesce("lines", F.lit(0)))
 
     def shape(fixed: Column) -> tuple[Column, Column, Column]:
-        """The template that fixes such tokens, the share of tokens that it fixes and their number."""
+        """The template that fixes such tokens, the words of a line that it fixes, and its words. Tokens with digits are no words."""
         field = F.when(fixed, F.col("token")).otherwise(FIELD)
-        return F.xxhash64(F.array_sort(F.collect_list(F.struct("at", field.alias("token"))))).alias("template"), F.avg(fixed.cast("int")).alias("share"), F.sum(fixed.cast("int")).alias("n_fixed")
+        return F.xxhash64(F.array_sort(F.collect_list(F.struct("at", field.alias("token"))))).alias("template"), F.sum(fixed.cast("int")).alias("n_fixed"), F.sum((F.col("token") != FIELD).cast("int")).alias("n_words")
 
     shapes = marked.groupBy("leaf", "line_hash").agg(F.struct(*shape(F.col("met") >= MIN_DOCS)).alias("usual"), F.struct(*shape(F.col("lines") >= 2)).alias("long"))
     typed = written(different.select("leaf", "line_hash", "n", "doc", "last").join(shapes, ["leaf", "line_hash"]), "templates")
 
     def recurring(rows: DataFrame, kind: str, enough: Column) -> DataFrame:
         """Lines of the templates of a kind that recur, with their keeper."""
-        rows = rows.select("leaf", "line_hash", "n", "doc", "last", f"{kind}.*").where(F.col("share") >= FIXED_SHARE)
-        found = rows.groupBy("leaf", "template").agg(F.min("doc").alias("keeper"), enough.alias("enough")).where("enough").select("leaf", "template", "keeper")
+        rows = rows.select("leaf", "line_hash", "n", "doc", "last", f"{kind}.*").where("n_fixed > 0")
+        share = F.sum(F.col("n") * F.col("n_fixed")) / F.sum(F.col("n") * F.col("n_words"))  # of all its lines, as they differ in words
+        found = rows.groupBy("leaf", "template").agg(F.min("doc").alias("keeper"), (enough & (share >= FIXED_SHARE)).alias("enough")).where("enough").select("leaf", "template", "keeper")
         return rows.join(found, ["leaf", "template"]).select("line_hash", "keeper")
 
     # each line goes by one of the three, so that the keeper of a template keeps what it has of it

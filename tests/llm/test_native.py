@@ -125,6 +125,12 @@ def test_lines_and_long_templates_of_two_documents_recur(spark):
     assert out == {0: rows[0], 1: "second own", 2: "third own", 3: rows[3], 4: "own five", 5: rows[5]}
 
 
+def test_digit_heavy_and_short_lines_recur(spark):
+    rows = [f"own {chr(97 + i)} text\n2024-01-0{i} 10:00:0{i} ERROR 50{i} retry\nPage {i}\n{i} {i}7\nEnd" for i in range(MIN_DOCS + 1)]
+    out = {r.doc_id: r.text for r in drop_templates(fixtures.documents(spark, rows)).where("doc_id is not null").collect()}
+    assert out == {0: rows[0]} | {i: f"own {chr(97 + i)} text\n{i} {i}7" for i in range(1, MIN_DOCS + 1)}
+
+
 def test_different_lines_stay(spark):
     rng = random.Random(4)
     rows = ["\n".join(" ".join(fixtures.words(rng, 9)) for _ in range(3)) for _ in range(40)]
