@@ -10,13 +10,17 @@ pair needs as many shared prefix shingles as the shorter lengthening asks for.
 
 Documents with equal sets are one node. Nodes that share a prefix shingle are
 first compared with one leader of each shingle only; nodes known to be
-connected are not compared again, and what is left is compared pair by pair.
-So a group of many near copies costs about as many comparisons as it has
-members, and no pair of different components is left out.
+connected are not compared again. Of what is left, shingles are counted over the
+whole sets. Once more each node is compared with leaders, now those that have the least of
+their own. Then pairs that share a rare shingle meet in it, which is a bounded number
+for each posting; other pairs have only common shingles to share, and meet if their
+sizes allow it with so many. So members of a large group that differ from it by words of
+their own are never paired with each other, and no similar pair is left out.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -24,7 +28,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,8 +42,12 @@ FREQUENT, MOST_FREQUENT = 16, 1 << 21
 COST_UNIT, MOST_LENGTHENED = 8, 3
 #: In rounds with leaders, so many of the shorter prefix's shingles must name the leader; the last round has no such rule.
 LEADER_SHARE = 4
-#: Rounds with leaders before all pairs that are left.
-LEADER_ROUNDS = 3
+#: Rounds with leaders before shingles are counted over the whole sets of what is left.
+LEADER_ROUNDS = 2
+#: Among nodes that are left for the last round, a shingle that no more of them hold is rare.
+RARE = 16
+#: Sizes of sets that differ by less than about this share meet in the same key of the last join.
+BAND = 0.02
 #: Longs of a parity map: a bit tells whether an odd number of a set's shingles fall on it, so two sets differ in as
 #: many shingles at least as their maps do in bits.
 PARITY = 8
@@ -244,36 +252,107 @@ def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tuple(rows.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in names)) for s in "ab")
 
 
-def _led(postings: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs (``a``, ``b``) of each node with the leaders of its shingles, if several shingles name the same."""
-    first = F.struct(F.col("own") / F.col("n"), "node") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)), "node")  # first those with least of their own
-    leader = F.min_by(F.struct("node", "n", "label", "reach", "at", "met"), first).alias("f")
-    led = postings.groupBy("shingle").agg(leader, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    left, _ = _sides(postings)
-    met = left.join(led.select("shingle", *(F.col(f"f.{c}").alias(f"{c}_b") for c in ("node", "n", "label", "reach", "at", "met"))), "shingle")
+def _led(postings: DataFrame, first: Column, shift: float, percent: int) -> DataFrame:
+    """Pairs (``a``, ``b``) of each node with the leaders of its shingles, if several shingles name the same.
+
+    Sets of one shingle and about one size have a leader, the one with the least ``first``; ``shift`` moves the steps of size.
+    """
+    step = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + shift) if percent < 100 else F.col("n")
+    names = ("node", "n", "label", "reach", "at", "met")
+    sized = postings.withColumn("step", step)
+    leader = F.min_by(F.struct(*names), F.struct(first, "node")).alias("f")
+    led = sized.groupBy("shingle", "step").agg(leader, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    left = sized.select("shingle", "step", *(F.col(c).alias(f"{c}_a") for c in names))
+    met = left.join(led.select("shingle", "step", *(F.col(f"f.{c}").alias(f"{c}_b") for c in names)), ["shingle", "step"])
     met = met.where((F.col("label_a") != F.col("label_b")) & _alike(percent))
     least = (F.least("reach_a", "reach_b") / LEADER_SHARE).alias("least")
     return met.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), least).agg(F.count("*").alias("shared")).where("shared >= least").select("a", "b").distinct()
 
 
-def _open_rows(postings: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Postings of the shingles whose nodes aren't all known to be connected, with the nodes' parity maps."""
+def _open_postings(postings: DataFrame) -> DataFrame:
+    """Postings of the shingles whose nodes aren't all known to be connected."""
     mixed = postings.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle")
-    return postings.join(mixed, "shingle").drop("reach", "own").join(nodes.select("node", *_PARITIES), "node")
+    return postings.join(mixed, "shingle").drop("fame")
+
+
+def _exploded(sets: DataFrame) -> DataFrame:
+    """``node`` and ``shingle``, a row for each shingle of whole sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = b.column(1).to_pylist()
+            flat = np.frombuffer(b"".join(held), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), [len(x) // 8 for x in held])), pa.array(flat)], ["node", "shingle"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "node long, shingle long")
+
+
+def _rare_pairs(shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs (``a``, ``b``) that share rare shingles and can be similar enough with these and all their common ones.
+
+    ``shared`` has a row for each node of each rare shingle, of which none has more than RARE.
+    """
+    left, right = _sides(shared)
+    sized = percent * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")
+    met = left.join(right, "shingle").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & sized)
+    most = (F.count("*") + F.first(F.least("core_a", "core_b"))).alias("most")
+    pairs = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(most, F.first(F.col("n_a") + F.col("n_b")).alias("n"))
+    return pairs.where(100 * F.col("most") >= percent * (F.col("n") - F.col("most"))).select("a", "b")
+
+
+def _band(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(1 + BAND)).cast("int")
 
 
-def _rest(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs not known to be connected that share as many prefix shingles as the shorter lengthening asks for.
+def _core_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (``a``, ``b``) without a rare shingle in common: what they share lies in the smaller of their cores.
 
-    Pairs whose parity maps differ in more bits than similar sets can differ in
-    shingles are left out in the join itself.
+    So a node's core bounds the sizes of the sets that it can be similar to. A pair
+    meets in a shingle and a band of each side's size, if either size is within the other's bounds,
+    and not at all where a shingle and bands hold connected nodes alone. It needs as many shared prefix shingles as
+    the shorter lengthening asks for; parity maps may differ in no more bits than similar sets in shingles.
     """
-    left, right = _sides(rows)
+    rows = rows.withColumn("most", F.expr(f"(({100 + percent} * core) div {percent}) - n")).join(nodes.select("node", *_PARITIES), "node")
+    least = -F.floor(-percent * F.col("n") / 100)
+    left, right = _sides(rows.withColumn("band", _band(F.col("n"))).withColumn("least", least))
+    left = left.where("most_a >= n_a").withColumn("band_b", F.explode(F.sequence("band_a", _band(F.col("most_a")))))
+    right = right.where("least(most_b, n_b) >= least_b").withColumn("band_a", F.explode(F.sequence(_band(F.col("least_b")), _band(F.least("most_b", "n_b")))))
+    keys = ["shingle", "band_a", "band_b"]
+    mixed = left.select(*keys, F.col("label_a").alias("label")).union(right.select(*keys, F.col("label_b").alias("label")))
+    mixed = mixed.groupBy(*keys).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(*keys)
+    order = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
+    within = (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b"))
     apart = sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _PARITIES)
     near = (100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
-    met = left.join(right, "shingle").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & _alike(percent) & near)
+    met = left.join(mixed, keys).join(right, keys).where(order & (F.col("label_a") != F.col("label_b")) & within & _alike(percent) & near)
     needs = F.least("matches_a", "matches_b").alias("needs")
-    return met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), needs).agg(F.count("*").alias("shared")).where("shared >= needs").select("a", "b")
+    return met.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), needs).agg(F.count("*").alias("shared")).where("shared >= needs").select("a", "b")
+
+
+def _open_shingles(nodes: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Shingles that several of ``nodes`` hold in their whole sets, by node, with the number ``df`` of these; and the nodes with ``core``, how many of theirs aren't rare."""
+    whole = written(_exploded(sets.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])), "open-shingles")
+    held = whole.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    shared = written(whole.join(written(held, "open-counts"), "shingle"), "shared-open-shingles")
+    discard(whole)
+    cores = shared.where(F.col("df") > RARE).groupBy("node").agg(F.count("*").alias("core"))
+    return shared, written(nodes.join(cores, "node", "left").withColumn("core", F.coalesce("core", F.lit(0))), "open-nodes")
+
+
+def _rest(rows: DataFrame, shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """All pairs not known to be connected that can be similar enough.
+
+    Both sides of such a pair are among ``rows``, the open postings. A pair
+    either shares a shingle that is rare among their whole sets, and then meets in
+    it, or has only the rest in common, its core, and then must meet in a prefix
+    shingle that isn't rare.
+    """
+    ends = rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "label", "core")))
+    by_rare = written(_rare_pairs(shared.where(F.col("df") <= RARE).select("node", "shingle").join(ends, "node"), percent), "rare-pairs")
+    common = shared.where(F.col("df") > RARE).select("shingle").distinct()
+    alive = rows.where(100 * F.col("core") >= percent * F.col("n"))
+    by_core = written(_core_pairs(alive.join(common, "shingle", "left_semi"), nodes, percent), "core-pairs")
+    return by_rare.union(by_core).distinct()
 
 
 def ngram_join(df: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
@@ -294,30 +373,50 @@ def ngram_join(df: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     firsts = members.join(nodes.select("node", F.col("first").alias("doc_id")), ["node", "doc_id"])  # of equal sets, one document
     rows = firsts.select("node", F.col("n_shingles").alias("n"), "matches", F.size("prefix").alias("reach"), F.posexplode("prefix").alias("at", "shingle"))
     df_of = Window.partitionBy("shingle")
-    shared = written(rows.withColumn("df", F.count("*").over(df_of)).where("df > 1").drop("df"), "shared-shingles")
+    shared = written(rows.withColumn("df", F.count("*").over(df_of)).where("df > 1"), "shared-shingles")
     of_node = Window.partitionBy("node")
-    own = F.col("reach") - F.count("*").over(of_node)  # shingles of the prefix that no other node has there
-    postings = written(shared.withColumn("own", own).withColumn("met", F.dense_rank().over(of_node.orderBy("at")) - 1), "postings")
+    fame = F.sum("df").over(of_node) / F.col("reach")  # nodes in whose middle others lie have the most frequent shingles
+    postings = written(shared.withColumn("fame", fame).withColumn("met", F.dense_rank().over(of_node.orderBy("at")) - 1).drop("df"), "postings")
     discard(shared)
+
     links = labels = sets = None
-    for k in range(LEADER_ROUNDS + 1):
-        labelled = postings.withColumn("label", F.col("node")) if labels is None else postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        if k < LEADER_ROUNDS:
-            pairs = written(_led(labelled, k, percent), "pairs")
-        else:
-            still_open = written(_open_rows(labelled, nodes), "open-postings")
-            pairs = written(_rest(still_open, percent), "pairs")
-            discard(still_open, postings)
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        if labels is None:
+            return rows.withColumn("label", F.col("node"))
+        return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    def fetch(ends: DataFrame) -> None:
+        """Adds the sets of the nodes ``ends`` to those at hand."""
+        nonlocal sets
         if sets is not None:
             ends = ends.join(sets.select("node"), "node", "left_anti")
         fresh = written(_sets_of(docs, nodes.join(ends, "node").select(F.col("first").alias("doc_id")), n), "shingle-sets")
         sets = fresh if sets is None else sets.union(fresh)
+
+    def compare(pairs: DataFrame, rounds: int | None) -> None:
+        """Adds the similar ones of ``pairs`` to the links and labels anew."""
+        nonlocal links, labels
+        pairs = written(pairs, "pairs")
+        fetch(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
         found = written(_verified(pairs, sets, percent), "similar")
-        links = found if links is None else links.union(found)
         discard(pairs)
-        labels = components(links, None if k == LEADER_ROUNDS else 3)
-    discard(sets)
+        links = found if links is None else links.union(found)
+        labels = components(links, rounds)
+
+    for k in range(LEADER_ROUNDS):
+        first = -F.col("fame") if k == 0 else F.xxhash64("node", F.lit(k)).cast("double")
+        compare(_led(labelled(postings), first, k / 2, percent), 3)
+    left = written(_open_postings(labelled(postings)).drop("label"), "open-postings")
+    discard(postings)
+    ends = written(left.select("node").distinct(), "open-ends")
+    fetch(ends)
+    open_shingles, ends = _open_shingles(ends, sets)
+    left = left.join(ends, "node")
+    compare(_led(labelled(left), -F.col("core") / F.col("n"), 0.0, percent), 3)  # leaders with the least of their own
+    still_open = written(_open_postings(labelled(left)), "open-postings")
+    compare(_rest(still_open, open_shingles, nodes, percent), None)
+    discard(still_open, open_shingles, sets)
     named = nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     classes = named.join(smallest, "label").select("node", "component_id")
