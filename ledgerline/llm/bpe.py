@@ -13,7 +13,6 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -165,13 +164,16 @@ class PairIndexBpe:
         return [data[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
 
 
-@lru_cache(maxsize=1)
-def model(path: str) -> PairIndexBpe:
-    return PairIndexBpe(path)
+class PairIndexEncoder(PieceEncoder):
+    """A vocabulary and the pieces remembered with it."""
+
+    def __init__(self, path: str):
+        self.bpe = PairIndexBpe(path)
+        super().__init__(self.bpe.split, self.bpe.encode_pieces)
 
 
-def pair_index_encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(model(path).split, model(path).encode_pieces)
+def pair_index_encoder(path: str) -> PairIndexEncoder:
+    return PairIndexEncoder(path)
 
 
 def bpe_encode(df: DataFrame, path: str) -> DataFrame:
@@ -196,7 +198,7 @@ def bpe_decode(df: DataFrame, path: str) -> DataFrame:
     small_batches(df.sparkSession)
 
     def run(batches):
-        bpe = model(path)
+        bpe = worker_encoder(pair_index_encoder, path).bpe  # a worker may encode in one task and decode in the next
         for table in gathered(batches, "ids"):
             ids = table.column("ids").combine_chunks()
             offsets = ids.offsets.to_numpy().astype(np.int64)

@@ -9,25 +9,24 @@ table, so that scoring whole corpora is table lookups.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import gathered, small_batches
+from .common import gathered, small_batches, written
 
 #: Bytes of a window; filters of each width.
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 128, (2, 3, 4), 8, 8
-#: Documents of each language that train the network at most, and windows of each, from places that its id chooses.
+#: Rows of each language that train the network at most, and windows of each, from places that its id chooses.
 TRAINING_DOCS, TRAINING_WINDOWS = 800, 4
-MOST_LANGUAGES = 256
 EPOCHS, BATCH, RATE = 12, 64, 0.01
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -122,30 +121,36 @@ def score_windows(x: np.ndarray, tables: dict[int, list[np.ndarray]], out: np.nd
 
 
 def train(df: DataFrame) -> ByteNetwork | None:
-    """A network from a bounded sample of the rows of ``df`` (doc_id, text, lang); None without any label."""
-    rows = df.where("text is not null and lang is not null and doc_id is not null").select("text", "lang", F.xxhash64("doc_id").alias("h"))
-    found = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MOST_LANGUAGES).collect()
-    if not found:
-        return None
-    share = {r["lang"]: min(1.0, TRAINING_DOCS / r["n"]) for r in found}
-    part = F.create_map(*(F.lit(v) for kv in share.items() for v in kv))[F.col("lang")]
-    picked = rows.where((F.pmod("h", F.lit(1_000_000)) / 1_000_000) < part)  # a share by hash: about TRAINING_DOCS of each language
+    """A network from at most TRAINING_DOCS rows of each language of ``df`` (doc_id, text, lang); None without any label.
+
+    Rows are chosen by a hash of id and text, so that repeated rows count like others. Languages are as many as
+    ``lang`` has values: all are learned, and the network has an output for each.
+    """
+    rows = df.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
+    sizes = written(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    about = F.lit(2.0 * TRAINING_DOCS) / F.col("n")  # twice as many as may stay, before any text is cut
+    picked = rows.join(sizes, "lang").where(F.pmod("h", F.lit(1 << 30)) / (1 << 30) < about).select("text", "lang", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for text, lang, h in zip(*(b.column(k).to_pylist() for k in range(3))):
+            cut = []
+            for text, h in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
                 w, _ = windows([text.encode()])
                 at = np.unique(np.random.default_rng(h & 0xFFFFFFFF).integers(0, len(w), TRAINING_WINDOWS))
-                for i in at:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([h], pa.int64()), pa.array([int(i)], pa.int32()), pa.array([w[i].tobytes()], pa.binary())], ["lang", "h", "at", "bytes"])
-
-    sample = sorted((r["h"], r["at"], bytes(r["bytes"]), r["lang"]) for r in picked.mapInArrow(run, "lang string, h long, at int, bytes binary").collect())
-    sample = [r for r in sample if any(c > 64 for c in r[2])]
+                cut.append(w[at].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(cut, pa.binary())], ["lang", "h", "bytes"])
+
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "bytes")
+    chosen = picked.mapInArrow(run, "lang string, h long, bytes binary").withColumn("place", F.row_number().over(order)).where(F.col("place") <= TRAINING_DOCS)
+    found = sorted((r["lang"], r["place"], bytes(r["bytes"])) for r in chosen.select("lang", "place", "bytes").collect())
+    sample = [(lang, b[k : k + WINDOW]) for lang, _, b in found for k in range(0, len(b), WINDOW)]
+    sample = [r for r in sample if any(c > 64 for c in r[1])]
     if not sample:
         return None
-    languages = sorted({r[3] for r in sample})
+    languages = sorted({r[0] for r in sample})
+    number = {x: i for i, x in enumerate(languages)}
     network = ByteNetwork(languages)
-    network.fit(np.frombuffer(b"".join(r[2] for r in sample), np.uint8).reshape(-1, WINDOW), np.array([languages.index(r[3]) for r in sample]))
+    network.fit(np.frombuffer(b"".join(r[1] for r in sample), np.uint8).reshape(-1, WINDOW), np.array([number[r[0]] for r in sample]))
     return network
 
 

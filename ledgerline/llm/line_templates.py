@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import clear_of, row_key, written
 
 #: Leading tokens that are levels of the tree; the sign of a variable field.
 DEPTH, FIELD = 3, "<*>"
@@ -47,10 +47,6 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def row_key() -> Column:
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))
-
-
 def _small(df: DataFrame) -> DataFrame:
     """A written table of hashes, broadcast if its rows have been counted and are few."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -106,14 +102,14 @@ def drop_templates(df: DataFrame) -> DataFrame:
     comes after all others. Columns named n_lines or n_dropped are replaced.
     """
     gone = recurring_lines(df.select("doc_id", "text"))
-    rest = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
+    rest = [c for c in df.columns if c.lower() not in ("n_lines", "n_dropped")]
+    key, lost, left = (clear_of(c, rest) for c in ("row", "lost", "left"))
     hit = df.select(row_key().alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.explode(F.transform(F.array_distinct(lines_of(F.col("text"))), lambda x: F.xxhash64(x))).alias("line_hash"))
-    hit = hit.join(_small(gone), "line_hash").where("doc <> keeper").groupBy("key").agg(F.collect_set("line_hash").alias("_gone"))
-    marked = df.select(*rest).withColumn("_key", row_key()).join(written(hit, "dropped-lines").withColumnRenamed("key", "_key").hint("shuffle_hash"), "_key", "left")
-    kept = F.filter(lines_of(F.col("text")), lambda x: ~F.array_contains("_gone", F.xxhash64(x)))
+    hit = hit.join(_small(gone), "line_hash").where("doc <> keeper").groupBy("key").agg(F.collect_set("line_hash").alias(lost))
+    marked = df.select(*rest).withColumn(key, row_key()).join(written(hit, "dropped-lines").withColumnRenamed("key", key).hint("shuffle_hash"), key, "left")
+    kept = F.filter(lines_of(F.col("text")), lambda x: ~F.array_contains(lost, F.xxhash64(x)))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long")
-    cut = marked.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n"))
-    dropped = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.col("_lines") - F.size("_kept")).cast("long")
-    out = cut.withColumn("_lines", n).withColumn("n_dropped", dropped).withColumn("text", text)
-    return out.select(*rest, F.col("_lines").alias("n_lines"), "n_dropped")
+    cut = marked.withColumn("n_lines", n).withColumn(left, F.when(F.col(lost).isNotNull(), kept))
+    text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    dropped = F.when(F.col(lost).isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size(left)).cast("long")
+    return cut.withColumn("n_dropped", dropped).withColumn("text", text).select(*rest, "n_lines", "n_dropped")

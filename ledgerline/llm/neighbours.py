@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import written
+from .common import small_batches, written
 
 #: Neighbours of a node, reverse neighbours that also take part in a round, and introductions that each gets from one list.
 NEIGHBOURS, REVERSE, INTRODUCED = 32, 16, 8
@@ -94,6 +95,7 @@ def _start(nodes: DataFrame, n: int, width: int) -> DataFrame:
     dealt = nodes.select("node", "code").mapInArrow(deal, "tree int, bucket long, node long, code binary")
     sizes = dealt.groupBy("tree", "bucket").agg(F.ceil(F.count("*") / (2 * BUCKET)).alias("parts"))  # large buckets are dealt out once more
     split = dealt.join(sizes, ["tree", "bucket"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), "parts"))
+    split = split.repartition("tree", "bucket", "part")  # else the parts of a large bucket stay in the task of their bucket
     lists = split.groupBy("tree", "bucket", "part").agg(F.collect_list(F.struct("node", "code")).alias("members")).select("members")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,17 +165,20 @@ def neighbour_graph(nodes: DataFrame, n: int, width: int) -> DataFrame:
     return graph
 
 
-def _scored(asked: DataFrame, blocks: DataFrame, dims: int) -> DataFrame:
-    """``query``, ``ids``, ``scores``: the products of each query with the nodes asked for, worked out where the nodes lie."""
+def _scored(asked: DataFrame, blocks: DataFrame, row: np.dtype) -> DataFrame:
+    """``query``, ``ids``, ``scores``: the products of each query with the nodes asked for, worked out where the nodes lie.
+
+    ``row`` is the type of a whole vector.
+    """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
         if left.num_rows and right.num_rows:
             ids = right.column("node").to_numpy()
             order = np.argsort(ids)
-            vectors = _fixed(right.column("vector").combine_chunks(), 4 * dims).view("<f4")[order].astype(np.float64)
+            vectors = _fixed(right.column("vector").combine_chunks(), row.itemsize).view(row.base)[order].astype(np.float64)
             ids = ids[order]
-            queries = _fixed(left.column("vector").combine_chunks(), 4 * dims).view("<f4").astype(np.float64)
+            queries = _fixed(left.column("vector").combine_chunks(), row.itemsize).view(row.base).astype(np.float64)
             for q, vector, want in zip(left.column("query").to_pylist(), queries, left.column("ids")):
                 want = want.values.to_numpy()
                 at = np.searchsorted(ids, want)
@@ -187,7 +192,7 @@ def _scored(asked: DataFrame, blocks: DataFrame, dims: int) -> DataFrame:
     return asked.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(run, "query long, ids array<long>, scores array<double>")
 
 
-def graph_search(queries: DataFrame, graph: DataFrame, blocks: DataFrame, dims: int, entries: list[int]) -> DataFrame:
+def graph_search(queries: DataFrame, graph: DataFrame, blocks: DataFrame, row: np.dtype, entries: list[int]) -> DataFrame:
     """``query``, ``ids`` and ``scores`` of the BEAM best nodes that a greedy search meets.
 
     ``queries`` has ``query``, ``node`` (where it starts) and ``vector``; ``blocks``
@@ -227,7 +232,7 @@ def graph_search(queries: DataFrame, graph: DataFrame, blocks: DataFrame, dims:
     parts = blocks.agg((F.max("block") + 1).alias("parts"))
     for turn in range(SEARCHES + 1):
         asked = start.join(homes, "query").join(pools, "query").crossJoin(F.broadcast(parts)).select("query", "vector", "new", F.concat("ids", "visited").alias("known"), "parts")
-        answers = _scored(asked.mapInArrow(deal, "block long, query long, vector binary, ids array<long>"), blocks, dims)
+        answers = _scored(asked.mapInArrow(deal, "block long, query long, vector binary, ids array<long>"), blocks, row)
         answers = answers.groupBy("query").agg(F.collect_list("ids").alias("i"), F.collect_list("scores").alias("s"))
         pools = pools.join(answers, "query", "left").select("query", "ids", "scores", "visited", "i", "s").mapInArrow(take, "query long, ids array<long>, scores array<double>, visited array<long>, visit array<long>")
         pools = written(pools, "pools")
@@ -247,15 +252,17 @@ def nearest_neighbours(df: DataFrame, every: int = 20, k: int = 20) -> DataFrame
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of the ``k`` nearest rows found for each query, by inner product.
 
     Queries are the rows whose vec_id is divisible by ``every``; candidates all
-    rows but the query's own. Null, empty or zero vectors, those with null or
+    rows but the query's own. Components count as they are, single or double. Null, empty or zero vectors, those with null or
     non-finite components, those of another length than the most frequent one
     and null vec_ids take no part. Rows with equal vectors are all candidates;
     of rows that share a vec_id, those with the smallest vector take part. Other
     columns are left out.
     """
     spark: SparkSession = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
-    v = F.col("embedding").cast("array<float>")
+    small_batches(spark)
+    given = df.schema["embedding"].dataType
+    single = isinstance(given, T.ArrayType) and isinstance(given.elementType, T.FloatType)
+    v = F.col("embedding").cast("array<float>" if single else "array<double>")
     finite = ~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = df.select("vec_id", v.alias("e")).where(F.col("vec_id").isNotNull() & F.col("e").isNotNull()).where(finite & F.exists("e", lambda x: x != 0))
     rows = rows.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("e").alias("e"))
@@ -269,6 +276,7 @@ def nearest_neighbours(df: DataFrame, every: int = 20, k: int = 20) -> DataFrame
     norm = F.aggregate("e", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     n, longest = first.agg(F.count("*"), F.max(norm)).first()
     parts = max(1, -(-n // BLOCK))
+    row = np.dtype(("<f4" if single else "<f8", (dims,)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -277,7 +285,7 @@ def nearest_neighbours(df: DataFrame, every: int = 20, k: int = 20) -> DataFrame
             lift = np.sqrt(np.maximum(0, longest - (vectors.astype(np.float64) ** 2).sum(1)))  # so that the nearest have the largest product
             codes = _codes(np.concatenate([vectors, lift[:, None]], 1))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(ids_block(ids, parts)), pa.array([x.tobytes() for x in vectors.astype("<f4")], pa.binary()), pa.array([x.tobytes() for x in codes], pa.binary())],
+                [b.column(0), pa.array(ids_block(ids, parts)), pa.array([x.tobytes() for x in vectors.astype(row.base)], pa.binary()), pa.array([x.tobytes() for x in codes], pa.binary())],
                 ["node", "block", "vector", "code"],
             )
 
@@ -286,7 +294,7 @@ def nearest_neighbours(df: DataFrame, every: int = 20, k: int = 20) -> DataFrame
     own = rows.where((F.size("e") == dims) & (F.col("vec_id") % every == 0)).join(first.select("e", F.col("vec_id").alias("node")), "e")
     queries = written(own.select(F.col("vec_id").alias("query"), "node").join(nodes.select("node", "vector"), "node").select("query", "node", "vector"), "queries")
     entries = [r[0] for r in first.orderBy(F.desc(norm), "vec_id").limit(ENTRIES).select("vec_id").collect()]
-    found = graph_search(queries, graph, nodes.select("node", "block", "vector"), dims, entries)
+    found = graph_search(queries, graph, nodes.select("node", "block", "vector"), row, entries)
     near = found.select(F.col("query").alias("query_id"), F.posexplode(F.slice(F.arrays_zip("ids", "scores"), 1, k + 1)).alias("at", "hit")).select("query_id", F.col("hit.ids").alias("node"), F.col("hit.scores").alias("score"))
     members = classes.join(first.select("e", F.col("vec_id").alias("node")), "e").select("node", "vec_id")
     hits = near.join(members, "node").where(F.col("vec_id") != F.col("query_id"))

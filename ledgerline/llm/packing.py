@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import pair_index_encoder
-from .common import list_array, small_batches
+from .common import binary_array, clear_of, small_batches
 from .tokenizing import encoded_batches, ranges, worker_encoder
 
 CAPACITY = 2048
@@ -106,7 +106,7 @@ def plan_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int
 
 
 def encode_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
-    """``doc_id``, ``piece``, ``start``, ``length`` and ``ids`` of every document's pieces.
+    """``doc_id``, ``piece``, ``start``, ``length`` and ``ids`` (little-endian unsigned 32-bit integers) of every document's pieces.
 
     A document is the ids of its whole text (a null text has none) and the end
     id. Only longer ones than ``capacity`` are cut; the first piece may be
@@ -119,7 +119,7 @@ def encode_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int = CA
         for table, ids, offsets in encoded_batches(batches, "text", enc):
             sizes = np.diff(offsets) + 1
             ends = np.cumsum(sizes)
-            flat = np.full(int(ends[-1]), end_id, np.int32)
+            flat = np.full(int(ends[-1]), end_id, "<u4")
             flat[ranges(ends - sizes, sizes - 1)] = ids
             first = (sizes - 1) % capacity + 1
             n = (sizes - first) // capacity + 1
@@ -133,34 +133,38 @@ def encode_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int = CA
                     pa.array(piece, pa.int32()),
                     pa.array(start),
                     pa.array(length),
-                    list_array(flat, np.r_[0, np.cumsum(length)], pa.int32()),
+                    binary_array(flat, np.r_[0, np.cumsum(length)]),
                 ],
                 ["doc_id", "piece", "start", "length", "ids"],
             )
 
     out = T.StructType(
-        [df.schema["doc_id"], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
+        [df.schema["doc_id"], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())]
     )
     return df.select("doc_id", "text").mapInArrow(run, out)
 
 
 def best_fit_pack(pieces: DataFrame, keys: list[str], capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``; ``keys`` tell the rows apart (rows that agree in them may swap places).
+    """``pieces`` with ``sequence_id`` and ``offset``, in place of any columns so called; ``keys`` tell the rows apart (rows that agree in them may swap places).
 
     ``length`` must be from 1 to ``capacity``. Sequences are filled from offset
     0 without gaps. ``pieces`` is read twice and must not change in between: a
     written table. An empty table stays empty.
     """
     spark: SparkSession = pieces.sparkSession
+    kept = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    share, number, base_of, at = (clear_of(c, kept) for c in ("share", "row", "base", "at"))
+    run = {c: clear_of(f"run_{c}", kept) for c in ("length", "rank", "n", "sequence", "offset")}
+    pieces = pieces.select(*kept)
     shares = max(SHARES, pieces.count() // SHARE_ROWS)
-    dealt = pieces.withColumn("_share", F.pmod(F.xxhash64(*keys), F.lit(shares)))
-    sizes = dealt.groupBy("length", "_share").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("length").orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select("length", "_share", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    counts = pieces.groupBy("length").count().collect()  # at most as many rows as the capacity
-    runs = spark.createDataFrame(plan_runs({r["length"]: r["count"] for r in counts}, capacity), "_length long, _rank long, _n long, _sequence long, _offset long")
-    numbered = dealt.withColumn("_row", F.row_number().over(Window.partitionBy("length", "_share").orderBy(*keys)) - 1)
-    ranked = numbered.join(base, ["length", "_share"]).withColumn("_at", F.col("_row") + F.col("_base"))
-    at = F.col("_at")
-    placed = ranked.join(F.broadcast(runs), (F.col("length") == F.col("_length")) & (at >= F.col("_rank")) & (at < F.col("_rank") + F.col("_n")))
-    return placed.select(*pieces.columns, (F.col("_sequence") + at - F.col("_rank")).alias("sequence_id"), F.col("_offset").alias("offset"))
+    dealt = pieces.withColumn(share, F.pmod(F.xxhash64(*keys), F.lit(shares)))
+    sizes = dealt.groupBy("length", share).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy(share).rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("length", share, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(base_of))
+    counts = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most as many rows as the capacity
+    runs = spark.createDataFrame(plan_runs({r["length"]: r["n"] for r in counts}, capacity), ", ".join(f"{c} long" for c in run.values()))
+    numbered = dealt.withColumn(number, F.row_number().over(Window.partitionBy("length", share).orderBy(*keys)) - 1)
+    ranked = numbered.join(base, ["length", share]).withColumn(at, F.col(number) + F.col(base_of))
+    in_run = (F.col("length") == F.col(run["length"])) & (F.col(at) >= F.col(run["rank"])) & (F.col(at) < F.col(run["rank"]) + F.col(run["n"]))
+    placed = ranked.join(F.broadcast(runs), in_run)
+    return placed.select(*kept, (F.col(run["sequence"]) + F.col(at) - F.col(run["rank"])).alias("sequence_id"), F.col(run["offset"]).alias("offset"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import row_key, written
 from .spans import SPACE, let, located, marks, spelled
 
 #: The base kinds in order. Quantifiers that nothing follows are possessive, and a match starts at the
@@ -132,10 +132,6 @@ def find_pii(df: DataFrame) -> DataFrame:
     return found.join(added, "key", "left").select("doc_id", "key", F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>"))).alias("pii"))
 
 
-def row_key() -> Column:
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))
-
-
 def pii_digest(found: DataFrame) -> DataFrame:
     """Counts and spans of the marks, as text."""
     base = F.filter("pii", lambda m: m["order"] < len(KINDS))

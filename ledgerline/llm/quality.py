@@ -15,11 +15,11 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import gathered, small_batches
+from .common import gathered, row_key, small_batches
 
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -176,7 +176,7 @@ def repeated_words(words: list[list[bytes]]) -> list[int]:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
-    """Line features and marks of TRAINING_DOCS labelled documents of each class, chosen by a hash of their id."""
+    """Line features and marks of at most TRAINING_DOCS rows of labelled documents of each class, chosen by a hash of their id."""
     marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").alias("mark")).distinct()
     chosen = [marked.where(F.col("mark") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_DOCS) for c in (0, 1)]
     ids = F.broadcast(chosen[0].union(chosen[1]))  # 2 * TRAINING_DOCS rows
@@ -191,14 +191,15 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], np.nda
                 part = features[first : first + TRAINING_LINES].astype(np.int16)
                 yield pa.RecordBatch.from_arrays([pa.array([h], pa.int64()), pa.array([mark], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["h", "mark", "lines"])
 
-    rows = picked.mapInArrow(run, "h long, mark int, lines binary").collect()  # so many rows, of TRAINING_LINES lines each
+    order = Window.partitionBy("mark").orderBy("h", "lines")  # rows may repeat an id
+    rows = picked.mapInArrow(run, "h long, mark int, lines binary").withColumn("place", F.row_number().over(order)).where(F.col("place") <= TRAINING_DOCS).collect()
     rows.sort(key=lambda r: (r["h"], r["mark"], bytes(r["lines"])))
     width = line_features([b""], np.zeros(1, bool)).shape[1]
     return [np.frombuffer(r["lines"], np.int16).reshape(-1, width).astype(np.int64) for r in rows], np.array([r["mark"] for r in rows], np.int64)
 
 
 def quality_rules(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id``, ``text``, the base counts, ``content_share``, ``base_failed`` and ``kept`` of every row.
+    """``doc_id``, ``key`` (as ``row_key`` gives), the base counts, ``content_share``, ``base_failed`` and ``kept`` of every row.
 
     A null text has no words and fails the base rules. Where ``labels``
     (doc_id, quality) don't hold both classes among the documents, no field can
@@ -235,7 +236,7 @@ def quality_rules(df: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     table.column("doc_id").combine_chunks(),
-                    table.column("text").combine_chunks(),
+                    table.column("key").combine_chunks(),
                     pa.array(n_words),
                     pa.array([len(x.decode()) for x in blob], pa.int64()),
                     pa.array([len(x) - len(x.translate(None, SYMBOLS)) for x in blob], pa.int64()),
@@ -245,8 +246,8 @@ def quality_rules(df: DataFrame, labels: DataFrame) -> DataFrame:
                     pa.array(failed),
                     pa.array(~failed & (share >= CONTENT_SHARE)),
                 ],
-                ["doc_id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content_share", "base_failed", "kept"],
+                ["doc_id", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content_share", "base_failed", "kept"],
             )
 
-    more = T.StructType.fromDDL("text string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content_share double, base_failed boolean, kept boolean")
-    return df.select("doc_id", "text").mapInArrow(run, T.StructType([df.schema["doc_id"], *more.fields]))
+    more = T.StructType.fromDDL("key string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content_share double, base_failed boolean, kept boolean")
+    return df.select("doc_id", row_key().alias("key"), "text").mapInArrow(run, T.StructType([df.schema["doc_id"], *more.fields]))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
-from .common import scratch_path, written
+from .common import ids_crc32, scratch_path, written
 from .language import identify_language
 from .language import train as train_network
 from .line_templates import drop_templates
@@ -18,7 +18,7 @@ from .pii import find_pii, pii_digest
 from .quality import quality_rules
 from .secrets import BASE_RULES, find_secrets
 from .spans import spelled
-from .token_files import ids_crc32, read_token_documents, write_token_blocks
+from .token_files import read_token_documents, write_token_blocks
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the token files of all documents and reads every document back."""
     path = scratch_path(spark, "token-blocks")
-    write_token_blocks(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 49_408, 2, path)
+    write_token_blocks(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2, path)
     return ids_crc32(read_token_documents(spark, path), ["doc_id", "start"])
 
 

@@ -16,7 +16,7 @@ from re import _parser as sre_parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import row_key, written
 from .spans import located, marks, spelled
 
 #: The base rules, as (kind, pattern for Java, its groups that a match must fill with so many characters).
@@ -93,8 +93,7 @@ def find_secrets(df: DataFrame, rules: tuple = BASE_RULES + MORE_RULES) -> DataF
     apart by doc_id and text, and rows alike in both have the same result.
     Columns besides doc_id and text are left out.
     """
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))
-    docs = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", key)
+    docs = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", row_key())
     queries = {r[0]: q for r in rules if (q := trigram_query(re.sub(r"(?<=[+*?}])\+", "", r[1])))}
     trigrams = sorted({t for q in queries.values() for c in q for t in c})
     if trigrams:

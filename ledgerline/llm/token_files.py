@@ -10,6 +10,8 @@ Spark's committer writes the parts, so a lost task leaves nothing behind.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.taskcontext import TaskContext
 
-from .common import small_batches, written
+from .common import binary_array, small_batches, written
 from .tokenizing import encoded_batches, library_encoder, ranges, worker_encoder
 
 BLOCK_IDS = 1 << 16
@@ -59,16 +61,24 @@ def unpack(packed: bytes, width: int, start: int, stop: int) -> np.ndarray:
     return (bits.astype(np.uint32) << np.arange(width, dtype=np.uint32)).sum(1, dtype=np.uint32)
 
 
-def write_token_blocks(df: DataFrame, tokenizer: str, vocabulary: int, end_id: int, path: str) -> None:
+def vocabulary_of(tokenizer: str) -> int:
+    """One more than the largest id that a tokenizer file gives."""
+    with open(tokenizer, encoding="utf-8") as f:
+        spec = json.load(f)
+    return 1 + max([*spec["model"]["vocab"].values(), *(x["id"] for x in spec.get("added_tokens", []))])
+
+
+def write_token_blocks(df: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
     """Encodes every whole text of ``df`` and writes the blocks to ``path``, ascending by doc_id over the shards.
 
+    Ids are as wide as the tokenizer file's vocabulary and ``end_id`` need.
     A null text counts as empty: it has the end id alone. Null doc_ids come
     first; rows that repeat a doc_id follow each other by text. Only doc_id and
     text are read. Ranges of doc_id deal the rows out, so that no order of all
     rows is made in one place.
     """
     small_batches(df.sparkSession)
-    width = width_of(vocabulary)
+    width = width_of(max(vocabulary_of(tokenizer), end_id + 1))
 
     def run(batches):
         shard, block, first = TaskContext.get().partitionId(), 0, 0
@@ -78,27 +88,28 @@ def write_token_blocks(df: DataFrame, tokenizer: str, vocabulary: int, end_id: i
             ends = np.cumsum(lengths)
             flat = np.full(int(ends[-1]), end_id, np.uint32)
             flat[ranges(ends - lengths, lengths - 1)] = ids
-            docs = table.column("doc_id").to_pylist()
+            docs = table.column("doc_id").combine_chunks()
             at = 0
             while at < len(docs):  # whole documents up to BLOCK_IDS ids, one at least
                 base = int(ends[at] - lengths[at])
                 to = max(at + 1, int(np.searchsorted(ends, base + BLOCK_IDS, "right")))
-                packed = pack(flat[base : int(ends[to - 1])], width)
-                yield pa.RecordBatch.from_pylist(
-                    [{"shard": shard, "block": block, "width": width, "first": first, "n_ids": int(ends[to - 1]) - base, "doc_ids": docs[at:to], "lengths": lengths[at:to].tolist(), "packed": packed}],
-                    schema=_ARROW,
+                n = int(ends[to - 1]) - base
+                one = pa.array([0, to - at], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(pa.array([x], kind) for x, kind in ((shard, pa.int32()), (block, pa.int64()), (width, pa.int32()), (first, pa.int64()), (n, pa.int64()))),
+                        pa.ListArray.from_arrays(one, docs[at:to]),
+                        pa.ListArray.from_arrays(one, pa.array(lengths[at:to])),
+                        pa.array([pack(flat[base : base + n], width)], pa.binary()),
+                    ],
+                    BLOCKS.names,
                 )
-                at, block, first = to, block + 1, first + int(ends[to - 1]) - base
+                at, block, first = to, block + 1, first + n
 
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).mapInArrow(run, BLOCKS).write.parquet(path)
 
 
-_ARROW = pa.schema(
-    [("shard", pa.int32()), ("block", pa.int64()), ("width", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("packed", pa.binary())]
-)
-
-
 def read_token_blocks(spark: SparkSession, path: str) -> DataFrame:
     """A row per block, with ``base``: how many ids all shards and blocks before it hold.
 
@@ -113,40 +124,48 @@ def read_token_blocks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_token_documents(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id``, ``start``, ``ids`` (array of long, the end id last) of every document in the files."""
+    """``doc_id``, ``start``, ``ids`` (little-endian unsigned 32-bit integers, the end id last) of every document in the files."""
     small_batches(spark)
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                lengths = np.array(row["lengths"], np.int64)
+        for b in batches:
+            for k in range(b.num_rows):
+                width, n, base, packed = (b.column(c)[k].as_py() for c in ("width", "n_ids", "base", "packed"))
+                docs, lengths = b.column("doc_ids")[k].values, b.column("lengths")[k].values.to_numpy()
                 ends = np.cumsum(lengths)
-                ids = unpack(row["packed"], row["width"], 0, row["n_ids"]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row["doc_ids"], pa.int64()),
-                        pa.array(row["base"] + ends - lengths, pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids)),
-                    ],
-                    ["doc_id", "start", "ids"],
-                )
+                yield pa.RecordBatch.from_arrays([docs, pa.array(base + ends - lengths), binary_array(unpack(packed, width, 0, n).astype("<u4"), np.r_[0, ends])], ["doc_id", "start", "ids"])
 
-    out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType()))])
-    return read_token_blocks(spark, path).select("width", "n_ids", "doc_ids", "lengths", "packed", "base").mapInArrow(run, out)
+    return read_token_blocks(spark, path).select("width", "n_ids", "doc_ids", "lengths", "packed", "base").mapInArrow(run, "doc_id long, start long, ids binary")
 
 
-def ids_crc32(df: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` with ``n_tokens`` and ``ids_crc32``, the checksum of ``ids`` as little-endian unsigned 32-bit integers."""
-    import zlib
+def _slices(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and ``ids``, ids number ``at`` to ``to`` of each row's block, from the bytes that hold them alone."""
 
     def run(batches):
         for b in batches:
-            ids = b.column(b.schema.get_field_index("ids"))
-            offsets = ids.offsets.to_numpy()
-            data = ids.values.to_numpy(zero_copy_only=False).astype("<u4")
-            crc = [zlib.crc32(data[x:y]) for x, y in zip(offsets.tolist(), offsets[1:].tolist())]
-            kept = [b.column(b.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], [*keep, "n_tokens", "ids_crc32"])
-
-    out = T.StructType([*(df.schema[c] for c in keep), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
-    return df.select(*keep, "ids").mapInArrow(run, out)
+            cut = [unpack(p.as_py(), w, x, y).astype("<u4").tobytes() for p, w, x, y in zip(b.column("packed"), *(b.column(c).to_pylist() for c in ("width", "at", "to")))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(cut, pa.binary())], [*keep, "ids"])
+
+    out = T.StructType([*(rows.schema[c] for c in keep), T.StructField("ids", T.BinaryType())])
+    return rows.select(*keep, "width", "at", "to", "packed").mapInArrow(run, out)
+
+
+def documents_by_id(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """``doc_id`` and ``ids`` of the documents in ``wanted`` (``doc_id``), found by the blocks' offsets.
+
+    The offsets alone are searched; packed ids are read of the blocks that hold a
+    document, and unpacked where it lies. Documents that share an id are all found; unknown and null ids give none.
+    """
+    small_batches(spark)
+    blocks = spark.read.schema(BLOCKS).parquet(path)
+    listed = blocks.select("shard", "block", F.posexplode(F.arrays_zip("doc_ids", "lengths")).alias("nr", "d"), "lengths").select("shard", "block", F.col("d.doc_ids").alias("doc_id"), F.col("d.lengths").alias("n"), F.expr("aggregate(slice(lengths, 1, nr), 0L, (a, x) -> a + x)").alias("at"))
+    places = listed.join(wanted.select(F.col("doc_id").cast("long")).distinct(), "doc_id").withColumn("to", F.col("at") + F.col("n"))
+    return _slices(places.join(blocks.select("shard", "block", "width", "packed"), ["shard", "block"]), ["doc_id"])
+
+
+def ids_between(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
+    """``start`` and ``ids``: the files' ids number ``start`` to ``stop``, counted over all documents, a row for each block that holds some."""
+    small_batches(spark)
+    blocks = read_token_blocks(spark, path).where((F.col("base") < stop) & (F.col("base") + F.col("n_ids") > start))
+    at, to = F.greatest(F.lit(start) - F.col("base"), F.lit(0)), F.least(F.lit(stop) - F.col("base"), F.col("n_ids"))
+    return _slices(blocks.withColumn("at", at).withColumn("to", to).withColumn("start", F.col("base") + F.col("at")), ["start"])

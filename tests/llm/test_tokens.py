@@ -8,9 +8,10 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from ledgerline.llm.bpe import bpe_decode, bpe_encode, model, pair_index_encoder
+from ledgerline.llm.bpe import PairIndexBpe, bpe_decode, bpe_encode, pair_index_encoder
+from ledgerline.llm.common import ids_crc32
 from ledgerline.llm.packing import best_fit_pack, encode_pieces, plan_runs
-from ledgerline.llm.token_files import ids_crc32, pack, read_token_documents, unpack, width_of, write_token_blocks
+from ledgerline.llm.token_files import documents_by_id, ids_between, pack, read_token_documents, unpack, vocabulary_of, width_of, write_token_blocks
 from ledgerline.llm.tokenizing import library_encoder
 
 from . import fixtures
@@ -35,7 +36,7 @@ def test_encoders_equal_the_library(path, make):
 def test_decoding_equals_the_library():
     rows, tokenizer = random_texts(2000), Tokenizer.from_file(BYTE)
     ids, at = pair_index_encoder(BYTE).encode(rows)
-    assert model(BYTE).decode(ids.astype(np.int64), at) == [tokenizer.decode(ids[a:b].tolist(), skip_special_tokens=False) for a, b in zip(at, at[1:])]
+    assert PairIndexBpe(BYTE).decode(ids.astype(np.int64), at) == [tokenizer.decode(ids[a:b].tolist(), skip_special_tokens=False) for a, b in zip(at, at[1:])]
 
 
 def test_encoder_forgets_without_another_result(monkeypatch):
@@ -66,16 +67,23 @@ def test_bit_packing(width):
 def test_token_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("ledgerline.llm.token_files.BLOCK_IDS", 500)
     docs, tokenizer = fixtures.documents(spark, clash=True), Tokenizer.from_file(WORD)
-    write_token_blocks(docs, WORD, 49_408, 2, str(tmp_path / "x"))
+    write_token_blocks(docs, WORD, 2, str(tmp_path / "x"))
     found = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in ids_crc32(read_token_documents(spark, str(tmp_path / "x")), ["doc_id", "start"]).collect())
     rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
-    at = 0
-    assert len(found) == len(rows)
+    at, whole = 0, []
+    assert len(found) == len(rows) and vocabulary_of(WORD) == 1 + max(tokenizer.get_vocab().values())
     for (start, doc_id, n, crc), (want, text) in zip(found, rows):
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
         assert (start, doc_id, n, crc) == (at, want, len(ids), zlib.crc32(np.array(ids, "<u4")))
         at += n
-    write_token_blocks(fixtures.empty(spark), WORD, 49_408, 2, str(tmp_path / "none"))
+        whole += ids
+    some = documents_by_id(spark, str(tmp_path / "x"), spark.createDataFrame([(0,), (3,), (12,), (99_999,), (None,)], "doc_id long")).collect()
+    want = sorted((r[0], [*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 2]) for r in rows if r[0] in (0, 3, 12))
+    assert sorted((r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in some) == want
+    for a, b in ((0, 1), (450, 1700), (at - 3, at + 9), (7, 7)):
+        cut = sorted((r.start, np.frombuffer(r.ids, "<u4").tolist()) for r in ids_between(spark, str(tmp_path / "x"), a, b).collect())
+        assert [x for _, part in cut for x in part] == whole[a:b] and (not cut or cut[0][0] == a)
+    write_token_blocks(fixtures.empty(spark), WORD, 2, str(tmp_path / "none"))
     assert read_token_documents(spark, str(tmp_path / "none")).count() == 0
 
 
