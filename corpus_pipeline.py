@@ -6,14 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import written
+from ledgerline.llm.common import clear_of, ids_crc32, row_key, written
 from ledgerline.llm.line_templates import drop_templates
 from ledgerline.llm.ngram_join import ngram_join
 from ledgerline.llm.packing import best_fit_pack, encode_pieces
-from ledgerline.llm.pii import find_pii, row_key
+from ledgerline.llm.pii import find_pii
 from ledgerline.llm.quality import quality_rules
 from ledgerline.llm.spans import redacted
-from ledgerline.llm.token_files import ids_crc32
 
 #: Near duplicates: words of a shingle, and per cent of the union that two documents share at least.
 SHINGLE_WORDS, SIMILARITY = 5, 80
@@ -22,8 +21,9 @@ SHINGLE_WORDS, SIMILARITY = 5, 80
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the line field keep."""
     judged = quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = judged.where("kept").select(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text").alias("_key")).distinct()
-    return docs.withColumn("_key", row_key()).join(kept, "_key", "left_semi").select(*docs.columns)
+    key = clear_of("row", docs.columns)
+    kept = judged.where("kept").select(F.col("key").alias(key)).distinct()
+    return docs.withColumn(key, row_key()).join(kept, key, "left_semi").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +41,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by its kind."""
-    found = find_pii(docs).where(F.size("pii") > 0).select(F.col("key").alias("_key"), F.col("pii").alias("_pii")).dropDuplicates(["_key"])
-    rows = docs.withColumn("_key", row_key()).join(written(found, "personal-data").hint("shuffle_hash"), "_key", "left")
-    text = F.when(F.col("_pii").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("_pii")))
+    key, pii = clear_of("row", docs.columns), clear_of("pii", docs.columns)
+    found = find_pii(docs).where(F.size("pii") > 0).select(F.col("key").alias(key), F.col("pii").alias(pii)).dropDuplicates([key])
+    rows = docs.withColumn(key, row_key()).join(written(found, "personal-data").hint("shuffle_hash"), key, "left")
+    text = F.when(F.col(pii).isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col(pii)))
     return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
