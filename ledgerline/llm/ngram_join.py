@@ -10,10 +10,10 @@ pair needs as many shared prefix shingles as the shorter lengthening asks for.
 
 Documents with equal sets are one node. Nodes that share a prefix shingle are
 first compared with one leader of each shingle only; nodes known to be
-connected are not compared again. Of what is left, shingles are counted over the
-whole sets. Once more each node is compared with leaders, now those that have the least of
-their own. Then pairs that share a rare shingle meet in it, which is a bounded number
-for each posting; other pairs have only common shingles to share, and meet if their
+connected are not compared again. What is left meets in shingles of few nodes, a
+bounded number of pairs for each posting. Of nodes that meet in crowded ones, shingles are counted over the
+whole sets. Once more each of them is compared with leaders, now those that have the least of
+their own. Then pairs that share a rare shingle meet in it; other pairs have only common shingles to share, and meet if their
 sizes allow it with so many. So members of a large group that differ from it by words of
 their own are never paired with each other, and no similar pair is left out.
 """
@@ -44,7 +44,7 @@ COST_UNIT, MOST_LENGTHENED = 8, 3
 LEADER_SHARE = 4
 #: Rounds with leaders before shingles are counted over the whole sets of what is left.
 LEADER_ROUNDS = 2
-#: Among nodes that are left for the last round, a shingle that no more of them hold is rare.
+#: A shingle that no more nodes hold is rare: all pairs of these are met. A shingle of more is crowded.
 RARE = 16
 #: Sizes of sets that differ by less than about this share meet in the same key of the last join.
 BAND = 0.02
@@ -270,9 +270,28 @@ def _led(postings: DataFrame, first: Column, shift: float, percent: int) -> Data
 
 
 def _open_postings(postings: DataFrame) -> DataFrame:
-    """Postings of the shingles whose nodes aren't all known to be connected."""
-    mixed = postings.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle")
-    return postings.join(mixed, "shingle").drop("fame")
+    """Postings of the shingles whose nodes aren't all known to be connected, with ``held``, how many nodes have the shingle."""
+    mixed = postings.groupBy("shingle").agg(F.count("*").alias("held"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle", "held")
+    return postings.join(mixed, "shingle")
+
+
+def _near(percent: int) -> Column:
+    """Whether parity maps differ in no more bits than similar sets in shingles."""
+    apart = sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _PARITIES)
+    return (100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+
+
+def _met_in_few(rows: DataFrame, crowded: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (``a``, ``b``) that meet in prefix shingles of RARE nodes at most, which is a bounded number for each posting.
+
+    They need as many shared prefix shingles as the shorter lengthening asks for,
+    with all that both might share of the ``crowded`` ones (``node``, ``crowd``).
+    """
+    rows = rows.join(crowded, "node", "left").withColumn("crowd", F.coalesce("crowd", F.lit(0))).join(nodes.select("node", *_PARITIES), "node")
+    left, right = _sides(rows)
+    met = left.join(right, "shingle").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & _alike(percent) & _near(percent))
+    needs = F.first(F.least("matches_a", "matches_b") - F.least("crowd_a", "crowd_b")).alias("needs")
+    return met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("shared"), needs).where("shared >= needs").select("a", "b")
 
 
 def _exploded(sets: DataFrame) -> DataFrame:
@@ -322,9 +341,7 @@ def _core_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     mixed = mixed.groupBy(*keys).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(*keys)
     order = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
     within = (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b"))
-    apart = sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _PARITIES)
-    near = (100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
-    met = left.join(mixed, keys).join(right, keys).where(order & (F.col("label_a") != F.col("label_b")) & within & _alike(percent) & near)
+    met = left.join(mixed, keys).join(right, keys).where(order & (F.col("label_a") != F.col("label_b")) & within & _alike(percent) & _near(percent))
     needs = F.least("matches_a", "matches_b").alias("needs")
     return met.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), needs).agg(F.count("*").alias("shared")).where("shared >= needs").select("a", "b")
 
@@ -340,9 +357,9 @@ def _open_shingles(nodes: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def _rest(rows: DataFrame, shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """All pairs not known to be connected that can be similar enough.
+    """All pairs not known to be connected that can be similar enough and meet in crowded shingles alone.
 
-    Both sides of such a pair are among ``rows``, the open postings. A pair
+    Both sides of such a pair are among ``rows``, the open postings of crowded shingles. A pair
     either shares a shingle that is rare among their whole sets, and then meets in
     it, or has only the rest in common, its core, and then must meet in a prefix
     shingle that isn't rare.
@@ -407,16 +424,19 @@ def ngram_join(df: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     for k in range(LEADER_ROUNDS):
         first = -F.col("fame") if k == 0 else F.xxhash64("node", F.lit(k)).cast("double")
         compare(_led(labelled(postings), first, k / 2, percent), 3)
-    left = written(_open_postings(labelled(postings)).drop("label"), "open-postings")
+    left = written(_open_postings(labelled(postings)).drop("label", "fame"), "open-postings")
     discard(postings)
-    ends = written(left.select("node").distinct(), "open-ends")
-    fetch(ends)
-    open_shingles, ends = _open_shingles(ends, sets)
-    left = left.join(ends, "node")
-    compare(_led(labelled(left), -F.col("core") / F.col("n"), 0.0, percent), 3)  # leaders with the least of their own
-    still_open = written(_open_postings(labelled(left)), "open-postings")
-    compare(_rest(still_open, open_shingles, nodes, percent), None)
-    discard(still_open, open_shingles, sets)
+    dense = left.where(F.col("held") > RARE).drop("held")
+    crowded = written(dense.groupBy("node").agg(F.count("*").alias("crowd")), "crowded")
+    fetch(crowded.select("node"))
+    shared_by, ends = _open_shingles(crowded.select("node"), sets)
+    dense = written(dense.join(ends, "node"), "crowded-postings")
+    compare(_led(labelled(dense), -F.col("core") / F.col("n"), 0.0, percent), 3)  # leaders with the least of their own
+    few = written(_met_in_few(labelled(left.where(F.col("held") <= RARE).drop("held")), crowded, nodes, percent), "met-in-few")
+    still_open = written(_open_postings(labelled(dense)).drop("held"), "crowded-open")
+    discard(left, dense)
+    compare(few.union(_rest(still_open, shared_by, nodes, percent)).distinct(), None)
+    discard(still_open, shared_by, sets)
     named = nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     classes = named.join(smallest, "label").select("node", "component_id")
