@@ -25,15 +25,11 @@ ASPECTS = (
 #: Suffixes of relevant files, and how an anchor is written.
 RELEVANT = r"\.(py|md|rst|toml)$"
 ANCHOR = r"^(repo|wiki)://([^/]+)/([^@]+)@([0-9a-f]{7,40})/([^#]+)#(?:L([0-9]+)-L([0-9]+)|sym=(.+))$"
-VERSION = r"^v?([0-9]+(?:\.[0-9]+)*(?:[.+-][0-9A-Za-z.+-]+)?)$"
+VERSION = r"^\s*v?([0-9]+(?:\.[0-9]+)*(?:[.+-][0-9A-Za-z.]+)?)\s*$"
 #: The ranks by which one of several definitions of a key wins.
 KIND_RANK = {"module": 3, "class": 2, "function": 2, "method": 2, "ambiguous": 2, "attribute": 1}
 
 
-def fact_key(symbol: Column, aspect: Column) -> Column:
-    return F.concat_ws("#", symbol, aspect)
-
-
 def authority(author: Column) -> Column:
     known = F.create_map(*(F.lit(x) for kv in AUTHORITY.items() for x in kv))
     return F.coalesce(F.try_element_at(known, author), F.lit(OTHER_AUTHORITY))
@@ -41,8 +37,7 @@ def authority(author: Column) -> Column:
 
 def canonical_version(text: Column) -> Column:
     """A version without ``v``, or null where the text is none."""
-    bare = F.trim(text)
-    return F.when(bare.rlike(VERSION), F.regexp_extract(bare, VERSION, 1))
+    return F.when(text.rlike(VERSION), F.regexp_extract(text, VERSION, 1))
 
 
 def anchor_part(uri: Column, part: int) -> Column:

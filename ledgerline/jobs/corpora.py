@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 CLAIMS_SQL = """
 claims AS (
   SELECT DISTINCT concat('py:cat.p', p_partkey, '.f#param.size.default') AS fact_key,
-    CASE l_linenumber % 5 WHEN 0 THEN 'docstring' WHEN 1 THEN 'readme' WHEN 2 THEN 'docs' WHEN 3 THEN 'changelog' ELSE 'projector' END AS author,
-    concat('src/cat/p', p_partkey, '.py') AS path,
-    CAST(CASE WHEN l_linenumber % 5 = 4 THEN p_size
-      ELSE p_size + CASE WHEN l_orderkey % 11 = 0 THEN 1 ELSE 0 END + CASE WHEN l_orderkey % 13 = 0 THEN 2 ELSE 0 END END AS VARCHAR) AS value,
-    CASE WHEN l_linenumber % 5 = 4 THEN 1.0e0 WHEN l_linenumber % 5 = 0 THEN 0.95e0 ELSE 0.7e0 END AS confidence,
-    l_orderkey AS orderkey
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 20 = 0)"""
+    author, concat('src/cat/p', p_partkey, '.py') AS path,
+    CAST(CASE WHEN author = 'projector' THEN p_size
+      ELSE p_size + CASE WHEN p_partkey % 4 = 0 AND l_orderkey % 11 = 0 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 6 = 0 AND l_orderkey % 13 = 0 THEN 2 ELSE 0 END END AS VARCHAR) AS value,
+    CASE author WHEN 'projector' THEN 1.0e0 WHEN 'docstring' THEN 0.95e0 ELSE 0.7e0 END AS confidence,
+    state
+  FROM (SELECT l_orderkey, p_partkey, p_size, l_returnflag AS state,
+      CASE WHEN p_partkey % 9 = 1 THEN 'projector' ELSE CASE l_linenumber % 5 WHEN 0 THEN 'docstring' WHEN 1 THEN 'readme' WHEN 2 THEN 'docs' WHEN 3 THEN 'changelog'
+        ELSE CASE WHEN p_partkey % 5 = 0 THEN 'wiki' ELSE 'projector' END END END AS author
+    FROM lineitem JOIN part ON l_partkey = p_partkey))"""
 DISTINCT_SQL = CLAIMS_SQL + """,
 claim AS (SELECT fact_key, author, path, value, max(confidence) AS confidence FROM claims GROUP BY ALL)"""
 SUMMARY_SQL = DISTINCT_SQL + """,
@@ -57,19 +59,22 @@ def part_path(key) -> F.Column:
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").where("l_orderkey % 20 = 0")
+    """Claims on the size of every part, one for each line of an order; ``state`` is the line's."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.col("l_returnflag").alias("state"))
     rows = lines.join(table(spark, sf_dir, "part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
-    n = F.col("l_linenumber") % 5
-    code = n == 4
-    author = F.when(n == 0, "docstring").when(n == 1, "readme").when(n == 2, "docs").when(n == 3, "changelog").otherwise("projector")
-    off = F.when(F.col("l_orderkey") % 11 == 0, 1).otherwise(0) + F.when(F.col("l_orderkey") % 13 == 0, 2).otherwise(0)
+    n, k = F.col("l_linenumber") % 5, F.col("p_partkey")
+    last = F.when(k % 5 == 0, "wiki").otherwise("projector")
+    author = F.when(k % 9 == 1, "projector").when(n == 0, "docstring").when(n == 1, "readme").when(n == 2, "docs").when(n == 3, "changelog").otherwise(last)
+    off = F.when((k % 4 == 0) & (F.col("l_orderkey") % 11 == 0), 1).otherwise(0) + F.when((k % 6 == 0) & (F.col("l_orderkey") % 13 == 0), 2).otherwise(0)
+    rows = rows.withColumn("author", author)
+    code = F.col("author") == "projector"
     return rows.select(
         F.concat(part_symbol("p_partkey"), F.lit("#param.size.default")).alias("fact_key"),
-        author.alias("author"),
+        "author",
         part_path("p_partkey").alias("path"),
         F.when(code, F.col("p_size")).otherwise(F.col("p_size") + off).cast("string").alias("value"),
-        F.when(code, 1.0).when(n == 0, 0.95).otherwise(0.7).alias("confidence"),
-        F.col("l_orderkey").alias("orderkey"),
+        F.when(code, 1.0).when(F.col("author") == "docstring", 0.95).otherwise(0.7).alias("confidence"),
+        "state",
     )
 
 

@@ -7,54 +7,74 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import types as Ty
 from ledgerline.jobs import corpora
-from ledgerline.operators.extraction import code_facts, doc_claims, symbols
+from ledgerline.operators.extraction import code_facts, doc_claims, symbol_events
 from ledgerline.operators.slots import fold_slots
+from ledgerline.scratch import written
 from ledgerline.sources.python_source import read_definitions
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two commits: every part's module, and then every seventh one, whose documentation is corrected where the number is even."""
+    """A module for each part over three commits, in three docstring styles; null content: the path is deleted.
+
+    The second commit has every seventh module again, with its documentation
+    corrected where the number is even. The third deletes some modules and
+    writes others anew without what they had. Every fourth module also has a class that its docstring calls deprecated.
+    """
     part = corpora.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"))
-    both = part.withColumn("seq", F.lit(1).cast("long")).union(part.where("k % 7 = 0").withColumn("seq", F.lit(2).cast("long")))
+    at = lambda rows, seq: rows.withColumn("seq", F.lit(seq).cast("long"))
+    rows = at(part, 1).union(at(part.where("k % 7 = 0"), 2)).union(at(part.where("k % 19 = 0 or k % 23 = 0"), 3))
     k, size = F.col("k"), F.col("size").cast("string")
     wrong = (k % 7 == 0) & ~((F.col("seq") == 2) & (k % 14 == 0))
     documented = F.when(wrong, F.col("size") + 1).otherwise(F.col("size")).cast("string")
+    ghost = lambda text: F.when(k % 11 == 0, text).otherwise("")
+    google = F.concat(F.lit("    Args:\n        size (int): Size of the item. Defaults to "), documented, F.lit(".\n"), ghost("        ghost: An undeclared option.\n"))
+    numpy = F.concat(F.lit("    Parameters\n    ----------\n    size : int\n        Size of the item.\n        Defaults to "), documented, F.lit(".\n"), ghost("    ghost\n        An undeclared option.\n"))
+    sphinx = F.concat(F.lit("    :param size: Size of the item.\n        Defaults to "), documented, F.lit(".\n    :type size: int\n"), ghost("    :param ghost: An undeclared option.\n"))
+    box = F.concat(
+        F.lit('\n\nclass Box:\n    """A box.\n\n    .. deprecated:: 2.0\n       Use f.\n    """\n\n    def __init__(self):\n        import warnings\n'),
+        F.when(k % 8 == 0, '        warnings.warn("no longer kept", DeprecationWarning)\n').otherwise(""), F.lit("        self.size = "), size, F.lit("\n"),
+    )
     good = F.concat(
         F.when(k % 13 == 0, "from vendor import opaque\n\n\n@opaque\n").otherwise(""),
         F.lit("def f(size: "), F.when(k % 5 == 0, "str").otherwise("int"), F.lit(" = "), size, F.when(k % 11 == 0, ", **kw").otherwise(""),
-        F.lit('):\n    """Return the shelf size.\n\n    Args:\n        size (int): Size of the item. Defaults to '), documented, F.lit(".\n"),
-        F.when(k % 11 == 0, "        ghost: An undeclared option.\n").otherwise(""), F.lit('    """\n    return size\n'),
+        F.lit('):\n    """Return the shelf size.\n\n'), F.when(k % 3 == 0, google).when(k % 3 == 1, numpy).otherwise(sphinx),
+        F.lit('    """\n    return size\n'), F.when(k % 4 == 0, box).otherwise(""),
     )
-    return both.select("seq", corpora.part_path("k").alias("path"), F.when(k % 17 == 0, F.lit("def f(:\n")).otherwise(good).alias("content"))
+    third = F.when(k % 19 != 0, "def g():\n    pass\n")
+    content = F.when(F.col("seq") == 3, third).when(k % 17 == 0, F.lit("def f(:\n")).otherwise(good)
+    return rows.select("seq", corpora.part_path("k").alias("path"), content.alias("content"))
 
 
 def extract_code_facts(spark, sf_dir):
-    return code_facts(read_definitions(sources(spark, sf_dir).where("seq = 1"))).select("path", "symbol_key", "aspect", "value")
+    return code_facts(read_definitions(sources(spark, sf_dir))).select("seq", "path", "symbol_key", "aspect", "value")
 
 
 def extract_doc_claims(spark, sf_dir):
-    return doc_claims(read_definitions(sources(spark, sf_dir).where("seq = 1"))).select("path", "symbol_key", "aspect", "value", "confidence")
+    return doc_claims(read_definitions(sources(spark, sf_dir))).select("seq", "path", "symbol_key", "aspect", "value", "confidence")
 
 
-def events(found: DataFrame) -> DataFrame:
-    """What each commit says of each symbol, from definitions: a row with its fields and claims."""
-    facts = code_facts(found).where("aspect <> 'kind'").groupBy("seq", "symbol_key").agg(F.map_from_entries(F.collect_list(F.struct("aspect", "value"))).alias("fields"))
-    claims = doc_claims(found).groupBy("seq", "symbol_key").agg(F.map_from_entries(F.collect_list(F.struct("aspect", "value"))).alias("claims"))
-    seen = symbols(found).where("kind <> 'module'").select("seq", "symbol_key", F.lit(True).alias("analyzed")).distinct()
-    return seen.join(facts, ["seq", "symbol_key"], "left").join(claims, ["seq", "symbol_key"], "left")
+def events(files: DataFrame) -> DataFrame:
+    """What each commit says of each symbol, from files (``seq``, ``path``, ``content``, null where deleted), each parsed once."""
+    found = written(read_definitions(files.where("content is not null")), "definitions")
+    return symbol_events(found, files.select("seq", "path"))
 
 
 def drift_end_to_end(spark, sf_dir):
-    """Sources to slots: definitions, facts and claims, then the fold of each symbol's commits."""
-    return fold_slots(events(read_definitions(sources(spark, sf_dir))))
+    """Sources to slots: definitions, facts and claims, removals, then the fold of each symbol's commits."""
+    return fold_slots(events(sources(spark, sf_dir)))
 
 
 def dispute_resolution(spark, sf_dir):
     """As end to end, with the disputed defaults of every third part resolved for the code."""
-    rows = events(read_definitions(sources(spark, sf_dir)))
-    k = F.regexp_extract("symbol_key", "p([0-9]+)[.]f", 1).cast("long")
-    code = F.map_filter("fields", lambda a, _: a == "param.size.default")
-    return fold_slots(rows.withColumn("resolved", F.when((k % 3 == 0) & (F.col("seq") == F.when(k % 7 == 0, 2).otherwise(1)), code))).where("aspect = 'param.size.default'")
+    k = F.regexp_extract("symbol_key", "p([0-9]+)[.]f", 1).try_cast("long")
+    code = F.filter("fields", lambda f: f["aspect"] == "param.size.default")
+    resolved = F.when((k % 3 == 0) & (F.col("seq") == F.when(k % 7 == 0, 2).otherwise(1)), code)
+    return fold_slots(events(sources(spark, sf_dir)), resolved).where("aspect = 'param.size.default'")
+
+
+def removal_events(spark, sf_dir):
+    """Symbols that a commit removes: what a path's next readable version lacks, or what goes with the path."""
+    return events(sources(spark, sf_dir)).where("fields is null").select("symbol_key", "seq", "path")
 
 
 def drift_totals(spark, sf_dir):
@@ -95,29 +115,46 @@ def canonical_literals(spark, sf_dir):
     return rows.join(texts, "written").select("k", "written", "canonical")
 
 
-QUERIES = {f.__name__: f for f in (extract_code_facts, extract_doc_claims, drift_end_to_end, dispute_resolution, drift_totals, type_provable, canonical_types, canonical_literals)}
-_P = "p AS (SELECT p_partkey AS k, p_size AS size, concat('src/cat/p', p_partkey, '.py') AS path, concat('py:cat.p', p_partkey) AS module, concat('py:cat.p', p_partkey, '.f') AS symbol_key FROM part WHERE p_partkey % 17 <> 0)"
-_SLOTS = _P + """,
-slots AS (
-  SELECT symbol_key, 'param.size.default' AS aspect, CASE WHEN k % 13 = 0 THEN 'abstain' WHEN k % 7 = 0 THEN 'contradict' ELSE 'corroborate' END AS outcome,
+QUERIES = {f.__name__: f for f in (extract_code_facts, extract_doc_claims, drift_end_to_end, dispute_resolution, removal_events, drift_totals, type_provable, canonical_types, canonical_literals)}
+_P = """every AS (SELECT p_partkey AS k, p_size AS size, concat('src/cat/p', p_partkey, '.py') AS path, concat('py:cat.p', p_partkey) AS module, concat('py:cat.p', p_partkey, '.f') AS symbol_key FROM part),
+p AS (SELECT *, 1 AS seq FROM every WHERE k % 17 <> 0 UNION ALL SELECT *, 2 FROM every WHERE k % 17 <> 0 AND k % 7 = 0),
+late AS (SELECT * FROM every WHERE k % 23 = 0 AND k % 19 <> 0)"""
+_SLOTS = """every AS (SELECT p_partkey AS k, p_size AS size, concat('py:cat.p', p_partkey) AS module, p_partkey % 19 = 0 OR p_partkey % 23 = 0 AS gone FROM part WHERE p_partkey % 17 <> 0),
+p AS (SELECT *, concat(module, '.f') AS symbol_key FROM every),
+latest AS (
+  SELECT symbol_key, gone, 'param.size.default' AS aspect, CASE WHEN k % 13 = 0 THEN 'abstain' WHEN k % 7 = 0 THEN 'contradict' ELSE 'corroborate' END AS outcome,
     CASE WHEN k % 13 <> 0 THEN CAST(size AS VARCHAR) END AS code_value, CAST(CASE WHEN k % 13 = 0 AND k % 14 = 0 THEN size WHEN k % 7 = 0 THEN size + 1 ELSE size END AS VARCHAR) AS doc_value,
     CASE WHEN k % 13 <> 0 AND k % 7 = 0 THEN 1 END AS opened_seq, CASE WHEN k % 13 <> 0 AND k % 14 = 0 THEN 1 ELSE 0 END AS deferred FROM p
-  UNION ALL SELECT symbol_key, 'param.size.type', CASE WHEN k % 13 = 0 THEN 'abstain' WHEN k % 5 = 0 THEN 'contradict' ELSE 'corroborate' END, CASE WHEN k % 13 <> 0 THEN CASE WHEN k % 5 = 0 THEN 'str' ELSE 'int' END END, 'int',
+  UNION ALL SELECT symbol_key, gone, 'param.size.type', CASE WHEN k % 13 = 0 THEN 'abstain' WHEN k % 5 = 0 THEN 'contradict' ELSE 'corroborate' END, CASE WHEN k % 13 <> 0 THEN CASE WHEN k % 5 = 0 THEN 'str' ELSE 'int' END END, 'int',
     CASE WHEN k % 13 <> 0 AND k % 5 = 0 THEN 1 END, 0 FROM p
-  UNION ALL SELECT symbol_key, 'param.size.exists', CASE WHEN k % 13 = 0 THEN 'abstain' ELSE 'corroborate' END, CASE WHEN k % 13 <> 0 THEN 'true' END, 'true', NULL, 0 FROM p
-  UNION ALL SELECT symbol_key, 'param.ghost.exists', 'abstain', NULL, 'true', NULL, 0 FROM p WHERE k % 11 = 0)"""
+  UNION ALL SELECT symbol_key, gone, 'param.size.exists', CASE WHEN k % 13 = 0 THEN 'abstain' ELSE 'corroborate' END, CASE WHEN k % 13 <> 0 THEN 'true' END, 'true', NULL, 0 FROM p
+  UNION ALL SELECT symbol_key, gone, 'param.ghost.exists', 'abstain', NULL, 'true', NULL, 0 FROM p WHERE k % 11 = 0
+  UNION ALL SELECT concat(module, '.Box'), gone, 'deprecated', CASE WHEN k % 8 = 0 THEN 'corroborate' ELSE 'contradict' END, CASE WHEN k % 8 = 0 THEN 'true' ELSE 'false' END, 'true', CASE WHEN k % 8 <> 0 THEN 1 END, 0 FROM p WHERE k % 4 = 0),
+slots AS (SELECT symbol_key, gone, aspect, outcome, code_value, doc_value, opened_seq, deferred + CASE WHEN gone THEN 2 ELSE 0 END AS deferred FROM latest WHERE NOT gone OR outcome = 'contradict')"""
 ORACLE_SQL = {
-    "extract_code_facts": f"""WITH {_P} SELECT path, module AS symbol_key, unnest(['exists', 'kind', 'namespace_closed']) AS aspect, unnest(['true', 'module', 'true']) AS value FROM p
-      UNION ALL SELECT path, symbol_key, unnest(['exists', 'kind']), unnest(['true', 'function']) FROM p
-      UNION ALL SELECT path, symbol_key, 'deprecated', 'false' FROM p WHERE k % 13 <> 0
-      UNION ALL SELECT path, symbol_key, unnest(['param_names', 'param.size.exists', 'param.size.default', 'param.size.type']),
-        unnest([CASE WHEN k % 11 = 0 THEN '["size","**kw"]' ELSE '["size"]' END, 'true', CAST(size AS VARCHAR), CASE WHEN k % 5 = 0 THEN 'str' ELSE 'int' END]) FROM p WHERE k % 13 <> 0""",
-    "extract_doc_claims": f"""WITH {_P} SELECT path, symbol_key, unnest(['param.size.exists', 'param.size.type', 'param.size.default']) AS aspect, unnest(['true', 'int', CAST(CASE WHEN k % 7 = 0 THEN size + 1 ELSE size END AS VARCHAR)]) AS value, unnest([0.95e0, 0.95e0, 0.7e0]) AS confidence FROM p
-      UNION ALL SELECT path, symbol_key, 'param.ghost.exists', 'true', 0.95e0 FROM p WHERE k % 11 = 0""",
+    "extract_code_facts": f"""WITH {_P} SELECT CAST(seq AS BIGINT) AS seq, path, symbol_key, aspect, value FROM (
+      SELECT seq, path, module AS symbol_key, unnest(['exists', 'kind', 'namespace_closed']) AS aspect, unnest(['true', 'module', 'true']) AS value FROM p
+      UNION ALL SELECT seq, path, symbol_key, unnest(['exists', 'kind']), unnest(['true', 'function']) FROM p
+      UNION ALL SELECT seq, path, symbol_key, 'deprecated', 'false' FROM p WHERE k % 13 <> 0
+      UNION ALL SELECT seq, path, symbol_key, unnest(['param_names', 'param.size.exists', 'param.size.default', 'param.size.type']),
+        unnest([CASE WHEN k % 11 = 0 THEN '["size","**kw"]' ELSE '["size"]' END, 'true', CAST(size AS VARCHAR), CASE WHEN k % 5 = 0 THEN 'str' ELSE 'int' END]) FROM p WHERE k % 13 <> 0
+      UNION ALL SELECT seq, path, concat(module, '.opaque'), unnest(['exists', 'kind']), unnest(['true', 'attribute']) FROM p WHERE k % 13 = 0
+      UNION ALL SELECT seq, path, concat(module, '.Box'), unnest(['exists', 'kind', 'namespace_closed', 'deprecated']), unnest(['true', 'class', 'true', CASE WHEN k % 8 = 0 THEN 'true' ELSE 'false' END]) FROM p WHERE k % 4 = 0
+      UNION ALL SELECT seq, path, concat(module, '.Box.__init__'), unnest(['exists', 'kind', 'deprecated', 'param_names']), unnest(['true', 'method', CASE WHEN k % 8 = 0 THEN 'true' ELSE 'false' END, '[]']) FROM p WHERE k % 4 = 0
+      UNION ALL SELECT seq, path, concat(module, '.Box.size'), unnest(['exists', 'kind']), unnest(['true', 'attribute']) FROM p WHERE k % 4 = 0
+      UNION ALL SELECT 3, path, module, unnest(['exists', 'kind', 'namespace_closed']), unnest(['true', 'module', 'true']) FROM late
+      UNION ALL SELECT 3, path, concat(module, '.g'), unnest(['exists', 'kind', 'deprecated', 'param_names']), unnest(['true', 'function', 'false', '[]']) FROM late)""",
+    "extract_doc_claims": f"""WITH {_P} SELECT CAST(seq AS BIGINT) AS seq, path, symbol_key, unnest(['param.size.exists', 'param.size.type', 'param.size.default']) AS aspect,
+        unnest(['true', 'int', CAST(CASE WHEN k % 7 = 0 AND NOT (seq = 2 AND k % 14 = 0) THEN size + 1 ELSE size END AS VARCHAR)]) AS value, unnest([0.95e0, 0.95e0, 0.7e0]) AS confidence FROM p
+      UNION ALL SELECT seq, path, symbol_key, 'param.ghost.exists', 'true', 0.95e0 FROM p WHERE k % 11 = 0
+      UNION ALL SELECT seq, path, concat(module, '.Box'), 'deprecated', 'true', 0.95e0 FROM p WHERE k % 4 = 0""",
     "drift_end_to_end": f"WITH {_SLOTS} SELECT symbol_key, aspect, outcome, code_value, doc_value, CAST(opened_seq AS BIGINT) AS opened_seq, CAST(deferred AS BIGINT) AS deferred FROM slots",
     "dispute_resolution": f"""WITH {_SLOTS} SELECT symbol_key, aspect, CASE WHEN closed THEN 'undocumented' ELSE outcome END AS outcome, code_value, CASE WHEN NOT closed THEN doc_value END AS doc_value,
       CASE WHEN NOT closed THEN CAST(opened_seq AS BIGINT) END AS opened_seq, CAST(deferred AS BIGINT) AS deferred
-      FROM (SELECT *, outcome = 'contradict' AND CAST(regexp_extract(symbol_key, 'p([0-9]+)[.]f', 1) AS BIGINT) % 3 = 0 AS closed FROM slots WHERE aspect = 'param.size.default')""",
+      FROM (SELECT *, outcome = 'contradict' AND CAST(regexp_extract(symbol_key, 'p([0-9]+)[.]f', 1) AS BIGINT) % 3 = 0 AS closed FROM slots WHERE aspect = 'param.size.default') WHERE NOT (closed AND gone)""",
+    "removal_events": f"""WITH {_P}, had AS (SELECT * FROM every WHERE k % 17 <> 0 AND (k % 19 = 0 OR k % 23 = 0))
+      SELECT CAST(3 AS BIGINT) AS seq, path, symbol_key FROM (SELECT path, symbol_key FROM had UNION ALL SELECT path, module FROM had WHERE k % 19 = 0
+        UNION ALL SELECT path, concat(module, '.opaque') FROM had WHERE k % 13 = 0 UNION ALL SELECT path, unnest([concat(module, '.Box'), concat(module, '.Box.__init__'), concat(module, '.Box.size')]) FROM had WHERE k % 4 = 0)""",
     "drift_totals": f"WITH {_SLOTS} SELECT aspect, outcome, count(*) AS n FROM slots GROUP BY ALL",
     "type_provable": "SELECT p_partkey AS k, code, doc, differs FROM part JOIN (VALUES "
     + ", ".join("({}, '{}', '{}', {})".format(i, c.replace("'", "''"), d.replace("'", "''"), x) for i, (c, d, x) in enumerate(TYPE_PAIRS))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.jobs import corpora
 from ledgerline.jobs.corpora import CLAIMS_SQL, DISTINCT_SQL, SUMMARY_SQL
 from ledgerline.operators import claims as C
+from ledgerline.operators.ordering import queue_number
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,12 +20,8 @@ def route_end_state(spark, sf_dir):
 
 
 def drift_ranked(spark, sf_dir):
-    """Open disputes with their place in the review queue; the order is by score and then by key, dealt out in ranges."""
-    ranked = C.drift(_claims(spark, sf_dir)).withColumn("score", F.round("score", 6))
-    per = ranked.groupBy("score").agg(F.count("*").alias("n"))  # a row for each score, of which there are as many as authorities and confidences
-    before = per.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    inside = F.row_number().over(Window.partitionBy("score").orderBy("fact_key"))
-    return ranked.withColumn("r", inside).join(before, "score").select("fact_key", "drift_class", "code_value", "score", (F.col("r") + F.col("base")).cast("long").alias("place"))
+    """Open disputes with their place in the review queue, by score and then by key."""
+    return queue_number(C.drift(_claims(spark, sf_dir)).withColumn("score", F.round("score", 6)), "score", "fact_key", "place").select("fact_key", "drift_class", "code_value", "score", "place")
 
 
 def drift_topk(spark, sf_dir):
@@ -56,7 +53,7 @@ def author_members_exploded(spark, sf_dir):
 
 def _halves(spark, sf_dir):
     rows = corpora.claims(spark, sf_dir)
-    return C.distinct_claims(rows.where("orderkey % 40 = 0")), C.distinct_claims(rows.where("orderkey % 60 <> 0"))
+    return C.distinct_claims(rows.where("state <> 'A'")), C.distinct_claims(rows.where("state <> 'R'"))
 
 
 def claims_retract_assert(spark, sf_dir):
@@ -69,9 +66,9 @@ def net_changes(spark, sf_dir):
 
 
 def introduced_gate(spark, sf_dir):
-    """Disputes that all claims have and those of half the orders don't."""
+    """Disputes that all claims have and those of lines in one state don't."""
     rows = corpora.claims(spark, sf_dir)
-    return C.newly_opened(C.distinct_claims(rows.where("orderkey % 40 = 0")), C.distinct_claims(rows)).select("fact_key", "drift_class", "code_value")
+    return C.newly_opened(C.distinct_claims(rows.where("state = 'N'")), C.distinct_claims(rows)).select("fact_key", "drift_class", "code_value")
 
 
 def coverage_ratios(spark, sf_dir):
@@ -87,8 +84,8 @@ QUERIES = {
     for f in (route_end_state, drift_ranked, drift_topk, drift_by_class, outcome_totals, corroborated_facts, claim_dedup, author_members_exploded, claims_retract_assert, net_changes, introduced_gate, coverage_ratios)
 }
 _HALVES = CLAIMS_SQL + """,
-have AS (SELECT DISTINCT fact_key, author, path, value FROM claims WHERE orderkey % 40 = 0),
-want AS (SELECT DISTINCT fact_key, author, path, value FROM claims WHERE orderkey % 60 <> 0),
+have AS (SELECT DISTINCT fact_key, author, path, value FROM claims WHERE state <> 'A'),
+want AS (SELECT DISTINCT fact_key, author, path, value FROM claims WHERE state <> 'R'),
 moves AS (SELECT *, 'retract' AS action FROM (SELECT * FROM have EXCEPT SELECT * FROM want) UNION ALL SELECT *, 'assert' AS action FROM (SELECT * FROM want EXCEPT SELECT * FROM have))"""
 ORACLE_SQL = {
     "route_end_state": f"WITH {SUMMARY_SQL} SELECT fact_key, n_claims, outcome, drift_class, code_value, round(score, 6) AS score FROM routed",
@@ -101,7 +98,7 @@ ORACLE_SQL = {
     "author_members_exploded": f"WITH {SUMMARY_SQL} SELECT fact_key, drift_class, author, value FROM claim JOIN routed USING (fact_key) WHERE outcome = 'contradict'",
     "claims_retract_assert": f"WITH {_HALVES} SELECT * FROM moves",
     "net_changes": f"WITH {_HALVES} SELECT author, action, count(*) AS n FROM moves GROUP BY author, action",
-    "introduced_gate": f"""WITH {SUMMARY_SQL}, old AS (SELECT fact_key FROM claims WHERE orderkey % 40 = 0 GROUP BY fact_key HAVING count(DISTINCT value) > 1)
+    "introduced_gate": f"""WITH {SUMMARY_SQL}, old AS (SELECT fact_key FROM claims WHERE state = 'N' GROUP BY fact_key HAVING count(DISTINCT value) > 1)
       SELECT fact_key, drift_class, code_value FROM routed WHERE outcome = 'contradict' AND fact_key NOT IN (SELECT fact_key FROM old)""",
     "coverage_ratios": f"""WITH {SUMMARY_SQL} SELECT author, count(*) AS facts, round(avg(CASE WHEN outcome = 'corroborate' THEN 1.0e0 ELSE 0 END), 6) AS verified,
       round(avg(CASE WHEN outcome = 'abstain' THEN 1.0e0 ELSE 0 END), 6) AS abstained, round(avg(CASE WHEN outcome = 'contradict' THEN 1.0e0 ELSE 0 END), 6) AS disputed

@@ -45,8 +45,8 @@ def l1_as_of(spark, sf_dir):
 
 
 def l1_as_of_many(spark, sf_dir):
-    """For each order's customer, taken as a user, the value at the order's time of day in the events' span."""
-    orders = corpora.table(spark, sf_dir, "events").where("event_id % 7 = 0").select(F.col("event_id").alias("ask_id"), F.col("user_id").alias("key"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("at"))
+    """For each event, what held of its user an hour later."""
+    orders = corpora.table(spark, sf_dir, "events").select(F.col("event_id").alias("ask_id"), F.col("user_id").alias("key"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("at"))
     return H.as_of_many(corpora.facts(spark, sf_dir).where("value is not null").withColumnRenamed("at", "valid_from"), orders).select("ask_id", "key", "value")
 
 
@@ -95,8 +95,9 @@ def since_snapshot(spark, sf_dir):
 
 def resume_after(spark, sf_dir):
     """Commits after the one that a run stopped at, numbered from 1."""
-    rest = corpora.commits(spark, sf_dir).where("seq > 700")
-    return dense_number(rest, "seq", "n").select("seq", "n")
+    commits = corpora.commits(spark, sf_dir)
+    stop = commits.agg((F.max("seq") / 2).alias("half")).join(commits, F.col("seq") <= F.col("half")).agg(F.max("seq")).first()[0]
+    return dense_number(H.after(commits, "seq", stop), "seq", "n").select("seq", "n")
 
 
 def changed_paths(spark, sf_dir):
@@ -111,9 +112,12 @@ def commit_totals(spark, sf_dir):
 
 
 def _snapshots(spark, sf_dir):
-    lines = corpora.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").where("l_orderkey % 10 < 2")
-    pick = lambda m: lines.where(f"l_orderkey % 10 = {m}").select(corpora.part_symbol("l_partkey").alias("symbol_key"), corpora.part_path("l_partkey").alias("path")).distinct()
-    return pick(0), pick(1)
+    """What each supplier has of each part, before and after the middle of all shipping dates."""
+    lines = corpora.table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate")
+    middle = lines.agg((F.min("l_shipdate") + (F.max("l_shipdate") - F.min("l_shipdate")) / 2).alias("middle"))
+    path = F.concat(F.lit("src/s"), F.col("l_suppkey"), F.lit("/p"), F.col("l_partkey"), F.lit(".py"))
+    rows = lines.crossJoin(F.broadcast(middle)).select(F.concat(F.lit("py:s"), F.col("l_suppkey"), F.lit(".p"), F.col("l_partkey"), F.lit(".f")).alias("symbol_key"), path.alias("path"), (F.col("l_shipdate") < F.col("middle")).alias("early"))  # one row
+    return rows.where("early").drop("early").distinct(), rows.where("not early").drop("early").distinct()
 
 
 def removed_symbols(spark, sf_dir):
@@ -143,20 +147,20 @@ ORACLE_SQL = {
     "l1_supersede": f"WITH {HISTORY_SQL} SELECT key, value, {_T.format('valid_from')}, {_T.format('valid_to')}, supersedes FROM history",
     "l1_withdraw": f"WITH {HISTORY_SQL} SELECT key, count(*) AS withdrawn FROM history JOIN (SELECT DISTINCT key, moment AS valid_to FROM facts WHERE value IS NULL) USING (key, valid_to) GROUP BY key",
     "l1_as_of": f"WITH {HISTORY_SQL} SELECT key, value FROM history WHERE valid_from <= {_MIDDLE} AND (valid_to IS NULL OR valid_to > {_MIDDLE})",
-    "l1_as_of_many": f"""WITH {HISTORY_SQL}, asked AS (SELECT event_id AS ask_id, user_id AS key, ts + INTERVAL 1 HOUR AS moment FROM events WHERE event_id % 7 = 0)
-      SELECT ask_id, key, (SELECT arg_max(value, (f.moment, f.tie)) FROM facts f WHERE f.key = asked.key AND f.moment <= asked.moment AND f.value IS NOT NULL) AS value FROM asked""",
+    "l1_as_of_many": f"""WITH {HISTORY_SQL}, asked AS (SELECT event_id AS ask_id, user_id AS key, ts + INTERVAL 1 HOUR AS moment FROM events)
+      SELECT ask_id, asked.key, arg_max(value, (f.moment, f.tie)) AS value FROM asked LEFT JOIN (SELECT * FROM facts WHERE value IS NOT NULL) f ON f.key = asked.key AND f.moment <= asked.moment GROUP BY ask_id, asked.key""",
     "l1_current": "SELECT key, value FROM (SELECT user_id AS key, CASE WHEN event_id % 17 = 0 THEN NULL ELSE event_type END AS value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 AND value IS NOT NULL",
     "l1_changed_fields": f"WITH {HISTORY_SQL} SELECT coalesce(value, '(none)') AS value, CAST(count(*) FILTER (value IS DISTINCT FROM before) AS BIGINT) AS changed, CAST(count(*) FILTER (value IS NOT DISTINCT FROM before) AS BIGINT) AS repeated FROM stated GROUP BY ALL",
     "l1_stream": f"WITH {HISTORY_SQL} SELECT key, value, {_T.format('valid_from')}, {_T.format('valid_to')} FROM history WHERE valid_to IS NOT NULL",
     "out_of_order_rows": "SELECT key, tie FROM (SELECT o_custkey AS key, o_orderkey AS tie, o_orderdate, max(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM orders) WHERE o_orderdate < newest",
     "clock_clamp": f"WITH {_CLAMP} SELECT seq, micros, clamped FROM clock",
     "since_snapshot": f"WITH {_CLAMP}, kept AS (SELECT seq FROM clock WHERE clamped >= (SELECT min(clamped) + (max(clamped) - min(clamped)) // 2 FROM clock)) SELECT seq, CASE WHEN seq = (SELECT min(seq) FROM kept) THEN 'snapshot' ELSE 'changes' END AS mode FROM kept",
-    "resume_after": f"WITH {COMMITS_SQL} SELECT seq, row_number() OVER (ORDER BY seq) AS n FROM commits WHERE seq > 700",
+    "resume_after": f"WITH {COMMITS_SQL} SELECT seq, row_number() OVER (ORDER BY seq) AS n FROM commits WHERE seq > (SELECT max(seq) FROM commits WHERE seq <= (SELECT max(seq) / 2 FROM commits))",
     "changed_paths": f"WITH {COMMITS_SQL} SELECT seq, path FROM changes",
     "commit_totals": f"""WITH {COMMITS_SQL}, n AS (SELECT seq, count(*) AS n FROM changes GROUP BY seq) SELECT strftime(committed_at, '%Y-%m') AS month, count(*) AS commits,
       CAST(coalesce(sum(n), 0) AS BIGINT) AS paths, CAST(count(*) FILTER (n IS NULL) AS BIGINT) AS empty FROM commits LEFT JOIN n USING (seq) GROUP BY month""",
-    "removed_symbols": """SELECT DISTINCT concat('py:cat.p', l_partkey, '.f') AS symbol_key, concat('src/cat/p', l_partkey, '.py') AS path FROM lineitem
-      WHERE l_orderkey % 10 = 0 AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 10 = 1)""",
+    "removed_symbols": """SELECT concat('py:s', l_suppkey, '.p', l_partkey, '.f') AS symbol_key, concat('src/s', l_suppkey, '/p', l_partkey, '.py') AS path FROM lineitem GROUP BY l_suppkey, l_partkey
+      HAVING max(l_shipdate) < (SELECT min(l_shipdate) + (max(l_shipdate) - min(l_shipdate)) / 2 FROM lineitem)""",
     "lineage_added_removed": """SELECT concat('py:cat.p', l_partkey, '.f') AS symbol_key, min(l_orderkey) AS added_in,
       CASE WHEN max(l_orderkey) * 10 < (SELECT max(l_orderkey) FROM lineitem) * 9 THEN max(l_orderkey) END AS removed_in FROM lineitem GROUP BY l_partkey""",
 }

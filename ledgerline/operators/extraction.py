@@ -1,4 +1,4 @@
-"""Facts of the code and claims of its documentation, from definitions."""
+"""Facts of the code and claims of its documentation, from definitions: column expressions, without a shuffle."""
 
 from __future__ import annotations
 
@@ -6,84 +6,77 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.scalars import module_name
-from ledgerline.functions.types import canonical_literal, canonical_type
+from ledgerline.sources.python_source import FORWARDING
 
 #: Decorators that leave a signature as written, that read like attributes, and that can't deprecate.
 SAFE = ["staticmethod", "classmethod", "abstractmethod", "property", "getter", "setter", "deleter", "final", "override", "deprecated", "cache", "lru_cache", "cached_property"]
 PROPERTIES = ["property", "cached_property", "getter", "setter", "deleter"]
 NEUTRAL = ["staticmethod", "classmethod", "abstractmethod", "property", "getter", "setter", "deleter", "final", "override", "cache", "lru_cache", "cached_property", "overload", "dataclass", "total_ordering", "runtime_checkable", "type_check_only"]
-#: How documented parameters, results and errors are written.
-PARAMETER = r"^    (\*{0,2}[A-Za-z_]\w*)\s*(?:\((.*)\))?\s*:\s*(.*)$"
-SECTION = r"(?i)^(args|arguments|parameters|params|returns?|raises?)\s*:\s*$"
-FIELD = r"^:(param|parameter|arg|argument|raises?|raise|except|rtype)\s*([\w.]*)\s*:\s*(.*)$"
-DEFAULT = r"(?i)(?<![\"'`])\bdefaults?\b(?![\"'`])\s*(?:to|is|=|:)?\s*(`[^`]+`|'[^']*'|\"[^\"]*\"|[^\s,;)]+)"
-TYPED, PROSE = 0.95, 0.7
+_PAIRS = "array<struct<aspect:string,value:string>>"
 
 
 def _array(values: list[str]) -> Column:
     return F.array(*(F.lit(v) for v in values))
 
 
+def _within(names: Column, allowed: list[str]) -> Column:
+    return F.size(F.array_except(names, _array(allowed))) == 0
+
+
 def symbols(definitions: DataFrame) -> DataFrame:
-    """Definitions with their ``symbol_key``; private ones go, and ``count`` tells how often a file defines a key."""
+    """Analyzed definitions with their ``symbol_key``; private ones go."""
     module = module_name(F.col("path"))
     key = F.concat(F.lit("py:"), module, F.when(F.col("name") != "", F.concat(F.lit("."), "name")).otherwise(""))
     hidden = F.exists(F.split("name", r"\."), lambda p: p.startswith("_") & ~p.rlike("^__.*__$"))
-    rows = definitions.where(module.isNotNull()).withColumn("symbol_key", key).where(~hidden)
-    return rows.withColumn("count", F.count("*").over(Window.partitionBy("seq", "path", "symbol_key")))
+    return definitions.where("analyzed").where(module.isNotNull()).withColumn("symbol_key", key).where(~hidden)
 
 
-def code_facts(definitions: DataFrame) -> DataFrame:
-    """``seq``, ``path``, ``symbol_key``, ``aspect``, ``value`` of every provable fact; an ambiguous key has only exists and kind."""
-    rows = symbols(definitions).withColumn("unique", F.col("count") == 1)
-    trusted = F.col("unique") & F.col("names").isNotNull() & (F.size(F.array_except("decorators", _array(SAFE))) == 0) & (F.size(F.array_intersect("decorators", _array(PROPERTIES))) == 0)
-    noticed = F.array_contains("decorators", "deprecated") | F.coalesce(F.col("leading_notice"), F.lit(False))
-    clean = (F.size(F.array_except("decorators", _array(NEUTRAL))) == 0) & (F.coalesce("notices", F.lit(0)) == 0)
+def fact_pairs() -> Column:
+    """All provable facts of a definition as pairs of aspect and value; of an ambiguous or bound name only that it exists and its kind."""
+    plain = F.col("kind").isin("ambiguous", "attribute")
+    trusted = F.col("names").isNotNull() & _within(F.col("decorators"), [*SAFE, FORWARDING]) & (F.size(F.array_intersect("decorators", _array(PROPERTIES))) == 0)
+    noticed = F.array_contains("decorators", "deprecated") | F.coalesce("leading_notice", F.lit(False))
+    clean = _within(F.col("decorators"), NEUTRAL) & (F.coalesce("notices", F.lit(0)) == 0)
     pair = lambda a, v: F.struct((F.lit(a) if isinstance(a, str) else a).alias("aspect"), v.alias("value"))
-    none = F.array().cast("array<struct<aspect:string,value:string>>")
+    none = F.array().cast(_PAIRS)
     params = F.filter(F.arrays_zip("names", "defaults", "types"), lambda p: ~p["names"].startswith("*"))
     facet = lambda part, v: F.transform(params, lambda p: pair(F.concat(F.lit("param."), p["names"], F.lit(f".{part}")), v(p)))
     listed = F.concat(F.lit("["), F.array_join(F.transform("names", lambda n: F.concat(F.lit('"'), n, F.lit('"'))), ","), F.lit("]"))
     facts = F.concat(
-        F.array(pair("exists", F.lit("true")), pair("kind", F.when(F.col("unique"), F.col("kind")).otherwise("ambiguous"))),
-        F.array(pair("namespace_closed", F.when(F.col("unique"), F.col("closed").cast("string")))),
-        F.array(pair("deprecated", F.when(F.col("unique") & (F.col("kind") != "module"), F.when(noticed, "true").when(clean, "false")))),
+        F.array(pair("exists", F.lit("true")), pair("kind", F.col("kind"))),
+        F.array(pair("namespace_closed", F.when(F.col("kind").isin("module", "class"), F.col("closed").cast("string")))),
+        F.array(pair("deprecated", F.when(~plain & (F.col("kind") != "module"), F.when(noticed, "true").when(clean, "false")))),
         F.when(trusted, F.concat(F.array(pair("param_names", listed), pair("returns.type", F.col("returns"))), facet("exists", lambda p: F.lit("true")), facet("default", lambda p: p["defaults"]), facet("type", lambda p: p["types"]))).otherwise(none),
         F.when(trusted, F.transform("raises", lambda e: pair(F.concat(F.lit("raises."), e), F.lit("true")))).otherwise(none),
     )
-    return rows.select("seq", "path", "symbol_key", F.explode(facts).alias("f")).select("seq", "path", "symbol_key", "f.aspect", "f.value").where("value is not null").distinct()
+    return F.array_sort(F.filter(facts, lambda f: f["value"].isNotNull()))
+
+
+def code_facts(definitions: DataFrame) -> DataFrame:
+    """``seq``, ``path``, ``symbol_key``, ``aspect``, ``value`` of every provable fact, a row for each."""
+    return symbols(definitions).select("seq", "path", "symbol_key", F.inline(fact_pairs()))
 
 
 def doc_claims(definitions: DataFrame) -> DataFrame:
-    """``seq``, ``path``, ``symbol_key``, ``aspect``, ``value``, ``confidence`` of what docstrings claim.
+    """``seq``, ``path``, ``symbol_key``, ``aspect``, ``value``, ``confidence`` of what docstrings claim, a row for each."""
+    return symbols(definitions).select("seq", "path", "symbol_key", F.inline("claims"))
+
 
-    Sections with a header and indented entries, and fields between colons. Of an
-    aspect that a docstring states in two ways, nothing is claimed.
+def symbol_events(definitions: DataFrame, versions: DataFrame) -> DataFrame:
+    """``symbol_key``, ``seq``, ``path``, ``fields`` and ``claims`` (sorted pairs): what each commit says of each symbol.
+
+    ``versions`` has every ``seq`` and ``path`` that a commit changed, with
+    ``deleted``. A symbol that a path's next readable version lacks, or that goes
+    with the path, has an event without fields and claims. A version that can't be parsed says
+    nothing: what was there before it stays. Where several paths define a symbol in one commit, the highest rank and then the first path speak for it.
     """
-    rows = symbols(definitions).where("count = 1 and docstring is not null and names is not null")
-    lines = rows.select("seq", "path", "symbol_key", F.posexplode(F.split("docstring", "\n")).alias("at", "line"))
-    header = F.when(F.col("line").rlike(SECTION), F.lower(F.substring("line", 1, 1))).when(F.col("line").rlike(r"^\S"), F.lit(""))
-    sections = lines.withColumn("section", F.last(header, ignorenulls=True).over(Window.partitionBy("seq", "path", "symbol_key").orderBy("at")))
-    part = lambda p, i: F.nullif(F.regexp_extract("line", p, i), F.lit(""))
-    entry = F.when(F.col("section").isin("a", "p") & F.col("line").rlike(PARAMETER), "param").when((F.col("section") == "r") & F.col("line").rlike(r"^    [A-Z]\w*(\.\w+)*\s*:"), "raises").when(F.col("line").rlike(FIELD), F.when(part(FIELD, 1).startswith("p") | part(FIELD, 1).startswith("a"), "param").when(part(FIELD, 1) == "rtype", "rtype").otherwise("raises"))
-    found = sections.withColumn("entry", entry).where("entry is not null").select(
-        "seq", "path", "symbol_key", "entry",
-        F.coalesce(part(PARAMETER, 1), part(FIELD, 2), F.regexp_extract("line", r"^\s*([\w.]+)", 1)).alias("name"),
-        part(PARAMETER, 2).alias("typed"),
-        F.coalesce(part(PARAMETER, 3), part(FIELD, 3), F.lit("")).alias("prose"),
-    ).where("name not like '*%' and name not in ('self', 'cls')")
-    said = F.regexp_replace(F.regexp_replace(F.regexp_extract("prose", DEFAULT, 1), r"^`+|`+$", ""), r"[.,;)]+$", "")
-    kind = F.regexp_replace("typed", r",?\s*(optional|keyword[- ]only|required)\s*$", "")
-    parsed = found.withColumn("default", canonical_literal(F.when(F.col("entry") == "param", F.nullif(said, F.lit(""))))).withColumn("type", canonical_type(F.when(F.col("entry") == "rtype", F.col("prose")).otherwise(F.nullif(kind, F.lit("")))))
-    optional = F.col("typed").rlike("optional") | (F.col("default") == "None")
-    shown = canonical_type(F.when(optional & F.col("type").isNotNull(), F.concat("type", F.lit(" | None"))).otherwise(F.col("type")))
-    pair = lambda a, v, c: F.struct(a.alias("aspect"), v.alias("value"), F.lit(c).alias("confidence"))
-    of = lambda tail: F.concat(F.lit("param."), "name", F.lit(tail))
-    claims = (
-        F.when(F.col("entry") == "param", F.array(pair(of(".exists"), F.lit("true"), TYPED), pair(of(".type"), F.col("shown"), TYPED), pair(of(".default"), F.col("default"), PROSE)))
-        .when(F.col("entry") == "raises", F.array(pair(F.concat(F.lit("raises."), "name"), F.lit("true"), TYPED)))
-        .otherwise(F.array(pair(F.lit("returns.type"), F.col("shown"), TYPED)))
-    )
-    stated = parsed.withColumn("shown", shown).select("seq", "path", "symbol_key", F.explode(claims).alias("c")).select("seq", "path", "symbol_key", "c.*").where("value is not null")
-    agreed = stated.groupBy("seq", "path", "symbol_key", "aspect").agg(F.min("value").alias("value"), F.max("value").alias("high"), F.max("confidence").alias("confidence"))
-    return agreed.where("value = high").drop("high")
+    ranks = F.create_map(*(F.lit(x) for kv in (("module", 3), ("class", 2), ("function", 2), ("method", 2), ("ambiguous", 2), ("attribute", 1)) for x in kv))
+    said = F.array_sort(F.transform(F.coalesce("claims", F.array().cast("array<struct<aspect:string,value:string,confidence:double>>")), lambda c: F.struct(c["aspect"].alias("aspect"), c["value"].alias("value"))))
+    there = symbols(definitions).select("symbol_key", "seq", "path", ranks[F.col("kind")].alias("rank"), fact_pairs().alias("fields"), said.alias("claims"))
+    unread = definitions.where(~F.col("analyzed")).select("seq", "path")
+    readable = versions.join(unread, ["seq", "path"], "left_anti")
+    following = readable.select("seq", "path", F.lead("seq").over(Window.partitionBy("path").orderBy("seq")).alias("next")).where("next is not null")
+    before = there.select("symbol_key", "seq", "path").join(following, ["seq", "path"]).select("symbol_key", F.col("next").alias("seq"), "path")
+    gone = before.join(there.select("symbol_key", "seq", "path"), ["symbol_key", "seq", "path"], "left_anti").withColumn("rank", F.lit(0)).withColumn("fields", F.lit(None).cast(_PAIRS)).withColumn("claims", F.array().cast(_PAIRS))
+    best = F.min_by(F.struct("path", "fields", "claims"), F.struct(-F.col("rank"), "path"))
+    return there.unionByName(gone).groupBy("symbol_key", "seq").agg(best.alias("e")).select("symbol_key", "seq", "e.*")

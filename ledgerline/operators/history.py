@@ -52,3 +52,10 @@ def out_of_order(facts: DataFrame) -> DataFrame:
     """Rows older than a row of their key that came before them by ``tie``."""
     before = Window.partitionBy("key").orderBy("tie").rowsBetween(Window.unboundedPreceding, -1)
     return facts.withColumn("newest", F.max("at").over(before)).where(F.col("at") < F.col("newest"))
+
+
+def after(commits: DataFrame, seq: str, stop: int) -> DataFrame:
+    """The commits after the one that a run stopped at; one that isn't known is an error."""
+    if commits.where(F.col(seq) == stop).isEmpty():
+        raise ValueError(f"commit {stop} isn't in the history")
+    return commits.where(F.col(seq) > stop)

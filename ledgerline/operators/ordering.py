@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Keys of a bucket.
-WIDTH = 1 << 16
+#: Keys of a bucket; leading characters of a text key that are one.
+WIDTH, LEADING = 1 << 16, 12
 
 
 def _bucketed(df: DataFrame, key: str) -> DataFrame:
@@ -33,3 +33,15 @@ def running_max(df: DataFrame, key: str, value: str, name: str, inclusive: bool
     base = rows.groupBy("_bucket").agg(F.max(value).alias("_m")).select("_bucket", F.max("_m").over(earlier).alias("_base"))
     inside = Window.partitionBy("_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     return rows.withColumn(name, F.max(value).over(inside)).join(base, "_bucket").withColumn(name, F.greatest(name, "_base")).drop("_bucket", "_base")
+
+
+def queue_number(df: DataFrame, score: str, key: str, name: str) -> DataFrame:
+    """``df`` with ``name``: 1, 2, ... by falling ``score`` and then by the unique text ``key``.
+
+    A bucket is a score and the key's leading characters, which sort as the keys do.
+    """
+    rows = df.withColumn("_bucket", F.substring(key, 1, LEADING))
+    before = Window.orderBy(F.desc(score), "_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    base = rows.groupBy(score, "_bucket").agg(F.count("*").alias("_n")).select(score, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy(score, "_bucket").orderBy(key))
+    return rows.withColumn(name, inside).join(base, [score, "_bucket"]).withColumn(name, (F.col(name) + F.col("_base")).cast("long")).drop("_bucket", "_base")

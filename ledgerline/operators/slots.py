@@ -2,7 +2,9 @@
 
 What a commit does to a slot depends on the disputes that earlier commits left
 open, so a symbol's commits are folded in order; symbols don't depend on each
-other and are dealt out by key.
+other and are dealt out by key. Commits that repeat what the last one said are
+left out before, and the rest streams through a task in order: only the state of one
+symbol is held, however many commits it has.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.scalars import PROJECTOR
@@ -19,7 +21,10 @@ from ledgerline.functions.types import differs_provably
 
 DOCS = "docstring"
 SLOTS = "symbol_key string, aspect string, outcome string, code_value string, doc_value string, opened_seq long, deferred long"
-_FACETS = (".default", ".type")
+_NAMES = ["symbol_key", "aspect", "outcome", "code_value", "doc_value", "opened_seq", "deferred"]
+_SCHEMA = pa.schema([(n, pa.int64() if n in _NAMES[5:] else pa.string()) for n in _NAMES])
+#: Slots of an output batch.
+_BATCH = 4096
 
 
 def projected(aspect: str, fields: dict[str, str] | None) -> str | None:
@@ -36,14 +41,18 @@ def projected(aspect: str, fields: dict[str, str] | None) -> str | None:
     return fields.get(aspect)
 
 
-def withheld(aspect: str, value: str, stated: dict[str, set[str]]) -> bool:
-    """Whether the documents may mean the same in other words."""
+def withheld(aspect: str, value: str, stated: dict[str, set[str]], fields: dict[str, str] | None = None) -> bool:
+    """Whether the documents may mean the same in other words.
+
+    A default of None in the code may stand for any documented one, and then a
+    type that leaves None out says the same as one that has it.
+    """
     said = stated.get(aspect, set())
     if aspect.endswith(".default"):
         return value == "None" and any(x != "None" for x in said)
     if aspect.endswith(".type"):
-        sibling = stated.get(aspect[:-5] + ".default", set())
-        sentinel = bool(sibling) and any(x != "None" for x in sibling)
+        default = aspect[:-5] + ".default"
+        sentinel = (fields or {}).get(default) == "None" and any(x != "None" for x in stated.get(default, ()))
         other = [x for x in said if x != value]
         return bool(other) and not any(differs_provably(value, x, sentinel) for x in other)
     return False
@@ -82,9 +91,8 @@ class _Symbol:
                 self.open[aspect] = seq
                 self.members[aspect] = {author} | {c[0] for c in others}
 
-    def commit(self, seq: int, analyzed: bool, wanted: set[tuple[str, str]], fields: dict[str, str] | None) -> None:
-        if not analyzed:
-            return
+    def commit(self, seq: int, wanted: set[tuple[str, str]], fields: dict[str, str] | None) -> None:
+        """What a commit says of the symbol; no fields: the symbol is gone."""
         old = {c for c in self.claims if c[0] == DOCS}
         docs = {(DOCS, a, v) for a, v in wanted}
         touched = {c[1] for c in old ^ docs}
@@ -94,7 +102,7 @@ class _Symbol:
         stated: dict[str, set[str]] = {}
         for _, aspect, value in docs:
             stated.setdefault(aspect, set()).add(value)
-        want = {(PROJECTOR, a, v) for a in touched if a in stated and (v := projected(a, fields)) is not None and not withheld(a, v, stated)}
+        want = {(PROJECTOR, a, v) for a in touched if a in stated and (v := projected(a, fields)) is not None and not withheld(a, v, stated, fields)}
         have = {c for c in self.claims if c[0] == PROJECTOR and c[1] in touched}
         held = self.retract(have - want)
         held |= self.retract(old - docs)
@@ -107,34 +115,42 @@ class _Symbol:
             del self.members[aspect]
             self.claims = {c for c in self.claims if c[1] != aspect or c[2] == winner}
 
-    def slots(self) -> Iterator[tuple]:
+    def slots(self, key: str) -> Iterator[tuple]:
         for aspect in sorted({c[1] for c in self.claims}):
             code = sorted(c[2] for c in self.claims if c[1] == aspect and c[0] == PROJECTOR)
             docs = sorted(c[2] for c in self.claims if c[1] == aspect and c[0] == DOCS)
             outcome = "contradict" if aspect in self.open else "abstain" if not code else "corroborate" if docs else "undocumented"
-            yield aspect, outcome, code[0] if code else None, ",".join(docs) or None, self.open.get(aspect), self.deferred.get(aspect, 0)
-
-
-def fold_slots(events: DataFrame) -> DataFrame:
-    """Each slot after the last commit, from ``symbol_key``, ``seq``, ``analyzed``, ``claims`` and ``fields`` (maps of aspect to value).
-
-    With a column ``resolved`` (a map of aspect to the value that wins), disputes
-    are closed after the commit of its row.
+            yield key, aspect, outcome, code[0] if code else None, ",".join(docs) or None, self.open.get(aspect), self.deferred.get(aspect, 0)
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slots of the symbols of rows that come in order of symbol and commit."""
+    key, symbol, done = None, _Symbol(), []
+    pairs = lambda found: {(p["aspect"], p["value"]) for p in found or ()}
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["symbol_key"] != key:
+                done += symbol.slots(key)
+                key, symbol = row["symbol_key"], _Symbol()
+            symbol.commit(row["seq"], pairs(row["claims"]), None if row["fields"] is None else dict(pairs(row["fields"])))
+            for aspect, winner in sorted(pairs(row["resolved"])):
+                symbol.resolve(aspect, winner)
+            if len(done) >= _BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), _SCHEMA)], schema=_SCHEMA)
+                done = []
+    done += symbol.slots(key)
+    if done:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), _SCHEMA)], schema=_SCHEMA)
+
+
+def fold_slots(events: DataFrame, resolved: Column | None = None) -> DataFrame:
+    """Each slot after the last commit, from ``symbol_key``, ``seq``, ``fields`` and ``claims`` (sorted pairs of aspect and value).
+
+    ``resolved`` is a column of pairs of aspect and the value that wins:
+    disputes are closed after the commit of its row.
     """
-    columns = ["seq", "analyzed", "claims", "fields", *(["resolved"] if "resolved" in events.columns else [])]
-    names = ["symbol_key", "aspect", "outcome", "code_value", "doc_value", "opened_seq", "deferred"]
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for key, commits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                symbol = _Symbol()
-                for c in sorted(commits, key=lambda c: c["seq"]):
-                    symbol.commit(c["seq"], c["analyzed"], set(c["claims"] or ()), dict(c["fields"]) if c["fields"] else None)
-                    for aspect, winner in sorted(c.get("resolved") or ()):
-                        symbol.resolve(aspect, winner)
-                rows += [dict(zip(names, (key, *s))) for s in symbol.slots()]
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([(n, pa.int64() if n in names[5:] else pa.string()) for n in names]))
-
-    histories = events.groupBy("symbol_key").agg(F.collect_list(F.struct(*columns)).alias("commits"))  # a symbol's own commits
-    return histories.mapInArrow(fold, SLOTS)
+    per = Window.partitionBy("symbol_key").orderBy("seq")
+    rows = events.select("symbol_key", "seq", "fields", "claims", (F.lit(None).cast("array<struct<aspect:string,value:string>>") if resolved is None else resolved).alias("resolved"))
+    was = rows.withColumn("was", F.lag(F.struct("fields", "claims")).over(per))
+    news = was.where(~F.struct("fields", "claims").eqNullSafe(F.col("was")) | F.col("resolved").isNotNull()).drop("was")
+    return news.sortWithinPartitions("symbol_key", "seq").mapInArrow(_fold, SLOTS)  # dealt out by symbol already

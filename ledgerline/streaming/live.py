@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ledgerline.scratch import scratch_path
+
 CLOSED = "key long, value string, valid_from timestamp, valid_to timestamp"
 STATE = "value string, valid_from timestamp, newest timestamp, tie long"
 
@@ -43,8 +43,7 @@ def closed_windows(facts: DataFrame) -> DataFrame:
 def run_available(stream: DataFrame, label: str) -> DataFrame:
     """Runs a stream over what there is and reads what it wrote; checkpoint and output lie in the shared folder."""
     spark: SparkSession = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerline-")
-    path = f"{root.rstrip('/')}/ledgerline/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")

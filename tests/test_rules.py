@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import types as Ty
 from ledgerline.operators import history as H
-from ledgerline.operators.extraction import code_facts, doc_claims
-from ledgerline.operators.ordering import dense_number, running_max
-from ledgerline.operators.slots import DOCS, PROJECTOR, _Symbol, projected
+from ledgerline.functions.scalars import canonical_version
+from ledgerline.operators.extraction import code_facts, doc_claims, symbol_events
+from ledgerline.operators.ordering import dense_number, queue_number, running_max
+from ledgerline.operators.slots import DOCS, PROJECTOR, _Symbol, fold_slots, projected, withheld
+from ledgerline.sources.docstrings import stated
 from ledgerline.sources.python_source import definitions, read_definitions
 
 
@@ -16,7 +18,9 @@ from ledgerline.sources.python_source import definitions, read_definitions
     [
         ("int", "int", False), ("int", "str", True), ("int | None", "int", True), ("None | int", "int | str", True), ("int", "float", False), ("float", "int", False),
         ("list[int]", "Iterable[int]", False), ("list[int]", "list[str]", True), ("Path", "str", False), ("pd.Frame", "int", False), ("Literal['a']", "str", False), ("Literal[1]", "str", True),
-        ("tuple[int, ...]", "Sequence[int]", False), ("dict", "dict[str, int]", False), ("None | str", "Any", False), ("not a type", "int", False), ("object", "str", False),
+        ("Literal['a'] | bytes", "str", True), ("str", "Literal['a']", False), ("Literal[1.5]", "float", True), ("Literal['a']", "str | bytes", False), ("list[Literal['a']]", "list[int]", True),
+        ("None", "int", True), ("int", "None | int", False), ("None | int", "None | float", False), ("None | int", "float", True), ("None | dict[str, int]", "Mapping", True), ("Mapping[Any, Any]", "dict", False),
+        ("Callable", "Callable[[int], str]", False), ("list[mod.X]", "list[int]", False), ("bool | int", "bool", False), ("tuple[int, ...]", "Sequence[int]", False), ("dict", "dict[str, int]", False), ("None | str", "Any", False), ("not a type", "int", False), ("object", "str", False),
     ],
 )
 def test_provable_difference(code, doc, differs):
@@ -115,7 +119,7 @@ def test_projection_abstains_where_it_cannot_know():
 
 
 def _commit(symbol, seq, default, documented):
-    symbol.commit(seq, True, {("param.a.default", documented)}, {"param_names": '["a"]', "param.a.default": default})
+    symbol.commit(seq, {("param.a.default", documented)}, {"param_names": '["a"]', "param.a.default": default})
 
 
 def test_code_and_docs_fixed_together_agree():
@@ -134,12 +138,192 @@ def test_a_party_cannot_retract_from_an_open_dispute():
     assert (DOCS, "param.a.default", "2") in s.claims and (PROJECTOR, "param.a.default", "1") in s.claims
 
 
-def test_unanalyzed_commit_keeps_claims():
-    s = _Symbol()
-    _commit(s, 1, "1", "1")
-    before = set(s.claims)
-    s.commit(2, False, set(), None)
-    assert s.claims == before
+def test_a_type_is_withheld_only_for_a_sentinel_of_the_code():
+    stated = {"param.a.default": {"5"}, "param.a.type": {"int"}}
+    fields = {"param_names": '["a"]', "param.a.type": "None | int", "param.a.default": "5"}
+    assert not withheld("param.a.type", "None | int", stated, fields)
+    assert withheld("param.a.type", "None | int", stated, fields | {"param.a.default": "None"})
+    assert not withheld("param.a.type", "None | int", {"param.a.type": {"int"}}, fields | {"param.a.default": "None"})
+
+
+def _events(spark, *rows):
+    files = spark.createDataFrame(rows, "seq long, path string, content string")
+    return symbol_events(read_definitions(files.where("content is not null")), files.select("seq", "path"))
+
+
+DOCUMENTED = 'def f(a: int = {}):\n    """F.\n\n    Args:\n        a (int): A. Defaults to {}.\n    """\n'
+
+
+def test_removed_files_and_definitions_retract_and_unreadable_ones_keep(spark):
+    good = DOCUMENTED.format(1, 1)
+    rows = [(1, p, good) for p in ("src/m/a.py", "src/m/b.py", "src/m/c.py", "src/m/d.py")]
+    rows += [(2, "src/m/a.py", None), (2, "src/m/b.py", "x = 1\n"), (2, "src/m/c.py", "def f(:\n"), (3, "src/m/c.py", "def f(:\n"), (2, "src/m/d.py", "def f(:\n"), (3, "src/m/d.py", None)]
+    out = {(r.symbol_key, r.aspect): r.outcome for r in fold_slots(_events(spark, *rows)).collect()}
+    assert {k for k, _ in out} == {"py:m.c.f"} and out["py:m.c.f", "param.a.default"] == "corroborate"
+
+
+def test_a_symbol_that_moves_in_one_commit_stays(spark):
+    good = DOCUMENTED.format(1, 1)
+    out = _events(spark, (1, "src/m.py", good), (2, "src/m.py", None), (2, "lib/src/m.py", good)).where("symbol_key = 'py:m.f'").orderBy("seq").collect()
+    assert [(r.path, r.fields is None) for r in out] == [("src/m.py", False), ("lib/src/m.py", False)]
+
+
+def test_a_dispute_outlives_the_symbol(spark):
+    out = fold_slots(_events(spark, (1, "src/m.py", DOCUMENTED.format(1, 2)), (2, "src/m.py", None))).collect()
+    assert [(r.aspect, r.outcome, r.deferred) for r in out] == [("param.a.default", "contradict", 2)]
+
+
+def test_many_commits_of_one_symbol_are_folded_in_order(spark):
+    rows = [(k, "src/m.py", DOCUMENTED.format(k, k)) for k in range(1, 300)]
+    assert {(r.aspect, r.outcome, r.code_value) for r in fold_slots(_events(spark, *rows)).collect()} == {("param.a.default", "corroborate", "299"), ("param.a.exists", "corroborate", "true"), ("param.a.type", "corroborate", "int")}
+
+
+CLASSES = """
+import functools
+import os.path as osp
+from typing import *
+
+def forward(fn):
+    @functools.wraps(fn)
+    def inner(*args): return fn(*args)
+    return inner
+
+@forward
+def kept(a): pass
+
+@other
+def opaque(a): pass
+
+class Old:
+    def __init__(self):
+        warn("Old is deprecated")
+
+class Late:
+    def __init__(self):
+        self.a = 1
+        warn("deprecated")
+
+class Fine: pass
+
+class Sets:
+    def __init__(self): setattr(self, "c", 1)
+
+class Dicts:
+    def m(me): me.__dict__["a"] = 1
+
+@decorated
+class Dressed: pass
+
+@final
+class Final: pass
+
+class Filled:
+    locals()["x"] = 1
+
+class Members:
+    a = 1
+    def m(self):
+        self.b, other = 1, 2
+    def a(self): pass
+
+class Twice: pass
+class Twice:
+    def lost(self): pass
+
+def again(): pass
+again = 1
+"""
+
+
+def test_closure_deprecation_and_bound_names(spark):
+    code, _ = _facts(spark, CLASSES)
+    at = lambda name, aspect: code.get((f"py:pkg.mod.{name}", aspect))
+    assert at("kept", "param_names") == '["a"]' and at("opaque", "param_names") is None
+    assert at("Old", "deprecated") == "true" and at("Late", "deprecated") is None and at("Fine", "deprecated") == "false"
+    assert [at(c, "namespace_closed") for c in ("Fine", "Final", "Sets", "Dicts", "Dressed", "Filled")] == ["true", "true", "false", "false", "false", "false"]
+    assert at("Members.a", "kind") == "attribute" and at("Members.a", "param_names") is None and at("Members.b", "kind") == "attribute" and at("Members.other", "kind") is None
+    assert at("Twice", "kind") == "ambiguous" and at("Twice.lost", "exists") is None
+    assert at("again", "kind") == "attribute" and at("osp", "kind") == "attribute" and at("functools", "kind") == "attribute" and ("py:pkg.mod", "namespace_closed") in code
+    assert code["py:pkg.mod", "namespace_closed"] == "false"
+
+
+NUMPY = """Do.
+
+Parameters
+----------
+a, b : int, optional
+    Both. Default is 4.
+c : {'x', 'y'} or None, default 'x'
+    One of them.
+d
+    No type.
+bare
+kinds : array-like
+    Not a type.
+*args : int
+    Never claimed.
+
+Returns
+-------
+bool
+    Whether.
+
+Raises
+------
+KeyError
+    Often.
+"""
+GOOGLE = """Do.
+
+Args:
+    a (int, optional): First,
+        which defaults to `7`.
+    self: The receiver.
+
+Returns:
+    dict[str, int]: Counts.
+
+Raises:
+    os.Error: If so.
+"""
+SPHINX = """Do.
+
+.. deprecated:: 1.2
+   Use other.
+
+:param str a: Text.
+:param b: Number; the default
+    is 3.
+:type b: int, optional
+:param c: Other.
+:rtype: list[int]
+:raises ValueError: Never.
+"""
+
+
+@pytest.mark.parametrize(
+    ("text", "claims"),
+    [
+        (NUMPY, {"param.a.exists": "true", "param.a.type": "None | int", "param.a.default": "4", "param.b.exists": "true", "param.b.type": "None | int", "param.b.default": "4", "param.c.exists": "true", "param.c.default": "'x'",
+                 "param.d.exists": "true", "param.kinds.exists": "true", "returns.type": "bool", "raises.KeyError": "true"}),
+        (GOOGLE, {"param.a.exists": "true", "param.a.type": "None | int", "param.a.default": "7", "returns.type": "dict[str, int]", "raises.os.Error": "true"}),
+        (SPHINX, {"deprecated": "true", "param.a.exists": "true", "param.a.type": "str", "param.b.exists": "true", "param.b.type": "None | int", "param.b.default": "3", "param.c.exists": "true", "returns.type": "list[int]", "raises.ValueError": "true"}),
+        ("Do.\n\nReturns:\n    value: The value.\n", {}), ("Do.\n\n.. deprecated:: 1\n   Passing x is old.\n", {}), ("Do.\n\nArgs:\n    a (int): One.\n    a (str): Two.\n", {"param.a.exists": "true"}),
+        ("Do.\n\nReturns\n-------\na : int\nb : str\n", {}), ("", {}), (None, {}),
+    ],
+)
+def test_docstring_styles(text, claims):
+    assert {c.aspect: c.value for c in stated(text, {"self"})} == claims
+
+
+def test_classes_claim_deprecation_alone():
+    assert [c.aspect for c in stated(SPHINX, None)] == ["deprecated"]
+
+
+@pytest.mark.parametrize(("text", "version"), [("1.0-rc1+local", None), ("v1.2", "1.2"), ("\t2.0\n", "2.0"), ("1.2+local.7", "1.2+local.7"), ("latest", None), ("1..2", "1..2"), ("1-", None)])
+def test_versions(spark, text, version):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(canonical_version(F.col("t"))).first()[0] == version
 
 
 def test_windows_and_as_of(spark):
