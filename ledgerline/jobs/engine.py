@@ -54,11 +54,34 @@ def extract_doc_claims(spark, sf_dir):
 
 
 def events(files: DataFrame) -> DataFrame:
-    """What each commit says of each symbol, from files (``seq``, ``path``, ``content``, null where deleted), each parsed once."""
-    found = written(read_definitions(files.where("content is not null")), "definitions")
+    """What each commit says of each symbol, from files (``seq``, ``path``, ``content``, null where deleted).
+
+    Contents that a path has in several commits are parsed once.
+    """
+    blobs = files.where("content is not null").withColumn("blob", F.sha1("content"))
+    parsed = read_definitions(blobs.groupBy("path", "blob").agg(F.first("content").alias("content")), "blob")
+    found = written(blobs.select("seq", "path", "blob").join(written(parsed, "contents"), ["path", "blob"]).drop("blob"), "definitions")
     return symbol_events(found, files.select("seq", "path"))
 
 
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A commit for each order that changes the modules of its parts, or deletes those that were returned.
+
+    The default in the code moves from commit to commit. Documentation follows, but in every seventh module, where it never does.
+    """
+    part = corpora.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"))
+    lines = corpora.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("seq"), F.col("l_partkey").alias("k")).agg(F.max((F.col("l_returnflag") == "R").cast("int")).alias("gone"))
+    code = F.col("size") + F.col("seq") % 3
+    documented = F.when(F.col("k") % 7 == 0, F.col("size") + 5).otherwise(code)
+    content = F.concat(F.lit("def f(size: int = "), code.cast("string"), F.lit('):\n    """F.\n\n    Args:\n        size (int): Size. Defaults to '), documented.cast("string"), F.lit('.\n    """\n'))
+    return lines.join(part, "k").select("seq", corpora.part_path("k").alias("path"), F.when(F.col("gone") == 0, content).alias("content"))
+
+
+def ingest_history(spark, sf_dir):
+    """From a long history of changes and deletions to the slots it leaves."""
+    return fold_slots(events(history(spark, sf_dir))).select("symbol_key", "aspect", "outcome", "code_value", "doc_value", "opened_seq")
+
+
 def drift_end_to_end(spark, sf_dir):
     """Sources to slots: definitions, facts and claims, removals, then the fold of each symbol's commits."""
     return fold_slots(events(sources(spark, sf_dir)))
@@ -115,7 +138,7 @@ def canonical_literals(spark, sf_dir):
     return rows.join(texts, "written").select("k", "written", "canonical")
 
 
-QUERIES = {f.__name__: f for f in (extract_code_facts, extract_doc_claims, drift_end_to_end, dispute_resolution, removal_events, drift_totals, type_provable, canonical_types, canonical_literals)}
+QUERIES = {f.__name__: f for f in (extract_code_facts, extract_doc_claims, drift_end_to_end, dispute_resolution, removal_events, ingest_history, drift_totals, type_provable, canonical_types, canonical_literals)}
 _P = """every AS (SELECT p_partkey AS k, p_size AS size, concat('src/cat/p', p_partkey, '.py') AS path, concat('py:cat.p', p_partkey) AS module, concat('py:cat.p', p_partkey, '.f') AS symbol_key FROM part),
 p AS (SELECT *, 1 AS seq FROM every WHERE k % 17 <> 0 UNION ALL SELECT *, 2 FROM every WHERE k % 17 <> 0 AND k % 7 = 0),
 late AS (SELECT * FROM every WHERE k % 23 = 0 AND k % 19 <> 0)"""
@@ -155,6 +178,12 @@ ORACLE_SQL = {
     "removal_events": f"""WITH {_P}, had AS (SELECT * FROM every WHERE k % 17 <> 0 AND (k % 19 = 0 OR k % 23 = 0))
       SELECT CAST(3 AS BIGINT) AS seq, path, symbol_key FROM (SELECT path, symbol_key FROM had UNION ALL SELECT path, module FROM had WHERE k % 19 = 0
         UNION ALL SELECT path, concat(module, '.opaque') FROM had WHERE k % 13 = 0 UNION ALL SELECT path, unnest([concat(module, '.Box'), concat(module, '.Box.__init__'), concat(module, '.Box.size')]) FROM had WHERE k % 4 = 0)""",
+    "ingest_history": """WITH lines AS (SELECT l_orderkey AS seq, l_partkey AS k, bool_or(l_returnflag = 'R') AS gone FROM lineitem GROUP BY ALL),
+      per AS (SELECT k, min(seq) FILTER (NOT gone) AS first, max(seq) AS last, arg_max(gone, seq) AS is_gone FROM lines GROUP BY k),
+      p AS (SELECT k, first, last, is_gone, p_size AS size, concat('py:cat.p', k, '.f') AS symbol_key FROM per JOIN part ON k = p_partkey WHERE first IS NOT NULL)
+      SELECT symbol_key, 'param.size.default' AS aspect, CASE WHEN k % 7 = 0 THEN 'contradict' ELSE 'corroborate' END AS outcome, CAST(size + CASE WHEN k % 7 = 0 THEN first ELSE last END % 3 AS VARCHAR) AS code_value,
+        CAST(CASE WHEN k % 7 = 0 THEN size + 5 ELSE size + last % 3 END AS VARCHAR) AS doc_value, CASE WHEN k % 7 = 0 THEN first END AS opened_seq FROM p WHERE k % 7 = 0 OR NOT is_gone
+      UNION ALL SELECT symbol_key, unnest(['param.size.exists', 'param.size.type']), 'corroborate', unnest(['true', 'int']), unnest(['true', 'int']), NULL FROM p WHERE NOT is_gone""",
     "drift_totals": f"WITH {_SLOTS} SELECT aspect, outcome, count(*) AS n FROM slots GROUP BY ALL",
     "type_provable": "SELECT p_partkey AS k, code, doc, differs FROM part JOIN (VALUES "
     + ", ".join("({}, '{}', '{}', {})".format(i, c.replace("'", "''"), d.replace("'", "''"), x) for i, (c, d, x) in enumerate(TYPE_PAIRS))

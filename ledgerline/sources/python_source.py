@@ -28,7 +28,7 @@ CLOSED_DECORATORS = {"final", "runtime_checkable", "deprecated", "type_check_onl
 #: Stands for a decorator of the same file that wraps with ``wraps``, and so keeps the signature.
 FORWARDING = "wraps"
 DEFINITION = (
-    "seq long, path string, analyzed boolean, name string, parent string, kind string, line_start int, line_end int, decorators array<string>, names array<string>, defaults array<string>, "
+    "path string, analyzed boolean, name string, parent string, kind string, line_start int, line_end int, decorators array<string>, names array<string>, defaults array<string>, "
     "types array<string>, returns string, raises array<string>, notices int, leading_notice boolean, closed boolean, claims array<struct<aspect:string,value:string,confidence:double>>"
 )
 _FUNCTION = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -206,13 +206,13 @@ def definitions(content: str | bytes) -> list[dict] | None:
     return list(out.values())
 
 
-def read_definitions(sources: DataFrame) -> DataFrame:
-    """A row per module and name of ``sources`` (``seq``, ``path``, ``content``), partition by partition, without a shuffle.
+def read_definitions(sources: DataFrame, key: str = "seq") -> DataFrame:
+    """A row per module and name of ``sources`` (``key``, ``path``, ``content``), partition by partition, without a shuffle.
 
-    Each file is parsed once. Content that doesn't parse gives one row that
+    ``key`` is a commit's number or what tells contents apart. Each file is parsed once. Content that doesn't parse gives one row that
     isn't ``analyzed``; null content gives none.
     """
-    schema = StructType.fromDDL(DEFINITION)
+    schema = StructType([sources.schema[key], *StructType.fromDDL(DEFINITION)])
     kinds = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,8 +220,8 @@ def read_definitions(sources: DataFrame) -> DataFrame:
             rows = []
             for seq, path, content in zip(*(c.to_pylist() for c in batch.columns)):
                 found = definitions(content) if content is not None else []
-                rows += [{"seq": seq, "path": path, "analyzed": False}] if found is None else [{"seq": seq, "path": path, "analyzed": True} | d | ({"claims": [c._asdict() for c in d["claims"]]} if d.get("claims") else {"claims": None}) for d in found]
+                rows += [{key: seq, "path": path, "analyzed": False}] if found is None else [{key: seq, "path": path, "analyzed": True} | d | ({"claims": [c._asdict() for c in d["claims"]]} if d.get("claims") else {"claims": None}) for d in found]
             columns = [pa.array([r.get(f.name) for r in rows], f.type) for f in kinds]
             yield pa.RecordBatch.from_arrays(columns, kinds.names)
 
-    return sources.select("seq", "path", "content").mapInArrow(run, schema)
+    return sources.select(key, "path", "content").mapInArrow(run, schema)
