@@ -18,7 +18,7 @@ from .common import clear_of, row_key, written
 
 #: Leading tokens that are levels of the tree; the sign of a variable field.
 DEPTH, FIELD = 3, "<*>"
-#: Different lines of documents, counted for each document, that a template or a token at a place needs to be recurring.
+#: Documents that a template needs to be recurring; different lines, counted for each document, that a token needs to be frequent at its place.
 MIN_DOCS = 5
 #: Fixed tokens from which a template recurs in two documents.
 MANY_FIXED = 10
@@ -77,15 +77,26 @@ def recurring_lines(df: DataFrame) -> DataFrame:
     shapes = marked.groupBy("leaf", "line_hash").agg(F.struct(*shape(F.col("met") >= MIN_DOCS)).alias("usual"), F.struct(*shape(F.col("lines") >= 2)).alias("long"))
     typed = written(different.select("leaf", "line_hash", "n", "doc", "last").join(shapes, ["leaf", "line_hash"]), "templates")
 
-    def recurring(rows: DataFrame, kind: str, enough: Column) -> DataFrame:
-        """Lines of the templates of a kind that recur, with their keeper."""
+    def in_many(rows: DataFrame) -> DataFrame:
+        """Templates (``leaf``, ``template``) of lines that stand in MIN_DOCS documents, each document counted once."""
+        likely = rows.groupBy("leaf", "template").agg(F.sum("n").alias("n"), F.count("*").alias("lines")).where(F.col("n") >= MIN_DOCS)
+        several = written(rows.select("leaf", "line_hash", "template").join(likely.where("lines > 1").select("leaf", "template"), ["leaf", "template"]), "likely-templates")
+        held = parsed.select("leaf", "line_hash", "doc").join(_small(several.select("line_hash", "template")), "line_hash")
+        counted = held.groupBy("leaf", "template", "doc").agg(F.lit(1).alias("one")).groupBy("leaf", "template").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
+        return likely.where("lines = 1").select("leaf", "template").union(counted.select("leaf", "template"))
+
+    def recurring(rows: DataFrame, kind: str, enough: Column | None) -> DataFrame:
+        """Lines of the templates of a kind that recur, with their keeper; by default those in many documents do."""
         rows = rows.select("leaf", "line_hash", "n", "doc", "last", f"{kind}.*").where("n_fixed > 0")
         share = F.sum(F.col("n") * F.col("n_fixed")) / F.sum(F.col("n") * F.col("n_words"))  # of all its lines, as they differ in words
+        enough = F.lit(True) if enough is None else enough
         found = rows.groupBy("leaf", "template").agg(F.min("doc").alias("keeper"), (enough & (share >= FIXED_SHARE)).alias("enough")).where("enough").select("leaf", "template", "keeper")
+        if kind == "usual":
+            found = found.join(in_many(rows), ["leaf", "template"])
         return rows.join(found, ["leaf", "template"]).select("line_hash", "keeper")
 
     # each line goes by one of the three, so that the keeper of a template keeps what it has of it
-    usual = written(recurring(typed, "usual", F.sum("n") >= MIN_DOCS), "usual-templates")
+    usual = written(recurring(typed, "usual", None), "usual-templates")
     others = typed.join(usual.select("line_hash"), "line_hash", "left_anti")
     long = recurring(others, "long", (F.min("n_fixed") >= MANY_FIXED) & (F.min("doc") < F.max("last")))
     ranked = [rows.withColumn("rank", F.lit(i)) for i, rows in enumerate((usual, long, same))]

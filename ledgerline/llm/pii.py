@@ -1,7 +1,8 @@
 """Operator 6: personal data by bootstrapped contextual extraction, with DataFrame functions alone.
 
-Base matches of four kinds are the seeds. Every token with digits is an
-instance that stands in a lexical pattern, the word before it. Pattern and
+Base matches of four kinds are the seeds. Every token with a digit or an at sign is an
+instance that stands in a lexical pattern: the last word before it that is no
+such token. Pattern and
 instances make a bipartite graph over all documents, which Spark scores in
 rounds: a pattern scores the share of its instances that are believed, if
 enough different ones are seeds; an instance is believed as far as its best
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_key, written
-from .spans import SPACE, let, located, marks, spelled
+from .spans import SPACE, blocks_of, let, located, marks, spelled
 
 #: The base kinds in order. Quantifiers that nothing follows are possessive, and a match starts at the
 #: start of its run or where the last match ended: the same matches, in time that grows with the text alone.
@@ -25,13 +26,15 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = "context"
+INSTANCES = "array<struct<start:int,end:int,pattern:string,instance:string,seed:boolean,likely:boolean>>"
 #: A token with a digit or an at sign, and in it the part without punctuation around.
 TOKEN = rf"(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
 CORE = r"[A-Za-z0-9](?:.*[A-Za-z0-9])?"
-#: An identifier that no base match covers has so many characters and digits at least.
+#: The last word of what stands before a token, and what stands for it at a text's start.
+WORD = rf"(?<![^{SPACE}])[^{SPACE}]++(?=[{SPACE}]*$)"
+START = "<start>"
+#: An identifier that is added has so many characters and digits at least; all are instances.
 LEAST_CHARS, LEAST_DIGITS = 6, 4
-#: Longest context word kept; longer words are cut from the left.
-CONTEXT_CHARS = 40
 #: Rounds over the graph; a pattern's score and its number of different seeds for its instances to be believed.
 ROUNDS, CONFIDENT, SUPPORT = 3, 0.8, 5
 
@@ -73,26 +76,49 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
+def _running_max(values: Column) -> Column:
+    """The largest of an array's integers (from -1) up to each place, block by block."""
+    none = F.struct(F.lit(-1).alias("m"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        return let(F.greatest(acc["m"], x), lambda m: F.struct(m.alias("m"), F.array_append(acc["out"], m).alias("out")))
+
+    def over(blocks: Column) -> Column:
+        ends = F.aggregate(blocks, F.array(F.lit(-1)), lambda found, b: F.array_append(found, F.greatest(F.element_at(found, -1), F.element_at(b, -1))))
+        return F.flatten(F.zip_with(blocks, let(ends, lambda e: F.slice(e, 1, F.size(e) - 1)), lambda b, m: F.transform(b, lambda x: F.greatest(x, m))))
+
+    return let(F.transform(blocks_of(values), lambda b: F.aggregate(b, none, step, lambda acc: acc["out"])), over)
+
+
 def _instances(tokens: Column, base: Column) -> Column:
-    """Identifier-like tokens as structs of start, end, pattern, instance and seed (a base match covers part of it)."""
+    """Tokens as structs of start, end, pattern, instance, seed (a base match covers part of it) and likely (long enough to be added)."""
+    meets = lambda m, s: (m["start"] < s["end"]) & (s["start"] < m["end"])
 
-    def one(s: Column) -> Column:
+    def one(s: Column, pattern: Column, near: Column) -> Column:
         core = F.regexp_extract(s["value"], CORE, 0)
         begin = s["start"] + F.instr(s["value"], core) - 1
-        space = F.regexp_replace(F.rtrim(F.translate(F.right(s["before"], F.lit(4 * CONTEXT_CHARS)), "\t\n\x0b\x0c\r", "     ")), "^.* ", "")
         return F.struct(
             begin.alias("start"),
             (begin + F.length(core)).alias("end"),
-            F.lower(F.right(space, F.lit(CONTEXT_CHARS))).alias("pattern"),
+            F.coalesce(pattern, F.lit(START)).alias("pattern"),
             F.lower(core).alias("instance"),
-            seed(s).alias("seed"),
+            F.exists(near, lambda m: meets(m, s)).alias("seed"),
+            ((F.length(core) >= LEAST_CHARS) & (F.length(digits(s["value"])) >= LEAST_DIGITS)).alias("likely"),
         )
 
-    def seed(s: Column) -> Column:
-        return F.exists(base, lambda m: (m["start"] < s["end"]) & (s["start"] < m["end"]))
+    def of_block(block: Column, patterns: Column) -> Column:
+        whole = F.struct(F.get(block, F.lit(0))["start"].alias("start"), F.element_at(block, -1)["end"].alias("end"))
+        near = let(whole, lambda w: F.filter(base, lambda m: meets(m, w)))  # so that each token is held against few spans
+        return let(near, lambda n: F.zip_with(block, patterns, lambda s, p: one(s, p, n)))
+
+    def named(words: Column) -> Column:
+        """The pattern of each token: its word, or that of the last token that has one."""
+        last = _running_max(F.transform(words, lambda w, i: F.when(w != "", i).otherwise(-1)))
+        return F.transform(last, lambda k: F.when(k >= 0, F.get(words, k)))
 
-    kept = F.filter(tokens, lambda s: seed(s) | ((F.length(F.regexp_extract(s["value"], CORE, 0)) >= LEAST_CHARS) & (F.length(digits(s["value"])) >= LEAST_DIGITS)))
-    return F.transform(kept, one)
+    words = F.transform(tokens, lambda s: F.lower(F.regexp_extract(s["before"], WORD, 0)))
+    found = let(words, lambda w: F.flatten(F.zip_with(blocks_of(tokens), let(named(w), blocks_of), of_block)))
+    return F.when(F.size(tokens) > 0, found).otherwise(F.array().cast(INSTANCES))
 
 
 def _confident_patterns(edges: DataFrame) -> DataFrame:
@@ -123,11 +149,11 @@ def find_pii(df: DataFrame) -> DataFrame:
     spans = base_spans(F.col("text"))
     based = docs.select("doc_id", "key", "text", F.concat(*(marks(spans[k], k, i) for i, k in enumerate(KINDS))).alias("base"))
     tokens = located(F.col("text"), TOKEN, F.col("text").rlike("[0-9@]"))
-    found = written(based.select("doc_id", "key", "base", _instances(tokens, F.col("base")).alias("tokens")), "pii-base")
-    seen = found.where(F.size("tokens") > 0).select("key", F.explode("tokens").alias("t")).select("key", "t.*").where("pattern <> ''")
+    found = written(based.select("doc_id", "key", "base", let(tokens, lambda t: _instances(t, F.col("base"))).alias("tokens")), "pii-base")
+    seen = found.where(F.size("tokens") > 0).select("key", F.explode("tokens").alias("t")).select("key", "t.*").where("instance <> ''")
     edges = written(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-graph")
     patterns = written(_confident_patterns(edges), "pii-patterns")
-    new = seen.where(~F.col("seed")).join(patterns, "pattern").select("key", F.struct("start", F.lit(len(KINDS)).alias("order"), "end", F.lit(CONTEXT).alias("kind")).alias("m"))
+    new = seen.where(~F.col("seed") & F.col("likely")).join(patterns, "pattern").select("key", F.struct("start", F.lit(len(KINDS)).alias("order"), "end", F.lit(CONTEXT).alias("kind")).alias("m"))
     added = new.groupBy("key").agg(F.collect_set("m").alias("added"))
     return found.join(added, "key", "left").select("doc_id", "key", F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>"))).alias("pii"))
 

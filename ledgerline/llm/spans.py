@@ -29,8 +29,7 @@ def located(text: Column, pattern: str, likely: Column) -> Column:
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
 
     def spans_of(z: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / BLOCK).cast("int")), lambda b: F.slice(z, b * BLOCK + 1, BLOCK))
-        return let(blocks, lambda bs: F.flatten(F.zip_with(bs, _starts(bs), _block_spans)))
+        return let(blocks_of(z), lambda bs: F.flatten(F.zip_with(bs, _starts(bs), _block_spans)))
 
     whole = let(parts, lambda z: let(F.filter(z, lambda x: x["hit"].isNotNull()), lambda h: F.when(F.size(h) > 0, spans_of(h)).otherwise(F.array().cast(SPAN))))
     return F.when(likely, whole).otherwise(F.array().cast(SPAN))
@@ -71,23 +70,33 @@ def spelled(found: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(found), lambda m: F.concat_ws(":", m["kind"], m["start"].cast("string"), m["end"].cast("string"))), ",")
 
 
+def blocks_of(values: Column) -> Column:
+    """An array in slices of BLOCK."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(values) - 1) / BLOCK).cast("int"), F.lit(0))), lambda b: F.slice(values, b * BLOCK + 1, BLOCK))
+
+
 def merged(found: Column) -> Column:
-    """Marks in order without those that overlap one before them."""
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{MARK}>").alias("out"))
-    return F.aggregate(
-        F.array_sort(found),
-        empty,
-        lambda acc, m: F.when(m["start"] >= acc["at"], F.struct(m["end"].alias("at"), F.concat(acc["out"], F.array(m)).alias("out"))).otherwise(acc),
-        lambda acc: acc["out"],
-    )
+    """Marks in order without those that overlap one before them. What grows is a list of places."""
+
+    def kept(marks: Column) -> Column:
+        empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+        def step(acc: Column, i: Column) -> Column:
+            m = F.get(marks, i)
+            return F.when(m["start"] >= acc["at"], F.struct(m["end"].alias("at"), F.array_append(acc["out"], i).alias("out"))).otherwise(acc)
+
+        places = F.aggregate(F.sequence(F.lit(0), F.size(marks) - 1), empty, step, lambda acc: acc["out"])
+        return F.when(F.size(marks) > 0, F.transform(places, lambda i: F.get(marks, i))).otherwise(marks)
+
+    return let(F.array_sort(found), kept)
 
 
 def redacted(text: Column, found: Column) -> Column:
     """``text`` with each mark replaced by its kind in angle brackets."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(
-        merged(found),
-        start,
-        lambda acc, m: F.struct(m["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, m["start"] - acc["at"]), F.lit("<"), F.upper(m["kind"]), F.lit(">")).alias("out")),
-    )
-    return F.when(F.size(found) > 0, let(done, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))).otherwise(text)
+
+    def whole(marks: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(marks, i)["end"], F.lit(0))
+        parts = F.transform(marks, lambda m, i: F.concat(F.substring(text, end(i - 1) + 1, m["start"] - end(i - 1)), F.lit("<"), F.upper(m["kind"]), F.lit(">")))
+        return F.concat(F.array_join(parts, ""), F.substring(text, end(F.size(marks) - 1) + 1, F.length(text)))
+
+    return F.when(F.size(found) > 0, let(merged(found), whole)).otherwise(text)

@@ -2,13 +2,14 @@
 
 import random
 import re
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm.line_templates import MIN_DOCS, drop_templates
-from ledgerline.llm.pii import KINDS, find_pii, pii_digest
-from ledgerline.llm.secrets import BASE_RULES, find_secrets, trigram_query
+from ledgerline.llm.line_templates import DEPTH, FIXED_SHARE, MANY_FIXED, MIN_DOCS, drop_templates
+from ledgerline.llm.pii import CONFIDENT, KINDS, ROUNDS, SUPPORT, TOKEN, _confident_patterns, _instances, find_pii, pii_digest
+from ledgerline.llm.secrets import BASE_RULES, MORE_RULES, build_index, candidates, find_secrets, trigram_query
 from ledgerline.llm.spans import located, redacted, spelled
 
 from . import fixtures
@@ -73,6 +74,51 @@ def test_patterns_that_seeds_teach_find_other_identifiers(spark):
     assert out[10] == "" and out[11] == ""
 
 
+def test_graph_equals_brute_force(spark):
+    rng = random.Random(5)
+    edges = {(f"w{rng.randrange(12)}", f"i{rng.randrange(150)}"): None for _ in range(160)}
+    rows = [(p, i, rng.random() < (0.85 if int(p[1:]) % 3 else 0.3)) for p, i in edges]
+    believed = {i: float(any(s for _, j, s in rows if j == i)) for _, i, _ in rows}
+    for _ in range(ROUNDS):
+        score = {}
+        for p in {p for p, _, _ in rows}:
+            own = [(i, s) for q, i, s in rows if q == p]
+            score[p] = sum(believed[i] for i, _ in own) / len(own) if sum(s for _, s in own) >= SUPPORT else 0.0
+        believed = {i: max(max(float(s), score[p]) for p, j, s in rows if j == i) for i in believed}
+    got = {r.pattern for r in _confident_patterns(spark.createDataFrame(rows, "pattern string, instance string, seed boolean")).collect()}
+    assert got == {p for p, s in score.items() if s >= CONFIDENT} and 0 < len(got) < 12
+
+
+def test_instances_take_the_last_word_that_is_none(spark):
+    long = "w" * 60
+    rows = [f"see {long} 12 x7, then a1@b.c 99-1 end\n(4)", "7 up 8", " ".join(f"k{'abc'[i % 3]} {i}" for i in range(400)), "z " + "1 " * 300]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "id int, text string")
+    found = df.select("id", _instances(located(F.col("text"), TOKEN, F.lit(True)), F.array().cast("array<struct<start:int,end:int>>")).alias("t"))
+    for r in found.collect():
+        want, pattern = [], "<start>"
+        for m in re.finditer(r"\S+", rows[r.id]):
+            if re.search("[0-9@]", m[0]):
+                core = re.search("[A-Za-z0-9](?:.*[A-Za-z0-9])?", m[0])
+                want.append((m.start() + core.start(), pattern, core[0].lower()))
+            else:
+                pattern = m[0].lower()
+        assert [(t["start"], t["pattern"], t["instance"]) for t in r.t] == want
+
+
+def test_candidates_equal_a_full_scan(spark, monkeypatch):
+    docs = fixtures.documents(spark, SPANS + random_spans(200))
+    by_index = find_secrets(docs).select("doc_id", spelled(F.col("secrets")).alias("s"))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.col("doc_id").cast("string"))
+    queries = {r[0]: q for r in BASE_RULES + MORE_RULES if (q := trigram_query(re.sub(r"(?<=[+*?}])\+", "", r[1])))}
+    index = build_index(keyed, sorted({t for q in queries.values() for c in q for t in c})).distinct()
+    got = {(r.key, rule) for r in candidates(index, queries).collect() for rule in r.rules}
+    want = {(str(i), rule) for i, x in enumerate(SPANS + random_spans(200)) for rule, q in queries.items() if any(all(t in (x or "").lower() for t in c) for c in q)}
+    assert {g for g in got if g[0] is not None} == want
+    monkeypatch.setattr("ledgerline.llm.secrets.trigram_query", lambda pattern: None)
+    scanned = find_secrets(docs).select("doc_id", spelled(F.col("secrets")).alias("s"))
+    assert sorted(by_index.collect(), key=str) == sorted(scanned.collect(), key=str)
+
+
 def test_secrets_equal_re(spark):
     rows = SPANS + random_spans(300)
     df = find_secrets(fixtures.documents(spark, rows, clash=True))
@@ -131,6 +177,67 @@ def test_digit_heavy_and_short_lines_recur(spark):
     assert out == {0: rows[0]} | {i: f"own {chr(97 + i)} text\n{i} {i}7" for i in range(1, MIN_DOCS + 1)}
 
 
+def brute_templates(rows):
+    """Each row's text without lines of recurring templates, by plain loops over all lines."""
+    mask = lambda line: tuple("<*>" if re.search("[0-9]", t) else t for t in line.split(" "))
+    docs, leaf = defaultdict(set), {}
+    for i, text in rows:
+        for line in {x for x in (text or "").split("\n") if x.strip()}:
+            docs[line].add(i)
+            leaf[line] = (len(mask(line)), mask(line)[:DEPTH])
+    met, lines = Counter(), Counter()
+    for line, at in docs.items():
+        for k, t in enumerate(mask(line)):
+            met[leaf[line], k, t] += len(at)
+            lines[leaf[line], k, t] += 1
+    members = Counter(leaf.values())
+    taken, keeper = set(), {}
+
+    def templates(fixed, among, enough):
+        by = defaultdict(list)
+        for line in among:
+            if members[leaf[line]] > 1:
+                by[leaf[line], tuple(t if t != "<*>" and fixed(leaf[line], k, t) else "<*>" for k, t in enumerate(mask(line)))].append(line)
+        for (_, shape), own in by.items():
+            held = set().union(*(docs[x] for x in own))
+            words = sum(len(docs[x]) * sum(t != "<*>" for t in mask(x)) for x in own)
+            kept = sum(t != "<*>" for t in shape)
+            if kept and enough(held, kept) and sum(len(docs[x]) for x in own) * kept / words >= FIXED_SHARE:
+                for x in own:
+                    taken.add(x)
+                    keeper[x] = min(held)
+
+    templates(lambda b, k, t: met[b, k, t] >= MIN_DOCS, list(docs), lambda held, kept: len(held) >= MIN_DOCS)
+    templates(lambda b, k, t: lines[b, k, t] >= 2, [x for x in docs if x not in taken], lambda held, kept: kept >= MANY_FIXED and len(held) > 1)
+    for x, held in docs.items():
+        if x not in taken and len(held) > 1:
+            keeper[x] = min(held)
+    return {i: text if text is None else "\n".join(x for x in text.split("\n") if keeper.get(x, i) == i) for i, text in rows}
+
+
+def test_templates_equal_brute_force(spark):
+    rng = random.Random(21)
+    bits = ["alpha", "beta", "gamma", "delta 4", "omega", "x1", "22"]
+    line = lambda: " ".join(["start", rng.choice(["of", "on"]), "line", *(rng.choice(bits) for _ in range(rng.randint(0, 3)))])
+    long = [fixtures.words(rng, 14) for _ in range(4)]
+
+    def near():
+        w = list(rng.choice(long))
+        w[rng.randrange(14)] = rng.choice(["new", "other"])
+        return " ".join(w)
+
+    rows = ["\n".join(rng.choice([line, near, lambda: "own " + rng.choice("abcdefgh"), lambda: ""])() for _ in range(rng.randint(1, 5))) for _ in range(40)] + [None, "", "w " * 30_000 + "1", "\n".join(f"one of {k} lines" for k in range(9))]
+    out = {r.doc_id: r.text for r in drop_templates(fixtures.documents(spark, rows)).where("doc_id is not null").collect()}
+    want = brute_templates(list(enumerate(rows)))
+    assert out == want and sum(want[i] != rows[i] for i in want) >= 15
+
+
+def test_lines_of_one_document_are_counted_once(spark):
+    rows = ["\n".join(f"Printed by machine {k} for the house" for k in range(4)), "own\nPrinted by machine 77 for the house", "third text"]
+    out = {r.doc_id: r.text for r in drop_templates(fixtures.documents(spark, rows)).where("doc_id is not null").collect()}
+    assert out == dict(enumerate(rows))
+
+
 def test_different_lines_stay(spark):
     rng = random.Random(4)
     rows = ["\n".join(" ".join(fixtures.words(rng, 9)) for _ in range(3)) for _ in range(40)]

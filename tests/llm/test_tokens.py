@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerline.llm.bpe import PairIndexBpe, bpe_decode, bpe_encode, pair_index_encoder
@@ -108,6 +109,48 @@ def test_plans_place_every_item_once(seed):
     assert len(used) <= bound * 1.25 + 1 or sum(n for k, n in counts.items() if k > 50) >= len(used) * 0.8
 
 
+def fewest(sizes, capacity):
+    """The fewest sequences that hold items of such sizes, by trying all."""
+    best = len(sizes)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(sizes):
+            best = len(rooms)
+            return
+        for k in {r: k for k, r in enumerate(rooms) if r >= sizes[i]}.values():
+            place(i + 1, [r - sizes[i] * (j == k) for j, r in enumerate(rooms)])
+        place(i + 1, [*rooms, capacity - sizes[i]])
+
+    place(0, [])
+    return best
+
+
+def test_plans_come_near_the_fewest_sequences():
+    rng, equal = random.Random(2), 0
+    for _ in range(150):
+        sizes = sorted((rng.randint(1, 20) for _ in range(rng.randint(1, 9))), reverse=True)
+        runs = plan_runs({k: sizes.count(k) for k in set(sizes)}, 20)
+        used, least = len({s for _, _, n, first, _ in runs for s in range(first, first + n)}), fewest(sizes, 20)
+        assert used <= 11 / 9 * least + 1
+        equal += used == least
+    assert equal >= 140
+
+
+def test_pieces_equal_the_library(spark):
+    docs, tokenizer = fixtures.documents(spark, clash=True), Tokenizer.from_file(BYTE)
+    out = {}
+    for r in encode_pieces(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), BYTE, 0, 64).collect():
+        out.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, np.frombuffer(r.ids, "<u4").tolist()))
+    for i, text in enumerate(fixtures.texts()):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        first = (len(ids) - 1) % 64 + 1
+        cuts = [0, *range(first, len(ids) + 1, 64)]
+        assert sorted(out[i]) == [(k, a, b - a, ids[a:b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+
+
 def test_packing_of_documents(spark, tmp_path):
     docs = fixtures.documents(spark, clash=True)
     pieces = ids_crc32(encode_pieces(docs, BYTE, 0, 64), ["doc_id", "piece", "start", "length"])
@@ -122,5 +165,8 @@ def test_packing_of_documents(spark, tmp_path):
         assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= 64
     assert len(by) <= 1.05 * sum(r.length for r in out) / 64 + 1
     assert encode_pieces(fixtures.empty(spark), BYTE, 0).count() == 0
+    again = spark.read.parquet(str(tmp_path / "p")).withColumns({"offset": F.lit("x"), "row": F.lit(1), "base": F.lit(2), "share": F.lit(3), "run_rank": F.lit(4)})
+    named = best_fit_pack(again, ["doc_id", "piece", "ids_crc32"], 64)
+    assert sorted(named.columns) == sorted({*again.columns, "sequence_id"}) and named.count() == len(out) and named.schema["offset"].dataType.simpleString() == "bigint"
     none = spark.read.parquet(str(tmp_path / "p")).limit(0)
     assert best_fit_pack(none, ["doc_id"], 64).count() == 0
