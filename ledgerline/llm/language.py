@@ -127,9 +127,10 @@ def train(df: DataFrame) -> ByteNetwork | None:
     ``lang`` has values: all are learned, and the network has an output for each.
     """
     rows = df.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
-    sizes = written(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
-    about = F.lit(2.0 * TRAINING_DOCS) / F.col("n")  # twice as many as may stay, before any text is cut
-    picked = rows.join(sizes, "lang").where(F.pmod("h", F.lit(1 << 30)) / (1 << 30) < about).select("text", "lang", "h")
+    order = Window.partitionBy("lang").orderBy("h")
+    least = rows.select("lang", "h").withColumn("place", F.row_number().over(order)).where(F.col("place") <= TRAINING_DOCS)
+    limits = written(least.groupBy("lang").agg(F.max("h").alias("most")), "languages")  # before any text is cut
+    picked = rows.join(limits, "lang").where("h <= most").select("text", "lang", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -140,7 +141,7 @@ def train(df: DataFrame) -> ByteNetwork | None:
                 cut.append(w[at].tobytes())
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(cut, pa.binary())], ["lang", "h", "bytes"])
 
-    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "bytes")
+    order = Window.partitionBy("lang").orderBy("h", "bytes")  # rows that repeat share a hash
     chosen = picked.mapInArrow(run, "lang string, h long, bytes binary").withColumn("place", F.row_number().over(order)).where(F.col("place") <= TRAINING_DOCS)
     found = sorted((r["lang"], r["place"], bytes(r["bytes"])) for r in chosen.select("lang", "place", "bytes").collect())
     sample = [(lang, b[k : k + WINDOW]) for lang, _, b in found for k in range(0, len(b), WINDOW)]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, written
+from .common import binary_array, small_batches, written
 
 #: Neighbours of a node, reverse neighbours that also take part in a round, and introductions that each gets from one list.
 NEIGHBOURS, REVERSE, INTRODUCED = 32, 16, 8
@@ -266,13 +266,13 @@ def nearest_neighbours(df: DataFrame, every: int = 20, k: int = 20) -> DataFrame
     finite = ~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = df.select("vec_id", v.alias("e")).where(F.col("vec_id").isNotNull() & F.col("e").isNotNull()).where(finite & F.exists("e", lambda x: x != 0))
     rows = rows.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("e").alias("e"))
+    rows = written(rows.withColumn("h", F.xxhash64("e")).withColumn("g", F.xxhash64(F.lit(1), F.col("e"))), "vector-rows")  # equal vectors have equal pairs of hashes
     usual = rows.groupBy(F.size("e").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
     if not usual:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims = usual[0]["n"]
-    ranked = rows.where(F.size("e") == dims).withColumn("place", F.row_number().over(Window.partitionBy("e").orderBy("vec_id")))
-    classes = written(ranked.where(F.col("place") <= k + 1), "vector-classes")  # enough copies of each vector for any result
-    first = classes.where("place = 1")
+    rows = rows.where(F.size("e") == dims)
+    first = written(rows.groupBy("h", "g").agg(F.min(F.struct("vec_id", "e")).alias("f")).select("h", "g", "f.*"), "vector-classes")
     norm = F.aggregate("e", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     n, longest = first.agg(F.count("*"), F.max(norm)).first()
     parts = max(1, -(-n // BLOCK))
@@ -285,18 +285,26 @@ def nearest_neighbours(df: DataFrame, every: int = 20, k: int = 20) -> DataFrame
             lift = np.sqrt(np.maximum(0, longest - (vectors.astype(np.float64) ** 2).sum(1)))  # so that the nearest have the largest product
             codes = _codes(np.concatenate([vectors, lift[:, None]], 1))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(ids_block(ids, parts)), pa.array([x.tobytes() for x in vectors.astype(row.base)], pa.binary()), pa.array([x.tobytes() for x in codes], pa.binary())],
+                [b.column(0), pa.array(ids_block(ids, parts)), binary_array(np.ascontiguousarray(vectors, row.base).ravel(), np.arange(len(vectors) + 1) * dims), pa.array([x.tobytes() for x in codes], pa.binary())],
                 ["node", "block", "vector", "code"],
             )
 
     nodes = written(first.select("vec_id", "e").mapInArrow(encode, "node long, block long, vector binary, code binary"), "vectors")
     graph = neighbour_graph(nodes, n, dims + 5)
-    own = rows.where((F.size("e") == dims) & (F.col("vec_id") % every == 0)).join(first.select("e", F.col("vec_id").alias("node")), "e")
-    queries = written(own.select(F.col("vec_id").alias("query"), "node").join(nodes.select("node", "vector"), "node").select("query", "node", "vector"), "queries")
+    named = first.select("h", "g", F.col("vec_id").alias("node"))
+
+    def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vectors = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(row.base)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), binary_array(vectors, np.arange(b.num_rows + 1) * dims)], ["query", "node", "vector"])
+
+    own = rows.where(F.col("vec_id") % every == 0).join(named, ["h", "g"]).select("vec_id", "node", "e")
+    queries = written(own.mapInArrow(as_bytes, "query long, node long, vector binary"), "queries")
     entries = [r[0] for r in first.orderBy(F.desc(norm), "vec_id").limit(ENTRIES).select("vec_id").collect()]
     found = graph_search(queries, graph, nodes.select("node", "block", "vector"), row, entries)
     near = found.select(F.col("query").alias("query_id"), F.posexplode(F.slice(F.arrays_zip("ids", "scores"), 1, k + 1)).alias("at", "hit")).select("query_id", F.col("hit.ids").alias("node"), F.col("hit.scores").alias("score"))
-    members = classes.join(first.select("e", F.col("vec_id").alias("node")), "e").select("node", "vec_id")
+    copies = rows.select("h", "g", "vec_id").withColumn("place", F.row_number().over(Window.partitionBy("h", "g").orderBy("vec_id")))
+    members = copies.where(F.col("place") <= k + 1).join(named, ["h", "g"]).select("node", "vec_id")  # enough copies of each vector for any result
     hits = near.join(members, "node").where(F.col("vec_id") != F.col("query_id"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.select("query_id", F.row_number().over(order).cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
