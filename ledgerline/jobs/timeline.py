@@ -9,7 +9,7 @@ from ledgerline.jobs import corpora
 from ledgerline.jobs.corpora import COMMITS_SQL, HISTORY_SQL
 from ledgerline.operators import history as H
 from ledgerline.operators.ordering import dense_number
-from ledgerline.streaming.live import closed_windows, run_available
+from ledgerline.streaming.live import closed_windows
 
 AT = "2024-01-20 00:00:00"
 
@@ -77,7 +77,7 @@ def l1_stream(spark, sf_dir):
         events = reader.parquet(f"{sf_dir}/events.parquet")
     value = F.when(F.col("event_id") % 17 != 0, F.col("event_type"))
     facts = events.select(F.col("user_id").alias("key"), value.alias("value"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("tie"))
-    return run_available(closed_windows(facts), "windows").select("key", "value", *_text("valid_from", "valid_to"))
+    return closed_windows(facts, "windows").select("key", "value", *_text("valid_from", "valid_to"))
 
 
 def clock_clamp(spark, sf_dir):

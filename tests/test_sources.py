@@ -5,9 +5,10 @@ import subprocess
 import pytest
 
 from ledgerline.jobs.engine import events
+from ledgerline.operators.history import windows
 from ledgerline.operators.slots import fold_slots
 from ledgerline.sources.git_source import GitHistory, repo_slug
-from ledgerline.streaming.live import closed_windows, run_available
+from ledgerline.streaming.live import closed_windows
 
 
 def committed(folder, steps):
@@ -65,4 +66,15 @@ def test_stream_refuses_older_facts(spark, tmp_path):
         spark.createDataFrame(rows, "key long, value string, at string, tie long").selectExpr("key", "value", "timestamp(at) as at", "tie").coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{i}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in/*"))
     with pytest.raises(Exception, match="came after"):
-        run_available(closed_windows(stream), "late")
+        closed_windows(stream, "late").collect()
+
+
+def test_stream_in_batches_equals_one_pass(spark, tmp_path):
+    facts = [(1, "a", 1, 1), (1, "a", 2, 2), (2, "x", 2, 3), (1, "b", 3, 4), (1, None, 4, 5), (1, None, 5, 6), (2, "x", 6, 7), (1, "b", 7, 8), (1, "c", 8, 9), (2, None, 9, 10), (2, "x", 9, 11), (3, None, 9, 12), (3, "z", 10, 13), (3, "y", 11, 14)]
+    rows = [(k, v, f"2024-01-{d:02d} 00:00:00", t) for k, v, d, t in facts]
+    for i in range(0, len(rows), 3):
+        spark.createDataFrame(rows[i : i + 3], "key long, value string, at string, tie long").selectExpr("key", "value", "timestamp(at) as at", "tie").coalesce(1).write.parquet(str(tmp_path / f"in/{i:02d}"))
+    schema = "key long, value string, at timestamp, tie long"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    whole = windows(spark.read.schema(schema).parquet(str(tmp_path / "in/*"))).where("valid_to is not null").select("key", "value", "valid_from", "valid_to")
+    assert sorted(map(tuple, closed_windows(stream, "batches").collect())) == sorted(map(tuple, whole.collect()))
