@@ -119,6 +119,24 @@ def type_provable(spark, sf_dir):
     return part.join(F.broadcast(judged), "n").select("k", "code", "doc", "differs")
 
 
+#: Names that are neither above nor below each other.
+UNRELATED = ("bytes", "dict", "list", "set")
+
+
+def type_unions(spark, sf_dir):
+    """Unions of unrelated names, with and without None, as parts' sizes and keys pick them: judged once for each distinct pair."""
+
+    def union(n, none):
+        names = F.array_compact(F.array(F.when(none, "None"), *(F.when(F.getbit(n, F.lit(i)) == 1, x) for i, x in enumerate(UNRELATED))))
+        return F.array_join(names, " | ")
+
+    part = corpora.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"))
+    code, doc = union(1 + F.col("size") % 15, F.col("size") > 25), union(1 + F.col("k") % 15, F.col("k") % 4 == 0)
+    rows = part.select("k", code.alias("code"), doc.alias("doc"))
+    judged = rows.select("code", "doc").distinct().withColumn("differs", Ty.provable_difference("code", "doc", F.lit(False)))
+    return rows.join(judged, ["code", "doc"]).select("k", "code", "doc", "differs")
+
+
 #: Types as written and their canonical text.
 TYPES = (("Optional[int]", "None | int"), ("typing.List[str]", "list[str]"), ("Union[str, int, str]", "int | str"), ("int|None", "None | int"), ("Dict[str, 'List[int]']", "dict[str, list[int]]"), ("Literal['b', 'a']", "Literal['b', 'a']"), ("a list  of ints", "a list of ints"))
 
@@ -138,7 +156,7 @@ def canonical_literals(spark, sf_dir):
     return rows.join(texts, "written").select("k", "written", "canonical")
 
 
-QUERIES = {f.__name__: f for f in (extract_code_facts, extract_doc_claims, drift_end_to_end, dispute_resolution, removal_events, ingest_history, drift_totals, type_provable, canonical_types, canonical_literals)}
+QUERIES = {f.__name__: f for f in (extract_code_facts, extract_doc_claims, drift_end_to_end, dispute_resolution, removal_events, ingest_history, drift_totals, type_provable, type_unions, canonical_types, canonical_literals)}
 _P = """every AS (SELECT p_partkey AS k, p_size AS size, concat('src/cat/p', p_partkey, '.py') AS path, concat('py:cat.p', p_partkey) AS module, concat('py:cat.p', p_partkey, '.f') AS symbol_key FROM part),
 p AS (SELECT *, 1 AS seq FROM every WHERE k % 17 <> 0 UNION ALL SELECT *, 2 FROM every WHERE k % 17 <> 0 AND k % 7 = 0),
 late AS (SELECT * FROM every WHERE k % 23 = 0 AND k % 19 <> 0)"""
@@ -188,6 +206,10 @@ ORACLE_SQL = {
     "type_provable": "SELECT p_partkey AS k, code, doc, differs FROM part JOIN (VALUES "
     + ", ".join("({}, '{}', '{}', {})".format(i, c.replace("'", "''"), d.replace("'", "''"), x) for i, (c, d, x) in enumerate(TYPE_PAIRS))
     + f") v(n, code, doc, differs) ON p_partkey % {len(TYPE_PAIRS)} = n",
+    "type_unions": """WITH p AS (SELECT p_partkey AS k, 1 + p_size % 15 AS c, 1 + p_partkey % 15 AS d, p_size > 25 AS nc, p_partkey % 4 = 0 AS nd FROM part),
+      w AS (SELECT *, list_filter(['bytes', 'dict', 'list', 'set'], lambda x, i: (c >> (i - 1)) & 1 = 1) AS cs, list_filter(['bytes', 'dict', 'list', 'set'], lambda x, i: (d >> (i - 1)) & 1 = 1) AS ds FROM p)
+      SELECT k, array_to_string(CASE WHEN nc THEN list_prepend('None', cs) ELSE cs END, ' | ') AS code, array_to_string(CASE WHEN nd THEN list_prepend('None', ds) ELSE ds END, ' | ') AS doc,
+        CASE WHEN d & ~c = 0 THEN nc AND NOT nd ELSE true END AS differs FROM w""",
     "canonical_types": "SELECT p_partkey AS k, written, canonical FROM part JOIN (VALUES " + ", ".join("({}, '{}', '{}')".format(i, a.replace("'", "''"), b.replace("'", "''")) for i, (a, b) in enumerate(TYPES)) + f") v(n, written, canonical) ON p_partkey % {len(TYPES)} = n",
     "canonical_literals": """SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN concat(p_size, '.0') WHEN 1 THEN concat('"', p_size, '"') WHEN 2 THEN concat(p_size, '.5') ELSE concat('f(', p_size, ')') END AS written,
       CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN concat('''', p_size, '''') WHEN 2 THEN concat(p_size, '.5') END AS canonical FROM part""",

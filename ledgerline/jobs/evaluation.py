@@ -54,7 +54,7 @@ def recall_table(spark, sf_dir):
 
 def rename_hint(spark, sf_dir):
     """Removed and added symbols of one commit whose signatures agree and are nobody else's."""
-    part = corpora.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"), F.concat_ws("|", "p_type", "p_size").alias("signature"))
+    part = corpora.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"), F.concat_ws("|", "p_type", "p_brand", "p_size").alias("signature"))
     gone = part.where("size <= 40").select(corpora.part_symbol("k").alias("removed"), "signature")
     new = part.where("size > 10").select(F.concat(F.lit("py:new.q"), "k", F.lit(".f")).alias("added"), "signature")
     single = lambda df, c: df.groupBy("signature").agg(F.min(c).alias(c), F.count("*").alias("n")).where("n = 1").drop("n")
@@ -74,7 +74,7 @@ _VERDICTS = """verdicts AS (SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THE
 ORACLE_SQL = {
     "injection_judge": f"WITH {_VERDICTS} SELECT k, category, verdict FROM verdicts",
     "recall_table": f"""WITH {_VERDICTS} SELECT category, count(*) AS edits, CAST(count(*) FILTER (verdict IN ('found', 'clean')) AS BIGINT) AS "right", CAST(count(*) FILTER (verdict = 'abstained') AS BIGINT) AS abstained, 1.0e0 AS recall FROM verdicts GROUP BY category""",
-    "rename_hint": """WITH p AS (SELECT p_partkey AS k, p_size, concat_ws('|', p_type, p_size) AS signature FROM part), gone AS (SELECT signature, min(k) AS k FROM p WHERE p_size <= 40 GROUP BY signature HAVING count(*) = 1),
+    "rename_hint": """WITH p AS (SELECT p_partkey AS k, p_size, concat_ws('|', p_type, p_brand, p_size) AS signature FROM part), gone AS (SELECT signature, min(k) AS k FROM p WHERE p_size <= 40 GROUP BY signature HAVING count(*) = 1),
       new AS (SELECT signature, min(k) AS k FROM p WHERE p_size > 10 GROUP BY signature HAVING count(*) = 1) SELECT concat('py:cat.p', gone.k, '.f') AS removed, concat('py:new.q', new.k, '.f') AS added FROM gone JOIN new USING (signature)""",
     "half_life": """SELECT o_orderpriority AS priority, count(*) AS disputes, quantile_cont(date_diff('day', CAST(o_orderdate AS DATE), CAST(closed AS DATE)), 0.5) AS median_days
       FROM orders JOIN (SELECT l_orderkey AS o_orderkey, max(l_shipdate) AS closed FROM lineitem GROUP BY l_orderkey) USING (o_orderkey) GROUP BY o_orderpriority""",
