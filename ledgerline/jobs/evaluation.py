@@ -10,10 +10,17 @@ from ledgerline.jobs.engine import events
 from ledgerline.operators.slots import fold_slots
 
 
+#: Edits, each with the aspect that it makes wrong; a control has none.
+CATEGORIES = {
+    "default": "param.size.default", "type": "param.size.type", "control_comment": None, "control_statement": None,
+    "rename": "param.size.exists", "returns": "returns.type", "optional": "param.size.type", "narrowed": "param.size.type",
+}
+
+
 def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An edit for each part: a default or a type that the documentation doesn't follow, or a control that changes no fact."""
+    """An edit for each part that the documentation doesn't follow, or a control that changes no fact."""
     k = F.col("p_partkey")
-    category = F.when(k % 4 == 0, "default").when(k % 4 == 1, "type").when(k % 4 == 2, "control_comment").otherwise("control_statement")
+    category = F.element_at(F.array(*(F.lit(c) for c in CATEGORIES)), (k % len(CATEGORIES) + 1).cast("int"))
     return corpora.table(spark, sf_dir, "part").select(k.alias("k"), F.col("p_size").alias("size"), category.alias("category"), (k % 9 == 0).alias("opaque"))
 
 
@@ -24,8 +31,10 @@ def _sources(edits: DataFrame) -> DataFrame:
     of = lambda c: edited & (F.col("category") == c)
     content = F.concat(
         F.when(F.col("opaque"), "from vendor import opaque\n\n\n@opaque\n").otherwise(""),
-        F.lit("def f(size: "), F.when(of("type"), "bytes").otherwise("int"), F.lit(" = "), F.when(of("default"), F.col("size") + 7).otherwise(F.col("size")).cast("string"),
-        F.lit('):\n    """Return the size.\n\n    Args:\n        size (int): Size. Defaults to '), F.col("size").cast("string"), F.lit('.\n    """\n'),
+        F.lit("def f("), F.when(of("rename"), "width").otherwise("size"), F.lit(": "),
+        F.when(of("type"), "bytes").when(of("optional"), "int | None").when(of("narrowed"), "bool").otherwise("int"), F.lit(" = "), F.when(of("default"), F.col("size") + 7).otherwise(F.col("size")).cast("string"),
+        F.lit(") -> "), F.when(of("returns"), "str").otherwise("int"),
+        F.lit(':\n    """Return the size.\n\n    Args:\n        size (int): Size. Defaults to '), F.col("size").cast("string"), F.lit('.\n\n    Returns:\n        int: The size.\n    """\n'),
         F.when(of("control_comment"), "    # a comment\n").otherwise(""), F.when(of("control_statement"), "    size = size\n").otherwise(""), F.lit("    return size\n"),
     )
     return both.select("seq", corpora.part_path("k").alias("path"), content.alias("content"))
@@ -38,7 +47,7 @@ def injection_judge(spark, sf_dir):
     per = slots.groupBy("symbol_key").agg(
         F.collect_set(F.when((F.col("outcome") == "contradict") & (F.col("opened_seq") == 2), F.col("aspect"))).alias("opened"), F.collect_set(F.when(F.col("outcome") == "abstain", F.col("aspect"))).alias("unsure")
     )  # at most a few aspects of one symbol
-    aspect = F.concat(F.lit("param.size."), F.col("category"))
+    aspect = F.create_map(*(F.lit(x) for pair in CATEGORIES.items() for x in pair))[F.col("category")]
     rows = edits.withColumn("symbol_key", corpora.part_symbol("k")).join(per, "symbol_key", "left")
     injected = F.when(F.array_contains("opened", aspect), "found").when(F.array_contains("unsure", aspect), "abstained").otherwise("missed")
     verdict = F.when(F.col("category").startswith("control"), F.when(F.size("opened") > 0, "false_positive").otherwise("clean")).otherwise(injected)
@@ -46,10 +55,10 @@ def injection_judge(spark, sf_dir):
 
 
 def recall_table(spark, sf_dir):
-    """Per category: edits, and the share of those not abstained from that was found."""
+    """Per category: edits, and the share of those not abstained from that was found; null where all were."""
     v = F.col("verdict")
     n = lambda *names: F.sum(v.isin(*names).cast("long"))
-    return injection_judge(spark, sf_dir).groupBy("category").agg(F.count("*").alias("edits"), n("found", "clean").alias("right"), n("abstained").alias("abstained"), F.round(n("found", "clean") / n("found", "clean", "missed", "false_positive"), 6).alias("recall"))
+    return injection_judge(spark, sf_dir).groupBy("category").agg(F.count("*").alias("edits"), n("found", "clean").alias("right"), n("abstained").alias("abstained"), F.round(F.try_divide(n("found", "clean"), n("found", "clean", "missed", "false_positive")), 6).alias("recall"))
 
 
 def rename_hint(spark, sf_dir):
@@ -69,11 +78,11 @@ def half_life(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (injection_judge, recall_table, rename_hint, half_life)}
-_VERDICTS = """verdicts AS (SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN 'default' WHEN 1 THEN 'type' WHEN 2 THEN 'control_comment' ELSE 'control_statement' END AS category,
-  CASE WHEN p_partkey % 4 >= 2 THEN 'clean' WHEN p_partkey % 9 = 0 THEN 'abstained' ELSE 'found' END AS verdict FROM part)"""
+_VERDICTS = """verdicts AS (SELECT p_partkey AS k, ['default', 'type', 'control_comment', 'control_statement', 'rename', 'returns', 'optional', 'narrowed'][p_partkey % 8 + 1] AS category,
+  CASE WHEN p_partkey % 8 IN (2, 3) THEN 'clean' WHEN p_partkey % 9 = 0 OR p_partkey % 8 = 7 THEN 'abstained' ELSE 'found' END AS verdict FROM part)"""
 ORACLE_SQL = {
     "injection_judge": f"WITH {_VERDICTS} SELECT k, category, verdict FROM verdicts",
-    "recall_table": f"""WITH {_VERDICTS} SELECT category, count(*) AS edits, CAST(count(*) FILTER (verdict IN ('found', 'clean')) AS BIGINT) AS "right", CAST(count(*) FILTER (verdict = 'abstained') AS BIGINT) AS abstained, 1.0e0 AS recall FROM verdicts GROUP BY category""",
+    "recall_table": f"""WITH {_VERDICTS} SELECT category, count(*) AS edits, CAST(count(*) FILTER (verdict IN ('found', 'clean')) AS BIGINT) AS "right", CAST(count(*) FILTER (verdict = 'abstained') AS BIGINT) AS abstained, CASE WHEN category <> 'narrowed' THEN 1.0e0 END AS recall FROM verdicts GROUP BY category""",
     "rename_hint": """WITH p AS (SELECT p_partkey AS k, p_size, concat_ws('|', p_type, p_brand, p_size) AS signature FROM part), gone AS (SELECT signature, min(k) AS k FROM p WHERE p_size <= 40 GROUP BY signature HAVING count(*) = 1),
       new AS (SELECT signature, min(k) AS k FROM p WHERE p_size > 10 GROUP BY signature HAVING count(*) = 1) SELECT concat('py:cat.p', gone.k, '.f') AS removed, concat('py:new.q', new.k, '.f') AS added FROM gone JOIN new USING (signature)""",
     "half_life": """SELECT o_orderpriority AS priority, count(*) AS disputes, quantile_cont(date_diff('day', CAST(o_orderdate AS DATE), CAST(closed AS DATE)), 0.5) AS median_days
