@@ -6,9 +6,11 @@ the buckets before it contribute comes from a table with a row for each bucket.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.scratch import written
+
 #: Keys of a bucket; leading characters of a text key that are one.
 WIDTH, LEADING = 1 << 16, 12
 
@@ -45,3 +47,20 @@ def queue_number(df: DataFrame, score: str, key: str, name: str) -> DataFrame:
     base = rows.groupBy(score, "_bucket").agg(F.count("*").alias("_n")).select(score, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     inside = F.row_number().over(Window.partitionBy(score, "_bucket").orderBy(key))
     return rows.withColumn(name, inside).join(base, [score, "_bucket"]).withColumn(name, (F.col(name) + F.col("_base")).cast("long")).drop("_bucket", "_base")
+
+
+def range_number(df: DataFrame, within: str, order: list[Column | str], name: str, total: str) -> DataFrame:
+    """``df`` with ``name``, 0, 1, ... in ``order`` among the rows of each ``within`` (never null), and ``total``, their number.
+
+    Ranges of (``within``, ``order``) deal the rows out, so a value of ``within`` that has most of them spans many tasks. Each range is
+    numbered where it lies and written; what goes before it comes from a table with a row for each range and value in it. Rows that tie in
+    all of ``order`` share a range: end it with something unique where very many may tie.
+    """
+    dealt = df.repartitionByRange(within, *order).sortWithinPartitions(within, *order)
+    rows = written(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranges").withColumn("_range", F.shiftright("_at", 33))
+    ranges = rows.groupBy(within, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = written(
+        ranges.select(within, "_range", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_base"), F.sum("_n").over(Window.partitionBy(within)).alias(total)), "range-sizes"
+    )
+    return rows.join(base, [within, "_range"]).withColumn(name, F.col("_at") + F.col("_base")).drop("_at", "_range", "_base")
