@@ -11,6 +11,7 @@ from .common import ids_crc32, scratch_path, written
 from .language import identify_language
 from .language import train as train_network
 from .line_templates import drop_templates
+from .merkle import folded, leaf_hash, manifest_sql, merkle_manifest, proof_hash
 from .neighbours import nearest_neighbours
 from .ngram_join import ngram_join
 from .packing import best_fit_pack, encode_pieces
@@ -93,5 +94,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_bpe_roundtrip, op3_token_files, op4_line_templates, op5_best_fit_packing, op6_pii, op7_secret_scan, op8_language, op9_neighbours, op10_quality)}
-ORACLE_SQL: dict[str, str] = {}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees over all documents by source; every fifth document's text is lower-cased before its leaf is checked against the manifest."""
+    fields = ("doc_id", "source", "lang", "n_chars")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, leaf_hash(*fields, lower))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", leaf_hash(*fields, "text").alias("leaf"), tampered.alias("other"))
+    rows = merkle_manifest(docs, "leaf", "source", "doc_id", ["other"])
+    rows = rows.select("doc_id", "leaf", "subroot", "root", proof_hash(F.col("proof")).alias("proof_sha256"), folded(F.coalesce("other", "leaf"), F.col("proof")).alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_bpe_roundtrip, op3_token_files, op4_line_templates, op5_best_fit_packing, op6_pii, op7_secret_scan, op8_language, op9_neighbours, op10_quality, op12_merkle_manifest)}
+ORACLE_SQL: dict[str, str] = {"op12_merkle_manifest": manifest_sql()}

@@ -17,6 +17,7 @@ CONTRACT = {
     "op8_language": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
     "op10_quality": LONGS("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words") | {"base_failed": "boolean", "kept": "boolean"},
     "op1_ngram_join": LONGS("doc_id", "n_shingles", "component_id"),
+    "op12_merkle_manifest": LONGS("doc_id") | dict.fromkeys(("leaf", "subroot", "root", "proof_sha256", "folded_root"), "string") | {"verified": "boolean"},
     "op9_neighbours": LONGS("query_id", "vec_id") | {"rank": "int", "score": "double"},
 }
 
