@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
 from .common import ids_crc32, scratch_path, written
+from .html_text import extract_text
 from .language import identify_language
 from .language import train as train_network
 from .line_templates import drop_templates
@@ -105,5 +106,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_bpe_roundtrip, op3_token_files, op4_line_templates, op5_best_fit_packing, op6_pii, op7_secret_scan, op8_language, op9_neighbours, op10_quality, op12_merkle_manifest)}
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_bpe_roundtrip, op3_token_files, op4_line_templates, op5_best_fit_packing, op6_pii, op7_secret_scan, op8_language, op9_neighbours, op10_quality, op12_merkle_manifest, op13_html_text)}
 ORACLE_SQL: dict[str, str] = {"op12_merkle_manifest": manifest_sql()}

@@ -18,6 +18,7 @@ CONTRACT = {
     "op10_quality": LONGS("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words") | {"base_failed": "boolean", "kept": "boolean"},
     "op1_ngram_join": LONGS("doc_id", "n_shingles", "component_id"),
     "op12_merkle_manifest": LONGS("doc_id") | dict.fromkeys(("leaf", "subroot", "root", "proof_sha256", "folded_root"), "string") | {"verified": "boolean"},
+    "op13_html_text": LONGS("page_id", "n_chars") | {"url": "string", "text": "string"},
     "op9_neighbours": LONGS("query_id", "vec_id") | {"rank": "int", "score": "double"},
 }
 
@@ -29,6 +30,7 @@ def tables(spark, tmp_path_factory):
     docs.write.parquet(str(path / "documents.parquet"))
     spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(str(path / "labels.parquet"))
     spark.createDataFrame([(i, [float(i % 5), 1.0, float(i)], 0) for i in range(30)], "vec_id long, embedding array<float>, label int").write.parquet(str(path / "embeddings.parquet"))
+    spark.createDataFrame([(i, "http://a.example/%d" % i, f"<p>Text of page {i}") for i in range(docs.count())], "page_id long, url string, html string").write.parquet(str(path / "pages.parquet"))
     return str(path), docs.count()
 
 
