@@ -18,6 +18,7 @@ from .ngram_join import ngram_join
 from .packing import best_fit_pack, encode_pieces
 from .pii import find_pii, pii_digest
 from .quality import quality_rules
+from .ranked_search import ranked_search, search_sql
 from .secrets import BASE_RULES, find_secrets
 from .spans import spelled
 from .token_files import read_token_documents, write_token_blocks
@@ -95,6 +96,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 10)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees over all documents by source; every fifth document's text is lower-cased before its leaf is checked against the manifest."""
     fields = ("doc_id", "source", "lang", "n_chars")
@@ -111,5 +117,5 @@ def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).withColumn("n_chars", F.length("text").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_bpe_roundtrip, op3_token_files, op4_line_templates, op5_best_fit_packing, op6_pii, op7_secret_scan, op8_language, op9_neighbours, op10_quality, op12_merkle_manifest, op13_html_text)}
-ORACLE_SQL: dict[str, str] = {"op12_merkle_manifest": manifest_sql()}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_bpe_roundtrip, op3_token_files, op4_line_templates, op5_best_fit_packing, op6_pii, op7_secret_scan, op8_language, op9_neighbours, op10_quality, op11_ranked_search, op12_merkle_manifest, op13_html_text)}
+ORACLE_SQL: dict[str, str] = {"op11_ranked_search": search_sql(), "op12_merkle_manifest": manifest_sql()}

@@ -19,6 +19,7 @@ CONTRACT = {
     "op1_ngram_join": LONGS("doc_id", "n_shingles", "component_id"),
     "op12_merkle_manifest": LONGS("doc_id") | dict.fromkeys(("leaf", "subroot", "root", "proof_sha256", "folded_root"), "string") | {"verified": "boolean"},
     "op13_html_text": LONGS("page_id", "n_chars") | {"url": "string", "text": "string"},
+    "op11_ranked_search": LONGS("item_id", "doc_id", "score") | {"rank": "int"},
     "op9_neighbours": LONGS("query_id", "vec_id") | {"rank": "int", "score": "double"},
 }
 
@@ -31,6 +32,7 @@ def tables(spark, tmp_path_factory):
     spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(str(path / "labels.parquet"))
     spark.createDataFrame([(i, [float(i % 5), 1.0, float(i)], 0) for i in range(30)], "vec_id long, embedding array<float>, label int").write.parquet(str(path / "embeddings.parquet"))
     spark.createDataFrame([(i, "http://a.example/%d" % i, f"<p>Text of page {i}") for i in range(docs.count())], "page_id long, url string, html string").write.parquet(str(path / "pages.parquet"))
+    docs.where("length(text) > 20").limit(3).selectExpr("doc_id AS item_id", "text").write.parquet(str(path / "benchmark.parquet"))
     return str(path), docs.count()
 
 
@@ -42,5 +44,7 @@ def test_contract(spark, tables, name):
     assert {c: found.get(c) for c in CONTRACT[name]} == CONTRACT[name]
     if name == "op9_neighbours":
         assert {(r.query_id, r["rank"]) for r in out.collect()} == {(q, k) for q in (0, 20) for k in range(1, 21)}
+    elif name == "op11_ranked_search":
+        assert sorted((r.item_id, r["rank"]) for r in out.collect()) == sorted((r.item_id, k) for r in spark.read.parquet(f"{path}/benchmark.parquet").collect() for k in range(1, 11))
     else:
         assert out.count() >= n and (name == "op5_best_fit_packing" or out.count() == n)
