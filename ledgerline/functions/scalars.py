@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 PROJECTOR = "projector"
 AUTHORITY = {PROJECTOR: 1.0, "docstring": 0.9, "docs": 0.8, "readme": 0.8, "changelog": 0.7, "wiki": 0.5}
 OTHER_AUTHORITY = 0.5
+#: Fixed value: how prose names a default, outside quotes; in any case of letters.
+DEFAULT_PHRASE = r"(?<![\"'`])\bdefaults?\b(?![\"'`])\s*(?:to|is|=|:)?\s*(`[^`]+`|'[^']*'|\"[^\"]*\"|[^\s,;)]+)"
 #: The aspects' templates in catalogue order, each with the pattern of its concrete aspects.
 ASPECTS = (
     ("exists", r"^exists$"),
@@ -87,6 +89,5 @@ def ancestors(symbol: Column) -> Column:
 
 def default_phrase(sentence: Column) -> Column:
     """The value that the first default phrase names outside quotes, null if none."""
-    phrase = r"(?i)(?<![\"'`])\bdefaults?\b(?![\"'`])\s*(?:to|is|=|:)?\s*(`[^`]+`|'[^']*'|\"[^\"]*\"|[^\s,;)]+)"
-    value = F.regexp_replace(F.regexp_replace(F.regexp_extract(sentence, phrase, 1), r"^`+|`+$", ""), r"[.,;)]+$", "")
+    value = F.regexp_replace(F.regexp_replace(F.regexp_extract(sentence, "(?i)" + DEFAULT_PHRASE, 1), r"^`+|`+$", ""), r"[.,;)]+$", "")
     return F.when(value != "", value)
