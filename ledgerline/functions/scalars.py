@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Principals and what a claim of each weighs in the review queue; others weigh 0.5.
-PROJECTOR = "projector"
+PROJECTOR, DOCSTRING = "projector", "docstring"
 AUTHORITY = {PROJECTOR: 1.0, "docstring": 0.9, "docs": 0.8, "readme": 0.8, "changelog": 0.7, "wiki": 0.5}
 OTHER_AUTHORITY = 0.5
 #: Fixed value: how prose names a default, outside quotes; in any case of letters.

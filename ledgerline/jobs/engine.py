@@ -54,13 +54,11 @@ def extract_doc_claims(spark, sf_dir):
 
 
 def events(files: DataFrame) -> DataFrame:
-    """What each commit says of each symbol, from files (``seq``, ``path``, ``content``, null where deleted).
+    """What each commit changes of each symbol, from files (``seq``, ``path``, ``content``, null where deleted).
 
-    Contents that a path has in several commits are parsed once.
+    Contents are parsed where they lie, equal ones once in a worker, so that only definitions are dealt out.
     """
-    blobs = files.where("content is not null").withColumn("blob", F.sha1("content"))
-    parsed = read_definitions(blobs.groupBy("path", "blob").agg(F.first("content").alias("content")), "blob")
-    found = written(blobs.select("seq", "path", "blob").join(written(parsed, "contents"), ["path", "blob"]).drop("blob"), "definitions")
+    found = written(read_definitions(files.where("content is not null")), "definitions")
     return symbol_events(found, files.select("seq", "path"))
 
 
@@ -89,15 +87,15 @@ def drift_end_to_end(spark, sf_dir):
 
 def dispute_resolution(spark, sf_dir):
     """As end to end, with the disputed defaults of every third part resolved for the code."""
-    k = F.regexp_extract("symbol_key", "p([0-9]+)[.]f", 1).try_cast("long")
-    code = F.filter("fields", lambda f: f["aspect"] == "param.size.default")
-    resolved = F.when((k % 3 == 0) & (F.col("seq") == F.when(k % 7 == 0, 2).otherwise(1)), code)
+    part = corpora.table(spark, sf_dir, "part").where("p_partkey % 3 = 0")
+    after = F.when(F.col("p_partkey") % 7 == 0, 2).otherwise(1).cast("long")
+    resolved = part.select(corpora.part_symbol("p_partkey").alias("symbol_key"), after.alias("seq"), F.lit("param.size.default").alias("aspect"), F.col("p_size").cast("string").alias("value"))
     return fold_slots(events(sources(spark, sf_dir)), resolved).where("aspect = 'param.size.default'")
 
 
 def removal_events(spark, sf_dir):
     """Symbols that a commit removes: what a path's next readable version lacks, or what goes with the path."""
-    return events(sources(spark, sf_dir)).where("fields is null").select("symbol_key", "seq", "path")
+    return events(sources(spark, sf_dir)).where("not present").select("symbol_key", "seq", "path")
 
 
 def drift_totals(spark, sf_dir):

@@ -124,7 +124,8 @@ def value_shapes(spark, sf_dir):
 
 def symbol_fields(spark, sf_dir):
     """What the code states of each symbol that is still there after the last commit, but for its kind."""
-    last = events(sources(spark, sf_dir)).groupBy("symbol_key").agg(F.max_by(F.struct("fields"), "seq").alias("s")).where("s.fields is not null")
+    states = events(sources(spark, sf_dir)).where("present is not null")
+    last = states.groupBy("symbol_key").agg(F.max_by(F.struct("fields", "present"), "seq").alias("s")).where("s.present")
     return last.select("symbol_key", F.inline("s.fields")).where("aspect <> 'kind'")
 
 

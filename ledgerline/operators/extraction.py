@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.scalars import module_name
+from ledgerline.functions.scalars import DOCSTRING, module_name
+from ledgerline.operators.ownership import own_keys, path_events
 from ledgerline.sources.python_source import FORWARDING
 
 #: Decorators that leave a signature as written, that read like attributes, and that can't deprecate.
@@ -62,21 +63,19 @@ def doc_claims(definitions: DataFrame) -> DataFrame:
     return symbols(definitions).select("seq", "path", "symbol_key", F.inline("claims"))
 
 
+def version_status(definitions: DataFrame, versions: DataFrame) -> DataFrame:
+    """``versions`` (``seq``, ``path``) with ``status``: analyzed, unreadable, or deleted where there was nothing to read."""
+    known = definitions.groupBy("seq", "path").agg(F.max("analyzed").alias("analyzed"))
+    status = F.when(F.col("analyzed").isNull(), "deleted").when(F.col("analyzed"), "analyzed").otherwise("unreadable")
+    return versions.select("seq", "path").distinct().join(known, ["seq", "path"], "left").select("seq", "path", status.alias("status"))
+
+
 def symbol_events(definitions: DataFrame, versions: DataFrame) -> DataFrame:
-    """``symbol_key``, ``seq``, ``path``, ``fields`` and ``claims`` (sorted pairs): what each commit says of each symbol.
+    """What each commit changes of each symbol, one row for each: its state by the path that owns its key, and what its docstrings claim.
 
-    ``versions`` has every ``seq`` and ``path`` that a commit changed, with
-    ``deleted``. A symbol that a path's next readable version lacks, or that goes
-    with the path, has an event without fields and claims. A version that can't be parsed says
-    nothing: what was there before it stays. Where several paths define a symbol in one commit, the highest rank and then the first path speak for it.
+    ``versions`` has every ``seq`` and ``path`` that a commit changed; ``definitions`` those that had content. Columns as of
+    ``ownership.own_keys``. A version that can't be parsed says nothing: what was there before it stays.
     """
-    ranks = F.create_map(*(F.lit(x) for kv in (("module", 3), ("class", 2), ("function", 2), ("method", 2), ("ambiguous", 2), ("attribute", 1)) for x in kv))
-    said = F.array_sort(F.transform(F.coalesce("claims", F.array().cast("array<struct<aspect:string,value:string,confidence:double>>")), lambda c: F.struct(c["aspect"].alias("aspect"), c["value"].alias("value"))))
-    there = symbols(definitions).select("symbol_key", "seq", "path", ranks[F.col("kind")].alias("rank"), fact_pairs().alias("fields"), said.alias("claims"))
-    unread = definitions.where(~F.col("analyzed")).select("seq", "path")
-    readable = versions.join(unread, ["seq", "path"], "left_anti")
-    following = readable.select("seq", "path", F.lead("seq").over(Window.partitionBy("path").orderBy("seq")).alias("next")).where("next is not null")
-    before = there.select("symbol_key", "seq", "path").join(following, ["seq", "path"]).select("symbol_key", F.col("next").alias("seq"), "path")
-    gone = before.join(there.select("symbol_key", "seq", "path"), ["symbol_key", "seq", "path"], "left_anti").withColumn("rank", F.lit(0)).withColumn("fields", F.lit(None).cast(_PAIRS)).withColumn("claims", F.array().cast(_PAIRS))
-    best = F.min_by(F.struct("path", "fields", "claims"), F.struct(-F.col("rank"), "path"))
-    return there.unionByName(gone).groupBy("symbol_key", "seq").agg(best.alias("e")).select("symbol_key", "seq", "e.*")
+    claims = F.coalesce("claims", F.array().cast("array<struct<aspect:string,value:string,confidence:double>>"))
+    said = F.array_sort(F.transform(claims, lambda c: F.struct(c["aspect"].alias("aspect"), c["value"].alias("value"))))
+    return own_keys(path_events(symbols(definitions), version_status(definitions, versions)), DOCSTRING, fact_pairs(), said)

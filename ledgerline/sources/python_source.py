@@ -8,6 +8,7 @@ deprecation, facts, claims) are column expressions in ``operators.extraction``.
 from __future__ import annotations
 
 import ast
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,6 +26,8 @@ OPEN_METHODS = {"__getattr__", "__getattribute__"}
 RECEIVER_CALLS = {"setattr", "delattr", "vars"}
 #: Class decorators that add no member.
 CLOSED_DECORATORS = {"final", "runtime_checkable", "deprecated", "type_check_only"}
+#: Contents whose definitions a worker remembers.
+REMEMBERED = 2048
 #: Stands for a decorator of the same file that wraps with ``wraps``, and so keeps the signature.
 FORWARDING = "wraps"
 DEFINITION = (
@@ -209,18 +212,29 @@ def definitions(content: str | bytes) -> list[dict] | None:
 def read_definitions(sources: DataFrame, key: str = "seq") -> DataFrame:
     """A row per module and name of ``sources`` (``key``, ``path``, ``content``), partition by partition, without a shuffle.
 
-    ``key`` is a commit's number or what tells contents apart. Each file is parsed once. Content that doesn't parse gives one row that
-    isn't ``analyzed``; null content gives none.
+    ``key`` is a commit's number or what tells contents apart. Content that a worker has just parsed isn't parsed again. Content that
+    doesn't parse gives one row that isn't ``analyzed``; null content gives none.
     """
     schema = StructType([sources.schema[key], *StructType.fromDDL(DEFINITION)])
     kinds = to_arrow_schema(schema)
 
+    def parsed(content: str | bytes) -> list[dict]:
+        found = definitions(content)
+        return [{"analyzed": False}] if found is None else [d | {"analyzed": True, "claims": [c._asdict() for c in d["claims"]] if d.get("claims") else None} for d in found]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, list[dict]] = {}
         for batch in batches:
             rows = []
             for seq, path, content in zip(*(c.to_pylist() for c in batch.columns)):
-                found = definitions(content) if content is not None else []
-                rows += [{key: seq, "path": path, "analyzed": False}] if found is None else [{key: seq, "path": path, "analyzed": True} | d | ({"claims": [c._asdict() for c in d["claims"]]} if d.get("claims") else {"claims": None}) for d in found]
+                if content is None:
+                    continue
+                digest = hashlib.blake2b(content if isinstance(content, bytes) else content.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                if digest not in known:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[digest] = parsed(content)
+                rows += [d | {key: seq, "path": path} for d in known[digest]]
             columns = [pa.array([r.get(f.name) for r in rows], f.type) for f in kinds]
             yield pa.RecordBatch.from_arrays(columns, kinds.names)
 

@@ -7,6 +7,7 @@ from ledgerline.functions import types as Ty
 from ledgerline.operators import history as H
 from ledgerline.functions.scalars import canonical_version
 from ledgerline.operators.extraction import code_facts, doc_claims, symbol_events
+from ledgerline.operators.ownership import State
 from ledgerline.operators.ordering import dense_number, queue_number, running_max
 from ledgerline.operators.slots import DOCS, PROJECTOR, _Symbol, fold_slots, projected, withheld
 from ledgerline.sources.docstrings import stated
@@ -119,7 +120,7 @@ def test_projection_abstains_where_it_cannot_know():
 
 
 def _commit(symbol, seq, default, documented):
-    symbol.commit(seq, {("param.a.default", documented)}, {"param_names": '["a"]', "param.a.default": default})
+    symbol.commit(seq, {DOCS: {("param.a.default", documented)}}, State("function", True, "src/m.py", {"param_names": '["a"]', "param.a.default": default}))
 
 
 def test_code_and_docs_fixed_together_agree():
@@ -135,7 +136,7 @@ def test_a_party_cannot_retract_from_an_open_dispute():
     assert s.open == {"param.a.default": 1}
     _commit(s, 2, "1", "1")
     assert s.open == {"param.a.default": 1} and s.deferred == {"param.a.default": 1}
-    assert (DOCS, "param.a.default", "2") in s.claims and (PROJECTOR, "param.a.default", "1") in s.claims
+    assert (DOCS, "param.a.default", "2") in s.claims and (f"{PROJECTOR}:src/m.py", "param.a.default", "1") in s.claims
 
 
 def test_a_type_is_withheld_only_for_a_sentinel_of_the_code():
