@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import types as Ty
 from ledgerline.jobs import corpora
-from ledgerline.operators.extraction import code_facts, doc_claims, symbol_events
+from ledgerline.operators.extraction import code_facts, doc_claims, symbol_events, symbols
+from ledgerline.operators.ownership import path_events
+from ledgerline.operators.resolution import document_claims, import_edges, resolve
 from ledgerline.operators.slots import fold_slots
 from ledgerline.scratch import written
+from ledgerline.sources.markup import document_author, read_references
 from ledgerline.sources.python_source import read_definitions
 
 
@@ -62,6 +65,25 @@ def events(files: DataFrame) -> DataFrame:
     return symbol_events(found, files.select("seq", "path"))
 
 
+def document_events(files: DataFrame, definitions: DataFrame) -> DataFrame:
+    """What pages of ``files`` claim of symbols, by commit: all that a page states once it is written, nothing more once it is gone or silent."""
+    pages = files.withColumn("author", document_author(F.col("path"))).where("author is not null")
+    references = written(read_references(pages), "references")
+    resolved = resolve(references, symbols(definitions).select("symbol_key"), import_edges(definitions))
+    there = written(document_claims(references, written(resolved, "resolved")), "document-claims")
+    status = F.when(F.col("content").isNull(), "deleted").otherwise("analyzed")
+    all_ = path_events(there.drop("author").withColumn("kind", F.lit(None).cast("string")), pages.select("seq", "path", status.alias("status")))
+    none = F.array().cast("array<struct<aspect:string,value:string>>")
+    return all_.select("symbol_key", "seq", document_author(F.col("path")).alias("author"), "path", F.coalesce("claims", none).alias("claims"))
+
+
+def reconcile(files: DataFrame) -> DataFrame:
+    """Slots of code, docstrings and documents after all commits of ``files`` (``seq``, ``path``, ``content``, null where deleted)."""
+    code = files.where(F.col("path").endswith(".py"))
+    found = written(read_definitions(code.where("content is not null")), "definitions")
+    return fold_slots(symbol_events(found, code.select("seq", "path")), claims=document_events(files, found))
+
+
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A commit for each order that changes the modules of its parts, or deletes those that were returned.
 

@@ -32,7 +32,8 @@ REMEMBERED = 2048
 FORWARDING = "wraps"
 DEFINITION = (
     "path string, analyzed boolean, name string, parent string, kind string, line_start int, line_end int, decorators array<string>, names array<string>, defaults array<string>, "
-    "types array<string>, returns string, raises array<string>, notices int, leading_notice boolean, closed boolean, claims array<struct<aspect:string,value:string,confidence:double>>"
+    "types array<string>, returns string, raises array<string>, notices int, leading_notice boolean, closed boolean, claims array<struct<aspect:string,value:string,confidence:double>>, "
+    "imports array<struct<name:string,level:int,module:string,attr:string>>"
 )
 _FUNCTION = (ast.FunctionDef, ast.AsyncFunctionDef)
 _HIDING = (*_FUNCTION, ast.Lambda, ast.ClassDef)
@@ -86,6 +87,17 @@ def bound_names(body: list[ast.stmt]) -> dict[str, int]:
     return found
 
 
+def imported_names(body: list[ast.stmt]) -> list[dict]:
+    """Names that a module binds by importing them: the name, and where from (``level`` dots, a module, a name in it)."""
+    found = []
+    for node in _scope(body):
+        if isinstance(node, ast.ImportFrom):
+            found += [{"name": a.asname or a.name, "level": node.level, "module": node.module, "attr": a.name} for a in node.names if a.name != "*"]
+        elif isinstance(node, ast.Import):
+            found += [{"name": a.asname, "level": 0, "module": a.name, "attr": None} for a in node.names if a.asname]
+    return found
+
+
 def _warns(call: ast.AST) -> bool:
     """Whether a call is a deprecation notice: by the callee's name, by what it says, or by the warning's category."""
     if not isinstance(call, ast.Call):
@@ -195,7 +207,7 @@ def definitions(content: str | bytes) -> list[dict] | None:
     visit(tree.body, "", False)
     times = Counter(d["name"] for d in found)
     bare = lambda d, kind: {k: d[k] for k in ("name", "parent", "line_start", "line_end")} | {"kind": kind}
-    out = {"": {"name": "", "parent": "", "kind": "module", "line_start": 1, "line_end": max(1, lines), "decorators": [], "closed": shut}}
+    out = {"": {"name": "", "parent": "", "kind": "module", "line_start": 1, "line_end": max(1, lines), "decorators": [], "closed": shut, "imports": imported_names(tree.body) or None}}
     classes = {""} | {d["name"] for d in found if d["kind"] == "class" and times[d["name"]] == 1 and d["name"].split(".")[-1] not in scopes.get(d["parent"], {})}
     classes = {c for c in classes if all(".".join(c.split(".")[:k]) in classes for k in range(1, c.count(".") + 1))}
     for d in found:  # members of a class that is defined twice or bound anew aren't told apart
