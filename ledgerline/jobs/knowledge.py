@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.jobs import corpora
+from ledgerline.jobs.engine import reconcile
 from ledgerline.operators.ownership import own_keys, path_events
+from ledgerline.scratch import written
 
 #: What each of a key's four paths defines: by the path's number.
 KINDS = ("attribute", "function", "class", "module")
@@ -36,8 +38,45 @@ def key_handover(spark, sf_dir):
     return out.select("symbol_key", "seq", "path", "present", "way", F.size("refused").alias("refused"))
 
 
-QUERIES = {f.__name__: f for f in (key_handover,)}
+def _documented_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A module for each part; modules that hand hundred names on under others, twice; then a page for each part that orders have; then
+    modules written anew without their function, where lines of the part were returned in quantity. Pages name what they document by
+    the second of its new names, and those of parts sold at the highest discount are wrong about its default.
+    """
+    k, size = F.col("k"), F.col("size").cast("string")
+    part = corpora.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"), F.col("p_brand").endswith("3").alias("open"), F.expr("p_partkey div 100").cast("string").alias("g"))
+    lines = corpora.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("k")).agg(F.max(F.col("l_discount") >= 0.1).alias("wrong"), F.max((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 49)).alias("lost"))
+    sold = part.join(lines, "k")
+    head = F.when(F.col("open"), "from vendor import *\n").otherwise("")
+    code = F.concat(head, F.lit("def f(size: int = "), size, F.lit("):\n    return size\n"))
+    handed = lambda line: F.array_join(F.array_sort(F.collect_list(line)), "")  # noqa: E731  a hundred parts at most
+    groups = part.groupBy("g").agg(
+        handed(F.concat(F.lit("from cat.p"), k, F.lit(" import f as f"), k, F.lit("\n"))).alias("api"), handed(F.concat(F.lit("from .api"), F.col("g"), F.lit(" import f"), k, F.lit(" as g"), k, F.lit("\n"))).alias("hub")
+    )
+    page = F.concat(
+        F.lit("# `cat.hub"), F.col("g"), F.lit(".g"), k, F.lit("`\n\n| Parameter | Type | Default |\n| --- | --- | --- |\n| `size` | `int` | `"), (F.col("size") + F.col("wrong").cast("int")).cast("string"), F.lit("` |\n"),
+    )
+    at = lambda rows, seq, path, content: rows.select(F.lit(seq).cast("long").alias("seq"), path.alias("path"), content.alias("content"))
+    files = at(part, 1, corpora.part_path("k"), code)
+    for name in ("api", "hub"):
+        files = files.union(at(groups, 1, F.concat(F.lit(f"src/cat/{name}"), "g", F.lit(".py")), F.col(name)))
+    files = files.union(at(sold, 2, F.concat(F.lit("docs/p"), "k", F.lit(".md")), page))
+    return files.union(at(sold.where("lost"), 3, corpora.part_path("k"), F.concat(head, F.lit("x = 1\n"))))
+
+
+def document_drift(spark, sf_dir):
+    """Pages against code: names resolved over two hops of imports, defaults compared, missing symbols proven by closed modules."""
+    return reconcile(written(_documented_library(spark, sf_dir), "library")).select("symbol_key", "aspect", "outcome", "code_value", "doc_value", "opened_seq", "deferred")
+
+
+QUERIES = {f.__name__: f for f in (key_handover, document_drift)}
 ORACLE_SQL = {
+    "document_drift": """WITH lines AS (SELECT l_partkey AS k, bool_or(l_discount >= 0.1) AS wrong, bool_or(l_returnflag = 'R' AND l_quantity >= 49) AS lost FROM lineitem GROUP BY 1),
+      p AS (SELECT concat('py:cat.p', k, '.f') AS symbol_key, p_size AS size, p_brand LIKE '%3' AS open, wrong, lost FROM lines JOIN part ON p_partkey = k)
+      SELECT symbol_key, aspect, outcome, CASE WHEN outcome <> 'abstain' THEN code END AS code_value, doc AS doc_value, CAST(CASE WHEN outcome = 'contradict' THEN opened END AS BIGINT) AS opened_seq, CAST(deferred AS BIGINT) AS deferred FROM (
+        SELECT symbol_key, 'exists' AS aspect, CASE WHEN NOT lost THEN 'corroborate' WHEN open THEN 'abstain' ELSE 'contradict' END AS outcome, CASE WHEN lost THEN 'false' ELSE 'true' END AS code, 'true' AS doc, 3 AS opened, 0 AS deferred FROM p
+        UNION ALL SELECT symbol_key, unnest(['param.size.exists', 'param.size.type']), CASE WHEN lost THEN 'abstain' ELSE 'corroborate' END, unnest(['true', 'int']), unnest(['true', 'int']), NULL, 0 FROM p
+        UNION ALL SELECT symbol_key, 'param.size.default', CASE WHEN wrong THEN 'contradict' WHEN lost THEN 'abstain' ELSE 'corroborate' END, CAST(size AS VARCHAR), CAST(size + CASE WHEN wrong THEN 1 ELSE 0 END AS VARCHAR), 2, CASE WHEN wrong AND lost THEN 1 ELSE 0 END FROM p)""",
     "key_handover": """WITH RECURSIVE rows AS (SELECT l_partkey AS k, l_orderkey AS seq, l_suppkey % 4 AS v, min(CASE l_returnflag WHEN 'N' THEN 0 WHEN 'A' THEN 1 ELSE 2 END) AS st FROM lineitem GROUP BY ALL),
       following AS (SELECT k, v, st, lead(seq) OVER w AS seq, lead(st) OVER w AS next FROM rows WINDOW w AS (PARTITION BY k, v ORDER BY seq)),
       gone AS (SELECT k, seq, sum(CASE WHEN next = 2 THEN 1 << v ELSE 0 END) AS deleted, sum(CASE WHEN next = 1 THEN 1 << v ELSE 0 END) AS silent FROM following WHERE st = 0 AND next > 0 GROUP BY ALL),
