@@ -50,6 +50,23 @@ def l1_as_of_many(spark, sf_dir):
     return H.as_of_many(corpora.facts(spark, sf_dir).where("value is not null").withColumnRenamed("at", "valid_from"), orders).select("ask_id", "key", "value")
 
 
+def _asserted(spark, sf_dir):
+    """Facts that became known up to six hours late."""
+    return corpora.facts(spark, sf_dir).withColumn("known", F.col("at") + F.make_interval(hours=(F.col("tie") % 7).cast("int")))
+
+
+def l1_bitemporal(spark, sf_dir):
+    """Windows of validity, each as open as it was known to be, and when."""
+    return H.bitemporal_windows(_asserted(spark, sf_dir)).select("key", "value", *_text("valid_from", "valid_to", "known_from", "known_to"))
+
+
+def l1_known_about(spark, sf_dir):
+    """For each event, what was known four hours later about the time an hour later."""
+    later = lambda n: F.col("ts") + F.make_interval(hours=F.lit(n))
+    asked = corpora.table(spark, sf_dir, "events").select(F.col("event_id").alias("ask_id"), F.col("user_id").alias("key"), later(4).alias("known"), later(1).alias("at"))
+    return H.known_about(_asserted(spark, sf_dir), asked)
+
+
 def l1_current(spark, sf_dir):
     return H.current(corpora.facts(spark, sf_dir)).where("value is not null").select("key", "value")
 
@@ -136,7 +153,7 @@ def lineage_added_removed(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (l1_supersede, l1_withdraw, l1_as_of, l1_as_of_many, l1_current, l1_changed_fields, l1_stream, out_of_order_rows, clock_clamp, since_snapshot, resume_after, changed_paths, commit_totals, removed_symbols, lineage_added_removed)
+    for f in (l1_supersede, l1_withdraw, l1_as_of, l1_as_of_many, l1_bitemporal, l1_known_about, l1_current, l1_changed_fields, l1_stream, out_of_order_rows, clock_clamp, since_snapshot, resume_after, changed_paths, commit_totals, removed_symbols, lineage_added_removed)
 }
 _T = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}"
 _CLAMP = COMMITS_SQL + """,
@@ -149,6 +166,14 @@ ORACLE_SQL = {
     "l1_as_of": f"WITH {HISTORY_SQL} SELECT key, value FROM history WHERE valid_from <= {_MIDDLE} AND (valid_to IS NULL OR valid_to > {_MIDDLE})",
     "l1_as_of_many": f"""WITH {HISTORY_SQL}, asked AS (SELECT event_id AS ask_id, user_id AS key, ts + INTERVAL 1 HOUR AS moment FROM events)
       SELECT ask_id, asked.key, arg_max(value, (f.moment, f.tie)) AS value FROM asked LEFT JOIN (SELECT * FROM facts WHERE value IS NOT NULL) f ON f.key = asked.key AND f.moment <= asked.moment GROUP BY ask_id, asked.key""",
+    "l1_bitemporal": f"""WITH {HISTORY_SQL}, heard AS (SELECT key, tie, max(moment + to_hours(CAST(tie % 7 AS INTEGER))) OVER (PARTITION BY key ORDER BY moment, tie ROWS UNBOUNDED PRECEDING) AS known FROM facts),
+      both_times AS (SELECT key, value, moment AS valid_from, valid_to, known, lead(known) OVER (PARTITION BY key ORDER BY moment, tie) AS closed FROM edges JOIN heard USING (key, tie)),
+      split AS (SELECT key, value, valid_from, CAST(NULL AS TIMESTAMP) AS valid_to, known AS known_from, closed AS known_to FROM both_times WHERE value IS NOT NULL AND (closed IS NULL OR known < closed)
+        UNION ALL SELECT key, value, valid_from, valid_to, closed, NULL FROM both_times WHERE value IS NOT NULL AND closed IS NOT NULL)
+      SELECT key, value, {", ".join(_T.format(c) for c in ("valid_from", "valid_to", "known_from", "known_to"))} FROM split""",
+    "l1_known_about": f"""WITH {HISTORY_SQL}, heard AS (SELECT key, value, moment, tie, max(moment + to_hours(CAST(tie % 7 AS INTEGER))) OVER (PARTITION BY key ORDER BY moment, tie ROWS UNBOUNDED PRECEDING) AS known FROM facts)
+      SELECT ask_id, key, CASE WHEN n > 0 THEN value[n] END AS value FROM (SELECT event_id AS ask_id, user_id AS key, list(h.value ORDER BY h.moment, h.tie) FILTER (h.tie IS NOT NULL) AS value, count(h.tie) AS n
+        FROM events e LEFT JOIN heard h ON h.key = e.user_id AND h.moment <= e.ts + INTERVAL 1 HOUR AND h.known <= e.ts + INTERVAL 4 HOUR GROUP BY event_id, user_id)""",
     "l1_current": "SELECT key, value FROM (SELECT user_id AS key, CASE WHEN event_id % 17 = 0 THEN NULL ELSE event_type END AS value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 AND value IS NOT NULL",
     "l1_changed_fields": f"WITH {HISTORY_SQL} SELECT coalesce(value, '(none)') AS value, CAST(count(*) FILTER (value IS DISTINCT FROM before) AS BIGINT) AS changed, CAST(count(*) FILTER (value IS NOT DISTINCT FROM before) AS BIGINT) AS repeated FROM stated GROUP BY ALL",
     "l1_stream": f"WITH {HISTORY_SQL} SELECT key, value, {_T.format('valid_from')}, {_T.format('valid_to')} FROM history WHERE valid_to IS NOT NULL",

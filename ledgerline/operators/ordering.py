@@ -1,7 +1,8 @@
 """Numbers and running values over one global order, without taking all rows to one task.
 
-Rows go to buckets of an integer key; each bucket is ordered by itself and what
-the buckets before it contribute comes from a table with a row for each bucket.
+Ranges of the order deal the rows out; each range is put in order and numbered where it lies, and written, so that what is read later is
+what was numbered. What the ranges before one contribute comes from a table with a row for each range. Keys may be sparse, share long
+beginnings or be very uneven: ranges follow the rows, not the keys.
 """
 
 from __future__ import annotations
@@ -11,56 +12,57 @@ from pyspark.sql import functions as F
 
 from ledgerline.scratch import written
 
-#: Keys of a bucket; leading characters of a text key that are one.
-WIDTH, LEADING = 1 << 16, 12
 
+def _before(of: Column) -> Column:
+    """``of`` over the ranges before, in a table with a row for each range."""
+    return of.over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
 
-def _bucketed(df: DataFrame, key: str) -> DataFrame:
-    return df.withColumn("_bucket", F.floor(F.col(key) / WIDTH))
+
+def ranged(df: DataFrame, *order: Column | str) -> DataFrame:
+    """``df`` written in ranges of ``order``, with ``_range`` and ``_at``, numbers that rise with the order.
+
+    Rows that tie in all of ``order`` share a range: end it with something unique where very many may tie.
+    """
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    return written(rows, "ranges").withColumn("_range", F.shiftright("_at", 33))
+
+
+def number_ranged(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of ``ranged`` with ``name``: 1, 2, ... in their order."""
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    base = sizes.select("_range", (F.coalesce(_before(F.sum("_n")), F.lit(0)) - F.col("_first") + 1).alias("_base"))
+    return rows.join(base, "_range").withColumn(name, F.col("_at") + F.col("_base")).drop("_base")
+
+
+def running_max_ranged(rows: DataFrame, value: str, name: str, inclusive: bool = True) -> DataFrame:
+    """Rows of ``ranged`` with ``name``: the largest ``value`` up to each row (or before it)."""
+    base = rows.groupBy("_range").agg(F.max(value).alias("_m")).select("_range", _before(F.max("_m")).alias("_base"))
+    inside = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    return rows.withColumn(name, F.max(value).over(inside)).join(base, "_range").withColumn(name, F.greatest(name, "_base")).drop("_base")
 
 
 def dense_number(df: DataFrame, key: str, name: str) -> DataFrame:
-    """``df`` with ``name``: 1, 2, ... in the order of the unique integer ``key``."""
-    rows = _bucketed(df, key)
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
-    base = rows.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
-    return rows.withColumn(name, inside).join(base, "_bucket").withColumn(name, (F.col(name) + F.col("_base")).cast("long")).drop("_bucket", "_base")
+    """``df`` with ``name``: 1, 2, ... in the order of the unique ``key``."""
+    return number_ranged(ranged(df, key), name).drop("_range", "_at")
 
 
 def running_max(df: DataFrame, key: str, value: str, name: str, inclusive: bool = True) -> DataFrame:
     """``df`` with ``name``: the largest ``value`` up to each row (or before it) in the order of ``key``."""
-    rows = _bucketed(df, key)
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy("_bucket").agg(F.max(value).alias("_m")).select("_bucket", F.max("_m").over(earlier).alias("_base"))
-    inside = Window.partitionBy("_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    return rows.withColumn(name, F.max(value).over(inside)).join(base, "_bucket").withColumn(name, F.greatest(name, "_base")).drop("_bucket", "_base")
+    return running_max_ranged(ranged(df, key), value, name, inclusive).drop("_range", "_at")
 
 
 def queue_number(df: DataFrame, score: str, key: str, name: str) -> DataFrame:
-    """``df`` with ``name``: 1, 2, ... by falling ``score`` and then by the unique text ``key``.
-
-    A bucket is a score and the key's leading characters, which sort as the keys do.
-    """
-    rows = df.withColumn("_bucket", F.substring(key, 1, LEADING))
-    before = Window.orderBy(F.desc(score), "_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
-    base = rows.groupBy(score, "_bucket").agg(F.count("*").alias("_n")).select(score, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = F.row_number().over(Window.partitionBy(score, "_bucket").orderBy(key))
-    return rows.withColumn(name, inside).join(base, [score, "_bucket"]).withColumn(name, (F.col(name) + F.col("_base")).cast("long")).drop("_bucket", "_base")
+    """``df`` with ``name``: 1, 2, ... by falling ``score`` and then by the unique text ``key``."""
+    return number_ranged(ranged(df, F.desc(score), key), name).drop("_range", "_at")
 
 
 def range_number(df: DataFrame, within: str, order: list[Column | str], name: str, total: str) -> DataFrame:
     """``df`` with ``name``, 0, 1, ... in ``order`` among the rows of each ``within`` (never null), and ``total``, their number.
 
-    Ranges of (``within``, ``order``) deal the rows out, so a value of ``within`` that has most of them spans many tasks. Each range is
-    numbered where it lies and written; what goes before it comes from a table with a row for each range and value in it. Rows that tie in
-    all of ``order`` share a range: end it with something unique where very many may tie.
+    A value of ``within`` that has most rows spans many ranges.
     """
-    dealt = df.repartitionByRange(within, *order).sortWithinPartitions(within, *order)
-    rows = written(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranges").withColumn("_range", F.shiftright("_at", 33))
-    ranges = rows.groupBy(within, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    rows = ranged(df, within, *order)
+    sizes = rows.groupBy(within, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy(within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    base = written(
-        ranges.select(within, "_range", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_base"), F.sum("_n").over(Window.partitionBy(within)).alias(total)), "range-sizes"
-    )
-    return rows.join(base, [within, "_range"]).withColumn(name, F.col("_at") + F.col("_base")).drop("_at", "_range", "_base")
+    base = sizes.select(within, "_range", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_base"), F.sum("_n").over(Window.partitionBy(within)).alias(total))
+    return rows.join(written(base, "range-sizes"), [within, "_range"]).withColumn(name, F.col("_at") + F.col("_base")).drop("_at", "_range", "_base")

@@ -8,7 +8,7 @@ from ledgerline.operators import history as H
 from ledgerline.functions.scalars import canonical_version
 from ledgerline.operators.extraction import code_facts, doc_claims, symbol_events
 from ledgerline.operators.ownership import State
-from ledgerline.operators.ordering import dense_number, queue_number, running_max
+from ledgerline.operators.ordering import dense_number, queue_number, ranged, running_max
 from ledgerline.operators.slots import DOCS, PROJECTOR, _Symbol, fold_slots, projected, withheld
 from ledgerline.sources.docstrings import stated
 from ledgerline.sources.python_source import definitions, read_definitions
@@ -336,9 +336,29 @@ def test_windows_and_as_of(spark):
     assert H.windows(facts.limit(0)).count() == 0
 
 
-def test_global_numbers_in_buckets(spark, monkeypatch):
-    monkeypatch.setattr("ledgerline.operators.ordering.WIDTH", 7)
-    df = spark.range(0, 200, 3).withColumn("v", F.pmod(F.xxhash64("id"), F.lit(1000)))
-    rows = sorted((r.id, r.n, r.top, r.v) for r in running_max(dense_number(df, "id", "n"), "id", "v", "top").collect())
+@pytest.mark.parametrize("spread", [1, 3, 1 << 40])
+def test_global_numbers_over_dense_and_sparse_keys(spark, spread):
+    df = spark.range(0, 200).select((F.col("id") * spread).alias("id")).withColumn("v", F.pmod(F.xxhash64("id"), F.lit(1000))).repartition(5)
+    rows = sorted((r.id, r.n, r.top, r.v, r.past) for r in running_max(running_max(dense_number(df, "id", "n"), "id", "v", "top"), "id", "v", "past", inclusive=False).collect())
     assert [r[1] for r in rows] == list(range(1, len(rows) + 1))
-    assert all(r[2] == max(x[3] for x in rows[: i + 1]) for i, r in enumerate(rows))
+    assert all(r[2] == max(x[3] for x in rows[: i + 1]) and r[4] == (max(x[3] for x in rows[:i]) if i else None) for i, r in enumerate(rows))
+
+
+def test_a_queue_of_keys_that_share_a_beginning_is_dealt_out(spark):
+    df = spark.range(0, 5000).select(F.concat(F.lit("py:one.very.long.common.beginning.f"), "id").alias("key"), (F.col("id") % 3).alias("score")).repartition(5)
+    rows = sorted((r.n, -r.score, r.key) for r in queue_number(df, "score", "key", "n").collect())
+    assert [r[0] for r in rows] == list(range(1, 5001)) and [r[1:] for r in rows] == sorted(r[1:] for r in rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows share a task
+    try:
+        assert ranged(df, F.desc("score"), "key").groupBy("_range").count().agg(F.max("count")).first()[0] < 2500
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert ranged(df.limit(0), "key").count() == 0 and queue_number(df.limit(0), "score", "key", "n").count() == 0
+
+
+def test_what_was_known_when(spark):
+    facts = spark.createDataFrame([(1, "a", 1, 1, 1), (1, "b", 5, 2, 9), (1, None, 6, 3, 7), (1, "c", 20, 4, 20), (2, None, 1, 5, 1)], "key long, value string, at long, tie long, known long")
+    out = {tuple(r) for r in H.bitemporal_windows(facts).select("value", "valid_from", "valid_to", "known_from", "known_to").collect()}
+    assert out == {("a", 1, None, 1, 9), ("a", 1, 5, 9, None), ("b", 5, 6, 9, None), ("c", 20, None, 20, None)}
+    asks = spark.createDataFrame([(i, 1, k, a) for i, (k, a) in enumerate([(0, 9), (8, 9), (9, 5), (9, 9), (30, 3), (30, 0), (19, 25), (20, 25)])] + [(99, 3, 1, 1)], "ask_id long, key long, known long, at long")
+    assert {r.ask_id: r.value for r in H.known_about(facts, asks).collect()} == {0: None, 1: "a", 2: "b", 3: None, 4: "a", 5: None, 6: None, 7: "c", 99: None}
