@@ -1,13 +1,10 @@
 """Operator 6: personal data by bootstrapped contextual extraction, with DataFrame functions alone.
 
-Base matches of four kinds are the seeds. Every token with a digit or an at sign is an
-instance that stands in a lexical pattern: the last word before it that is no
-such token. Pattern and
-instances make a bipartite graph over all documents, which Spark scores in
-rounds: a pattern scores the share of its instances that are believed, if
-enough different ones are seeds; an instance is believed as far as its best
-pattern. Instances of high-confidence patterns that no base match covers are
-new identifiers.
+Base matches of four kinds are the seeds. Every token with a digit or an at sign is an instance that stands in lexical patterns: the last
+word before it, the first word after it (words that are no such tokens), and both. Patterns and instances make a bipartite graph over all
+documents, which Spark scores in rounds. A pattern scores the share of its different instances that are believed, and is confident if that
+is high and they are enough; an instance is believed if it is a seed or stands in a confident pattern, and then counts for other patterns.
+The rounds end when none makes another pattern confident. Instances of confident patterns that no base match covers are new identifiers.
 """
 
 from __future__ import annotations
@@ -26,17 +23,19 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = "context"
-INSTANCES = "array<struct<start:int,end:int,pattern:string,instance:string,seed:boolean,likely:boolean>>"
+INSTANCES = "array<struct<start:int,end:int,pattern:string,after:string,instance:string,seed:boolean,likely:boolean>>"
 #: A token with a digit or an at sign, and in it the part without punctuation around.
 TOKEN = rf"(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
 CORE = r"[A-Za-z0-9](?:.*[A-Za-z0-9])?"
-#: The last word of what stands before a token, and what stands for it at a text's start.
-WORD = rf"(?<![^{SPACE}])[^{SPACE}]++(?=[{SPACE}]*$)"
-START = "<start>"
+#: The last word of what stands before a token and the first of what stands after it, and what stands for them at a text's ends.
+WORD, NEXT = rf"(?<![^{SPACE}])[^{SPACE}]++(?=[{SPACE}]*$)", rf"^[{SPACE}]*([^{SPACE}]++)"
+START, END = "<start>", "<end>"
 #: An identifier that is added has so many characters and digits at least; all are instances.
 LEAST_CHARS, LEAST_DIGITS = 6, 4
-#: Rounds over the graph; a pattern's score and its number of different seeds for its instances to be believed.
-ROUNDS, CONFIDENT, SUPPORT = 3, 0.8, 5
+#: A confident pattern's share of believed instances, in per cent, and their number.
+CONFIDENT, SUPPORT = 80, 5
+#: Patterns that are broadcast at most; more are shuffled.
+BROADCAST_ROWS = 1 << 20
 
 
 def digits(x: Column) -> Column:
@@ -90,50 +89,71 @@ def _running_max(values: Column) -> Column:
     return let(F.transform(blocks_of(values), lambda b: F.aggregate(b, none, step, lambda acc: acc["out"])), over)
 
 
-def _instances(tokens: Column, base: Column) -> Column:
-    """Tokens as structs of start, end, pattern, instance, seed (a base match covers part of it) and likely (long enough to be added)."""
+def _instances(text: Column, tokens: Column, base: Column) -> Column:
+    """Tokens as structs of start, end, pattern and after (the words beside it), instance, seed (a base match covers part of it) and likely (long enough to be added)."""
     meets = lambda m, s: (m["start"] < s["end"]) & (s["start"] < m["end"])
 
-    def one(s: Column, pattern: Column, near: Column) -> Column:
+    def one(s: Column, words: Column, near: Column) -> Column:
         core = F.regexp_extract(s["value"], CORE, 0)
         begin = s["start"] + F.instr(s["value"], core) - 1
         return F.struct(
             begin.alias("start"),
             (begin + F.length(core)).alias("end"),
-            F.coalesce(pattern, F.lit(START)).alias("pattern"),
+            F.coalesce(words["before"], F.lit(START)).alias("pattern"),
+            F.coalesce(words["after"], F.lit(END)).alias("after"),
             F.lower(core).alias("instance"),
             F.exists(near, lambda m: meets(m, s)).alias("seed"),
             ((F.length(core) >= LEAST_CHARS) & (F.length(digits(s["value"])) >= LEAST_DIGITS)).alias("likely"),
         )
 
-    def of_block(block: Column, patterns: Column) -> Column:
+    def of_block(block: Column, words: Column) -> Column:
         whole = F.struct(F.get(block, F.lit(0))["start"].alias("start"), F.element_at(block, -1)["end"].alias("end"))
         near = let(whole, lambda w: F.filter(base, lambda m: meets(m, w)))  # so that each token is held against few spans
-        return let(near, lambda n: F.zip_with(block, patterns, lambda s, p: one(s, p, n)))
+        return let(near, lambda n: F.zip_with(block, words, lambda s, p: one(s, p, n)))
 
     def named(words: Column) -> Column:
-        """The pattern of each token: its word, or that of the last token that has one."""
+        """The word of each token, or that of the last token before it that has one."""
         last = _running_max(F.transform(words, lambda w, i: F.when(w != "", i).otherwise(-1)))
         return F.transform(last, lambda k: F.when(k >= 0, F.get(words, k)))
 
-    words = F.transform(tokens, lambda s: F.lower(F.regexp_extract(s["before"], WORD, 0)))
-    found = let(words, lambda w: F.flatten(F.zip_with(blocks_of(tokens), let(named(w), blocks_of), of_block)))
+    ends = F.substr(text, F.element_at(tokens, -1)["end"] + 1)
+    gaps = F.concat(F.transform(F.slice(tokens, 2, F.size(tokens)), lambda s: s["before"]), F.array(ends))
+    before = let(F.transform(tokens, lambda s: F.lower(F.regexp_extract(s["before"], WORD, 0))), named)
+    after = F.reverse(let(F.reverse(F.transform(gaps, lambda g: F.lower(F.regexp_extract(g, NEXT, 1)))), named))
+    words = F.arrays_zip(before.alias("before"), after.alias("after"))
+    found = let(words, lambda w: F.flatten(F.zip_with(blocks_of(tokens), blocks_of(w), of_block)))
     return F.when(F.size(tokens) > 0, found).otherwise(F.array().cast(INSTANCES))
 
 
+def _patterns(t: Column) -> Column:
+    """The patterns that a token stands in; white space is in no word, so that they can't be taken for each other."""
+    return F.array(F.concat(t["pattern"], F.lit(" _")), F.concat(F.lit("_ "), t["after"]), F.concat(t["pattern"], F.lit(" _ "), t["after"]))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A written table as the side of a join: broadcast if its rows were counted and are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _confident_patterns(edges: DataFrame) -> DataFrame:
-    """Patterns (``pattern``) whose instances are believed, from distinct ``pattern``, ``instance``, ``seed`` edges."""
-    belief = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("belief"))
-    scored = None
-    for _ in range(ROUNDS):
-        scored = (
-            edges.join(belief, "instance")
-            .groupBy("pattern")
-            .agg(F.avg("belief").alias("score"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-            .withColumn("score", F.when(F.col("seeds") >= SUPPORT, F.col("score")).otherwise(0.0))
-        )
-        belief = edges.join(scored, "pattern").groupBy("instance").agg(F.max(F.greatest(F.col("seed").cast("double"), F.col("score"))).alias("belief"))
-    return scored.where(F.col("score") >= CONFIDENT).select("pattern")
+    """Confident patterns (``pattern``) of distinct ``pattern``, ``instance``, ``seed`` edges, once no round finds another.
+
+    What is believed only grows: seeds stay, and a pattern's share can't fall. So every round but the last adds a pattern, and the set is
+    that of any order of rounds. An instance is a seed if one of its edges says so. Counts are added up by pattern before and after the
+    shuffle, so that a common word is no group of its edges.
+    """
+    seeds = written(edges.where("seed").select("instance").distinct(), "pii-believed")
+    believed, known, patterns = seeds, 0, None
+    while True:
+        marked = edges.select("pattern", "instance").join(believed.withColumn("believed", F.lit(1)), "instance", "left")
+        scored = marked.groupBy("pattern").agg(F.count("*").alias("n"), F.count("believed").alias("sure"))
+        patterns = written(scored.where((F.col("sure") >= SUPPORT) & (F.col("sure") * 100 >= F.col("n") * CONFIDENT)).select("pattern"), "pii-patterns")
+        count = patterns.count()
+        if count == known:
+            return patterns
+        known = count
+        stands = edges.join(_few(patterns), "pattern", "left_semi").select("instance")
+        believed = written(seeds.union(stands).distinct(), "pii-believed")
 
 
 def find_pii(df: DataFrame) -> DataFrame:
@@ -149,11 +169,12 @@ def find_pii(df: DataFrame) -> DataFrame:
     spans = base_spans(F.col("text"))
     based = docs.select("doc_id", "key", "text", F.concat(*(marks(spans[k], k, i) for i, k in enumerate(KINDS))).alias("base"))
     tokens = located(F.col("text"), TOKEN, F.col("text").rlike("[0-9@]"))
-    found = written(based.select("doc_id", "key", "base", let(tokens, lambda t: _instances(t, F.col("base"))).alias("tokens")), "pii-base")
+    found = written(based.select("doc_id", "key", "base", let(tokens, lambda t: _instances(F.col("text"), t, F.col("base"))).alias("tokens")), "pii-base")
     seen = found.where(F.size("tokens") > 0).select("key", F.explode("tokens").alias("t")).select("key", "t.*").where("instance <> ''")
-    edges = written(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-graph")
-    patterns = written(_confident_patterns(edges), "pii-patterns")
-    new = seen.where(~F.col("seed") & F.col("likely")).join(patterns, "pattern").select("key", F.struct("start", F.lit(len(KINDS)).alias("order"), "end", F.lit(CONTEXT).alias("kind")).alias("m"))
+    stands = lambda df: df.withColumn("pattern", F.explode(_patterns(F.struct("pattern", "after"))))
+    edges = written(stands(seen.select("pattern", "after", "instance", "seed")).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-graph")
+    patterns = _confident_patterns(edges)
+    new = stands(seen.where(~F.col("seed") & F.col("likely"))).join(_few(patterns), "pattern", "left_semi").select("key", F.struct("start", F.lit(len(KINDS)).alias("order"), "end", F.lit(CONTEXT).alias("kind")).alias("m"))
     added = new.groupBy("key").agg(F.collect_set("m").alias("added"))
     return found.join(added, "key", "left").select("doc_id", "key", F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>"))).alias("pii"))
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.llm.line_templates import DEPTH, FIXED_SHARE, MANY_FIXED, MIN_DOCS, drop_templates
-from ledgerline.llm.pii import CONFIDENT, KINDS, ROUNDS, SUPPORT, TOKEN, _confident_patterns, _instances, find_pii, pii_digest
+from ledgerline.llm.pii import CONFIDENT, KINDS, SUPPORT, TOKEN, _confident_patterns, _instances, find_pii, pii_digest
 from ledgerline.llm.secrets import BASE_RULES, MORE_RULES, build_index, candidates, find_secrets, trigram_query
 from ledgerline.llm.spans import located, redacted, spelled
 
@@ -74,27 +74,56 @@ def test_patterns_that_seeds_teach_find_other_identifiers(spark):
     assert out[10] == "" and out[11] == ""
 
 
-def test_graph_equals_brute_force(spark):
-    rng = random.Random(5)
-    edges = {(f"w{rng.randrange(12)}", f"i{rng.randrange(150)}"): None for _ in range(160)}
-    rows = [(p, i, rng.random() < (0.85 if int(p[1:]) % 3 else 0.3)) for p, i in edges]
-    believed = {i: float(any(s for _, j, s in rows if j == i)) for _, i, _ in rows}
-    for _ in range(ROUNDS):
-        score = {}
-        for p in {p for p, _, _ in rows}:
-            own = [(i, s) for q, i, s in rows if q == p]
-            score[p] = sum(believed[i] for i, _ in own) / len(own) if sum(s for _, s in own) >= SUPPORT else 0.0
-        believed = {i: max(max(float(s), score[p]) for p, j, s in rows if j == i) for i in believed}
-    got = {r.pattern for r in _confident_patterns(spark.createDataFrame(rows, "pattern string, instance string, seed boolean")).collect()}
-    assert got == {p for p, s in score.items() if s >= CONFIDENT} and 0 < len(got) < 12
+def bootstrapped(edges):
+    """Confident patterns of (pattern, instance, seed) edges, read off the method's words: one pattern at a time, the first that is fit."""
+    instances = {}
+    for p, i, _ in edges:
+        instances.setdefault(p, set()).add(i)
+    believed, confident = {i for _, i, s in edges if s}, set()
+    while fit := next((p for p, own in sorted(instances.items()) if p not in confident and len(own & believed) >= SUPPORT and len(own & believed) / len(own) >= CONFIDENT / 100), None):
+        confident.add(fit)
+        believed |= instances[fit]
+    return confident
+
+
+def test_believed_instances_teach_further_patterns(spark):
+    """Two hops: p is learned from seeds, b from what p made believed, c from what b did; d and e stay out."""
+    edges = [("p", f"s{i}", True) for i in range(30)] + [("p", f"x{i}", False) for i in range(6)] + [("b", f"x{i}", False) for i in range(6)] + [("b", "y0", False)]
+    edges += [("c", i, False) for i in ("y0", "y1", "x0", "x1", "x2", "x3", "z")] + [("d", i, False) for i in ("z", "q1", "q2", "q3", "q4", "q5")] + [("e", f"x{i}", False) for i in range(4)]
+    got = {r.pattern for r in _confident_patterns(spark.createDataFrame(edges, "pattern string, instance string, seed boolean")).collect()}
+    assert got == bootstrapped(edges) == {"p", "b"}
+    edges = [e for e in edges if e != ("c", "y1", False)]
+    got = {r.pattern for r in _confident_patterns(spark.createDataFrame(edges, "pattern string, instance string, seed boolean")).collect()}
+    assert got == bootstrapped(edges) == {"p", "b", "c"}
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_graph_equals_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr("ledgerline.llm.pii.BROADCAST_ROWS", few)
+    rng = random.Random(7)
+    rows = {(f"w{rng.randrange(40)}", f"i{rng.randrange(120)}"): rng.random() < 0.45 for _ in range(420)}
+    edges = [(p, i, s) for (p, i), s in rows.items()]
+    got = {r.pattern for r in _confident_patterns(spark.createDataFrame(edges, "pattern string, instance string, seed boolean")).collect()}
+    direct = {p for p, _ in rows if (own := {i for q, i in rows if q == p}) and sum(any(s for _, j, s in edges if j == i) for i in own) >= max(SUPPORT, CONFIDENT / 100 * len(own))}
+    assert got == bootstrapped(edges) and direct < got < {p for p, _ in rows}
+
+
+def test_two_hops_over_texts(spark):
+    """Badges are learned beside seeds; the word after a badge then finds the numbers of lockers, which no seed stands beside."""
+    rows = [f"send badge user{i}99@mail.example.org today {i % 2}" for i in range(30)] + [f"send badge QQ-88{i:03d} kept well" for i in range(7)] + [f"in locker QQ-88{i:03d} there" for i in range(6)] + ["in locker 77-9912-X there", "a locked 77-9913-X here"]
+    out = {r.doc_id: r.spans for r in pii_digest(find_pii(fixtures.documents(spark, rows))).where("doc_id is not null").collect()}
+    assert all(out[i].startswith("context:11:") for i in range(30, 37)) and all(out[i].startswith("context:10:") for i in range(37, 43))
+    assert out[43] == "context:10:19" and out[44] == ""
 
 
 def test_instances_take_the_last_word_that_is_none(spark):
     long = "w" * 60
     rows = [f"see {long} 12 x7, then a1@b.c 99-1 end\n(4)", "7 up 8", " ".join(f"k{'abc'[i % 3]} {i}" for i in range(400)), "z " + "1 " * 300]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "id int, text string")
-    found = df.select("id", _instances(located(F.col("text"), TOKEN, F.lit(True)), F.array().cast("array<struct<start:int,end:int>>")).alias("t"))
+    found = df.select("id", _instances(F.col("text"), located(F.col("text"), TOKEN, F.lit(True)), F.array().cast("array<struct<start:int,end:int>>")).alias("t"))
     for r in found.collect():
+        following = [next((w.lower() for w in rows[r.id][m.end() :].split() if not re.search("[0-9@]", w)), "<end>") for m in re.finditer(r"\S+", rows[r.id]) if re.search("[0-9@]", m[0])]
+        assert [t["after"] for t in r.t] == following
         want, pattern = [], "<start>"
         for m in re.finditer(r"\S+", rows[r.id]):
             if re.search("[0-9@]", m[0]):
