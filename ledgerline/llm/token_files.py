@@ -158,8 +158,17 @@ def documents_by_id(spark: SparkSession, path: str, wanted: DataFrame) -> DataFr
     """
     small_batches(spark)
     blocks = spark.read.schema(BLOCKS).parquet(path)
-    listed = blocks.select("shard", "block", F.posexplode(F.arrays_zip("doc_ids", "lengths")).alias("nr", "d"), "lengths").select("shard", "block", F.col("d.doc_ids").alias("doc_id"), F.col("d.lengths").alias("n"), F.expr("aggregate(slice(lengths, 1, nr), 0L, (a, x) -> a + x)").alias("at"))
-    places = listed.join(wanted.select(F.col("doc_id").cast("long")).distinct(), "doc_id").withColumn("to", F.col("at") + F.col("n"))
+
+    def placed(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                docs, lengths = b.column("doc_ids")[k].values, b.column("lengths")[k].values.to_numpy()
+                ends = np.cumsum(lengths)
+                same = [pa.array([b.column(c)[k].as_py()] * len(docs), kind) for c, kind in (("shard", pa.int32()), ("block", pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*same, docs, pa.array(ends - lengths), pa.array(ends)], ["shard", "block", "doc_id", "at", "to"])
+
+    listed = blocks.select("shard", "block", "doc_ids", "lengths").mapInArrow(placed, "shard int, block long, doc_id long, at long, to long")
+    places = listed.join(wanted.select(F.col("doc_id").cast("long")).distinct(), "doc_id")
     return _slices(places.join(blocks.select("shard", "block", "width", "packed"), ["shard", "block"]), ["doc_id"])
 
 

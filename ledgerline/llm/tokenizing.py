@@ -18,8 +18,9 @@ import pyarrow as pa
 
 from .common import gathered, worker_memory
 
-#: Most pieces and characters that a worker remembers.
+#: Most pieces and characters that a worker remembers; of chunks for the library, whose encoding costs most, more.
 MAX_PIECES, MAX_CHARS = 400_000, 10_000_000
+LIBRARY_PIECES, LIBRARY_CHARS = 1_000_000, 25_000_000
 #: Strings that the library encodes at once; it keeps much for each.
 LIBRARY_BATCH = 4096
 
@@ -35,8 +36,8 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class PieceEncoder:
     """``split`` cuts a text into pieces, ``encode_pieces`` maps pieces to flat ids and a number for each."""
 
-    def __init__(self, split: Callable[[str], list[str]], encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
-        self.split, self.encode_pieces = split, encode_pieces
+    def __init__(self, split: Callable[[str], list[str]], encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: tuple[int, int] | None = None):
+        self.split, self.encode_pieces, self.most = split, encode_pieces, most
         self.forget()
 
     def forget(self) -> None:
@@ -47,14 +48,15 @@ class PieceEncoder:
     def trim(self) -> None:
         """Forgets the pieces met least often, until half of what may be remembered is left at most."""
         keys, least = list(self.index), 2
-        while (kept := np.flatnonzero(self.hits >= least)).size > MAX_PIECES // 2:
+        pieces, chars = self.most or (MAX_PIECES, MAX_CHARS)
+        while (kept := np.flatnonzero(self.hits >= least)).size > pieces // 2:
             least *= 2
         keys = [keys[i] for i in kept.tolist()]
         starts, lengths = self.starts[kept], self.lengths[kept]
         self.index = defaultdict(count(len(keys)).__next__, zip(keys, range(len(keys))))
         self.flat, self.starts, self.lengths = self.flat[ranges(starts, lengths)], np.cumsum(lengths) - lengths, lengths
         self.hits, self.chars = self.hits[kept] // least, sum(map(len, keys))
-        if self.chars > MAX_CHARS // 2:
+        if self.chars > chars // 2:
             self.forget()
 
     def learn(self) -> None:
@@ -69,7 +71,8 @@ class PieceEncoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and the offset at which each text's ids begin (and the end); a null text has none."""
-        if len(self.index) > MAX_PIECES or self.chars > MAX_CHARS:
+        pieces, chars = self.most or (MAX_PIECES, MAX_CHARS)
+        if len(self.index) > pieces or self.chars > chars:
             self.trim()
         at = self.index.__getitem__
         found, sizes = array("q"), np.zeros(len(texts), np.int64)
@@ -113,7 +116,7 @@ def library_encoder(path: str) -> PieceEncoder:
         ids = [array("I", x.ids) for k in range(0, len(pieces), LIBRARY_BATCH) for x in tokenizer.encode_batch_fast(pieces[k : k + LIBRARY_BATCH], add_special_tokens=False)]
         return np.frombuffer(b"".join(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
 
-    return PieceEncoder(folded_words, encode)
+    return PieceEncoder(folded_words, encode, (LIBRARY_PIECES, LIBRARY_CHARS))
 
 
 def worker_encoder(make: Callable[[str], PieceEncoder], path: str) -> PieceEncoder:
