@@ -4,8 +4,9 @@ Equal vectors are one node. NN-descent starts from neighbours within random
 hyperplane buckets and lets every node introduce its neighbours to each other,
 in rounds of joins; the graph keeps each node's best. A query starts from its
 own node's neighbours and, in rounds of joins, visits the neighbours of the
-best nodes met so far, until none is left to visit. Vectors stay in blocks of
-bounded size: what travels is the node numbers to be scored there.
+best nodes met so far, until none is left to visit: the only bound is ``BEAM``, how many of the best nodes a search keeps. Vectors stay in
+blocks of bounded size: what travels is the node numbers to be scored there, to the blocks that hold some. The few vectors that every
+search starts from besides travel to the queries. ``exact_neighbours`` scores everything, for measuring what the search finds.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ from .common import binary_array, small_batches, written
 
 #: Neighbours of a node, reverse neighbours that also take part in a round, and introductions that each gets from one list.
 NEIGHBOURS, REVERSE, INTRODUCED = 32, 16, 8
-#: Random hyperplane partitions to start from, nodes of a bucket about, rounds of NN-descent.
-TREES, BUCKET, DESCENTS = 6, 200, 3
-#: Best nodes that a search keeps, nodes that it visits in a round, most rounds.
-BEAM, VISITS, SEARCHES = 256, 128, 4
+#: Random hyperplane partitions to start from, nodes of a bucket about. NN-descent ends when a round changes less than this share of all
+#: neighbours, in per cent.
+TREES, BUCKET, CHANGED = 6, 200, 10
+#: Best nodes that a search keeps, nodes that it visits in a round.
+BEAM, VISITS = 256, 128
 #: Longest vectors, from which every search starts besides: they are near to many.
 ENTRIES = 64
 #: Vectors of a block about.
@@ -159,10 +161,13 @@ def _introduced(graph: DataFrame, nodes: DataFrame, turn: int, width: int) -> Da
 
 def neighbour_graph(nodes: DataFrame, n: int, width: int) -> DataFrame:
     """``node``, ``ids`` and ``scores`` of the NEIGHBOURS nearest nodes found; ``nodes`` has ``node`` and ``code``."""
-    graph = written(_merged(_start(nodes, n, width)), "graph")
-    for turn in range(DESCENTS):
-        graph = written(_merged(graph.union(_introduced(graph, nodes, turn, width))), "graph")
-    return graph
+    graph, turn = written(_merged(_start(nodes, n, width)), "graph"), 0
+    while True:
+        better = written(_merged(graph.union(_introduced(graph, nodes, turn, width))), "graph")
+        changed = better.join(graph.select("node", F.col("ids").alias("old")), "node").agg(F.sum(F.size(F.array_except("ids", "old")))).first()[0] or 0
+        graph, turn = better, turn + 1
+        if changed * 100 <= CHANGED * n * NEIGHBOURS:
+            return graph
 
 
 def _scored(asked: DataFrame, blocks: DataFrame, row: np.dtype) -> DataFrame:
@@ -184,7 +189,7 @@ def _scored(asked: DataFrame, blocks: DataFrame, row: np.dtype) -> DataFrame:
                 at = np.searchsorted(ids, want)
                 scores = vectors[at] @ vector
                 if len(scores) > BEAM:
-                    top = np.argpartition(-scores, BEAM - 1)[:BEAM]
+                    top = np.lexsort((want, -scores))[:BEAM]  # ties at the cut to the smaller id
                     want, scores = want[top], scores[top]
                 found.append({"query": q, "ids": want.tolist(), "scores": scores.tolist()})
         return pa.Table.from_pylist(found, pa.schema([("query", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))]))
@@ -192,21 +197,32 @@ def _scored(asked: DataFrame, blocks: DataFrame, row: np.dtype) -> DataFrame:
     return asked.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(run, "query long, ids array<long>, scores array<double>")
 
 
-def graph_search(queries: DataFrame, graph: DataFrame, blocks: DataFrame, row: np.dtype, entries: list[int]) -> DataFrame:
+def _entered(queries: DataFrame, row: np.dtype, entries: list[int], vectors: np.ndarray) -> DataFrame:
+    """Pools that hold the ``entries``, scored where the queries are; ``vectors`` are theirs, ENTRIES at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            mine = _fixed(b.column(1), row.itemsize).view(row.base).astype(np.float64)
+            scores = [[float(entry @ q) for entry in vectors] for q in mine]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([entries] * b.num_rows, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))], ["query", "ids", "scores"])
+
+    return queries.select("query", "vector").mapInArrow(run, "query long, ids array<long>, scores array<double>").withColumn("visited", F.array().cast("array<long>"))
+
+
+def graph_search(queries: DataFrame, graph: DataFrame, blocks: DataFrame, row: np.dtype, entries: list[int], vectors: np.ndarray, parts: int) -> DataFrame:
     """``query``, ``ids`` and ``scores`` of the BEAM best nodes that a greedy search meets.
 
-    ``queries`` has ``query``, ``node`` (where it starts) and ``vector``; ``blocks``
-    has ``node``, ``block``, ``vector``. Every search also starts from the few
-    ``entries``. A query's own node is among the results.
+    ``queries`` has ``query``, ``node`` (where it starts) and ``vector``; ``blocks`` has ``node``, ``block`` (one of ``parts``) and
+    ``vector``. Every search also starts from the few ``entries``. A query's own node is among the results. A search ends when all nodes
+    that it keeps are visited; each round visits some, and only queries that still have some take part in the next.
     """
-    everywhere = F.array(*map(F.lit, entries)).cast("array<long>")
-    start = queries.join(graph, "node", "left").select("query", F.array_union(F.coalesce(F.array_append("ids", F.col("node")), F.array("node")), everywhere).alias("new"))
-    pools = queries.select("query", F.array().cast("array<long>").alias("ids"), F.array().cast("array<double>").alias("scores"), F.array().cast("array<long>").alias("visited"))
+    start = queries.join(graph, "node", "left").select("query", F.coalesce(F.array_append("ids", F.col("node")), F.array("node")).alias("new"))
+    pools = written(_entered(queries, row, entries, vectors), "pools")
     homes = queries.select("query", "vector")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for query, vector, new, known, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4).to_pylist()):
+            for query, vector, new, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
                 ids = np.setdiff1d(new.values.to_numpy(), known.values.to_numpy())
                 where = ids_block(ids, parts)
                 order = np.argsort(where, kind="stable")
@@ -229,18 +245,18 @@ def graph_search(queries: DataFrame, graph: DataFrame, blocks: DataFrame, row: n
                 rows.append({"query": query, "ids": i.tolist(), "scores": s.tolist(), "visited": visited + rest, "visit": rest})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("query", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64())), ("visited", pa.list_(pa.int64())), ("visit", pa.list_(pa.int64()))]))
 
-    parts = blocks.agg((F.max("block") + 1).alias("parts"))
-    for turn in range(SEARCHES + 1):
-        asked = start.join(homes, "query").join(pools, "query").crossJoin(F.broadcast(parts)).select("query", "vector", "new", F.concat("ids", "visited").alias("known"), "parts")
-        answers = _scored(asked.mapInArrow(deal, "block long, query long, vector binary, ids array<long>"), blocks, row)
+    while True:
+        asked = start.join(homes, "query").join(pools, "query").select("query", "vector", "new", F.concat("ids", "visited").alias("known"))
+        asked = written(asked.mapInArrow(deal, "block long, query long, vector binary, ids array<long>"), "asked")
+        answers = _scored(asked, blocks.join(asked.select("block").distinct(), "block", "left_semi"), row)
         answers = answers.groupBy("query").agg(F.collect_list("ids").alias("i"), F.collect_list("scores").alias("s"))
         pools = pools.join(answers, "query", "left").select("query", "ids", "scores", "visited", "i", "s").mapInArrow(take, "query long, ids array<long>, scores array<double>, visited array<long>, visit array<long>")
         pools = written(pools, "pools")
-        if turn == SEARCHES or pools.where(F.size("visit") > 0).isEmpty():
-            break
-        steps = pools.select("query", F.explode("visit").alias("node")).join(graph.select("node", "ids"), "node")
+        visits = pools.where(F.size("visit") > 0)
+        if visits.isEmpty():
+            return pools.select("query", "ids", "scores")
+        steps = visits.select("query", F.explode("visit").alias("node")).join(graph.select("node", "ids"), "node")
         start = steps.groupBy("query").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("new"))
-    return pools.select("query", "ids", "scores")
 
 
 def ids_block(ids: np.ndarray, parts: int) -> np.ndarray:
@@ -300,11 +316,40 @@ def nearest_neighbours(df: DataFrame, every: int = 20, k: int = 20) -> DataFrame
 
     own = rows.where(F.col("vec_id") % every == 0).join(named, ["h", "g"]).select("vec_id", "node", "e")
     queries = written(own.mapInArrow(as_bytes, "query long, node long, vector binary"), "queries")
-    entries = [r[0] for r in first.orderBy(F.desc(norm), "vec_id").limit(ENTRIES).select("vec_id").collect()]
-    found = graph_search(queries, graph, nodes.select("node", "block", "vector"), row, entries)
+    longest_rows = first.orderBy(F.desc(norm), "vec_id").limit(ENTRIES).select("vec_id", "e").collect()
+    entries, vectors = [r.vec_id for r in longest_rows], np.array([r.e for r in longest_rows], row.base).astype(np.float64)
+    found = graph_search(queries, graph, nodes.select("node", "block", "vector"), row, entries, vectors, parts)
     near = found.select(F.col("query").alias("query_id"), F.posexplode(F.slice(F.arrays_zip("ids", "scores"), 1, k + 1)).alias("at", "hit")).select("query_id", F.col("hit.ids").alias("node"), F.col("hit.scores").alias("score"))
     copies = rows.select("h", "g", "vec_id").withColumn("place", F.row_number().over(Window.partitionBy("h", "g").orderBy("vec_id")))
     members = copies.where(F.col("place") <= k + 1).join(named, ["h", "g"]).select("node", "vec_id")  # enough copies of each vector for any result
     hits = near.join(members, "node").where(F.col("vec_id") != F.col("query_id"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.select("query_id", F.row_number().over(order).cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+
+
+def exact_neighbours(df: DataFrame, every: int = 20, k: int = 20, block: int = 256) -> DataFrame:
+    """As ``nearest_neighbours``, by scoring every row for every query: ``block`` queries at a time go to all rows, and each task keeps their
+    ``k`` best. For measuring; its work grows with the square of the table. All vectors must be of one length, finite and not zero, with different ids.
+    """
+    spark = df.sparkSession
+    rows = written(df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")), "exact-rows")
+    found = None
+    queries = rows.where(F.col("vec_id") % every == 0)
+    for turn in range(-(-queries.count() // block)):
+        some = queries.orderBy("vec_id").offset(turn * block).limit(block).collect()
+        ids, vectors = np.array([r.vec_id for r in some]), np.array([r.e for r in some])
+
+        def best(batches: Iterator[pa.RecordBatch], ids=ids, vectors=vectors) -> Iterator[pa.RecordBatch]:
+            held = [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+            for b in batches:
+                near = b.column(0).to_numpy()
+                scores = np.einsum("qd,nd->qn", vectors, b.column(1).flatten().to_numpy().reshape(len(near), -1))
+                q, n = np.nonzero(ids[:, None] != near[None, :])
+                held = list(_best(*(np.concatenate([a, x]) for a, x in zip(held, (ids[q], near[n], scores[q, n]))), k))
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, held)), ["query_id", "vec_id", "score"])
+
+        part = rows.mapInArrow(best, "query_id long, vec_id long, score double")
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        part = written(part.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k), "exact-found")
+        found = part if found is None else found.unionByName(part)
+    return (spark.createDataFrame([], "query_id long, vec_id long, score double, rank int") if found is None else found).select("query_id", "rank", "vec_id", "score")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm import ngram_join as nj
 from ledgerline.llm.components import components
 from ledgerline.llm.language import WIDTHS, WINDOW, ByteNetwork, identify_language, score_windows, train
-from ledgerline.llm.neighbours import nearest_neighbours
+from ledgerline.llm.neighbours import exact_neighbours, nearest_neighbours
 from ledgerline.llm.quality import quality_rules, repeated_words, viterbi
 
 from . import fixtures
@@ -239,3 +239,31 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
         for _, stage in (cp.STAGES[0], cp.STAGES[1], cp.STAGES[3]):
             out = stage(spark, rows, str(tmp_path))
             assert out.columns == docs.columns and out.count() <= rows.count()
+
+
+def test_exact_neighbours_and_the_search_agree_on_a_graph_that_matters(spark):
+    """3,000 vectors in 24 dimensions: fifteen buckets a tree, so that NN-descent and the search find what buckets part."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(3000, 24)).round(3))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    vectors = np.array([r[1] for r in rows])
+    exact = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in exact_neighbours(df, 200, 10, block=4).collect()}
+    for q in range(0, 3000, 200):
+        scores = vectors @ vectors[q]
+        want = sorted((-s, i) for i, s in enumerate(scores) if i != q)[:10]
+        assert [exact[q, k + 1][0] for k in range(10)] == [i for _, i in want]
+    found = {(r.query_id, r.vec_id) for r in nearest_neighbours(df, 200, 10).collect()}
+    assert len(found & {(q, v) for (q, _), (v, _) in exact.items()}) >= 0.9 * len(exact)
+
+
+def test_ties_over_the_searchs_cut(spark):
+    """More vectors tie than a search keeps: the smallest ids of those that are kept come out, each with its exact score."""
+    rows = [(i, [1.0, float(i % 2), 1.0 + (i % 400) * 2.0**-30]) for i in range(800)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    out = nearest_neighbours(df, 400, 5).collect()
+    assert {(r.query_id, r["rank"]) for r in out} == {(q, k) for q in (0, 400) for k in range(1, 6)}
+    e = {i: np.array(v, np.float32).astype(float) for i, v in rows}
+    assert all(r.score == float(e[r.query_id] @ e[r.vec_id]) for r in out)
+    for q in (0, 400):
+        mine = sorted((r["rank"], -r.score, r.vec_id) for r in out if r.query_id == q)
+        assert [(s, v) for _, s, v in mine] == sorted((s, v) for _, s, v in mine)
