@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.jobs import corpora
-from ledgerline.jobs.engine import events
+from ledgerline.jobs.engine import events, sources
+from ledgerline.operators.seeding import seeded_edits
 from ledgerline.operators.slots import fold_slots
+from ledgerline.scratch import written
 
 
 #: Edits, each with the aspect that it makes wrong; a control has none.
@@ -61,6 +63,18 @@ def recall_table(spark, sf_dir):
     return injection_judge(spark, sf_dir).groupBy("category").agg(F.count("*").alias("edits"), n("found", "clean").alias("right"), n("abstained").alias("abstained"), F.round(F.try_divide(n("found", "clean"), n("found", "clean", "missed", "false_positive")), 6).alias("recall"))
 
 
+#: Of so many parts one function for each category of seeded edits.
+SEEDED_SHARE = 40
+
+
+def seeded_verdicts(spark, sf_dir):
+    """Seeded edits of each part's module: for each category and verdict, how many, in how many different functions."""
+    files = sources(spark, sf_dir).where("seq = 1").select("path", "content")
+    per = corpora.table(spark, sf_dir, "part").count() // SEEDED_SHARE
+    verdicts = seeded_edits(written(files, "sources"), per)
+    return verdicts.groupBy("category", "kind", "verdict").agg(F.count("*").alias("edits"), F.count_distinct("unit").alias("functions"), F.sum("extra").cast("long").alias("extra"))
+
+
 def rename_hint(spark, sf_dir):
     """Removed and added symbols of one commit whose signatures agree and are nobody else's."""
     part = corpora.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"), F.concat_ws("|", "p_type", "p_brand", "p_size").alias("signature"))
@@ -77,12 +91,17 @@ def half_life(spark, sf_dir):
     return rows.groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("disputes"), F.percentile("days", F.lit(0.5)).alias("median_days"))
 
 
-QUERIES = {f.__name__: f for f in (injection_judge, recall_table, rename_hint, half_life)}
+QUERIES = {f.__name__: f for f in (injection_judge, recall_table, seeded_verdicts, rename_hint, half_life)}
 _VERDICTS = """verdicts AS (SELECT p_partkey AS k, ['default', 'type', 'control_comment', 'control_statement', 'rename', 'returns', 'optional', 'narrowed'][p_partkey % 8 + 1] AS category,
   CASE WHEN p_partkey % 8 IN (2, 3) THEN 'clean' WHEN p_partkey % 9 = 0 OR p_partkey % 8 = 7 THEN 'abstained' ELSE 'found' END AS verdict FROM part)"""
 ORACLE_SQL = {
     "injection_judge": f"WITH {_VERDICTS} SELECT k, category, verdict FROM verdicts",
     "recall_table": f"""WITH {_VERDICTS} SELECT category, count(*) AS edits, CAST(count(*) FILTER (verdict IN ('found', 'clean')) AS BIGINT) AS "right", CAST(count(*) FILTER (verdict = 'abstained') AS BIGINT) AS abstained, CASE WHEN category <> 'narrowed' THEN 1.0e0 END AS recall FROM verdicts GROUP BY category""",
+    # what the modules document and annotate leaves no room for the other categories
+    "seeded_verdicts": f"""SELECT category, kind, verdict, count(*) AS edits, count(*) AS functions, CAST(0 AS BIGINT) AS extra
+      FROM (VALUES ('code_default', 'inject', 'found'), ('code_param_type', 'inject', 'found'), ('code_param_renamed', 'inject', 'found'), ('docs_default', 'inject', 'found'), ('docs_param_type', 'inject', 'found'), ('docs_param_invented', 'inject', 'found'),
+        ('docs_deprecated', 'inject', 'found'), ('comment_added', 'control', 'clean'), ('statement_added', 'control', 'clean'), ('function_added', 'control', 'clean'), ('summary_reworded', 'control', 'clean')) v(category, kind, verdict)
+      JOIN (SELECT p_partkey FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS n, count(*) OVER () // {SEEDED_SHARE} AS per FROM part) WHERE n <= per) ON true GROUP BY ALL""",
     "rename_hint": """WITH p AS (SELECT p_partkey AS k, p_size, concat_ws('|', p_type, p_brand, p_size) AS signature FROM part), gone AS (SELECT signature, min(k) AS k FROM p WHERE p_size <= 40 GROUP BY signature HAVING count(*) = 1),
       new AS (SELECT signature, min(k) AS k FROM p WHERE p_size > 10 GROUP BY signature HAVING count(*) = 1) SELECT concat('py:cat.p', gone.k, '.f') AS removed, concat('py:new.q', new.k, '.f') AS added FROM gone JOIN new USING (signature)""",
     "half_life": """SELECT o_orderpriority AS priority, count(*) AS disputes, quantile_cont(date_diff('day', CAST(o_orderdate AS DATE), CAST(closed AS DATE)), 0.5) AS median_days
