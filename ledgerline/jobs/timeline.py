@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.jobs import corpora
 from ledgerline.jobs.corpora import COMMITS_SQL, HISTORY_SQL
 from ledgerline.operators import history as H
+from ledgerline.operators import review as R
 from ledgerline.operators.ordering import dense_number
 from ledgerline.streaming.live import closed_windows
 
@@ -97,6 +98,27 @@ def l1_stream(spark, sf_dir):
     return closed_windows(facts, "windows").select("key", "value", *_text("valid_from", "valid_to"))
 
 
+def explain_open(spark, sf_dir):
+    """Where each user's open value comes from: steps back to the first of its chain, and what that was."""
+    return R.explain(corpora.facts(spark, sf_dir)).select("key", "value", "depth", "first_id", "first_value", "last_id", *_text("first_at", "last_at"))
+
+
+def _waived(spark, sf_dir):
+    """Disputes: windows of values other than a view, which is what documents say; waivers: every thirteenth event, of its user, for some days."""
+    windows = _history(spark, sf_dir).where("value <> 'view'").select(F.col("tie").alias("id"), "key", "value", F.col("valid_from").alias("start"), F.col("valid_to").alias("end"))
+    kinds = F.array(*map(F.lit, (*R.WAIVES, "docs_wrong", R.SUPPRESSES)))
+    granted = corpora.table(spark, sf_dir, "events").where("event_id % 13 = 0").select(
+        F.col("user_id").alias("key"), F.element_at(kinds, (F.when(F.col("event_id") % 91 == 0, 3).otherwise(F.col("event_id") % 3) + 1).cast("int")).alias("disposition"), F.col("ts").alias("granted"), (F.col("ts") + F.make_interval(days=(F.col("event_id") % 5 + 1).cast("int"))).alias("expires")
+    )
+    return windows, granted
+
+
+def waived_disputes(spark, sf_dir):
+    """The times for which disputes are open and no waiver covers them."""
+    disputes, waivers = _waived(spark, sf_dir)
+    return R.open_intervals(disputes, R.covers(waivers, disputes)).select("id", *_text("start", "end"))
+
+
 def clock_clamp(spark, sf_dir):
     return H.clamp_clock(corpora.commits(spark, sf_dir), "seq", "micros").select("seq", "micros", "clamped")
 
@@ -153,7 +175,7 @@ def lineage_added_removed(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (l1_supersede, l1_withdraw, l1_as_of, l1_as_of_many, l1_bitemporal, l1_known_about, l1_current, l1_changed_fields, l1_stream, out_of_order_rows, clock_clamp, since_snapshot, resume_after, changed_paths, commit_totals, removed_symbols, lineage_added_removed)
+    for f in (l1_supersede, l1_withdraw, l1_as_of, l1_as_of_many, l1_bitemporal, l1_known_about, explain_open, waived_disputes, l1_current, l1_changed_fields, l1_stream, out_of_order_rows, clock_clamp, since_snapshot, resume_after, changed_paths, commit_totals, removed_symbols, lineage_added_removed)
 }
 _T = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}"
 _CLAMP = COMMITS_SQL + """,
@@ -174,6 +196,18 @@ ORACLE_SQL = {
     "l1_known_about": f"""WITH {HISTORY_SQL}, heard AS (SELECT key, value, moment, tie, max(moment + to_hours(CAST(tie % 7 AS INTEGER))) OVER (PARTITION BY key ORDER BY moment, tie ROWS UNBOUNDED PRECEDING) AS known FROM facts)
       SELECT ask_id, key, CASE WHEN n > 0 THEN value[n] END AS value FROM (SELECT event_id AS ask_id, user_id AS key, list(h.value ORDER BY h.moment, h.tie) FILTER (h.tie IS NOT NULL) AS value, count(h.tie) AS n
         FROM events e LEFT JOIN heard h ON h.key = e.user_id AND h.moment <= e.ts + INTERVAL 1 HOUR AND h.known <= e.ts + INTERVAL 4 HOUR GROUP BY event_id, user_id)""",
+    "explain_open": f"""WITH {HISTORY_SQL}, chains AS (SELECT *, count(*) FILTER (value IS NULL) OVER (PARTITION BY key ORDER BY moment, tie) AS chain, row_number() OVER (PARTITION BY key ORDER BY moment DESC, tie DESC) AS back FROM changed),
+      kept AS (SELECT *, count(*) OVER w - 1 AS depth, first_value(tie) OVER w AS first_id, first_value(value) OVER w AS first_value, first_value(moment) OVER w AS first_at FROM chains WHERE value IS NOT NULL WINDOW w AS (PARTITION BY key, chain ORDER BY moment, tie))
+      SELECT key, value, depth, first_id, first_value, tie AS last_id, {_T.format("first_at")}, strftime(moment, '%Y-%m-%d %H:%M:%S') AS last_at FROM kept WHERE back = 1""",
+    "waived_disputes": f"""WITH {HISTORY_SQL}, disputes AS (SELECT tie AS id, key, value, valid_from AS a, coalesce(valid_to, TIMESTAMP '9999-01-01') AS b FROM history WHERE value <> 'view'),
+      waivers AS (SELECT user_id AS key, CASE WHEN event_id % 91 = 0 THEN 3 ELSE event_id % 3 END AS kind, ts AS granted, ts + to_days(CAST(event_id % 5 + 1 AS INTEGER)) AS expires FROM events WHERE event_id % 13 = 0),
+      met AS (SELECT * FROM disputes JOIN waivers USING (key) WHERE granted >= a AND granted < b AND kind <> 2),
+      cover AS (SELECT id, granted AS a, least(expires, b) AS b FROM met WHERE kind < 2 UNION ALL SELECT d.id, d.a, d.b FROM disputes d WHERE (d.key, d.value) IN (SELECT (key, value) FROM met WHERE kind = 3)),
+      points AS (SELECT id, a AS t FROM disputes UNION SELECT id, b FROM disputes UNION SELECT id, a FROM cover UNION SELECT id, b FROM cover),
+      pieces AS (SELECT id, t AS a, lead(t) OVER (PARTITION BY id ORDER BY t) AS b FROM points),
+      free AS (SELECT p.* FROM pieces p WHERE b IS NOT NULL AND NOT EXISTS (SELECT 1 FROM cover c WHERE c.id = p.id AND c.a <= p.a AND c.b >= p.b)),
+      runs AS (SELECT *, sum(CASE WHEN a = last THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY a) AS run FROM (SELECT *, lag(b) OVER (PARTITION BY id ORDER BY a) AS last FROM free))
+      SELECT id, strftime(min(a), '%Y-%m-%d %H:%M:%S') AS start, CASE WHEN max(b) < TIMESTAMP '9999-01-01' THEN strftime(max(b), '%Y-%m-%d %H:%M:%S') END AS "end" FROM runs GROUP BY id, run""",
     "l1_current": "SELECT key, value FROM (SELECT user_id AS key, CASE WHEN event_id % 17 = 0 THEN NULL ELSE event_type END AS value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 AND value IS NOT NULL",
     "l1_changed_fields": f"WITH {HISTORY_SQL} SELECT coalesce(value, '(none)') AS value, CAST(count(*) FILTER (value IS DISTINCT FROM before) AS BIGINT) AS changed, CAST(count(*) FILTER (value IS NOT DISTINCT FROM before) AS BIGINT) AS repeated FROM stated GROUP BY ALL",
     "l1_stream": f"WITH {HISTORY_SQL} SELECT key, value, {_T.format('valid_from')}, {_T.format('valid_to')} FROM history WHERE valid_to IS NOT NULL",
