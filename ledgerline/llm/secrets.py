@@ -5,6 +5,9 @@ trigrams that any match must hold. The index lists, for every trigram that some
 query names, the documents with it. Intersecting the lists gives a rule's
 candidates; only those are verified with the expression. A rule without
 mandatory trigrams scans every document.
+
+Candidates go back to the texts as bitmaps of a fixed size, which every task gets: a text that no rule asks for isn't searched, one whose
+bit another has set is searched for nothing, and no text is shuffled, however many documents are candidates.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ MORE_RULES = (
 )
 #: Most alternatives of a query; with more, the rule scans every document.
 MOST_CLAUSES = 32
+#: Bitmaps of candidates, and bits of each: 16 MB at most. The fuller they are, the more texts are searched that needn't be.
+BITMAPS, BITS = 1 << 12, 1 << 15
 
 
 def trigram_query(pattern: str) -> list[set[str]] | None:
@@ -80,6 +85,28 @@ def candidates(index: DataFrame, queries: dict[str, list[set[str]]], key: str =
     return met.groupBy(key).agg(F.collect_set("rule").alias("rules"))
 
 
+def _place(rule: str | Column, key: str = "key") -> Column:
+    """The bit of a rule's candidate in the bitmap of its key."""
+    return F.pmod(F.xxhash64(key, F.lit(rule) if isinstance(rule, str) else rule), F.lit(BITS))
+
+
+def _bitmap(key: str = "key") -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BITMAPS))
+
+
+def candidate_bitmaps(asked: DataFrame) -> DataFrame:
+    """``bitmap`` and ``bits``: a row for each of BITMAPS at most, from candidates (``key``, ``rules``)."""
+    placed = asked.select(_bitmap().alias("bitmap"), "key", F.explode("rules").alias("rule")).select("bitmap", _place(F.col("rule")).alias("place"))
+    return placed.groupBy("bitmap").agg(F.bitmap_construct_agg("place").alias("bits"))
+
+
+def may_match(rule: str) -> Column:
+    """Whether the bit of a rule is set in ``bits``; false without a bitmap."""
+    at = _place(rule)
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+
+
 def _spans(text: Column, rule: tuple, likely: Column) -> Column:
     kind, pattern, (group, least) = rule
     value = (lambda s: s["value"]) if not group else (lambda s: F.regexp_extract(s["value"], pattern, group))
@@ -98,12 +125,10 @@ def find_secrets(df: DataFrame, rules: tuple = BASE_RULES + MORE_RULES) -> DataF
     trigrams = sorted({t for q in queries.values() for c in q for t in c})
     if trigrams:
         postings = written(build_index(docs, trigrams).distinct(), "trigram-index")
-        asked = written(candidates(postings, queries), "secret-candidates")
-        docs = docs.join(asked, "key", "left")
-    else:
-        docs = docs.withColumn("rules", F.array().cast("array<string>"))
+        bitmaps = written(candidate_bitmaps(candidates(postings, queries)), "secret-candidates")
+        docs = docs.withColumn("bitmap", _bitmap()).join(F.broadcast(bitmaps), "bitmap", "left")
     found = []
     for order, rule in enumerate(rules):
-        likely = F.coalesce(F.array_contains("rules", rule[0]), F.lit(False)) if rule[0] in queries else F.col("text").rlike(rule[1])
+        likely = may_match(rule[0]) if rule[0] in queries else F.col("text").rlike(rule[1])
         found.append(marks(_spans(F.col("text"), rule, likely), rule[0], order))
     return docs.select("doc_id", "text", F.concat(*found).alias("secrets"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.line_templates import DEPTH, FIXED_SHARE, MANY_FIXED, MIN_DOCS, drop_templates
 from ledgerline.llm.pii import CONFIDENT, KINDS, SUPPORT, TOKEN, _confident_patterns, _instances, find_pii, pii_digest
-from ledgerline.llm.secrets import BASE_RULES, MORE_RULES, build_index, candidates, find_secrets, trigram_query
+from ledgerline.llm.secrets import _bitmap, candidate_bitmaps, may_match, BASE_RULES, MORE_RULES, build_index, candidates, find_secrets, trigram_query
 from ledgerline.llm.spans import located, redacted, spelled
 
 from . import fixtures
@@ -148,6 +148,23 @@ def test_candidates_equal_a_full_scan(spark, monkeypatch):
     assert sorted(by_index.collect(), key=str) == sorted(scanned.collect(), key=str)
 
 
+@pytest.mark.parametrize("bits", [1 << 15, 8])
+def test_bitmaps_hold_every_candidate(spark, monkeypatch, bits):
+    """Also with bits so few that most documents are searched for nothing, and candidates in most documents."""
+    monkeypatch.setattr("ledgerline.llm.secrets.BITMAPS", 4)
+    monkeypatch.setattr("ledgerline.llm.secrets.BITS", bits)
+    asked = spark.createDataFrame([(f"k{i}", [r for r in ("a", "b", "c") if (i + ord(r)) % 3]) for i in range(300)], "key string, rules array<string>")
+    every = spark.range(900).selectExpr("concat('k', id) AS key")
+    rows = every.withColumn("bitmap", _bitmap()).join(candidate_bitmaps(asked), "bitmap", "left").select("key", *(may_match(r).alias(r) for r in ("a", "b", "c"))).collect()
+    held = {r.key: set(r.rules) for r in asked.collect()}
+    assert all(r[x] for r in rows for x in held.get(r.key, ()))
+    if bits > 8:
+        assert sum(r[x] for r in rows for x in ("a", "b", "c") if x not in held.get(r.key, ())) < 60
+    docs = fixtures.documents(spark, ["token: secret%d%d" % (i, i * 7919) for i in range(80)] + ["no such thing", None])
+    assert "text" not in "".join(x for x in find_secrets(docs)._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x)
+    assert sum(r.secrets[0].kind == "assign" for r in find_secrets(docs).collect() if r.secrets) == 81
+
+
 def test_secrets_equal_re(spark):
     rows = SPANS + random_spans(300)
     df = find_secrets(fixtures.documents(spark, rows, clash=True))
