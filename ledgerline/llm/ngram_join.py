@@ -378,8 +378,8 @@ def ngram_join(df: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     Documents link when 100 * intersection >= ``percent`` * union of their
     shingle sets. Null and empty texts have no shingles and link with nothing;
     equal sets of one shingle or more link. Rows that share a doc_id are one
-    document that links by any of its texts; a null doc_id takes no part and has
-    no component. Columns besides doc_id and text are left out.
+    document that links by any of its texts, and a row of it without shingles
+    still links with nothing; a null doc_id takes no part and has no component. Columns besides doc_id and text are left out.
     """
     spark: SparkSession = df.sparkSession
     small_batches(spark)
@@ -387,7 +387,7 @@ def ngram_join(df: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     all_docs = written(_prefixes(docs, n, percent), "prefixes")
     members = all_docs.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
     nodes = written(members.groupBy("node").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in _PARITIES)), "nodes")
-    firsts = members.join(nodes.select("node", F.col("first").alias("doc_id")), ["node", "doc_id"])  # of equal sets, one document
+    firsts = members.join(nodes.select("node", F.col("first").alias("doc_id")), ["node", "doc_id"]).dropDuplicates(["node"])  # of equal sets, one row
     rows = firsts.select("node", F.col("n_shingles").alias("n"), "matches", F.size("prefix").alias("reach"), F.posexplode("prefix").alias("at", "shingle"))
     df_of = Window.partitionBy("shingle")
     shared = written(rows.withColumn("df", F.count("*").over(df_of)).where("df > 1"), "shared-shingles")
@@ -396,7 +396,11 @@ def ngram_join(df: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     postings = written(shared.withColumn("fame", fame).withColumn("met", F.dense_rank().over(of_node.orderBy("at")) - 1).drop("df"), "postings")
     discard(shared)
 
+    own = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("doc_id", "a")
+    several = written(members.select("doc_id", "node").distinct().join(own, "doc_id").where("a < node").select("a", F.col("node").alias("b")), "nodes-of-one-id")
     links = labels = sets = None
+    if not several.isEmpty():  # texts under one doc_id are one document
+        links, labels = several, components(several)
 
     def labelled(rows: DataFrame) -> DataFrame:
         if labels is None:

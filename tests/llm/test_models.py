@@ -72,6 +72,18 @@ def test_appended_words_just_above_the_threshold_still_link(spark, size, more, p
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    """It links by any of its texts, also through rounds and repeated rows."""
+    rng = random.Random(4)
+    base = [" ".join(fixtures.words(rng, 60)) for _ in range(12)]
+    near = [b + " more" for b in base]
+    rows = [(i, b) for i, b in enumerate(base)] + [(i + 20, x) for i, x in enumerate(near)] + [(0, base[5]), (0, near[7]), (3, base[9])] + [(0, base[0])] * 4 + [(23, near[3])] * 3 + [(40, None), (40, base[11])]
+    df = spark.createDataFrame([(d, t) for d, t in rows], "doc_id long, text string").repartition(3)
+    out = [(r.doc_id, r.component_id) for r in nj.ngram_join(df, 4, 85).collect()]
+    want = {i: i for i in range(12)} | {5: 0, 7: 0, 9: 3}
+    assert sorted(out) == sorted((d, d if t is None else want[d if d < 20 else 11 if d == 40 else d - 20]) for d, t in rows)
+
+
 def test_join_of_nothing(spark):
     assert nj.ngram_join(fixtures.empty(spark)).count() == 0
     assert {r.component_id for r in nj.ngram_join(fixtures.documents(spark, [None, "", " "])).where("doc_id is not null").collect()} == {0, 1, 2}
