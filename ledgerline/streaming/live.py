@@ -2,60 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerline.scratch import scratch_path
 
 CLOSED = "key long, value string, valid_from timestamp, valid_to timestamp"
-STATE = "key long, value string, at timestamp, tie long, newest timestamp, newest_tie long"
-ORDER = ["at", "tie"]
+#: A key's state: its open value (null: none) and since when, and the newest fact seen. Times are microseconds.
+STATE = "value string, since long, newest long, newest_tie long"
+#: Keeps states on disk and writes only those that a batch changes.
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class LiveWindows:
-    """Micro-batches of ``key``, ``value`` (null: withdrawn), ``at`` and ``tie`` to closed windows.
+def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The windows of a key that a micro-batch closes; what it holds is the key's facts of this batch."""
+    facts = pd.concat(list(batches)).sort_values(["at", "tie"], kind="stable")
+    value, since, newest, newest_tie = state.get if state.exists else (None, None, None, None)
+    closed = []
+    for stated, at, tie in zip(facts["value"].tolist(), facts["at"].tolist(), facts["tie"].tolist()):
+        if newest is not None and (at, tie) <= (newest, newest_tie):
+            raise ValueError(f"key {key[0]}: a fact of {pd.Timestamp(at, unit='us')} came after one of {pd.Timestamp(newest, unit='us')}")
+        newest, newest_tie = at, tie
+        stated = None if pd.isna(stated) else stated
+        if stated != value:
+            if value is not None:
+                closed.append((key[0], value, since, at))
+            value, since = stated, at
+    state.update((value, since, newest, newest_tie))
+    yield pd.DataFrame(closed, columns=["key", "value", "valid_from", "valid_to"])
 
-    The state of a key is its open window and the newest fact seen, a row of a
-    table that each batch reads and writes anew. Spark's windows order the facts, so no
-    task holds a key's facts in Python. A batch that comes again reads the state of
-    the one before it and writes the same output. A fact that is older than the newest fails the query: history that
-    arrives out of order is refused, as in a live run.
-    """
 
-    def __init__(self, path: str):
-        self.path = path
-
-    def _state(self, spark: SparkSession, batch: int) -> DataFrame:
-        return spark.read.schema(STATE).parquet(f"{self.path}/state/{batch}") if batch >= 0 else spark.createDataFrame([], STATE)
-
-    def __call__(self, facts: DataFrame, batch: int) -> None:
-        spark = facts.sparkSession
-        before = self._state(spark, batch - 1)
-        late = facts.join(before, "key").where(F.struct(facts["at"], facts["tie"]) <= F.struct("newest", "newest_tie"))
-        found = late.select("key", facts["at"], "newest").head()
-        if found:
-            raise ValueError(f"key {found[0]}: a fact of {found[1]} came after one of {found[2]}")
-        per = Window.partitionBy("key").orderBy(*ORDER)
-        rows = before.select("key", "value", *ORDER).unionByName(facts.select("key", "value", *ORDER))
-        told = rows.withColumn("was", F.lag(F.struct("value")).over(per))  # null for the first row
-        changed = told.where(~F.col("value").eqNullSafe(F.col("was.value")))
-        closed = changed.withColumn("valid_to", F.lead("at").over(per)).where("value is not null and valid_to is not null")
-        closed.select("key", "value", F.col("at").alias("valid_from"), "valid_to").write.mode("overwrite").parquet(f"{self.path}/out/batch={batch}")
-        newest = F.max(F.struct(*ORDER)).alias("top")
-        last = rows.groupBy("key").agg(newest)
-        opened = changed.groupBy("key").agg(F.max_by(F.struct("value", *ORDER), F.struct(*ORDER)).alias("w"))
-        state = last.join(opened, "key", "left").select("key", "w.value", F.coalesce("w.at", "top.at").alias("at"), F.coalesce("w.tie", "top.tie").alias("tie"), F.col("top.at").alias("newest"), F.col("top.tie").alias("newest_tie"))
-        kept = before.select("key", F.col("newest").alias("n"), F.col("newest_tie").alias("t"))  # the newest fact may have repeated the open value
-        state = state.join(kept, "key", "left").withColumn("top", F.greatest(F.struct("newest", "newest_tie"), F.when(F.col("n").isNotNull(), F.struct(F.col("n").alias("newest"), F.col("t").alias("newest_tie")))))
-        state.select("key", "value", "at", "tie", "top.newest", "top.newest_tie").write.mode("overwrite").parquet(f"{self.path}/state/{batch}")
+def live_windows(facts: DataFrame) -> DataFrame:
+    """Windows that a stream of ``key``, ``value`` (null: withdrawn), ``at`` and ``tie`` closes, as a stream.
+
+    Spark keeps a state for each key, and a micro-batch touches the keys that it has facts of. A fact that is older than the newest of its
+    key fails the query: history that arrives out of order is refused, as in a live run. Facts of one batch are put in order.
+    """
+    rows = facts.select("key", "value", F.unix_micros("at").alias("at"), "tie")
+    out = rows.groupBy("key").applyInPandasWithState(_advance, "key long, value string, valid_from long, valid_to long", STATE, "append", GroupStateTimeout.NoTimeout)
+    return out.select("key", "value", F.timestamp_micros("valid_from").alias("valid_from"), F.timestamp_micros("valid_to").alias("valid_to"))
 
 
 def closed_windows(stream: DataFrame, label: str) -> DataFrame:
     """Runs a stream of facts over what there is and reads the windows that it closed; all it writes lies in the shared folder."""
     spark: SparkSession = stream.sparkSession
     path = scratch_path(spark, label)
-    query = stream.writeStream.foreachBatch(LiveWindows(path)).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
-    query.awaitTermination()
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, PROVIDER)
+    try:
+        query = live_windows(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        if before is not None:
+            spark.conf.set(name, before)
+        else:
+            spark.conf.unset(name)
     if query.lastProgress is None:
         return spark.createDataFrame([], CLOSED)
-    return spark.read.schema(CLOSED).option("recursiveFileLookup", "true").parquet(f"{path}/out")
+    return spark.read.schema(CLOSED).parquet(f"{path}/out")
