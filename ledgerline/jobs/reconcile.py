@@ -9,6 +9,8 @@ from ledgerline.jobs import corpora
 from ledgerline.jobs.corpora import CLAIMS_SQL, DISTINCT_SQL, SUMMARY_SQL
 from ledgerline.operators import claims as C
 from ledgerline.operators.ordering import queue_number
+from ledgerline.scratch import scratch_path
+from ledgerline.sinks.sarif import read_results, write_sarif
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,15 @@ def drift_ranked(spark, sf_dir):
     return queue_number(C.drift(_claims(spark, sf_dir)).withColumn("score", F.round("score", 6)), "score", "fact_key", "place").select("fact_key", "drift_class", "code_value", "score", "place")
 
 
+def findings_export(spark, sf_dir):
+    """All open disputes, written as one SARIF document and read from it again."""
+    path = F.concat(F.lit("src/"), F.translate(F.regexp_extract("fact_key", r"^py:(.*)[.][^.#]*#", 1), ".", "/"), F.lit(".py"))
+    findings = C.drift(_claims(spark, sf_dir)).withColumn("score", F.round("score", 6)).withColumn("path", path)
+    target = scratch_path(spark, "findings.sarif")
+    write_sarif(findings, target)
+    return read_results(spark, target)
+
+
 def drift_topk(spark, sf_dir):
     """The twenty findings that a reviewer sees first."""
     return C.drift(_claims(spark, sf_dir)).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "fact_key").limit(20)
@@ -81,7 +92,7 @@ def coverage_ratios(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (route_end_state, drift_ranked, drift_topk, drift_by_class, outcome_totals, corroborated_facts, claim_dedup, author_members_exploded, claims_retract_assert, net_changes, introduced_gate, coverage_ratios)
+    for f in (route_end_state, drift_ranked, findings_export, drift_topk, drift_by_class, outcome_totals, corroborated_facts, claim_dedup, author_members_exploded, claims_retract_assert, net_changes, introduced_gate, coverage_ratios)
 }
 _HALVES = CLAIMS_SQL + """,
 have AS (SELECT DISTINCT fact_key, author, path, value FROM claims WHERE state <> 'A'),
@@ -90,6 +101,7 @@ moves AS (SELECT *, 'retract' AS action FROM (SELECT * FROM have EXCEPT SELECT *
 ORACLE_SQL = {
     "route_end_state": f"WITH {SUMMARY_SQL} SELECT fact_key, n_claims, outcome, drift_class, code_value, round(score, 6) AS score FROM routed",
     "drift_ranked": f"WITH {SUMMARY_SQL} SELECT fact_key, drift_class, code_value, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, fact_key) AS place FROM routed WHERE outcome = 'contradict'",
+    "findings_export": f"""WITH {SUMMARY_SQL} SELECT fact_key, drift_class, code_value, round(score, 6) AS score, concat('src/cat/', regexp_extract(fact_key, 'cat[.](p[0-9]+)', 1), '.py') AS path FROM routed WHERE outcome = 'contradict'""",
     "drift_topk": f"WITH {SUMMARY_SQL} SELECT fact_key, drift_class, code_value, round(score, 6) AS score FROM routed WHERE outcome = 'contradict' ORDER BY round(score, 6) DESC, fact_key LIMIT 20",
     "drift_by_class": f"WITH {SUMMARY_SQL} SELECT drift_class, count(*) AS n FROM routed WHERE outcome = 'contradict' GROUP BY drift_class",
     "outcome_totals": f"WITH {SUMMARY_SQL} SELECT outcome, count(*) AS n FROM routed GROUP BY outcome",
