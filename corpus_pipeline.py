@@ -1,4 +1,9 @@
-"""A corpus pipeline: each stage reads all that the one before it kept."""
+"""A corpus pipeline: each stage reads all that the one before it kept.
+
+Null and empty texts have no words, so the quality rules reject them. Rows that repeat are judged alike: they all stay or go, but for near
+duplicates, of which the rows of one doc_id stay, the smallest; rows with a null doc_id are no one's duplicates and stay. Columns besides
+those of ``documents`` pass through unread, whatever their names; the last stage names its own. An empty table gives one.
+"""
 
 from __future__ import annotations
 
