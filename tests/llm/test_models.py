@@ -248,9 +248,13 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
     docs = fixtures.documents(spark, [None, "", "one two", "a b " * 30, "x" * 3000], clash=True).withColumn("row", F.lit(1)).withColumn("pii", F.lit("p")).withColumn("lost", F.lit(2))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for rows in (docs, docs.limit(0)):
-        for _, stage in (cp.STAGES[0], cp.STAGES[1], cp.STAGES[3]):
+        for _, stage in cp.STAGES[:-1]:
             out = stage(spark, rows, str(tmp_path))
             assert out.columns == docs.columns and out.count() <= rows.count()
+        pieces = cp.STAGES[-1][1](spark, rows, str(tmp_path))
+        assert {(r.doc_id, r.piece) for r in pieces.collect()} >= {(r.doc_id, 0) for r in rows.collect()}
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert cp.run(spark, str(tmp_path)).count() == 0
 
 
 def test_exact_neighbours_and_the_search_agree_on_a_graph_that_matters(spark):
