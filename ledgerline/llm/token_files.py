@@ -23,6 +23,8 @@ from .common import binary_array, small_batches, written
 from .tokenizing import encoded_batches, library_encoder, ranges, worker_encoder
 
 BLOCK_IDS = 1 << 16
+#: Bytes of text that are encoded at once; what is worked out of them takes some fifty times as much.
+TEXT_BYTES = 1 << 20
 BLOCKS = T.StructType(
     [
         T.StructField("shard", T.IntegerType()),
@@ -83,7 +85,7 @@ def write_token_blocks(df: DataFrame, tokenizer: str, end_id: int, path: str) ->
     def run(batches):
         shard, block, first = TaskContext.get().partitionId(), 0, 0
         enc = worker_encoder(library_encoder, tokenizer)
-        for table, ids, offsets in encoded_batches(batches, "text", enc):
+        for table, ids, offsets in encoded_batches(batches, "text", enc, TEXT_BYTES):
             lengths = np.diff(offsets) + 1
             ends = np.cumsum(lengths)
             flat = np.full(int(ends[-1]), end_id, np.uint32)

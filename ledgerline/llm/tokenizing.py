@@ -16,13 +16,12 @@ from itertools import count, islice
 import numpy as np
 import pyarrow as pa
 
-from .common import gathered, worker_memory
+from .common import BATCH_BYTES, gathered, worker_memory
 
-#: Most pieces and characters that a worker remembers; of chunks for the library, whose encoding costs most, more.
+#: Most pieces and characters that a worker remembers.
 MAX_PIECES, MAX_CHARS = 400_000, 10_000_000
-LIBRARY_PIECES, LIBRARY_CHARS = 1_000_000, 25_000_000
-#: Strings that the library encodes at once; it keeps much for each.
-LIBRARY_BATCH = 4096
+#: Pieces that the library encodes at once, as it keeps much for each, and those of them that go as one string.
+LIBRARY_BATCH, LIBRARY_JOINED = 4096, 32
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -103,6 +102,22 @@ def folded_words(text: str) -> list[str]:
     return text.lower().split()
 
 
+def separator(tokenizer) -> tuple[str, int] | None:
+    """An added token that parts pieces within one string as if each were encoded alone, and its id; None if there is none.
+
+    The library cuts a text at added tokens before all else. No other added token
+    may begin inside it, overlap it or look at what stands beside it.
+    """
+    added = tokenizer.get_added_tokens_decoder()
+    if any(x.single_word or x.lstrip or x.rstrip for x in added.values()):
+        return None
+    for i, x in sorted(added.items()):
+        others = [y.content for y in added.values() if y.content != x.content]
+        if not x.normalized and not any(x.content[0] in y[1:] for y in [x.content, *others]) and not any(y.startswith(x.content) or x.content.startswith(y) for y in others):
+            return x.content, i
+    return None
+
+
 def library_encoder(path: str) -> PieceEncoder:
     """An encoder by the tokenizers library, for a tokenizer file that folds case and drops white space."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -111,12 +126,24 @@ def library_encoder(path: str) -> PieceEncoder:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    parted = separator(tokenizer)
+
+    def ids_of(texts: list[str], at_once: int) -> list[array]:
+        return [array("I", x.ids) for k in range(0, len(texts), at_once) for x in tokenizer.encode_batch_fast(texts[k : k + at_once], add_special_tokens=False)]
 
     def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [array("I", x.ids) for k in range(0, len(pieces), LIBRARY_BATCH) for x in tokenizer.encode_batch_fast(pieces[k : k + LIBRARY_BATCH], add_special_tokens=False)]
-        return np.frombuffer(b"".join(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+        if parted is None:
+            ids = ids_of(pieces, LIBRARY_BATCH)
+            return np.frombuffer(b"".join(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+        # a string of some pieces costs the library half of what they cost it one by one
+        token, token_id = parted
+        texts = [token.join([*pieces[k : k + LIBRARY_JOINED], ""]) for k in range(0, len(pieces), LIBRARY_JOINED)]
+        flat = np.frombuffer(b"".join(ids_of(texts, LIBRARY_BATCH // LIBRARY_JOINED)), np.uint32)
+        met = np.cumsum(np.fromiter((1 + x.count(token) for x in pieces), np.int64, len(pieces)))  # a piece may hold the token itself
+        ends = np.flatnonzero(flat == token_id)[met - 1]
+        return np.delete(flat, ends), np.diff(ends, prepend=-1) - 1
 
-    return PieceEncoder(folded_words, encode, (LIBRARY_PIECES, LIBRARY_CHARS))
+    return PieceEncoder(folded_words, encode)
 
 
 def worker_encoder(make: Callable[[str], PieceEncoder], path: str) -> PieceEncoder:
@@ -124,7 +151,7 @@ def worker_encoder(make: Callable[[str], PieceEncoder], path: str) -> PieceEncod
     return worker_memory((make.__module__, make.__name__, path), lambda: make(path))
 
 
-def encoded_batches(batches: Iterator[pa.RecordBatch], text: str, enc: PieceEncoder) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
-    for table in gathered(batches, text):
+def encoded_batches(batches: Iterator[pa.RecordBatch], text: str, enc: PieceEncoder, limit: int = BATCH_BYTES) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    for table in gathered(batches, text, limit):
         ids, offsets = enc.encode(table.column(text).to_pylist())
         yield table, ids, offsets

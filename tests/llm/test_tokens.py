@@ -1,7 +1,10 @@
 """Operators 2, 3 and 5 against the tokenizers library and by round trips."""
 
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +16,7 @@ from ledgerline.llm.bpe import PairIndexBpe, bpe_decode, bpe_encode, pair_index_
 from ledgerline.llm.common import ids_crc32
 from ledgerline.llm.packing import best_fit_pack, encode_pieces, plan_runs
 from ledgerline.llm.token_files import documents_by_id, ids_between, pack, read_token_documents, unpack, vocabulary_of, width_of, write_token_blocks
-from ledgerline.llm.tokenizing import library_encoder
+from ledgerline.llm.tokenizing import library_encoder, separator
 
 from . import fixtures
 
@@ -49,6 +52,40 @@ def test_encoder_forgets_without_another_result(monkeypatch):
         assert part.tolist() == ids[at[k] : at[min(k + 20, len(rows))]].tolist()
 
 
+def test_library_encoder_holds_little_of_many_different_chunks():
+    """A worker's memory after 1.2 million chunks, each unlike all others, and their ids."""
+    code = """
+import random, resource, sys
+from ledgerline.llm.tokenizing import library_encoder
+from tokenizers import Tokenizer
+path, rng = sys.argv[1], random.Random(1)
+enc, tokenizer = library_encoder(path), Tokenizer.from_file(path)
+held = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+enc.encode(["warm up"])
+before = held()
+for k in range(40):
+    words = ["".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(30_000)]
+    ids, at = enc.encode([" ".join(words)])
+print(held() - before)
+assert ids.tolist() == tokenizer.encode(" ".join(words), add_special_tokens=False).ids
+"""
+    grown = float(subprocess.run([sys.executable, "-c", code, WORD], check=True, capture_output=True, text=True, cwd=Path(__file__).resolve().parents[2]).stdout)
+    assert grown < 140
+
+
+def test_chunks_joined_for_the_library_equal_chunks_alone():
+    tokenizer, parts = Tokenizer.from_file(WORD), ["<|endoftext|>", "<|endof", "text|>", "<|", "|>", "<|startoftext|>", "ab", "'s", "9", "é", "漢"]
+    assert separator(tokenizer) == ("<|startoftext|>", 49406)
+    rng, enc = random.Random(7), library_encoder(WORD)
+    pieces = ["".join(rng.choices(parts, k=rng.randint(0, 4))) for _ in range(3000)]
+    flat, lengths = enc.encode_pieces(pieces)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(lengths)[:-1])] == [x.ids for x in tokenizer.encode_batch(pieces, add_special_tokens=False)]
+    tokenizer.add_special_tokens(["oft"])
+    assert separator(tokenizer) == ("<|startoftext|>", 49406)
+    tokenizer.add_special_tokens(["|<|"])
+    assert separator(tokenizer) is None
+
+
 def test_roundtrip_of_documents(spark):
     docs = fixtures.documents(spark, clash=True)
     out = bpe_decode(bpe_encode(docs, BYTE), BYTE)
