@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm.line_templates import DEPTH, FIXED_SHARE, MANY_FIXED, MIN_DOCS, drop_templates
+from ledgerline.llm.line_templates import DEPTH, FIXED_SHARE, MANY_FIXED, MIN_DOCS, drop_templates, n_tokens
 from ledgerline.llm.pii import CONFIDENT, KINDS, SUPPORT, TOKEN, _confident_patterns, _instances, find_pii, pii_digest
 from ledgerline.llm.secrets import _bitmap, candidate_bitmaps, may_match, BASE_RULES, MORE_RULES, build_index, candidates, find_secrets, trigram_query
 from ledgerline.llm.spans import located, redacted, spelled
@@ -288,3 +288,28 @@ def test_different_lines_stay(spark):
     rng = random.Random(4)
     rows = ["\n".join(" ".join(fixtures.words(rng, 9)) for _ in range(3)) for _ in range(40)]
     assert drop_templates(fixtures.documents(spark, rows)).agg(F.sum("n_dropped")).first()[0] == 0
+
+
+def test_texts_are_read_four_times_at_most(spark):
+    """To hash lines, for shapes in leaves with more to say, to find what goes, and to cut."""
+    met = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            met.add(b.num_rows)
+            yield b
+
+    docs = fixtures.documents(spark)
+    drop_templates(docs.mapInArrow(counted, docs.schema)).collect()
+    assert docs.count() <= met.value <= 4 * docs.count()
+
+
+def test_counts_and_blank_lines_of_odd_texts(spark):
+    blank = " \t\x0b\f\r"
+    lines = ["", *blank, blank, "x", " x", "é 漢  🙂 ", "a\x00b c"]
+    rows = ["\n".join(lines[:k]) for k in range(len(lines) + 1)] + [f"{x}\nown{i}a" for i, x in enumerate(lines * 2)]
+    out = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in drop_templates(fixtures.documents(spark, rows)).where("doc_id is not null").collect()}
+    want = brute_templates(list(enumerate(rows)))
+    assert out == {i: (len(t.split("\n")), len(t.split("\n")) - len(want[i].split("\n")), want[i]) for i, t in enumerate(rows)}
+    counts = spark.createDataFrame([(x,) for x in lines], "line string").select("line", n_tokens(F.col("line")).alias("n")).collect()
+    assert all(r.n == len(r.line.split(" ")) for r in counts)
