@@ -11,7 +11,7 @@ from ledgerline.operators.extraction import code_facts, doc_claims, symbol_event
 from ledgerline.operators.ownership import path_events
 from ledgerline.operators.resolution import document_claims, import_edges, resolve
 from ledgerline.operators.slots import fold_slots
-from ledgerline.scratch import written
+from ledgerline.scratch import shuffled, written
 from ledgerline.sources.markup import document_author, read_references
 from ledgerline.sources.python_source import read_definitions
 
@@ -94,7 +94,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.col("size") + F.col("seq") % 3
     documented = F.when(F.col("k") % 7 == 0, F.col("size") + 5).otherwise(code)
     content = F.concat(F.lit("def f(size: int = "), code.cast("string"), F.lit('):\n    """F.\n\n    Args:\n        size (int): Size. Defaults to '), documented.cast("string"), F.lit('.\n    """\n'))
-    return lines.join(part, "k").select("seq", corpora.part_path("k").alias("path"), F.when(F.col("gone") == 0, content).alias("content"))
+    return lines.join(shuffled(part), "k").select("seq", corpora.part_path("k").alias("path"), F.when(F.col("gone") == 0, content).alias("content"))
 
 
 def ingest_history(spark, sf_dir):

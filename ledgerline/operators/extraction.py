@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.scalars import DOCSTRING, module_name
 from ledgerline.operators.ownership import own_keys, path_events
+from ledgerline.scratch import shuffled
 from ledgerline.sources.python_source import FORWARDING
 
 #: Decorators that leave a signature as written, that read like attributes, and that can't deprecate.
@@ -67,7 +68,7 @@ def version_status(definitions: DataFrame, versions: DataFrame) -> DataFrame:
     """``versions`` (``seq``, ``path``) with ``status``: analyzed, unreadable, or deleted where there was nothing to read."""
     known = definitions.groupBy("seq", "path").agg(F.max("analyzed").alias("analyzed"))
     status = F.when(F.col("analyzed").isNull(), "deleted").when(F.col("analyzed"), "analyzed").otherwise("unreadable")
-    return versions.select("seq", "path").distinct().join(known, ["seq", "path"], "left").select("seq", "path", status.alias("status"))
+    return versions.select("seq", "path").distinct().join(shuffled(known), ["seq", "path"], "left").select("seq", "path", status.alias("status"))
 
 
 def symbol_events(definitions: DataFrame, versions: DataFrame) -> DataFrame:

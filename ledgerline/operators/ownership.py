@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.scalars import KIND_RANK, ancestors, kind_rank
+from ledgerline.scratch import shuffled
 
 #: Ways in which a path may come to own a key, or keep it.
 WAYS = ("free", "owner", "removed", "deleted", "silent", "rank")
@@ -46,10 +47,10 @@ def path_events(there: DataFrame, versions: DataFrame) -> DataFrame:
     per = Window.partitionBy("path").orderBy("seq")
     following = readable.select("seq", "path", F.lead("seq").over(per).alias("next"), F.lead("status").over(per).alias("then")).where("next is not null")
     keys = there.select("symbol_key", "seq", "path")
-    gone = keys.join(following, ["seq", "path"]).select("symbol_key", F.col("next").alias("seq"), "path", "then").join(keys, ["symbol_key", "seq", "path"], "left_anti")
+    gone = keys.join(shuffled(following), ["seq", "path"]).select("symbol_key", F.col("next").alias("seq"), "path", "then").join(shuffled(keys), ["symbol_key", "seq", "path"], "left_anti")
     twice = there.where("kind = 'ambiguous'").select(F.col("symbol_key").alias("above"), "seq").distinct()
-    hidden = gone.select("symbol_key", "seq", F.explode(ancestors(F.col("symbol_key"))).alias("above")).join(twice, ["above", "seq"], "left_semi").select("symbol_key", "seq").distinct().withColumn("hidden", F.lit(True))
-    lost = gone.join(hidden, ["symbol_key", "seq"], "left").select("symbol_key", "seq", "path", F.when(F.col("then") == "deleted", "deleted").otherwise("silent").alias("gone"), F.coalesce("hidden", F.lit(False)).alias("hidden"))
+    hidden = gone.select("symbol_key", "seq", F.explode(ancestors(F.col("symbol_key"))).alias("above")).join(shuffled(twice), ["above", "seq"], "left_semi").select("symbol_key", "seq").distinct().withColumn("hidden", F.lit(True))
+    lost = gone.join(shuffled(hidden), ["symbol_key", "seq"], "left").select("symbol_key", "seq", "path", F.when(F.col("then") == "deleted", "deleted").otherwise("silent").alias("gone"), F.coalesce("hidden", F.lit(False)).alias("hidden"))
     said = there.withColumns({"rank": F.coalesce(kind_rank(F.col("kind")), F.lit(0)).cast("int"), "gone": F.lit(None).cast("string"), "hidden": F.lit(False)})
     return said.unionByName(lost, allowMissingColumns=True)
 

@@ -26,6 +26,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: both sides are shuffled and none is broadcast.
+
+    Spark takes a table for as large as its compressed files, less the columns that aren't read, so it would send many million rows through the driver.
+    """
+    return df.hint("merge")
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once and read again: what costs much is worked out once, and its lineage ends."""
     path = scratch_path(df.sparkSession, label)
