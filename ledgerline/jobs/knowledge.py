@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.jobs import corpora
 from ledgerline.jobs.engine import reconcile
 from ledgerline.operators.ownership import own_keys, path_events
-from ledgerline.scratch import written
+from ledgerline.scratch import shuffled, written
 
 #: What each of a key's four paths defines: by the path's number.
 KINDS = ("attribute", "function", "class", "module")
@@ -46,7 +46,7 @@ def _documented_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, size = F.col("k"), F.col("size").cast("string")
     part = corpora.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"), F.col("p_brand").endswith("3").alias("open"), F.expr("p_partkey div 100").cast("string").alias("g"))
     lines = corpora.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("k")).agg(F.max(F.col("l_discount") >= 0.1).alias("wrong"), F.max((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 49)).alias("lost"))
-    sold = part.join(lines, "k")
+    sold = part.join(shuffled(lines), "k")
     head = F.when(F.col("open"), "from vendor import *\n").otherwise("")
     code = F.concat(head, F.lit("def f(size: int = "), size, F.lit("):\n    return size\n"))
     handed = lambda line: F.array_join(F.array_sort(F.collect_list(line)), "")  # noqa: E731  a hundred parts at most

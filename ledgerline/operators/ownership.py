@@ -162,4 +162,4 @@ def chains(events: DataFrame, symbols: DataFrame) -> DataFrame:
     before = F.lag("shown").over(Window.partitionBy("above").orderBy("seq"))
     changes = states.withColumn("before", before).where(~F.col("shown").eqNullSafe(F.col("before"))).drop("before")
     wanted = symbols.select("symbol_key").distinct().select("symbol_key", F.posexplode(ancestors(F.col("symbol_key"))).alias("level", "above"))
-    return wanted.join(changes, "above").select("symbol_key", "seq", (F.col("level") + 1).alias("level"), "shown.*")
+    return wanted.join(shuffled(changes), "above").select("symbol_key", "seq", (F.col("level") + 1).alias("level"), "shown.*")

@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.scalars import ancestors, module_name
-from ledgerline.scratch import written
+from ledgerline.scratch import shuffled, written
 
 #: Segments of a name beyond which an alias only leads around in circles.
 DEEPEST = 64
 #: Rounds that a name takes over aliases that are followed to their ends already: an alias may end below another one's package.
 TURNS = 8
+#: Packages up to which they are broadcast; more are shuffled.
+FEW_PACKAGES = 4096
 
 
 def import_edges(definitions: DataFrame) -> DataFrame:
@@ -40,9 +42,9 @@ def import_edges(definitions: DataFrame) -> DataFrame:
 def _step(names: DataFrame, column: str, edges: DataFrame) -> DataFrame:
     """``names`` with ``then``: the name with its longest aliased beginning replaced by the alias's target; null where there is none."""
     values = names.select(F.col(column).alias("now")).distinct()
-    heads = values.select("now", F.posexplode(F.concat(F.array("now"), ancestors(F.col("now")))).alias("place", "alias")).join(edges, "alias")
+    heads = values.select("now", F.posexplode(F.concat(F.array("now"), ancestors(F.col("now")))).alias("place", "alias")).join(shuffled(edges), "alias")
     moved = heads.groupBy("now").agg(F.min_by(F.struct("alias", "target"), "place").alias("e")).select("now", F.concat("e.target", F.expr("substr(now, length(e.alias) + 1)")).alias("then"))
-    return names.join(moved.withColumnRenamed("now", column), column, "left")
+    return names.join(shuffled(moved.withColumnRenamed("now", column)), column, "left")
 
 
 def _deep(name: Column) -> Column:
@@ -81,24 +83,25 @@ def resolve(references: DataFrame, symbols: DataFrame, edges: DataFrame) -> Data
     them, as of another library, stands for itself. Endings are counted in one
     aggregation over all symbols, of which a reference meets one row.
     """
-    edges = written(followed(edges).join(symbols.select(F.col("symbol_key").alias("target")).distinct(), "target", "left_semi"), "aliases")
+    edges = written(followed(edges).join(shuffled(symbols.select(F.col("symbol_key").alias("target")).distinct()), "target", "left_semi"), "aliases")
     refs = written(references.select("ref").distinct(), "references")
     whole = refs.select(F.concat(F.lit("py:"), "ref").alias("name"))
     known = symbols.select(F.col("symbol_key").alias("name")).union(edges.select("alias")).distinct()
     keys = written(canonical(known.union(whole), edges), "canonical")
-    names = keys.join(known, "name", "left_semi")
+    names = keys.join(shuffled(known), "name", "left_semi")
     segments = F.split(F.substr("name", F.lit(4)), r"\.")
     ends = F.transform(F.sequence(F.lit(1), F.size(segments)), lambda n: F.array_join(F.slice(segments, -n, n), "."))
     above = F.when(F.col("ref").contains("."), F.regexp_replace("ref", r"\.[^.]*$", ""))
     asked = refs.select(F.col("ref").alias("end")).union(refs.select(above).where(above.isNotNull())).distinct()
-    counted = names.select(F.explode(ends).alias("end"), "key").join(asked, "end", "left_semi").groupBy("end").agg(F.min("key").alias("least"), F.max("key").alias("most"))
+    counted = names.select(F.explode(ends).alias("end"), "key").groupBy("end").agg(F.min("key").alias("least"), F.max("key").alias("most")).join(shuffled(asked), "end")
     found = written(counted.select("end", "least", (F.col("least") == F.col("most")).alias("one")), "endings")
-    packages = known.select(F.regexp_extract("name", r"^py:([^.]*)", 1).alias("first")).distinct().withColumn("package", F.lit(True))
+    packages = written(known.select(F.regexp_extract("name", r"^py:([^.]*)", 1).alias("first")).distinct(), "packages")
+    packages = (F.broadcast if packages.count() <= FEW_PACKAGES else shuffled)(packages.withColumn("package", F.lit(True)))
     exact = names.select(F.substr("name", F.lit(4)).alias("ref"), F.col("key").alias("exact"))
     absent = keys.select(F.substr("name", F.lit(4)).alias("ref"), F.col("key").alias("absent"))
-    rows = refs.withColumns({"above": above, "first": F.regexp_extract("ref", r"^[^.]*", 0)}).join(exact, "ref", "left").join(absent, "ref", "left")
-    rows = rows.join(found.select(F.col("end").alias("ref"), F.col("least").alias("ending"), "one"), "ref", "left").join(packages, "first", "left")
-    rows = rows.join(found.select(F.col("end").alias("above"), F.col("least").alias("owner"), F.col("one").alias("owned")), "above", "left")
+    rows = refs.withColumns({"above": above, "first": F.regexp_extract("ref", r"^[^.]*", 0)}).join(shuffled(exact), "ref", "left").join(shuffled(absent), "ref", "left")
+    rows = rows.join(shuffled(found.select(F.col("end").alias("ref"), F.col("least").alias("ending"), "one")), "ref", "left").join(packages, "first", "left")
+    rows = rows.join(shuffled(found.select(F.col("end").alias("above"), F.col("least").alias("owner"), F.col("one").alias("owned"))), "above", "left")
     hidden = F.exists(F.split("ref", r"\."), lambda p: p.startswith("_") & ~p.rlike("^__.*__$"))
     how = (
         F.when(hidden, "hidden").when(F.col("exact").isNotNull(), "exact").when(F.col("one"), "ending").when(F.col("one").isNotNull(), "ambiguous")
@@ -114,7 +117,7 @@ def document_claims(references: DataFrame, resolved: DataFrame) -> DataFrame:
 
     Of an aspect that a page states with several values, nothing is claimed.
     """
-    said = references.join(resolved.where("symbol_key is not null"), "ref").groupBy("symbol_key", "seq", "author", "path", "aspect").agg(F.min("value").alias("value"), F.max("value").alias("other"))
+    said = references.join(shuffled(resolved.where("symbol_key is not null")), "ref").groupBy("symbol_key", "seq", "author", "path", "aspect").agg(F.min("value").alias("value"), F.max("value").alias("other"))
     pair = F.struct("aspect", "value")
     agreed = said.where(F.col("value") == F.col("other"))
     return agreed.groupBy("symbol_key", "seq", "author", "path").agg(F.array_sort(F.collect_list(pair)).alias("claims"))  # a page's own claims of one symbol
