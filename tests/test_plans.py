@@ -10,7 +10,7 @@ import __spark_entry__
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["ingest_history", "symbol_fields", "document_drift"])
+@pytest.mark.parametrize("name", ["ingest_history", "symbol_fields", "document_drift", "seeded_verdicts"])
 def test_no_table_that_grows_is_broadcast(spark, monkeypatch, name):
     """Spark's guesses of sizes are from compressed files, so on tables as small as these it would broadcast any side that it is free to."""
     plans, parquet = [], DataFrameWriter.parquet
